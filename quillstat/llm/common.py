@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The word separators, space and \t\n\v\f\r.
 SEPARATORS = (9, 10, 11, 12, 13, 32)
@@ -54,6 +55,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: At most so many ids (8 bytes each) are broadcast to pick rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def semi_by_id(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose id is (left_semi) or isn't (left_anti) among `ids`; texts are shuffled only for many ids."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, how).select(*df.columns)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

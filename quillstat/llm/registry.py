@@ -1,8 +1,9 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from quillstat.llm import bpe, quality
+from quillstat.llm import bpe, near_dedup, quality
 
 QUERIES = {
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality": quality.op10_quality,
 }
