@@ -1,11 +1,16 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from quillstat.llm import bpe, near_dedup, quality
+from quillstat.llm import bpe, near_dedup, quality, sharding, url_filter
 
 QUERIES = {
+    "op4_sharding": sharding.op4_sharding,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": sharding.OP4_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
+}
