@@ -1,8 +1,9 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from quillstat.llm import bpe, near_dedup, quality, sharding, url_filter
+from quillstat.llm import bpe, near_dedup, quality, sharding, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_sharding": sharding.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }

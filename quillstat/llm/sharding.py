@@ -62,8 +62,8 @@ WITH RECURSIVE crc_table(b, v, k) AS (
 sized AS (
     SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
         xor(4294967295, list_reduce(
-            list_transform(range(0, strlen(coalesce(text, ''))), i -> ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::BIGINT),
-            (a, x) -> xor(a >> 8, crc.t[xor(a, x) & 255 + 1]), 4294967295::BIGINT)) AS text_crc32
+            list_transform(range(0, strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::BIGINT),
+            lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
     FROM documents, crc
 ), placed AS (
     SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS begins, sum(size) OVER () AS total FROM sized
