@@ -1,10 +1,11 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from quillstat.llm import bpe, near_dedup, quality, sharding, toxicity, url_filter
+from quillstat.llm import bpe, near_dedup, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_sharding": sharding.op4_sharding,
+    "op5_warc": warc.op5_warc,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_bpe": bpe.op9_bpe,
@@ -12,7 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_toxicity": toxicity.op1_toxicity,
     "op4_sharding": sharding.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }
