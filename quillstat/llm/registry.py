@@ -1,6 +1,6 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from quillstat.llm import bpe, near_dedup, quality, sharding, toxicity, url_filter, warc
+from quillstat.llm import bpe, near_dedup, pii, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_pii": pii.op8_pii,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality": quality.op10_quality,
 }
