@@ -351,11 +351,15 @@ def masked(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | N
     return "".join([*parts, text[at:]])
 
 
+def _count(kind: str) -> F.Column:
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("spans", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    counts = [_count(k).alias(f"n_{k}") for k in KINDS]
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
 
