@@ -33,7 +33,7 @@ LEVEL = 12
 SAVINGS = (2, 3, 5, 8)
 PREDICT_AT = 0.7
 #: Windows whose savings a worker remembers; when full, it forgets all and goes on.
-CACHE_WINDOWS = 500_000
+CACHE_WINDOWS = 250_000
 
 
 #: What every window is compressed behind, and what marks the window itself; both dictionaries hold them.
@@ -58,7 +58,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     return head + own + tail, head + filler + tail
 
 
-@lru_cache(4)
+@lru_cache(1)  # of the last query only: each fits its own dictionaries
 def _compressors(toxic: bytes, ordinary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor, dict[int, int]]:
     made = []
     for content in (toxic, ordinary):
