@@ -147,25 +147,30 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, to
     return np.log(held / held.sum()), table
 
 
-def judge(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
-    """Counts, votes, base_failed, posterior `quality` and kept for every row.
+def fit(counted: DataFrame) -> Column:
+    """The posterior probability of being good, as an expression over COUNTS, fitted on all rows of `counted`.
 
     The driver gets vote patterns with their counts only: 3 ** 8 rows at most, however large the table.
     """
+    rules = list(votes().values())
+    voted = counted.select(*[c.cast("int").alias(f"v{k}") for k, c in enumerate(rules)])
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*voted.columns).count().collect()]
+    if not patterns:
+        return F.lit(0.5)
+    weights, table = fit_votes(sorted(patterns))
+    logs = [sum((F.element_at(F.array(*[F.lit(round(float(x), 9)) for x in row]), rule.cast("int") + 2) for row, rule in zip(rows, rules, strict=True)), F.lit(round(float(w), 9))) for w, rows in zip(weights, table, strict=True)]
+    bad = F.aggregate(F.array(*[F.exp(x - logs[0]) for x in logs[1:]]), F.lit(0.0), lambda a, x: a + x)
+    return 1 / (1 + bad)
+
+
+def with_verdict(counted: DataFrame, quality: Column, keep_at: float = KEEP_AT) -> DataFrame:
+    return counted.withColumns({"base_failed": base_failed(), "quality": quality, "kept": ~base_failed() & (quality >= keep_at)})
+
+
+def judge(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
+    """COUNTS, base_failed, posterior `quality` and kept for every row."""
     counted = materialise(text_counts(df, text_col, keep))
-    rules = votes()
-    names = [f"vote_{r}" for r in rules]
-    voted = counted.withColumns({f"vote_{r}": c.cast("int") for r, c in rules.items()})
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().collect()]
-    if patterns:
-        weights, table = fit_votes(sorted(patterns))
-        logs = [sum((F.element_at(F.array(*[F.lit(round(float(x), 9)) for x in row]), F.col(name) + 2) for row, name in zip(rules_of, names, strict=True)), F.lit(round(float(w), 9))) for w, rules_of in zip(weights, table, strict=True)]
-        bad = F.aggregate(F.array(*[F.exp(x - logs[0]) for x in logs[1:]]), F.lit(0.0), lambda a, x: a + x)
-        quality = 1 / (1 + bad)
-    else:
-        quality = F.lit(0.5)
-    failed = base_failed()
-    return voted.withColumns({"base_failed": failed, "quality": quality, "kept": ~failed & (quality >= keep_at)})
+    return with_verdict(counted, fit(counted), keep_at)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,10 +179,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go. Texts are counted twice and never shuffled."""
     session_defaults(spark)
-    counts = set(COUNTS)
-    own = [c for c in docs.columns if c not in counts]
-    verdict = judge(docs.select(F.monotonically_increasing_id().alias("__row"), "text"), keep=["__row"]).filter("kept").select("__row")
-    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in own])
-    return numbered.join(verdict, "__row", "left_semi").select(*own)
+    made = {*COUNTS, "base_failed", "quality", "kept"}
+    aside = {c: f"__own_{c}" for c in docs.columns if c in made}
+    own = docs.withColumnsRenamed(aside)
+    quality = fit(materialise(text_counts(own, keep=[])))
+    return with_verdict(text_counts(own), quality).filter("kept").select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

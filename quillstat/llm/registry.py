@@ -1,10 +1,11 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from quillstat.llm import bpe, decontaminate, near_dedup, pii, quality, sharding, toxicity, url_filter, warc
+from quillstat.llm import bpe, decontaminate, near_dedup, pii, quality, sharding, token_count, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_token_count": token_count.op3_token_count,
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
     "op6_url_filter": url_filter.op6_url_filter,
