@@ -59,6 +59,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """Small intermediate tables in as few partitions as their rows need."""
+    return df.coalesce(1 + rows // 100_000) if rows <= BROADCAST_IDS else df
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """A join side of so many rows: broadcast while it is surely small, else shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS // 2 else df
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """Rows of df whose id is (left_semi) or isn't (left_anti) among `ids`; texts are shuffled only for many ids."""
     few = ids.count() <= BROADCAST_IDS
