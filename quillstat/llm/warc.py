@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import read_table, session_defaults, shared_folder
+from quillstat.llm.common import materialise, read_table, session_defaults, shared_folder
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 5000
+#: At most so many leaders (about 300 bytes each) are broadcast; more meet the records in a join that shuffles them.
+BROADCAST_LEADERS = 100_000
 #: Header fields by ARC version, and the WARC revisit profile.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -162,7 +164,9 @@ def mark_revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     large = (F.col("record_type") == "response") & (F.col("payload_bytes") >= least)
     leader = F.max(F.struct("page_id", "record_id", F.col("target_uri").alias("uri"), F.col("record_date").alias("date"))).alias("lead")
     leaders = records.filter(large).groupBy("payload_sha1", "payload_bytes").agg(leader, F.count("*").alias("n")).filter("n > 1").drop("n")
-    leaders = leaders.withColumnRenamed("payload_bytes", "lead_bytes").withColumnRenamed("payload_sha1", "lead_sha1")
+    leaders = materialise(leaders.withColumnRenamed("payload_bytes", "lead_bytes").withColumnRenamed("payload_sha1", "lead_sha1"))
+    if leaders.count() <= BROADCAST_LEADERS:
+        leaders = F.broadcast(leaders)
     match = (F.col("payload_sha1") == F.col("lead_sha1")) & (F.col("payload_bytes") == F.col("lead_bytes")) & large
     both = records.join(leaders, match, "left")
     other = F.col("lead").isNotNull() & (F.col("record_id") != F.col("lead.record_id"))
@@ -300,10 +304,10 @@ def read_warc(spark: SparkSession, path: str, with_block: bool = True) -> DataFr
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = mark_revisits(convert_arc(pages_to_arc(read_table(spark, sf_dir, "pages"))))
-    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(records, path)
-    back = read_warc(spark, path, with_block=False).filter("record_type in ('response', 'revisit')")
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    convert_arc(pages_to_arc(read_table(spark, sf_dir, "pages"))).write.parquet(f"{folder}/records")
+    write_warc(mark_revisits(spark.read.parquet(f"{folder}/records")), f"{folder}/archives")
+    back = materialise(read_warc(spark, f"{folder}/archives", with_block=False).filter("record_type in ('response', 'revisit')").drop("block"))
     lead = back.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     revisits = back.filter("record_type = 'revisit'").join(lead, "refers_to_id", "left")
     columns = ["page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type"]
