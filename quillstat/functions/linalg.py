@@ -69,7 +69,7 @@ def ols(m: Moments, dependent: str, predictors: list[str], ridge: float = 0.0) -
     """Least squares of `dependent` on `predictors`; a singular system falls back to ridge."""
     own = m.take([*predictors, dependent])
     p = len(predictors)
-    a, b, syy = own.cross[:p, :p], own.cross[:p, p], own.cross[p, p]
+    a, b, syy = own.cross[:p, :p], own.cross[:p, p], float(own.cross[p, p])
     note = None
     if ridge == 0 and p and np.linalg.matrix_rank(a, hermitian=True) < p:
         ridge = ridge_strength(p)

@@ -128,8 +128,8 @@ def standardise_states(df: DataFrame, columns: list[str], output: str = "full",
         values = df.select(F.col(f"`{c}`").alias("v")).dropna().distinct().withColumn("k", F.lower(F.trim("v")))
         direct = values.join(F.broadcast(exact), "k", "left")
         fuzzy = direct.filter("state is null and length(k) > 2").select("v", nearest("k").alias("k")).dropna().join(F.broadcast(target), "k").select("v", "state")
-        found = direct.filter("state is not null").select("v", "state").unionByName(fuzzy).select(F.col("v").alias("_v"), "state")
-        df = df.join(found, F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.coalesce("state", F.trim(F.col(f"`{c}`")))).drop("_v", "state")
+        found = direct.filter("state is not null").select("v", "state").unionByName(fuzzy).select(F.col("v").alias("_v"), F.col("state").alias("_state"))
+        df = df.join(found, F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.coalesce("_state", F.trim(F.col(f"`{c}`")))).drop("_v", "_state")
     return df
 
 

