@@ -316,7 +316,7 @@ def find_pii(df: DataFrame, text_col: str = "text", redact: bool = False) -> Dat
     """Append `spans` (SPANS), or with redact, replace every span in the text by its kind in brackets."""
     session_defaults(df.sparkSession)
     model = train()
-    keep = [c for c in df.columns if c not in ("spans", text_col)] if redact else [c for c in df.columns if c != "spans"]
+    keep = [c for c in df.columns if c != (text_col if redact else "spans")]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     last = text_col if redact else "spans"
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), f"`{last}` {'string' if redact else SPANS}"]
