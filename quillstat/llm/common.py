@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder. Unlike a checkpoint, it also forgets what the planner knew of
+    the columns, which in a loop of joins grows from round to round until planning takes longer than the work."""
+    session_defaults(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     session_defaults(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
