@@ -629,7 +629,7 @@ def linear_attributions(spark, sf):
     return explain.linear_attributions(df, fit.predictors, fit.coefficients).select("feature", r("mean_abs", 2))
 
 
-@query("coefficients", "SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity), 4) AS coefficient, 'positive' AS direction FROM lineitem")
+@query("coefficients", "SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity), 4) AS coefficient, CASE WHEN regr_slope(l_extendedprice, l_quantity) > 0 THEN 'positive' ELSE 'negative' END AS direction FROM lineitem")
 def coefficients(spark, sf):
     fit = infer.regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"])
     rows = explain.coefficient_rows(fit.predictors, fit.coefficients, False)
