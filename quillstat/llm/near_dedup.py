@@ -6,13 +6,16 @@
 2. Each of TREES independent trees has roots chosen by three minwise tokens. A node of at most NODE classes is
    compared exhaustively on minwise tokens. A larger one is branched by two further tokens, chosen by a hash of
    the node, up to DEPTH times; at each level it is also compared in blocks of about NODE classes, every block
-   together with the members that resemble the node most, so a centre meets all that gather round it.
+   together with the members that resemble the node most, so a centre meets all that gather round it. Members
+   of a root that these blocks have not joined are then compared in pairs of parts, so a root of any size is
+   compared wholly, and only the pairs already joined are spared.
    Two sets of similarity 0.85 meet in a tree with probability 0.61, and miss all 16 trees in 2 of 10 million.
 3. From a block come the edges of its greatest spanning forest on estimated similarity, not all its pairs; what
    these edges join is a family, and no link leaves a family.
-4. A family's full sets are compared exactly, in parts of about NODE sets, each pair of parts in one block, so
-   that a text is sent to PARTS blocks at most; a family too large for that is compared in the blocks of its
-   trees instead. From each block come the edges of a spanning forest of its confirmed links.
+4. A family's full sets are compared exactly, in parts of about NODE sets, each pair of parts in one block. A
+   family of more than PARTS parts is first compared in the blocks of its trees, and then in all pairs of parts
+   that these links have not joined, so its result is as exact; its work grows with the square of the texts that
+   remain unjoined. From each block come the edges of a spanning forest of its confirmed links.
 
 Links, families, components and signatures stay in Spark tables throughout; the driver sees counts only.
 
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import BROADCAST_IDS, Words, chunks, few_parts, in_doc, materialise, mix, read_table, semi_by_id, session_defaults, small_side, stored, utf8_parts, windows
@@ -37,7 +40,7 @@ SHINGLE = 5
 #: Links need 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
 TOKENS, TREES, DEPTH, NODE = 128, 16, 3, 256
-#: A family has at most so many parts of about NODE texts and PART_SHINGLES shingles.
+#: A family of more parts than this, of about NODE texts and PART_SHINGLES shingles, is joined by its trees' blocks first.
 PARTS, PART_SHINGLES = 48, 1_000_000
 #: Pairs of fewer equal tokens than this are no candidates: five standard deviations below 0.85 * TOKENS.
 LEAST_EQUAL = 88
@@ -246,8 +249,52 @@ def candidates(members: DataFrame) -> DataFrame:
     return _by_block(members.select("block", "rep", "n_shingles", "sig"), work)
 
 
-def exact_blocks(families: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(rep, blocks): where each text of a family goes to be compared on full sets."""
+def unjoined(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, blocks) from rows (node, rep, load): each pair of a node's members whose labels differ meets in a block.
+
+    The members of a node's commonest label make its first parts and meet the other members only; those meet all. A
+    part has about NODE members and a load of one. Members without a label are alone; a node of one label gives nothing.
+    """
+    rows = grouped.count()
+    named = grouped.join(small_side(labels.select("rep", "label"), rows), "rep", "left").select("node", "rep", "load", F.coalesce("label", "rep").alias("label"))
+    named = materialise(few_parts(named, rows))
+    usual = named.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("usual"), F.count("*").alias("labels")).filter("labels > 1")
+    usual = materialise(few_parts(usual.select("node", "usual"), rows))
+    split = named.join(small_side(usual, rows), "node").withColumn("first", F.col("label") == F.col("usual"))
+
+    def parts(which: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(which) / NODE), F.ceil(F.coalesce(F.sum(F.when(which, F.col("load"))), F.lit(0.0)))).cast("int")
+
+    counts = materialise(few_parts(split.groupBy("node").agg(parts(F.col("first")).alias("m"), parts(~F.col("first")).alias("r")), rows))
+    placed = split.join(small_side(counts, rows), "node")
+    part = F.when(F.col("first"), F.pmod(F.xxhash64("rep"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("rep"), F.col("r"))).cast("int")
+    others = F.sequence(F.when(F.col("first"), F.col("m")).otherwise(0), F.col("m") + F.col("r") - 1)
+    met = F.transform(others, lambda q: F.xxhash64("node", F.lit("unjoined"), F.least("part", q), F.greatest("part", q)))
+    return placed.withColumn("part", part).select("rep", met.alias("blocks"))
+
+
+def families_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, label) of all that candidate edges join, and (block, rep) of the trees' blocks."""
+    members = materialise(blocks(classes))
+    signed = classes.select("rep", "n_shingles", "sig")
+    pairs = materialise(candidates(members.join(signed, "rep")))
+    families = components(pairs)
+    roots = classes.select("rep", F.explode(F.array_distinct("roots")).alias("node"))
+    large = roots.groupBy("node").agg(F.count("*").alias("members")).filter(F.col("members") > NODE).select("node")
+    large = materialise(large)
+    n = large.count()
+    if n:
+        grouped = materialise(roots.join(small_side(large, n), "node").select("node", "rep", F.lit(0.0).alias("load")))
+        left = materialise(unjoined(grouped, families))
+        if not left.isEmpty():
+            more = candidates(left.select(F.explode("blocks").alias("block"), "rep").join(signed, "rep"))
+            families = components(pairs.unionByName(more))
+    return families, members
+
+
+def exact_blocks(families: DataFrame, classes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, blocks): where each text of a family goes to be compared on full sets; and the members of families of
+    more than PARTS parts, (node, rep, load), of which these blocks are the first comparison only."""
     n = families.count()
     sized = materialise(few_parts(classes.select("rep", "n_shingles").join(small_side(families, n), "rep"), n))
     parts = F.greatest(F.ceil(F.count("*") / NODE), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).cast("int")
@@ -255,17 +302,17 @@ def exact_blocks(families: DataFrame, classes: DataFrame, members: DataFrame) ->
     placed = materialise(sized.join(small_side(family, n), "label").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.xxhash64("label", F.least("part", q), F.greatest("part", q)))
     out = placed.filter(F.col("parts") <= PARTS).select("rep", pairs.alias("blocks"))
-    large = placed.filter(F.col("parts") > PARTS).select("rep")
+    large = placed.filter(F.col("parts") > PARTS).select(F.col("label").alias("node"), "rep", (F.col("n_shingles") / PART_SHINGLES).alias("load"))
     if large.isEmpty():
-        return out
+        return out, large
     own = members.select("rep", "block").join(large, "rep", "left_semi").groupBy("rep").agg(F.collect_set("block").alias("blocks"))  # TREES times DEPTH + 1 at most
-    return out.unionByName(own)
+    return out.unionByName(own), large
 
 
 def confirmed(docs: DataFrame, where: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): links found in each block on the full sets of whole texts."""
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rep"), F.col(f"`{text_col}`").alias("text"))
-    few = where.count() <= BROADCAST_IDS // 4  # a rep and some blocks each
+    few = (where.agg(F.sum(F.size("blocks") + 4)).first()[0] or 0) <= BROADCAST_IDS
     picked = texts.join(F.broadcast(where) if few else where, "rep").select("blocks", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +370,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = materialise(features(docs, id_col, text_col))
     classes = feats.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
     classes = materialise(classes)
-    members = materialise(blocks(classes))
-    pairs = candidates(members.join(classes.select("rep", "n_shingles", "sig"), "rep"))
-    families = components(pairs)
-    first = components(confirmed(docs, materialise(exact_blocks(families, classes, members)), id_col, text_col))
+    families, members = families_of(classes)
+    where, large = exact_blocks(families, classes, members)
+    links = confirmed(docs, materialise(where), id_col, text_col)
+    if large.isEmpty():
+        first = components(links)
+    else:
+        links = materialise(links)
+        left = materialise(unjoined(materialise(large), components(links)))
+        first = components(links.unionByName(confirmed(docs, left, id_col, text_col)))
     n = first.count()
     known = classes.select("h1", "h2", "n_shingles", "rep").join(small_side(first, n), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2", "n_shingles"], "left")

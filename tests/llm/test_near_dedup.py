@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from quillstat.llm import near_dedup
 from quillstat.llm.near_dedup import keep_one, near_duplicates
 
@@ -112,3 +114,30 @@ def test_repeated_rows_and_empty_table(spark):
     kept = keep_one(spark, df, "")
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 9]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_large_family_of_isolated_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PARTS", 1)
+    monkeypatch.setattr(near_dedup, "NODE", 4)
+    draw = random.Random(5)
+    core = [f"w{k}" for k in range(273)]
+    rows = []
+    for k in range(90):  # 0.81 like any other, 0.86 like its partner: one family, links in pairs only
+        own = [f"own{k}x{j}" for j in range(31)]
+        rows += [(2 * k + 1, " ".join(core + own)), (2 * k + 2, " ".join(core + own[:9] + [f"late{k}x{j}" for j in range(22)]))]
+    draw.shuffle(rows)
+    wanted = brute(rows)
+    assert len({c for _, c in wanted.values()}) == 90
+    assert found(spark, rows) == wanted
+
+
+def test_large_root_is_compared_wholly(spark):
+    draw = np.random.default_rng(6)
+    sig = draw.integers(0, 256, (1500, near_dedup.TOKENS), dtype=np.uint8)  # halves are like no other text but their partner
+    twin = sig.copy()
+    for row in twin:
+        row[draw.choice(near_dedup.TOKENS, 30, replace=False)] ^= 1
+    rows = [(2 * k + j + 1, 100, bytes(s[k]), [7]) for k in range(1500) for j, s in enumerate((sig, twin))]
+    classes = spark.createDataFrame(rows, "rep bigint, n_shingles bigint, sig binary, roots array<bigint>")
+    families, _ = near_dedup.families_of(classes)
+    assert {r["rep"]: r["label"] for r in families.collect()} == {i: i - (i + 1) % 2 for i in range(1, 3001)}
