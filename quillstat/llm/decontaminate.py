@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed into FEATURES features whose inverse document frequencies come from all documents. A randomised
-SVD of TF-IDF passages (two distributed products of the passage matrix with a thin one, on a bounded sample of
-FIT_DOCS documents picked by a hash) gives RANK latent directions, after the leading COMMON ones, which only tell
+SVD of TF-IDF passages (two distributed products of the passage matrix of all documents with a thin one, as partial
+sums of one fixed size from each task) gives RANK latent directions, after the leading COMMON ones, which only tell
 languages apart, are left out; each is divided by its singular value, so that no direction outweighs the rest.
 Every passage of every document is then placed in that space and compared with the benchmark items by cosine. For
 each candidate pair the longest common subsequence of words is taken over the item and the passage with its
@@ -33,7 +33,6 @@ from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table,
 FEATURES, RANK, COMMON, OVERSAMPLE = 8192, 128, 8, 16
 #: A passage is WINDOW words long, one begins every STRIDE words.
 WINDOW, STRIDE = 32, 16
-FIT_DOCS = 4000
 COSINE, MATCH, NEAR, ANSWER = 0.35, 0.8, 0.6, 0.5
 MIN_ITEM_WORDS, ITEM_BLOCK, ITEM_GROUP = 8, 4000, 400
 #: Passage vectors and looked-up words that a task handles at once.
@@ -100,14 +99,14 @@ def _block_sums(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], doc[keep], first[keep]
 
 
-def fit_directions(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> np.ndarray:
+def fit_directions(docs: DataFrame, idf: np.ndarray, text_col: str = "text", seed: int = 11) -> np.ndarray:
     """[FEATURES, RANK] latent directions over their singular values, by a randomised SVD with one power iteration."""
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    chosen = materialise(named.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_DOCS))
-    sample = materialise(semi_by_id(named, chosen, "id").repartition(_FIT_PARTS, F.xxhash64("id")).select("text"))
+    spark = docs.sparkSession
+    parts = max(_FIT_PARTS, spark.sparkContext.defaultParallelism)  # each gives a partial sum of one fixed size
+    texts = docs.select(F.col(f"`{text_col}`").alias("text")).coalesce(parts)
 
     def product(q: np.ndarray) -> np.ndarray:
-        """X^T X q, X being the sample's TF-IDF passages of unit length."""
+        """X^T X q, X being all TF-IDF passages of unit length."""
         thin = (idf[:, None] * q).astype(np.float32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +129,11 @@ def fit_directions(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", tex
             starts = list(range(0, FEATURES, part))
             yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array([total[s : s + part].astype(np.float32).tobytes() for s in starts], pa.binary())], names=["start", "part"])
 
-        def add(group: pd.DataFrame) -> pd.DataFrame:  # _FIT_PARTS rows at most
+        def add(group: pd.DataFrame) -> pd.DataFrame:  # a row from each part
             return pd.DataFrame({"start": [group["start"].iloc[0]], "part": [sum(np.frombuffer(p, np.float32).astype(float) for p in group["part"]).tobytes()]})
 
         shape = "start bigint, part binary"
-        rows = sample.mapInArrow(run, shape).groupBy("start").applyInPandas(add, shape).collect()
+        rows = texts.mapInArrow(run, shape).groupBy("start").applyInPandas(add, shape).collect()
         return np.concatenate([np.frombuffer(r["part"]).reshape(-1, q.shape[1]) for r in sorted(rows, key=lambda r: r["start"])])
 
     width = RANK + COMMON + OVERSAMPLE
@@ -199,7 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if not n or wanted.isEmpty():
         return named.select("doc_id", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in LEAKS.split(", ")[1:]]).limit(0)
     idf = np.log((n + 1) / (seen + 1)) + 0.05
-    directions = (idf[:, None] * fit_directions(named, idf, "doc_id")).astype(np.float32)
+    directions = (idf[:, None] * fit_directions(named, idf)).astype(np.float32)
     shared = spark.sparkContext.broadcast(directions)  # FEATURES x RANK numbers, 4 MB
     found = None
     numbered = materialise(wanted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-wanted.count() // ITEM_BLOCK)))))

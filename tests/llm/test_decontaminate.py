@@ -93,3 +93,13 @@ def test_passages_cover_every_word_and_sums_are_right():
     for v, d, at in zip(vectors, doc, first, strict=True):
         end = min(at + D.WINDOW, w.first_word[d + 1])
         assert np.allclose(v, table[feature[at:end]].sum(0), atol=1e-4)
+
+
+def test_directions_come_from_all_documents(spark):
+    rows = [(k, " ".join(f"own{k}x{j}" for j in range(3)) if k < 400 else f"common{k % 50} words{k % 70}", "en", 1) for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n int")
+    seen, n = D.document_frequencies(docs)
+    assert n == 9000
+    idf = np.log((n + 1) / (seen + 1)) + 0.05
+    weight = np.abs(D.fit_directions(docs, idf)).max(1)
+    assert (weight[seen > 0] > 0).all() and (weight[seen == 0] < 1e-9).all()
