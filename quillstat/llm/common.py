@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word separators, space and \t\n\v\f\r.
@@ -85,6 +85,11 @@ def semi_by_id(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi
     return df.join(F.broadcast(ids) if few else ids, column, how).select(*df.columns)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id of a row, or where it is null a key from its text, after all usual ids; equal texts have equal keys."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(f"`{text_col}`").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table, semi_by_id, session_defaults, utf8_parts
+from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table, row_key, semi_by_id, session_defaults, utf8_parts
 
 FEATURES, RANK, COMMON, OVERSAMPLE = 8192, 128, 8, 16
 #: A passage is WINDOW words long, one begins every STRIDE words.
@@ -314,6 +314,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak a benchmark item go."""
-    found = materialise(leaks(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return semi_by_id(docs, found, "doc_id", "left_anti")
+    """Pipeline stage: documents that leak a benchmark item go, with or without a doc_id."""
+    keyed = docs.withColumn("_key", row_key())
+    found = materialise(leaks(keyed.select("_key", "text"), read_table(spark, sf_dir, "benchmark"), "_key").select(F.col("doc_id").alias("_key")).distinct())
+    return semi_by_id(keyed, found, "_key", "left_anti").drop("_key")

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from quillstat.llm import near_dedup
+from quillstat.llm.decontaminate import drop_leaks
 from quillstat.llm.near_dedup import keep_one, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, rep string, label int"
@@ -141,3 +142,16 @@ def test_large_root_is_compared_wholly(spark):
     classes = spark.createDataFrame(rows, "rep bigint, n_shingles bigint, sig binary, roots array<bigint>")
     families, _ = near_dedup.families_of(classes)
     assert {r["rep"]: r["label"] for r in families.collect()} == {i: i - (i + 1) % 2 for i in range(1, 3001)}
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    df = spark.createDataFrame([(1, one, "a", 1), (None, one, "b", 1), (None, two, "c", 1), (None, two, "d", 1), (None, None, "e", 1), (2, None, "f", 1)], SCHEMA)
+    kept = keep_one(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, one), (0, two), (0, ""), (2, "")])
+    spark.createDataFrame([(1, three)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    others = [(k, " ".join(f"o{k}x{j}" for j in range(30)), "x", 1) for k in range(10, 70)]
+    leaking = spark.createDataFrame([(None, three, "a", 1), (None, one, "b", 1), (3, three, "c", 1), (4, two, "d", 1), *others], SCHEMA)
+    left = drop_leaks(spark, leaking, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, one), (4, two), *[o[:2] for o in others]]
