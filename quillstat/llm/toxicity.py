@@ -1,14 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text: one ends in what toxic texts say far more often than
-ordinary ones, the other in as many bytes of ordinary text; what stands before and after that is the same in both. Every
-window (a word behind a mark and a fixed opening, which both dictionaries hold) is compressed with each, so that
-the difference of the two lengths is what the toxic dictionary saves. Windows that save at least SAVINGS bytes are
-counted, and a logistic curve fitted on labelled documents turns the counts into a probability.
-
-A null or empty text has no windows and gets the score of a document without savings. Repeated rows get equal
-scores. Conflicting labels of one doc_id all count; null labels don't. Without labels of both kinds every score
-is 0. An empty table gives an empty result. Extra columns are not read.
+A text is cut into windows of WINDOW words, each word behind a mark. Every window is compressed twice, behind one
+dictionary trained by zstandard on toxic text and one trained on ordinary text, and the difference of the two lengths
+is what the toxic dictionary saves. A document is judged by the distribution of its windows' savings: each saving has a
+log-likelihood ratio between toxic and ordinary learning documents, and a logistic curve over their sums and over the
+greatest savings gives a probability, moved so that the calibrated threshold lies at PREDICT_AT.
+
+Both dictionaries hold the same large part, trained on windows of ordinary documents, next to the window, so that
+ordinary wording costs the same with either. They differ in a small part: trained on toxic documents' windows, of
+which only words with a telling beginning are left (toxic documents open words so TELLING_LIFT times as often as
+ordinary ones, beyond chance), or on ordinary documents' windows, those with such words among them. Words never seen
+in training still save what their beginning shares with the dictionary.
+
+Of rows that share a doc_id the least text and the greatest label are learned from; null labels and ids aren't. A null
+or empty text has no windows and gets the score of a document without savings. Repeated rows get equal scores. Without
+labels of both kinds every score is 0. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,96 +28,126 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import LOWER, Words, chunks, materialise, read_table, session_defaults, utf8_parts
+from quillstat.llm.common import materialise, read_table, session_defaults
 
 #: At most so many labelled documents of each kind are learned from, picked by a hash of their ids.
 LEARN_DOCS = 10_000
-#: A toxic word is one in at least this share of toxic texts, and this many times as often as in ordinary ones.
-TOXIC_SHARE, TOXIC_TIMES = 0.08, 8.0
-TOXIC_WORDS, ORDINARY_WORDS = 400, 1500
+#: At most so many of their windows of each kind train a dictionary, picked by a hash of their documents and places.
+LEARN_WINDOWS = 60_000
+WINDOW = 4
+#: Beginnings of words that are looked at, in characters; whole words are too.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: A telling beginning is in this share of toxic texts and in TELLING_LIFT times the share of ordinary ones; its
+#: log-ratio times the root of its toxic texts is at least TELLING_SURE. The surest TELLING_MOST are kept.
+TELLING_SHARE, TELLING_LIFT, TELLING_SURE, TELLING_MOST = 0.02, 6.0, 6.0, 4000
+SHARED_BYTES, OWN_BYTES = 131072, 2048
 LEVEL = 12
-SAVINGS = (2, 3, 5, 8)
+#: Savings are counted from LEAST_SAVED to MOST_SAVED bytes, the ends with all beyond.
+LEAST_SAVED, MOST_SAVED = -4, 8
+#: The threshold is the best by the share of toxic texts found less so many times the share of ordinary ones found.
+ALARM_COST = 2.0
 PREDICT_AT = 0.7
-#: Windows whose savings a worker remembers; when full, it forgets all and goes on.
-CACHE_WINDOWS = 250_000
 
+MARK = b"\n"
+#: What stands around every window: the opening ends both dictionaries, so that a window begins with a match; the
+#: closing is long enough for matches in a window's last word.
+OPENING, CLOSING = b"\nwhat stands before every window", b"~1234567"
 
-#: What every window is compressed behind, and what marks the window itself; both dictionaries hold them.
-OPENING = b"the quick opening of every window that is compressed with either dictionary"
-MARK = b"\n[word] "
 
+def text_windows(text: bytes) -> list[bytes]:
+    """Windows of WINDOW words, A-Z lower-cased, as they are compressed but for the opening and closing."""
+    words = text.lower().split()
+    return [MARK + b" \n".join(words[k : k + WINDOW]) + b" " for k in range(0, len(words), WINDOW)]
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(toxic dictionary, ordinary dictionary) of equal length, made of windows as they are compressed.
 
-    A window that a dictionary holds is one match from its mark to its end; otherwise the mark alone is matched
-    and the window costs its literals.
-    """
-    common, rest = ordinary[:ORDINARY_WORDS], ordinary[ORDINARY_WORDS:] or ordinary
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of `size` bytes at most; of too few samples, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=40, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
-    def join(words: list[str]) -> bytes:
-        return b"".join(MARK + w.encode() + b" " for w in words)
 
-    head, own, filler = join(common[::-1]), join(toxic[::-1]), join(rest)
-    filler = (filler * (len(own) // max(len(filler), 1) + 1))[: len(own)]
-    tail = b"\n" + OPENING + b"\n"
-    return head + own + tail, head + filler + tail
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], everyday: list[bytes]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries: an own part, trained on the first two, and a shared part, trained on the last."""
+    shared = trained(everyday, SHARED_BYTES)
+    own = trained(toxic, OWN_BYTES), trained(ordinary, OWN_BYTES)
+    size = max(map(len, own))
+    return tuple(b"\0" * (size - len(x)) + x + shared + OPENING for x in own)
 
 
-@lru_cache(1)  # of the last query only: each fits its own dictionaries
-def _compressors(toxic: bytes, ordinary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor, dict[int, int]]:
+@lru_cache(1)  # of the last query only: each trains its own dictionaries
+def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor]:
     made = []
     for content in (toxic, ordinary):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
-    return made[0], made[1], {}
+    return made
 
 
-def window_savings(words: Words, toxic: bytes, ordinary: bytes) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window."""
-    ct, co, known = _compressors(toxic, ordinary)
-    if len(known) > CACHE_WINDOWS:
-        known.clear()
-    keys, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-    raw = LOWER[words.b].tobytes()
-    out = np.zeros(len(keys), np.int16)
-    for k, (key, at) in enumerate(zip(keys.tolist(), first.tolist(), strict=True)):
-        saved = known.get(key)
-        if saved is None:
-            window = OPENING + MARK + raw[words.start[at] : words.end[at]] + b" "
-            saved = known[key] = len(co.compress(window)) - len(ct.compress(window))
-        out[k] = saved
-    return out[back]
+def window_savings(windows: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on each window, against the ordinary one."""
+    by_toxic, by_ordinary = (c.compress for c in _compressors(toxic, ordinary))
+    return np.fromiter((len(by_ordinary(x)) - len(by_toxic(x)) for x in (OPENING + w + CLOSING for w in windows)), np.int64, len(windows))
 
 
-MEASURES = tuple(f"saved_{s}" for s in SAVINGS)
+def saving_counts(text: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """How many windows of a text save each number of bytes from LEAST_SAVED to MOST_SAVED."""
+    saved = np.clip(window_savings(text_windows(text), toxic, ordinary), LEAST_SAVED, MOST_SAVED)
+    return np.bincount(saved - LEAST_SAVED, minlength=MOST_SAVED - LEAST_SAVED + 1)
 
 
 def measure(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep`, n_windows, most_saved and the number of windows that save at least each of SAVINGS bytes."""
+    """`keep` and `saved`, the saving counts of each text."""
     session_defaults(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    names = ["n_windows", "most_saved", *MEASURES]
-    kept = source.columns[:-1]
+    names = [*source.columns[:-1], "saved"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8_parts(batch.column(batch.num_columns - 1))
-            for i, j in chunks(offsets):
-                w = Words(raw, offsets, i, j, lower=True)
-                saved = window_savings(w, toxic, ordinary) if len(w.start) else np.zeros(0, np.int16)
-                most = np.zeros(w.n_docs, np.int64)
-                np.maximum.at(most, w.doc, saved)
-                counts = [np.bincount(w.doc[saved >= s], minlength=w.n_docs) for s in SAVINGS]
-                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), *(pa.array(x.astype(np.int64)) for x in (w.counts, most, *counts))], names=[*kept, *names])
-
-    return source.mapInArrow(run, ", ".join([*fields, *(f"{n} bigint" for n in names)]))
-
-
-def _inputs() -> list[F.Column]:
-    return [F.log1p(F.col(m).cast("double")) for m in MEASURES] + [F.least(F.col("most_saved"), F.lit(16)) / 16.0, F.least(100 * F.col(MEASURES[1]) / F.greatest(F.col("n_windows"), F.lit(1)), F.lit(10.0)) / 10.0]
+            counts = [saving_counts(t.as_py(), toxic, ordinary) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.list_(pa.int64()))], names=names)
+
+    return source.mapInArrow(run, ", ".join([*fields, "saved array<bigint>"]))
+
+
+def likelihoods(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of each saving between windows of toxic and of ordinary documents."""
+    bad, good = counts[toxic == 1].sum(0) + 1.0, counts[toxic == 0].sum(0) + 1.0
+    return np.log(bad / bad.sum()) - np.log(good / good.sum())
+
+
+def document_inputs(counts: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """What the logistic curve reads, from saving counts (a row each) and the ratios of the savings."""
+    levels = np.arange(LEAST_SAVED, MOST_SAVED + 1)
+    n = np.maximum(counts.sum(1), 1)
+    total = counts @ ratio
+    above = np.cumsum(counts[:, ::-1], 1)  # windows that save at least MOST_SAVED, one less, ...
+    by_ratio = np.argsort(-ratio)
+
+    def best(values: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+        """Mean of the k greatest values, or of all where there are fewer."""
+        upto = np.minimum(np.cumsum(counts[:, order], 1), k)
+        return np.diff(upto, axis=1, prepend=0) @ values[order] / np.minimum(n, k)
+
+    down = np.arange(len(levels))[::-1]
+    out = np.column_stack(
+        (
+            np.sign(total) * np.log1p(np.abs(total)),
+            total / np.sqrt(n),
+            best(levels, down, 1) / 8,
+            best(levels, down, 3) / 8,
+            np.log1p(above[:, MOST_SAVED - 3]),
+            np.log1p(above[:, MOST_SAVED - 5]),
+            np.minimum(3, 10 * above[:, MOST_SAVED - 3] / n),
+            np.minimum(5, best(ratio, by_ratio, 5)),
+            np.log(n) / 5,
+        )
+    )
+    out[counts.sum(1) == 0] = 0
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -129,48 +165,118 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def learned_rows(docs: DataFrame, labels: DataFrame, limit: int = LEARN_DOCS) -> DataFrame:
-    """(doc_id, toxic) of at most `limit` labelled documents of each kind whose crc32(doc_id) mod 3 isn't 1."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out("doc_id"))
-    picks = [usable.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for k in (0, 1)]
-    return materialise(picks[0].unionByName(picks[1]))
+def calibrated(odds: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold of the greatest share of toxic rows found less ALARM_COST times that of ordinary rows found,
+    halfway to the next lower odds."""
+    order = np.argsort(-odds, kind="stable")
+    gain = np.cumsum(toxic[order] / max(toxic.sum(), 1) - ALARM_COST * (1 - toxic[order]) / max((1 - toxic).sum(), 1))
+    gain[:-1][odds[order][:-1] == odds[order][1:]] = -np.inf  # equal odds fall on one side
+    k = int(gain.argmax())
+    return float((odds[order][k] + odds[order][min(k + 1, len(order) - 1)]) / 2)
 
 
 def held_out(column: str) -> F.Column:
     return F.coalesce(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def learn_words(docs: DataFrame, rows: DataFrame, text_col: str = "text") -> tuple[list[str], list[str]]:
-    """(toxic words, ordinary words), each the most telling first, by the number of texts that hold them."""
-    # rows: 2 * LEARN_DOCS at most
-    text = F.regexp_replace(F.translate(F.col(f"`{text_col}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")
-    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).join(F.broadcast(rows), "doc_id")
-    words = held.select("toxic", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).filter("length(word) between 3 and 24")
-    counted = materialise(words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).filter("bad + good > 2"))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return [], []
-    telling = counted.filter((F.col("bad") >= max(3, TOXIC_SHARE * n1)) & (F.col("bad") * n0 >= TOXIC_TIMES * (F.col("good") + 1) * n1))
-    toxic = telling.orderBy(F.desc(F.col("bad") / n1 - F.col("good") / n0), "word").limit(TOXIC_WORDS)
-    ordinary = counted.orderBy(F.desc("good"), "word").limit(2 * ORDINARY_WORDS)
-    bad = [r["word"] for r in toxic.select("word").collect()]
-    return bad, [r["word"] for r in ordinary.select("word").collect() if r["word"] not in set(bad)]
+def learned_rows(docs: DataFrame, labels: DataFrame, limit: int = LEARN_DOCS) -> DataFrame:
+    """(doc_id, toxic, text) of at most `limit` labelled documents of each kind whose crc32(doc_id) mod 3 isn't 1."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picks = [known.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for k in (0, 1)]
+    rows = materialise(picks[0].unionByName(picks[1]))
+    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")  # 2 * LEARN_DOCS rows at most
+    return materialise(held.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+
+
+def _beginnings(text: str = "text") -> F.Column:
+    """Distinct beginnings of a text's words, and its words with a space behind."""
+    lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.array_distinct(F.split(lower, r"[\x20\x09-\x0D]+")), lambda w: F.length(w) >= BEGINNINGS[0])
+
+    def cut(k: int) -> F.Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k))
+
+    return F.array_distinct(F.concat(*map(cut, BEGINNINGS), F.transform(words, lambda w: F.concat(w, F.lit(" ")))))
+
+
+def telling_beginnings(learned: DataFrame, n_toxic: int, n_ordinary: int) -> set[str]:
+    """Beginnings of words by which toxic learning texts tell themselves from ordinary ones."""
+    parts = learned.select("toxic", F.explode(_beginnings()).alias("part"))
+    bad = parts.filter("toxic = 1").groupBy("part").agg(F.count("*").alias("bad")).filter(F.col("bad") >= max(3, TELLING_SHARE * n_toxic))
+    bad = materialise(bad)  # the texts' parts over TELLING_SHARE at most
+    good = parts.filter("toxic = 0").join(F.broadcast(bad.select("part")), "part", "left_semi").groupBy("part").agg(F.count("*").alias("good"))
+    lift = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.coalesce("good", F.lit(0)) + 0.5) / (n_ordinary + 1))
+    sure = bad.join(good, "part", "left").withColumn("lift", lift).withColumn("sure", lift * F.sqrt("bad"))
+    kept = sure.filter((F.col("lift") >= float(np.log(TELLING_LIFT))) & (F.col("sure") >= TELLING_SURE)).orderBy(F.desc("sure"), "part").limit(TELLING_MOST)
+    return {r["part"] for r in kept.select("part").collect()}
+
+
+def training_windows(learned: DataFrame, telling: set[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """(toxic windows of telling words, ordinary windows that hold one, ordinary windows), LEARN_WINDOWS of each at most."""
+
+    def tells(word: bytes) -> bool:
+        w = word.decode("utf-8", "replace")
+        return w + " " in telling or any(w[:k] in telling for k in BEGINNINGS if len(w) >= k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, toxic, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for k, w in enumerate(text_windows(text.encode())):
+                    found = [x for x in w.split() if tells(x)]
+                    if toxic and found:
+                        rows.append((0, doc, k, MARK + b" \n".join(found) + b" "))
+                    elif not toxic:
+                        rows.append((1 if found else 2, doc, k, w))
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], shape)
+
+    shape = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("nth", pa.int64()), ("piece", pa.binary())])
+    made = materialise(learned.select("doc_id", "toxic", "text").mapInArrow(run, "kind int, doc_id bigint, nth bigint, piece binary"))
+
+    def some(kinds: str) -> list[bytes]:
+        rows = made.filter(f"kind in ({kinds})").orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth").limit(LEARN_WINDOWS)
+        return [bytes(r["piece"]) for r in rows.select("piece").collect()]
+
+    toxic, hard, everyday = some("0"), some("1"), some("1, 2")
+    return toxic, hard[: LEARN_WINDOWS // 3] + everyday[: max(len(toxic), len(hard))], everyday
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_windows, most_saved)."""
-    rows = learned_rows(docs, labels)
-    toxic, ordinary = learn_words(docs, rows)
-    if not ordinary:
+    learned = learned_rows(docs, labels)
+    sizes = {r["toxic"]: r["n"] for r in learned.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
+    telling = telling_beginnings(learned, n_toxic, n_ordinary) if n_toxic and n_ordinary else set()
+    if not telling:
         return docs.select("doc_id", held_out("doc_id").alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("most_saved"))
-    measured = materialise(measure(docs, *dictionaries(toxic, ordinary), keep=["doc_id"]))
-    inputs = _inputs()
-    table = measured.join(F.broadcast(rows), "doc_id").select("toxic", *[c.alias(f"x{k}") for k, c in enumerate(inputs)]).toPandas()  # 2 * LEARN_DOCS rows at most
-    weights = fit_logistic(table.iloc[:, 1:].to_numpy(float), table["toxic"].to_numpy(float))
-    odds = sum((c * float(w) for c, w in zip(inputs, weights[:-1], strict=True)), F.lit(float(weights[-1])))
-    p = F.round(1 / (1 + F.exp(-odds)), 9)
-    return measured.select("doc_id", held_out("doc_id").alias("held_out"), p.alias("score"), F.when(p >= PREDICT_AT, 1).otherwise(0).alias("predicted"), "n_windows", "most_saved")
+    pair = dictionaries(*training_windows(learned, telling))
+    table = measure(learned, *pair, keep=["toxic"]).toPandas()  # 2 * LEARN_DOCS rows at most
+    counts, toxic = np.stack(table["saved"].to_numpy()), table["toxic"].to_numpy(float)
+    ratio = likelihoods(counts, toxic)
+    inputs = document_inputs(counts, ratio)
+    weights = fit_logistic(inputs, toxic)
+    threshold = calibrated(inputs @ weights[:-1], toxic)
+    at = float(np.log(PREDICT_AT / (1 - PREDICT_AT)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            counts = batch.column(2).flatten().to_numpy().reshape(n, -1)
+            odds = document_inputs(counts, ratio) @ weights[:-1] - threshold + at
+            p = np.round(1 / (1 + np.exp(-np.clip(odds, -500, 500))), 9)
+            total = counts.sum(1)
+            most = np.where(total > 0, MOST_SAVED - (counts[:, ::-1] > 0).argmax(1), 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(p), pa.array((p >= PREDICT_AT).astype(np.int32)), pa.array(total), pa.array(most)], names=SCORES)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    measured = measure(docs.withColumn("held_out", held_out("doc_id")), *pair, keep=["doc_id", "held_out"])
+    return measured.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int, n_windows bigint, most_saved bigint")
+
+
+SCORES = ["doc_id", "held_out", "score", "predicted", "n_windows", "most_saved"]
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
