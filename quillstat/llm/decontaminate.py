@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed into FEATURES features whose inverse document frequencies come from all documents. A randomised
-SVD of TF-IDF passages (two distributed products of the passage matrix of all documents with a thin one, as partial
+SVD of TF-IDF passages (one distributed product of the passage matrix of all documents with a thin one, as partial
 sums of one fixed size from each task) gives RANK latent directions, after the leading COMMON ones, which only tell
 languages apart, are left out; each is divided by its singular value, so that no direction outweighs the rest.
 Every passage of every document is then placed in that space and compared with the benchmark items by cosine. For
@@ -13,8 +13,10 @@ pass, and is left out before.
 Benchmark items are the stated query set: blocks of ITEM_BLOCK are broadcast one at a time, and a task compares them
 in groups of ITEM_GROUP. Every passage of every document is searched.
 
-Null, empty or wordless texts and items match nothing. Items of fewer than MIN_ITEM_WORDS words are too common to
-tell and match nothing. Repeated rows get equal results; an empty table on either side gives an empty result. Other
+Items of fewer than MIN_ITEM_WORDS words have too few for a share of them to tell: they leak where their words stand
+in a text unbroken and in order; of fewer than LINE_WORDS words, where they make up a whole line.
+
+Null, empty or wordless texts and items match nothing. Repeated rows get equal results; an empty table on either side gives an empty result. Other
 columns are not read.
 """
 
@@ -28,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table, row_key, semi_by_id, session_defaults, utf8_parts
+from quillstat.llm.common import PLACE, Words, chunks, materialise, mix, read_table, row_key, semi_by_id, session_defaults, utf8_parts, windows
 
 FEATURES, RANK, COMMON, OVERSAMPLE = 8192, 128, 8, 16
 #: A passage is WINDOW words long, one begins every STRIDE words.
 WINDOW, STRIDE = 32, 16
 COSINE, MATCH, NEAR, ANSWER = 0.35, 0.8, 0.6, 0.5
-MIN_ITEM_WORDS, ITEM_BLOCK, ITEM_GROUP = 8, 4000, 400
+MIN_ITEM_WORDS, LINE_WORDS, ITEM_BLOCK, ITEM_GROUP = 8, 4, 4000, 400
 #: Passage vectors and looked-up words that a task handles at once.
-BLOCKS_AT_ONCE, WORDS_AT_ONCE, MARKS_AT_ONCE, DOCS_AT_ONCE = 2048, 1 << 20, 1 << 22, 255
+BLOCKS_AT_ONCE, WORDS_AT_ONCE, MARKS_AT_ONCE, DOCS_AT_ONCE, SCATTER_AT_ONCE = 2048, 1 << 20, 1 << 22, 255, 1 << 14
 _FIT_PARTS = 4
 
 
@@ -99,49 +101,83 @@ def _block_sums(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], doc[keep], first[keep]
 
 
+def _passage_products(words: Words, thin: np.ndarray, idf: np.ndarray, total: np.ndarray) -> None:
+    """Add X^T X q of a chunk's passages to `total`, X being their TF-IDF rows of unit length and thin = idf * q.
+
+    A passage is two blocks of STRIDE words, so the product of a passage with q is the sum of two block sums, and what
+    comes back to a word is the sum over the passages that hold its block.
+    """
+    feature = _features(words)
+    rows, doc, first = _block_sums(words, thin)
+    if not len(first):
+        return
+    size = np.minimum(WINDOW, words.first_word[doc + 1] - first)
+    square = np.concatenate(([0.0], np.cumsum(idf[feature] ** 2)))
+    rows /= np.maximum(square[first + size] - square[first], 1e-12)[:, None].astype(np.float32)
+    # a block's words get the passage that begins with it and the one that ends with it
+    back = rows.copy()
+    same = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    back[same] += rows[same - 1]
+    passages = np.bincount(doc, minlength=words.n_docs)
+    own = np.cumsum(passages) - passages
+    nth = (np.arange(len(words.doc)) - words.first_word[words.doc]) // STRIDE
+    # the last passage of a text has a second block that begins no passage
+    beyond = nth >= passages[words.doc]
+    place = own[words.doc] + np.where(beyond, passages[words.doc] - 1, nth)
+    for source, chosen in ((back, np.flatnonzero(~beyond)), (rows, np.flatnonzero(beyond))):
+        for low in range(0, len(chosen), SCATTER_AT_ONCE):
+            at = chosen[low : low + SCATTER_AT_ONCE]
+            order = at[np.argsort(feature[at], kind="stable")]
+            f = feature[order]
+            start = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+            total[f[start]] += np.add.reduceat(source[place[order]], start, axis=0)
+
+
 def fit_directions(docs: DataFrame, idf: np.ndarray, text_col: str = "text", seed: int = 11) -> np.ndarray:
-    """[FEATURES, RANK] latent directions over their singular values, by a randomised SVD with one power iteration."""
+    """[FEATURES, RANK] latent directions over their singular values, by a randomised SVD.
+
+    One pass over all passages gives A g for A = X^T X and a random thin g; the eigenvectors of the approximation
+    A g (g^T A g)^-1 (A g)^T follow from it on the driver.
+    """
     spark = docs.sparkSession
-    parts = max(_FIT_PARTS, spark.sparkContext.defaultParallelism)  # each gives a partial sum of one fixed size
+    parts = 2 * max(_FIT_PARTS, spark.sparkContext.defaultParallelism)  # each gives a partial sum of one fixed size
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).coalesce(parts)
-
-    def product(q: np.ndarray) -> np.ndarray:
-        """X^T X q, X being all TF-IDF passages of unit length."""
-        thin = (idf[:, None] * q).astype(np.float32)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(q.shape, np.float64)
-            for batch in batches:
-                raw, offsets = utf8_parts(batch.column(0))
-                for i, j in chunks(offsets, 1 << 19):
-                    w = Words(raw, offsets, i, j, lower=True)
-                    feature = _features(w)
-                    rows, _, first = _block_sums(w, thin)
-                    size = np.minimum(WINDOW, w.first_word[w.doc[first] + 1] - first)
-                    passage = np.repeat(np.arange(len(first)), size)
-                    at = np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-                    f = feature[at]
-                    norm = np.sqrt(np.maximum(np.bincount(passage, idf[f] ** 2, len(first)), 1e-12))
-                    rows /= (norm**2)[:, None]
-                    for c in range(q.shape[1]):
-                        total[:, c] += np.bincount(f, idf[f] * rows[passage, c], FEATURES)
-            part = 512
-            starts = list(range(0, FEATURES, part))
-            yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array([total[s : s + part].astype(np.float32).tobytes() for s in starts], pa.binary())], names=["start", "part"])
-
-        def add(group: pd.DataFrame) -> pd.DataFrame:  # a row from each part
-            return pd.DataFrame({"start": [group["start"].iloc[0]], "part": [sum(np.frombuffer(p, np.float32).astype(float) for p in group["part"]).tobytes()]})
-
-        shape = "start bigint, part binary"
-        rows = texts.mapInArrow(run, shape).groupBy("start").applyInPandas(add, shape).collect()
-        return np.concatenate([np.frombuffer(r["part"]).reshape(-1, q.shape[1]) for r in sorted(rows, key=lambda r: r["start"])])
-
     width = RANK + COMMON + OVERSAMPLE
-    q, _ = np.linalg.qr(product(np.random.default_rng(seed).standard_normal((FEATURES, width))))
-    more = product(q)
-    values, vectors = np.linalg.eigh(q.T @ more)
-    order = np.argsort(-values)[COMMON : COMMON + RANK]
-    return q @ vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-9))
+    g, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, width)))
+    thin = (idf[:, None] * g).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(g.shape, np.float64)
+        for batch in batches:
+            raw, offsets = utf8_parts(batch.column(0))
+            for i, j in chunks(offsets, 1 << 19):
+                _passage_products(Words(raw, offsets, i, j, lower=True), thin, idf, total)
+        total *= idf[:, None]
+        part = 512
+        starts = list(range(0, FEATURES, part))
+        yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array([total[s : s + part].astype(np.float32).tobytes() for s in starts], pa.binary())], names=["start", "part"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        keep = {c: [group[c].iloc[0]] for c in group.columns if c != "part"}
+        return pd.DataFrame(keep | {"part": [sum(np.frombuffer(p, np.float32).astype(float) for p in group["part"]).astype(np.float32).tobytes()]})
+
+    # sums of sums, so that no task holds more than about the root of all partial sums of a slice
+    fan = max(1, round(parts**0.5))
+    made = texts.mapInArrow(run, "start bigint, part binary").withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(fan)).cast("int")).select("start", "lot", "part")
+    lots = made.groupBy("start", "lot").applyInPandas(add, "start bigint, lot int, part binary")
+    rows = lots.select("start", "part").groupBy("start").applyInPandas(add, "start bigint, part binary").collect()
+    y = np.concatenate([np.frombuffer(r["part"], np.float32).astype(float).reshape(-1, width) for r in sorted(rows, key=lambda r: r["start"])])
+    held = (y != 0).any(1)
+    shift = 1e-7 * np.linalg.norm(y, 2)  # keeps the small matrix positive definite
+    y += shift * g
+    core = g.T @ y
+    root = np.linalg.cholesky((core + core.T) / 2)
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    values = values**2 - shift
+    vectors[~held] = 0  # features of no passage
+    own = int((values > 1e-6 * values[0]).sum())  # texts of few different words have fewer directions than are asked for
+    chosen = slice(max(0, min(COMMON, own - RANK)), min(own, COMMON + RANK))
+    return np.pad(vectors[:, chosen] / np.sqrt(values[chosen]), ((0, 0), (0, max(0, RANK - (chosen.stop - chosen.start)))))
 
 
 def lcs_hits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -175,12 +211,12 @@ def lcs_hits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def item_table(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(item_id, word hashes, features) of items that are long enough."""
+    """(item_id, word hashes, features) of items that have words."""
     out = []
     for item, text in items:
         raw, offsets = utf8_parts(pa.array([text or ""]))
         w = Words(raw, offsets, 0, 1, lower=True)
-        if len(w.start) >= MIN_ITEM_WORDS:
+        if len(w.start):
             out.append((int(item), w.hash, _features(w)))
     return out
 
@@ -212,6 +248,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return found
 
 
+class ShortItems:
+    """Items of under MIN_ITEM_WORDS words, found as unbroken sequences."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.by_size: dict[int, dict[int, list[int]]] = {}
+        for number, h, _ in items:
+            key = mix(sum((mix(h[k : k + 1] * PLACE[k]) for k in range(len(h))), np.zeros(1, np.uint64)))
+            self.by_size.setdefault(len(h), {}).setdefault(int(key[0]), []).append(number)
+
+    def found(self, w: Words) -> list[tuple]:
+        """Each (text, item) once, at its first place."""
+        best: dict[tuple[int, int], tuple] = {}
+        line = np.concatenate(([0], np.cumsum(w.b == 10)))[w.start] if self.by_size else None
+        for size, items in self.by_size.items():
+            key, doc, at = windows(w, size)
+            hit = np.flatnonzero(np.isin(key, np.fromiter(items, np.uint64, len(items))))
+            for k in hit.tolist():
+                low, d = int(at[k]), int(doc[k])
+                high = low + size
+                whole = (low == w.first_word[d] or line[low - 1] < line[low]) and line[high - 1] == line[low] and (high == w.first_word[d + 1] or line[high] > line[low])
+                if size >= LINE_WORDS or whole:
+                    for number in items[int(key[k])]:
+                        best.setdefault((d, number), (d, number, 1.0, 1.0, 1.0, low - int(w.first_word[d])))
+        return list(best.values())
+
+
 class ItemGroup:
     """Items with their places in the latent space and, for each, which words of the group it has."""
 
@@ -270,6 +332,8 @@ def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _search(shared, items_shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, items = shared.value, items_shared.value
+        short = ShortItems([x for x in items if len(x[1]) < MIN_ITEM_WORDS])
+        items = [x for x in items if len(x[1]) >= MIN_ITEM_WORDS]
         groups = [ItemGroup(items[k : k + ITEM_GROUP], table) for k in range(0, len(items), ITEM_GROUP)]
         for batch in batches:
             raw, offsets = utf8_parts(batch.column(1))
@@ -277,7 +341,7 @@ def _search(shared, items_shared):
                 w = Words(raw, offsets, i, j, lower=True)
                 vectors, doc, first = _block_sums(w, table)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                rows = [r for g in groups for r in _confirmed(w, doc, first, vectors @ g.points.T, g)]
+                rows = [r for g in groups for r in _confirmed(w, doc, first, vectors @ g.points.T, g)] + short.found(w)
                 if rows:
                     ids = batch.column(0)
                     cols = list(zip(*rows, strict=True))

@@ -69,6 +69,61 @@ def test_whole_passages_in_the_small_table(spark):
     assert want and len(got & want) >= 0.9 * len(want)
 
 
+def test_against_all_pairs(spark):
+    """Every passage of every document against every item by the textbook rule, without the latent space."""
+    import pyarrow as pa
+
+    d = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    items = D.item_table([tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()])
+    want = set()
+    for doc, text in docs:
+        raw, offsets = D.utf8_parts(pa.array([text or ""]))
+        h = D.Words(raw, offsets, 0, 1, lower=True).hash
+        for number, words, _ in items:
+            if np.isin(words, h).sum() < D.NEAR * len(words):
+                continue
+            for first in D.passage_starts(len(h)):
+                part = h[max(0, first - len(words)) : first + D.WINDOW + len(words)]
+                if np.isin(words, part).sum() < D.NEAR * len(words):
+                    continue
+                hit = D.lcs_hits(words, part)
+                if hit.mean() >= D.MATCH or (hit.mean() >= D.NEAR and hit[-max(3, len(words) // 4) :].mean() >= D.ANSWER):
+                    want.add((doc, number))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in D.op2_decontaminate(spark, d).collect()}
+    assert want and not got - want and len(got) >= 0.9 * len(want)
+
+
+def test_short_items_are_found_unbroken(spark):
+    docs = spark.createDataFrame([(1, "so What  is the\nanswer here", "o"), (2, "what is then the answer", "o"), (3, "intro\nForty two\nend", "o"), (4, "forty two", "o"), (5, "about forty two things", "o"), (6, "what is the answer", "o")], DOCS)
+    items = spark.createDataFrame([(10, "What is the answer", 1), (11, "forty two", 1), (12, "end", 1)], ITEMS)
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, items).collect()}
+    assert got == {(1, 10), (6, 10), (3, 11), (4, 11), (3, 12)}
+
+
+def test_products_against_the_whole_matrix():
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = ["", "one", *(" ".join(f"w{draw.randrange(50)}" for _ in range(n)) for n in (5, 16, 17, 32, 33, 48, 49, 100))]
+    raw, offsets = D.utf8_parts(pa.array(texts))
+    w = D.Words(raw, offsets, 0, len(texts), lower=True)
+    rng = np.random.default_rng(1)
+    idf, q = rng.random(D.FEATURES) + 0.5, rng.standard_normal((D.FEATURES, 4))
+    total, want = np.zeros(q.shape), np.zeros(q.shape)
+    D._passage_products(w, (idf[:, None] * q).astype(np.float32), idf, total)
+    feature = D._features(w)
+    for d in range(len(texts)):
+        own = feature[w.doc == d]
+        for at in D.passage_starts(len(own)) if len(own) else []:
+            part = own[at : at + D.WINDOW]
+            row = np.bincount(part, minlength=D.FEATURES) * idf
+            row /= np.sqrt((idf[part] ** 2).sum())
+            want += row[:, None] * (row @ q)
+    assert np.allclose(total * idf[:, None], want, atol=1e-4)
+
+
 def test_edges(spark):
     item = " ".join(f"q{k}" for k in range(20))
     docs = spark.createDataFrame([(1, None, "o"), (2, "", "o"), (3, " ", "o"), (4, f"x {item} y", "o"), (4, f"x {item} y", "o"), (5, "z " * 30_000 + item, "o"), (6, "q0", "o")], DOCS)
