@@ -177,7 +177,8 @@ def fit_directions(docs: DataFrame, idf: np.ndarray, text_col: str = "text", see
     vectors[~held] = 0  # features of no passage
     own = int((values > 1e-6 * values[0]).sum())  # texts of few different words have fewer directions than are asked for
     chosen = slice(max(0, min(COMMON, own - RANK)), min(own, COMMON + RANK))
-    return np.pad(vectors[:, chosen] / np.sqrt(values[chosen]), ((0, 0), (0, max(0, RANK - (chosen.stop - chosen.start)))))
+    # passages have unit length, so a direction of a value under 1 holds less than one of them, and is not blown up
+    return np.pad(vectors[:, chosen] / np.sqrt(values[chosen] + 1), ((0, 0), (0, max(0, RANK - (chosen.stop - chosen.start)))))
 
 
 def lcs_hits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
