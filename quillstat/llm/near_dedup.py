@@ -279,12 +279,14 @@ def families_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = classes.select("rep", "n_shingles", "sig")
     pairs = materialise(candidates(members.join(signed, "rep")))
     families = components(pairs)
-    roots = classes.select("rep", F.explode(F.array_distinct("roots")).alias("node"))
-    large = roots.groupBy("node").agg(F.count("*").alias("members")).filter(F.col("members") > NODE).select("node")
-    large = materialise(large)
-    n = large.count()
+    # only a large root whose members these blocks left in several families is gone through again
+    n = families.count()
+    named = classes.select("rep", "roots").join(small_side(families, n), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.explode(F.array_distinct("roots")).alias("node"))
+    mixed = named.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter((F.col("members") > NODE) & (F.col("low") != F.col("high"))).select("node")
+    mixed = materialise(mixed)
+    n = mixed.count()
     if n:
-        grouped = materialise(roots.join(small_side(large, n), "node").select("node", "rep", F.lit(0.0).alias("load")))
+        grouped = materialise(named.select("node", "rep").join(small_side(mixed, n), "node").withColumn("load", F.lit(0.0)))
         left = materialise(unjoined(grouped, families))
         if not left.isEmpty():
             more = candidates(left.select(F.explode("blocks").alias("block"), "rep").join(signed, "rep"))
