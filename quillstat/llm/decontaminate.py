@@ -38,7 +38,7 @@ WINDOW, STRIDE = 32, 16
 COSINE, MATCH, NEAR, ANSWER = 0.35, 0.8, 0.6, 0.5
 MIN_ITEM_WORDS, LINE_WORDS, ITEM_BLOCK, ITEM_GROUP = 8, 4, 4000, 400
 #: Passage vectors and looked-up words that a task handles at once.
-BLOCKS_AT_ONCE, WORDS_AT_ONCE, MARKS_AT_ONCE, DOCS_AT_ONCE, SCATTER_AT_ONCE = 2048, 1 << 20, 1 << 22, 255, 1 << 14
+BLOCKS_AT_ONCE, WORDS_AT_ONCE, MARKS_AT_ONCE, DOCS_AT_ONCE, SCATTER_BLOCKS = 2048, 1 << 20, 1 << 22, 255, 128
 _FIT_PARTS = 4
 
 
@@ -119,18 +119,19 @@ def _passage_products(words: Words, thin: np.ndarray, idf: np.ndarray, total: np
     same = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     back[same] += rows[same - 1]
     passages = np.bincount(doc, minlength=words.n_docs)
-    own = np.cumsum(passages) - passages
-    nth = (np.arange(len(words.doc)) - words.first_word[words.doc]) // STRIDE
-    # the last passage of a text has a second block that begins no passage
-    beyond = nth >= passages[words.doc]
-    place = own[words.doc] + np.where(beyond, passages[words.doc] - 1, nth)
-    for source, chosen in ((back, np.flatnonzero(~beyond)), (rows, np.flatnonzero(beyond))):
-        for low in range(0, len(chosen), SCATTER_AT_ONCE):
-            at = chosen[low : low + SCATTER_AT_ONCE]
-            order = at[np.argsort(feature[at], kind="stable")]
-            f = feature[order]
-            start = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-            total[f[start]] += np.add.reduceat(source[place[order]], start, axis=0)
+    blocks = -(-words.counts // STRIDE)
+    own = np.repeat(np.cumsum(passages) - passages, blocks)
+    held = np.repeat(passages, blocks)
+    nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    beyond = nth >= held  # the last passage of a text has a second block that begins no passage
+    got = np.where(beyond[:, None], rows[own + held - 1], back[np.minimum(own + nth, len(back) - 1)])
+    at = np.append(words.first_word[np.repeat(np.arange(words.n_docs), blocks)] + nth * STRIDE, len(words.doc))
+    for low in range(0, len(got), SCATTER_BLOCKS):
+        high = min(low + SCATTER_BLOCKS, len(got))
+        found, place = np.unique(feature[at[low] : at[high]], return_inverse=True)
+        block = np.repeat(np.arange(high - low), np.diff(at[low : high + 1]))
+        times = np.bincount(place * (high - low) + block, minlength=len(found) * (high - low))
+        total[found] += times.reshape(len(found), -1).astype(np.float32) @ got[low:high]
 
 
 def fit_directions(docs: DataFrame, idf: np.ndarray, text_col: str = "text", seed: int = 11) -> np.ndarray:
