@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -25,6 +26,38 @@ def close_match(names: list[str], cutoff: float):
     return closest
 
 
+def similar_values(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(v, w, ratio): values v of `left` and w of `right` whose match ratio reaches the threshold, none left out.
+
+    The ratio is 2 M / (|v| + |w|) for M matched characters. So w holds at least threshold / (2 - threshold) of the
+    characters of v, counted with repeats, and the other way round; of two such values each has one of the other's
+    rarest characters among its own rarest, as many as it may lack and one more. Values meet by those and by
+    neighbouring classes of length; what they can match at most is checked before the ratio is taken.
+    """
+    share = threshold / (2 - threshold)
+    step = 1 / share
+
+    def tokens(v: Column) -> Column:
+        chars = F.filter(F.split(v, ""), lambda x: x != "")
+        return F.transform(chars, lambda x, k: F.concat(x, F.size(F.filter(F.slice(chars, 1, k + 1), lambda y: y == x)).cast("string")))
+
+    one, two = (df.select(F.col(df.columns[0]).alias("v")).filter("v != ''").distinct().withColumn("tokens", tokens(F.col("v"))) for df in (left, right))
+    common = one.unionByName(two).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        listed = df.select("v", F.explode("tokens").alias("token")).join(common, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("t"))
+        size = F.size("t")
+        rare = F.slice("t", 1, (size - F.ceil(size * share - 1e-9) + 1).cast("int"))
+        length = F.floor(F.log(size.cast("double")) / F.log(F.lit(step))).cast("int")
+        return listed.select("v", F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform(rare, lambda x: x["token"]).alias("rare"), length.alias("length"))
+
+    a = keyed(one).select("v", "tokens", F.explode("rare").alias("token"), "length")
+    b = keyed(two).select(F.col("v").alias("w"), F.col("tokens").alias("others"), F.explode("rare").alias("token"), F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)).alias("length"))
+    most = 2 * F.size(F.array_intersect("tokens", "others")) / (F.size("tokens") + F.size("others"))
+    met = a.join(b, ["token", "length"]).filter(most >= threshold - 1e-9).select("v", "w").distinct()
+    return met.withColumn("ratio", match_ratio("v", "w")).filter(F.col("ratio") >= threshold)
+
+
 @F.pandas_udf(StringType())
 def title_case(values: pd.Series) -> pd.Series:
     """Title case that also capitalises after anything that is not a letter."""

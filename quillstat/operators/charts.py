@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.functions.ranks import quantiles
+
 BINS, PIE_SLICES, POINTS = 10, 6, 500
 
 
@@ -39,8 +41,7 @@ def residual_bins(n: int) -> int:
 def box_plot(df: DataFrame, column: str) -> DataFrame:
     """low, q1, median, q3, high from true quartiles."""
     x = F.col(f"`{column}`").cast("double")
-    q = df.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    return df.sparkSession.createDataFrame([tuple(quantiles(df, {column: x}, [0.0, 0.25, 0.5, 0.75, 1.0])[column])], "low double, q1 double, median double, q3 double, high double")
 
 
 def slices(df: DataFrame, column: str, n: int = PIE_SLICES) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions.similarity import close_match, match_ratio, title_case
+from quillstat.functions.ranks import quantiles
+from quillstat.functions.similarity import close_match, match_ratio, similar_values, title_case
 from quillstat.operators.profile import is_numeric
 
 IQR_FACTOR, Z_THRESHOLD, MIN_ROWS, INDICES_SHOWN = 1.5, 3.0, 4, 100
@@ -32,30 +33,26 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", facto
 
     Columns of fewer than four values, or without spread for z-scores, have no bounds and no outliers.
     """
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = _x(c)
-        aggregates.append(F.count(x).alias(f"n{i}"))
-        if method == "iqr":
-            q = F.percentile_approx(x, [0.25, 0.75], 100_000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-            aggregates.append(q.alias(f"q{i}"))
+    found = {}
+    if method == "iqr":
+        f = IQR_FACTOR if factor is None else factor
+        if approx:
+            got = df.agg(*[F.percentile_approx(_x(c), [0.25, 0.75], 100_000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+            cuts = {c: got[f"q{i}"] or [None, None] for i, c in enumerate(columns)}
         else:
-            aggregates += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    facts = df.agg(*aggregates)
-    rows = []
+            cuts = quantiles(df, {c: _x(c) for c in columns}, [0.25, 0.75])
+        found = {c: (None, None) if low is None else (low - f * (high - low), high + f * (high - low)) for c, (low, high) in cuts.items()}
+    else:
+        f = Z_THRESHOLD if factor is None else factor
+        got = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(_x(c)).alias(f"m{i}"), F.stddev_samp(_x(c)).alias(f"s{i}"))]).first()
+        found = {c: (got[f"m{i}"] - f * got[f"s{i}"], got[f"m{i}"] + f * got[f"s{i}"]) if got[f"s{i}"] else (None, None) for i, c in enumerate(columns)}
+    facts, rows = [], []
     for i, c in enumerate(columns):
-        if method == "iqr":
-            f = IQR_FACTOR if factor is None else factor
-            spread = F.col(f"q{i}")[1] - F.col(f"q{i}")[0]
-            low, high, ok = F.col(f"q{i}")[0] - f * spread, F.col(f"q{i}")[1] + f * spread, F.col(f"n{i}") >= MIN_ROWS
-        else:
-            f = Z_THRESHOLD if factor is None else factor
-            low, high, ok = F.col(f"m{i}") - f * F.col(f"s{i}"), F.col(f"m{i}") + f * F.col(f"s{i}"), (F.col(f"n{i}") >= MIN_ROWS) & (F.col(f"s{i}") > 0)
-        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.when(ok, low).alias("lower"), F.when(ok, high).alias("upper")))
-    bounds = facts.select(F.inline(F.array(*rows)))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), _x(c).alias("x")) for c in columns])).alias("v")).select("v.*")
-    counted = long.join(F.broadcast(bounds), F.col("name") == F.col("column")).groupBy("column").agg(F.count_if((F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))).alias("outliers"))
-    return bounds.join(counted, "column").select("column", "n", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), "outliers")
+        low, high = found[c]
+        facts += [F.count(_x(c)).alias(f"n{i}"), (F.lit(0).cast("bigint") if low is None else F.count_if((_x(c) < low) | (_x(c) > high))).alias(f"o{i}")]
+        ok = (F.col(f"n{i}") >= MIN_ROWS) & F.lit(low is not None)
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.when(ok, F.round(F.lit(low).cast("double"), 4)).alias("lower"), F.when(ok, F.round(F.lit(high).cast("double"), 4)).alias("upper"), F.when(ok, F.col(f"o{i}")).otherwise(0).alias("outliers")))
+    return df.agg(F.count(F.lit(1)).alias("rows"), *facts).select(F.inline(F.array(*rows)))
 
 
 def outlier_rows(df: DataFrame, column: str, row_id: str, method: str = "iqr", factor: float | None = None) -> DataFrame:
@@ -164,17 +161,15 @@ def fix_typos(df: DataFrame, column: str, corrections: dict[str, str]) -> DataFr
     return df.withColumn(column, F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.col(f"`{column}`")))
 
 
-def auto_fix_typos(df: DataFrame, column: str, cutoff: float = 0.85, most_values: int = 5000) -> DataFrame:
-    """A value seen once and close to one seen more often takes its place; for columns of few distinct values."""
-    counts = df.select(F.col(f"`{column}`").alias("v")).dropna().groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(most_values + 1).collect()
-    if not 3 <= len(counts) <= most_values:
-        return df
-    common = [r["v"] for r in counts if r["n"] > 1]
-    rare = df.sparkSession.createDataFrame([(r["v"],) for r in counts if r["n"] == 1], "v string")
-    if not common or rare.isEmpty():
+def auto_fix_typos(df: DataFrame, column: str, cutoff: float = 0.85) -> DataFrame:
+    """A value seen once and close to one seen more often takes its place, the closest or of equally close ones the
+    greatest; columns of under three values stay. Values meet by the characters they share, at any number of them."""
+    counts = df.select(F.col(f"`{column}`").alias("v")).dropna().groupBy("v").agg(F.count("*").alias("n")).checkpoint()
+    if counts.limit(3).count() < 3:
         return df
-    fixes = rare.select("v", close_match(common, cutoff)("v").alias("fix")).dropna()
-    return df.join(F.broadcast(fixes), F.col(f"`{column}`") == F.col("v"), "left").withColumn(column, F.coalesce("fix", F.col(f"`{column}`"))).drop("v", "fix")
+    near = similar_values(counts.filter("n > 1").select("v"), counts.filter("n = 1").select("v"), cutoff)
+    fixes = near.groupBy(F.col("w").alias("_rare")).agg(F.max_by("v", F.struct("ratio", "v")).alias("_fix"))
+    return df.join(fixes, F.col(f"`{column}`") == F.col("_rare"), "left").withColumn(column, F.coalesce("_fix", F.col(f"`{column}`"))).drop("_rare", "_fix")
 
 
 def exact_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str | None = "first", order: list | None = None) -> DataFrame:
@@ -196,48 +191,72 @@ def exact_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
     return only.filter("_n = 1").select("row.*")
 
 
-def fuzzy_pairs(df: DataFrame, columns: list[str], row_id: str, threshold: float = 0.9, block: Column | None = None) -> DataFrame:
-    """(a, b), a < b: rows whose every column is equal, empty on either side, or similar to the threshold.
+def _text_classes(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """id, members, t0..: rows of equal texts under the least of their ids."""
+    text = [F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).alias(f"t{k}") for k, c in enumerate(columns)]
+    rows = df.select(F.col(f"`{row_id}`").alias("id"), *text)
+    return rows.groupBy(*[f"t{k}" for k in range(len(columns))]).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("members"))
 
-    Pairs are sought within blocks. The default blocks are exact for texts of one length class: two strings of
-    ratio r differ in length by at most a factor 2/r - 1, so neighbouring logarithmic length classes suffice; give
-    a narrower `block` on large tables.
+
+def _class_pairs(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: classes whose every column is equal, empty on either side, or similar to the threshold.
+
+    Pairs are found by the first column that neither leaves empty; what shares no such column is similar by meaning.
     """
-    text = {c: F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))) for c in columns}
-    rows = df.select(F.col(row_id).alias("id"), *[v.alias(f"t{k}") for k, v in enumerate(text.values())], (block if block is not None else F.lit(0)).alias("block"))
-    total = F.length(F.concat(*[f"t{k}" for k in range(len(columns))]))
-    rows = rows.withColumn("size", total)
-    step = 2 / threshold - 1
-    rows = rows.withColumn("class", F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int"))
-    near = rows.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
-    a, b = rows.alias("a"), near.alias("b")
-    cond = (F.col("a.block") == F.col("b.block")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.id") != F.col("b.id"))
-    both = a.join(b, cond)
-    for k in range(len(columns)):
-        x, y = F.col(f"a.t{k}"), F.col(f"b.t{k}")
-        both = both.filter((x == y) | (x == "") | (y == "") | (match_ratio(x, y) >= threshold))
-    return both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-
-
-def fuzzy_duplicates(df: DataFrame, columns: list[str], row_id: str, threshold: float = 0.9, keep: str = "first", block: Column | None = None) -> DataFrame:
+    names = [f"t{k}" for k in range(n)]
+    a = classes.select(F.col("id").alias("a"), *[F.col(t).alias(f"a{t}") for t in names])
+    b = classes.select(F.col("id").alias("b"), *[F.col(t).alias(f"b{t}") for t in names])
+
+    def apart(k: int) -> Column:
+        return (F.col(f"at{k}") == "") | (F.col(f"bt{k}") == "")
+
+    out = None
+    for k in range(n):
+        values = classes.select(F.col(f"t{k}").alias("v")).filter("v != ''").distinct()
+        equal = values.select("v", F.col("v").alias("w"))
+        near = similar_values(values, values, threshold).filter("v != w").select("v", "w").unionByName(equal)
+        met = a.join(near, F.col(f"at{k}") == F.col("v")).join(b, F.col(f"bt{k}") == F.col("w")).filter("a < b")
+        for j in range(k):
+            met = met.filter(apart(j))
+        for j in range(k + 1, n):
+            x, y = F.col(f"at{j}"), F.col(f"bt{j}")
+            met = met.filter((x == y) | apart(j)).unionByName(met.filter((x != y) & ~apart(j)).filter(match_ratio(x, y) >= threshold))
+        out = met.select("a", "b") if out is None else out.unionByName(met.select("a", "b"))
+    mask = sum((F.when(F.col(t) != "", 1 << k).otherwise(0) for k, t in enumerate(names)), F.lit(0))
+    filled = classes.select("id", mask.alias("mask"))
+    masks = filled.select("mask").distinct()  # 2 ** n at most
+    apart_masks = masks.select(F.col("mask").alias("ma")).join(F.broadcast(masks.select(F.col("mask").alias("mb"))), F.col("ma").bitwiseAND(F.col("mb")) == 0)
+    rest = filled.select(F.col("id").alias("a"), F.col("mask").alias("ma")).join(F.broadcast(apart_masks), "ma").join(filled.select(F.col("id").alias("b"), F.col("mask").alias("mb")), "mb").filter("a < b")
+    return out.unionByName(rest.select("a", "b")).distinct()
+
+
+def fuzzy_pairs(df: DataFrame, columns: list[str], row_id: str, threshold: float = 0.9) -> DataFrame:
+    """(a, b), a < b: texts whose every column is equal, empty on either side, or similar to the threshold, each under
+    the least id of its rows; rows of equal texts are one, and aren't listed in pairs."""
+    return _class_pairs(_text_classes(df, columns, row_id).checkpoint(), len(columns), threshold)
+
+
+def fuzzy_duplicates(df: DataFrame, columns: list[str], row_id: str, threshold: float = 0.9, keep: str = "first") -> DataFrame:
     """Greedy leader groups, then the first, the last or every member goes but none of other rows.
 
-    A row leads if no earlier leader is similar to it; a follower belongs to its earliest leader. Leaders settle in
-    rounds over the pairs: a row whose earlier neighbours are all followers leads, one with an earlier leader follows.
+    A row leads if no earlier leader is similar to it; a follower belongs to its earliest leader, and so do the copies
+    of its text. Leaders settle in rounds over the pairs: a text whose earlier neighbours are all followers leads, one
+    with an earlier leader follows.
     """
-    pairs = fuzzy_pairs(df, columns, row_id, threshold, block).checkpoint()
+    classes = _text_classes(df, columns, row_id).checkpoint()
+    pairs = _class_pairs(classes, len(columns), threshold).checkpoint()
     state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")).checkpoint()
     while not state.filter("leads is null").isEmpty():
         known = pairs.join(state.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.coalesce(F.bool_or("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
         state = state.join(known.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("leads", F.when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)).alias("leads")).checkpoint()
     leader = pairs.join(state.filter("leads").select(F.col("id").alias("a")), "a").join(state.filter("not leads").select(F.col("id").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader"))
-    member = leader.select(F.col("b").alias("id"), "leader").unionByName(leader.select(F.col("leader").alias("id"), "leader").distinct())
-    if keep in ("first", "last"):
-        stays = member.groupBy("leader").agg((F.min if keep == "first" else F.max)("id").alias("id"))
-        gone = member.join(stays, ["leader", "id"], "left_anti")
-    else:
-        gone = member
-    return df.join(gone.select(F.col("id").alias(row_id)), row_id, "left_anti").select(*df.columns)
+    groups = classes.join(leader.withColumnRenamed("b", "id"), "id", "left").withColumn("leader", F.coalesce("leader", "id"))
+    sizes = groups.groupBy("leader").agg(F.sum("members").alias("size"), F.min("id").alias("first"), F.max("last").alias("last")).filter("size > 1")
+    stays = {"first": F.col("first"), "last": F.col("last")}.get(keep, F.lit(None))
+    gone = groups.join(sizes.select("leader", stays.alias("_stays")), "leader").select("_stays", F.lit(True).alias("_grouped"), *[F.col(f"t{k}").alias(f"_t{k}") for k in range(len(columns))])
+    same = [F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))) == F.col(f"_t{k}") for k, c in enumerate(columns)]
+    out = df.join(gone, same, "left").filter(F.col("_grouped").isNull() | F.coalesce(F.col(f"`{row_id}`") == F.col("_stays"), F.lit(False)))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -1,10 +1,11 @@
-"""Descriptive statistics: every column and measure in one aggregation."""
+"""Descriptive statistics: quantiles of all columns from one histogram in range partitions, the rest in one aggregation."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.functions.ranks import quantiles
 from quillstat.operators.missing import mode_of
 from quillstat.operators.profile import is_numeric, number
 
@@ -23,28 +24,30 @@ def describe(df: DataFrame, columns: list[str], approx: bool = False, variant: s
     columns = [c for c in columns if c in kinds and is_numeric(kinds[c])]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{m} double" for m in MEASURES))
-    clean = df.select(*[F.nanvl(number(c, kinds[c]), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
+    values = {c: number(c, kinds[c]) for c in columns}
+    if approx:
+        sketch = df.agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 100_000).alias(f"q{i}") for i, x in enumerate(values.values())]).first()
+        cuts = {c: sketch[f"q{i}"] or [None] * 3 for i, c in enumerate(columns)}
+    else:
+        cuts = quantiles(df, values, [0.25, 0.5, 0.75])
     facts = []
-    for i in range(len(columns)):
-        x = F.col(f"x{i}")
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 100_000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        facts += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}"), F.avg(x).alias(f"a{i}"), F.var_samp(x).alias(f"v{i}"), F.var_pop(x).alias(f"p{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), q.alias(f"q{i}"), F.skewness(x).alias(f"s{i}"), F.kurtosis(x).alias(f"k{i}")]
-    one = clean.agg(*facts)
+    for i, c in enumerate(columns):
+        x = F.nanvl(values[c], F.lit(None).cast("double"))
+        low, _, high = cuts[c]
+        beyond = F.lit(False) if low is None else (x < low - 1.5 * (high - low)) | (x > high + 1.5 * (high - low))
+        facts += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}"), F.avg(x).alias(f"a{i}"), F.var_samp(x).alias(f"v{i}"), F.var_pop(x).alias(f"p{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"s{i}"), F.kurtosis(x).alias(f"k{i}"), F.count_if(beyond).alias(f"o{i}")]
     rows = []
     for i, c in enumerate(columns):
-        g = {k: F.col(f"{k}{i}") for k in ("n", "z", "a", "v", "p", "lo", "hi", "q", "s", "k")}
+        g = {k: F.col(f"{k}{i}") for k in ("n", "z", "a", "v", "p", "lo", "hi", "s", "k", "o")}
+        q = [F.lit(x).cast("double") for x in cuts[c]]
         variance = g["p"] if variant == "ts" else F.when(g["n"] == 1, 0.0).otherwise(g["v"])
         n = g["n"].cast("double")
         skew, kurt = F.when(n < 3, 0.0).otherwise(F.coalesce(g["s"], F.lit(0.0))), F.when(n < 3, 0.0).otherwise(F.coalesce(g["k"], F.lit(0.0)))
         if variant == "ts":
             skew = F.when(n >= 3, skew * F.sqrt(n * (n - 1)) / (n - 2))
             kurt = F.when(n >= 4, ((n + 1) * kurt + 6) * (n - 1) / ((n - 2) * (n - 3)))
-        rows.append(F.struct(F.lit(c).alias("column"), g["n"].alias("count"), g["z"].alias("null_count"), g["a"].alias("mean"), g["q"][1].alias("median"), F.sqrt(variance).alias("std_dev"), variance.alias("variance"), g["lo"].alias("min"), g["hi"].alias("max"), (g["hi"] - g["lo"]).alias("range"), g["q"][0].alias("q1"), g["q"][2].alias("q3"), (g["q"][2] - g["q"][0]).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis")))
-    stats = one.select(F.inline(F.array(*rows)))
-    long = clean.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"x{i}").alias("x")) for i, c in enumerate(columns)])))
-    fence = stats.select("column", (F.col("q1") - 1.5 * F.col("iqr")).alias("low"), (F.col("q3") + 1.5 * F.col("iqr")).alias("high"))
-    out = long.join(F.broadcast(fence), "column").groupBy("column").agg(F.count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("outlier_count"))
-    return stats.join(out, "column", "left").withColumn("outlier_count", F.coalesce("outlier_count", F.lit(0)))
+        rows.append(F.struct(F.lit(c).alias("column"), g["n"].alias("count"), g["z"].alias("null_count"), g["a"].alias("mean"), q[1].alias("median"), F.sqrt(variance).alias("std_dev"), variance.alias("variance"), g["lo"].alias("min"), g["hi"].alias("max"), (g["hi"] - g["lo"]).alias("range"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis"), g["o"].alias("outlier_count")))
+    return df.agg(*facts).select(F.inline(F.array(*rows)))
 
 
 def describe_text(df: DataFrame, column: str) -> DataFrame:
@@ -67,9 +70,11 @@ def percentiles(df: DataFrame, column: str, points: list[float], approx: bool =
     """percentile, value for points from 0 to 100."""
     x = F.col(f"`{column}`").cast("double")
     shares = [p / 100 for p in points]
-    q = F.percentile_approx(x, shares, 100_000) if approx else F.percentile(x, F.array(*[F.lit(s) for s in shares]))
-    pairs = [F.struct(F.lit(float(p)).alias("percentile"), F.col("q")[k].alias("value")) for k, p in enumerate(points)]
-    return df.agg(q.alias("q")).select(F.inline(F.array(*pairs)))
+    if approx:
+        found = df.agg(F.percentile_approx(x, shares, 100_000).alias("q")).first()["q"] or [None] * len(points)
+    else:
+        found = quantiles(df, {column: x}, shares)[column]
+    return df.sparkSession.createDataFrame([(float(p), v) for p, v in zip(points, found, strict=True)], "percentile double, value double")
 
 
 def skew_label(skewness) -> F.Column:

@@ -3,56 +3,59 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PDP_FEATURES, PDP_GRID, REPEATS, SAMPLE = 4, 50, 10, 20_000
+from quillstat.functions.ranks import numbered
 
-
-def bounded_sample(rows: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """At most `limit` rows picked by a hash of their values: explanations are estimates, with this bound."""
-    return rows.orderBy(F.xxhash64(*rows.columns)).limit(limit)
+PDP_FEATURES, PDP_GRID, REPEATS = 4, 50, 10
 
 
 def permutation_importance(rows: DataFrame, features: list[str], score, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """feature, mean, std, rank: by how much score(rows) falls when a feature's values are exchanged among rows.
+    """feature, mean, std, rank: by how much score(rows) falls when a feature's values are exchanged among all rows.
 
-    Values are exchanged by matching two hash orders within a sample of bounded size.
+    Rows are numbered once, in the order of a hash; a repeat gives row i the values of the row that a linear map
+    modulo the number of rows sends to i, so that each repeat is one join and no row is left out.
     """
-    from pyspark.sql import Window
-
-    base = bounded_sample(rows).persist()
+    order = [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns])]
+    base = numbered(rows, order, "_at").persist()
     try:
-        full = score(base)
-        out = []
-        for feature in features:
-            falls = []
-            for r in range(repeats):
-                one = Window.orderBy(F.xxhash64(F.lit(f"{seed}-{r}-a"), *base.columns))
-                two = Window.orderBy(F.xxhash64(F.lit(f"{seed}-{r}-{feature}"), *base.columns))
-                left = base.withColumn("_at", F.row_number().over(one)).drop(feature)
-                right = base.select(F.col(f"`{feature}`"), F.row_number().over(two).alias("_at"))
-                falls.append(full - score(left.join(right, "_at").drop("_at")))
-            out.append((feature, float(np.mean(falls)), float(np.std(falls))))
+        n = base.count()
+        full = score(base.drop("_at"))
+        draw = random.Random(seed)
+        falls: dict[str, list[float]] = {f: [] for f in features}
+        for _ in range(repeats if n > 1 else 0):
+            step = draw.randrange(1 << 16, 1 << 20)
+            while math.gcd(step, n) != 1:
+                step += 1
+            at = F.pmod(F.col("_at") * step + draw.randrange(n), F.lit(n))
+            other = base.select(at.alias("_at"), *[F.col(f"`{f}`").alias(f"_other{k}") for k, f in enumerate(features)])
+            both = base.join(other, "_at").drop("_at").persist()
+            for k, f in enumerate(features):
+                falls[f].append(full - score(both.withColumn(f, F.col(f"_other{k}")).select(*rows.columns)))
+            both.unpersist()
     finally:
         base.unpersist()
+    out = [(f, float(np.mean(v or [0.0])), float(np.std(v or [0.0]))) for f, v in falls.items()]
     ranked = sorted(out, key=lambda t: -t[1])
     return rows.sparkSession.createDataFrame([(f, round(m, 6), round(s, 6), k + 1) for k, (f, m, s) in enumerate(ranked)], "feature string, mean double, std double, rank int")
 
 
 def partial_dependence(rows: DataFrame, features: list[str], predict, grid: int = PDP_GRID) -> DataFrame:
-    """feature, x, y: the mean prediction over a bounded sample with one feature set to each of `grid` values."""
-    base = bounded_sample(rows)
+    """feature, x, y: the mean prediction over all rows with one feature set to each of `grid` values."""
     out = None
     for f in features[:PDP_FEATURES]:
-        ends = rows.agg(F.min(f"`{f}`").alias("low"), F.max(f"`{f}`").alias("high"))
-        points = ends.select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"), "low", "high").select((F.col("low") + F.col("k") * (F.col("high") - F.col("low")) / max(grid - 1, 1)).alias("_x")).distinct()
-        every = base.drop(f).crossJoin(F.broadcast(points)).withColumn(f, F.col("_x"))  # sample x grid rows
-        part = predict(every).groupBy(F.lit(f).alias("feature"), F.col("_x").alias("x")).agg(F.avg("prediction").alias("y"))
+        ends = rows.agg(F.min(f"`{f}`").alias("low"), F.max(f"`{f}`").alias("high")).first()
+        if ends["low"] is None:
+            continue
+        points = sorted({float(ends["low"]) + k * (float(ends["high"]) - float(ends["low"])) / max(grid - 1, 1) for k in range(grid)})
+        every = rows.drop(f).withColumn(f, F.explode(F.array(*[F.lit(x) for x in points])))
+        part = predict(every).groupBy(F.lit(f).alias("feature"), F.col(f).alias("x")).agg(F.avg("prediction").alias("y"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else rows.sparkSession.createDataFrame([], "feature string, x double, y double")
 
 
 def coefficient_rows(names: list[str], coefficients: list[float], classify: bool) -> list[dict]:

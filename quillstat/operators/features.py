@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import complete, moments, vif
+from quillstat.functions.ranks import numbered
 from quillstat.operators.profile import number
 
-ONE_HOT_MOST, SMOOTHING = 15, 10.0
+ONE_HOT_MOST, SMOOTHING, FOREST_CLASSES = 15, 10.0, 10
 DATE_FEATURES = ("year", "month", "day", "day_of_week", "hour", "is_weekend", "quarter")
 
 
@@ -46,13 +47,18 @@ def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: flo
 
 
 def ordinal_encode(df: DataFrame, columns: list[str], orders: dict[str, list[str]] | None = None) -> DataFrame:
-    """Levels become 0..k-1 in the given order, or sorted as text; anything else is null."""
-    made = {}
+    """Levels become 0..k-1 in the given order, or sorted as text; anything else is null. Sorted levels are numbered
+    in range partitions and joined back, at any number of them."""
     for c in columns:
-        order = (orders or {}).get(c) or levels(df, c, 100_000)
-        pairs = [x for k, v in enumerate(order) for x in (F.lit(str(v)), F.lit(k))]
-        made[c] = F.try_element_at(F.create_map(*pairs), F.col(f"`{c}`").cast("string")) if pairs else F.lit(None).cast("int")
-    return df.withColumns(made)
+        text = F.col(f"`{c}`").cast("string")
+        order = (orders or {}).get(c)
+        if order:
+            codes = df.sparkSession.createDataFrame([(str(v), k) for k, v in dict.fromkeys(zip(order, range(len(order)), strict=True))], "_level string, _code int")
+        else:
+            codes = numbered(df.select(text.alias("_level")).dropna().distinct(), ["_level"], "_code").withColumn("_code", F.col("_code").cast("int"))
+        others = [F.col("_code").alias(x) if x == c else F.col(f"`{x}`") for x in df.columns]
+        df = df.join(codes, text == F.col("_level"), "left").select(*others)
+    return df
 
 
 def auto_encode(df: DataFrame, columns: list[str], target: str | None = None, most: int = ONE_HOT_MOST) -> tuple[DataFrame, dict[str, str]]:
@@ -226,12 +232,21 @@ def select_by_vif(df: DataFrame, columns: list[str], threshold: float = 10.0) ->
 
 
 def forest_importance(df: DataFrame, columns: list[str], target: str, trees: int = 100, depth: int = 10, seed: int = 42) -> dict[str, float]:
+    """Importances of a forest: a classifier where the target has at most ten values, all whole, else a regressor."""
+    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     rows = complete(df, [*columns, target]).withColumnRenamed(target, "label")
+    got = rows.agg(F.approx_count_distinct("label", 0.02).alias("u"), F.bool_and(F.col("label") == F.floor("label")).alias("w")).first()
+    maker = RandomForestRegressor
+    if got["w"] and got["u"] <= 2 * FOREST_CLASSES:
+        found = sorted(r[0] for r in rows.select("label").distinct().collect())  # few, as the sketch says
+        if len(found) <= FOREST_CLASSES:
+            maker = RandomForestClassifier
+            rows = rows.withColumn("label", F.array_position(F.array(*[F.lit(x) for x in found]), F.col("label")).cast("double") - 1)
     made = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
-    return dict(zip(columns, RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(made).featureImportances.toArray().tolist(), strict=True))
+    return dict(zip(columns, maker(numTrees=trees, maxDepth=depth, seed=seed).fit(made).featureImportances.toArray().tolist(), strict=True))
 
 
 def select_by_importance(df: DataFrame, columns: list[str], target: str, top: int | None = None, threshold: float = 0.01, **kw) -> list[str]:

@@ -8,28 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import Fit, complete, moments, ols, vif
+from quillstat.functions.ranks import average_ranks
 from quillstat.functions.special import chi2_upper, f_upper, normal_cdf, t_two_sided
 
 SPEARMAN_UNIQUE, ALPHA, LEVELS = 15, 0.05, 15
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """value, rank: average ranks of the distinct values, by their histogram.
-
-    Range partitions of the histogram are numbered locally and shifted by the totals before them, so no global
-    sort passes through one task.
-    """
-    counts = df.select(F.col(f"`{column}`").cast("double").alias("value")).dropna().groupBy("value").agg(F.count("*").alias("n"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = counts.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()).checkpoint()
-    from pyspark.sql import Window
-
-    totals = parts.groupBy("part").agg(F.sum("n").alias("rows"))
-    before = totals.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("upto", upto).join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
-
-
 def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     """One row (n, r): pairwise complete rows; null for under three or a constant column."""
     rows = complete(df, [a, b])
@@ -64,22 +48,34 @@ CORRELATION = "column_a string, column_b string, method string, n bigint, r doub
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]], types: dict[str, str] | None = None) -> DataFrame:
-    """A row for each pair that has at least three complete, varying rows; values rounded to 4 places."""
+    """A row for each pair that has at least three complete, varying rows; values rounded to 4 places.
+
+    All Pearson coefficients come from one aggregation; columns of few values are counted exactly in another, and
+    only Spearman pairs are ranked one by one.
+    """
+    pairs = [(a, b) for a, b in pairs if a in df.columns and b in df.columns]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], CORRELATION)
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    clean = df.select(*[F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")).alias(f"x{used.index(c)}") for c in used])
+    both = [tuple(F.when(F.col(f"x{used.index(a)}").isNotNull() & F.col(f"x{used.index(b)}").isNotNull(), F.col(f"x{used.index(c)}")) for c in (a, b)) for a, b in pairs]
+    got = clean.agg(*[e for k, (x, y) in enumerate(both) for e in (F.count(x).alias(f"n{k}"), F.corr(x, y).alias(f"r{k}"), F.approx_count_distinct(x, 0.02).alias(f"u{k}_0"), F.approx_count_distinct(y, 0.02).alias(f"u{k}_1"))]).first().asDict()
+    few = [(k, s) for k in range(len(pairs)) for s in (0, 1) if got[f"u{k}_{s}"] <= 2 * SPEARMAN_UNIQUE]  # a sketch of so few values isn't off by half
+    if few:
+        got |= clean.agg(*[F.size(F.collect_set(both[k][s])).alias(f"u{k}_{s}") for k, s in few]).first().asDict()
     rows = []
-    for a, b in pairs:
-        if a not in df.columns or b not in df.columns:
-            continue
-        u = complete(df, [a, b]).agg(F.approx_count_distinct(F.col(f"`{a}`"), 0.02).alias("a"), F.approx_count_distinct(F.col(f"`{b}`"), 0.02).alias("b")).first()
-        method = method_for((types or {}).get(a, ""), (types or {}).get(b, ""), u["a"], u["b"])
-        got = correlation(df, a, b, method)
-        low, high = fisher_interval(F.col("r"), F.col("n"))
-        got = got.select("n", "r", low.alias("low"), high.alias("high"), strength(F.col("r")).alias("label")).first()
-        n, r = got["n"], got["r"]
-        if r is None:
+    for k, (a, b) in enumerate(pairs):
+        n, r = got[f"n{k}"], got[f"r{k}"]
+        method = method_for((types or {}).get(a, ""), (types or {}).get(b, ""), got[f"u{k}_0"], got[f"u{k}_1"])
+        if method == "spearman" and n >= 3:
+            r = correlation(df, a, b, method).first()["r"]
+        if n < 3 or r is None or r != r:
             continue
         p = 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
-        rows.append((a, b, method, n, round(r, 4), None if p is None else round(p, 4), *(None if x is None else round(x, 4) for x in (got["low"], got["high"])), got["label"]))
-    return df.sparkSession.createDataFrame(rows, CORRELATION)
+        rows.append((a, b, method, n, float(r), p))
+    made = df.sparkSession.createDataFrame(rows, "column_a string, column_b string, method string, n bigint, r double, p_value double")
+    low, high = fisher_interval(F.col("r"), F.col("n"))
+    return made.select("column_a", "column_b", "method", "n", F.round("r", 4).alias("r"), F.round("p_value", 4).alias("p_value"), F.round(low, 4).alias("lower"), F.round(high, 4).alias("upper"), strength(F.col("r")).alias("interpretation"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,25 +129,32 @@ def crosstab_wide(df: DataFrame, a: str, b: str, levels: list) -> DataFrame:
 
 
 def chi_square_statistic(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
-    """One row (n, statistic, df); two by two tables are continuity-corrected unless yates is off."""
-    cells = crosstab(df, a, b)
+    """One row (n, statistic, df); two by two tables are continuity-corrected unless yates is off.
+
+    Empty cells need no rows: the statistic is N (sum n^2 / (r c) - 1) over the others. In a two by two table all four
+    cells are off by the same amount, and their reciprocal expectations add up to N (sum 1/r) (sum 1/c).
+    """
+    cells = crosstab(df, a, b).withColumn("n", F.col("n").cast("double"))
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    total = cells.agg(F.sum("n").alias("n_all"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
-    grid = rows.crossJoin(cols).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(total))  # levels of two categories
-    expected = F.col("ra") * F.col("cb") / F.col("n_all")
-    off = F.abs(F.coalesce("n", F.lit(0)) - expected)
+    total = rows.agg(F.sum("ra").alias("n_all"), F.count("*").alias("ka"), F.sum(1 / F.col("ra")).alias("ia")).crossJoin(F.broadcast(cols.agg(F.count("*").alias("kb"), F.sum(1 / F.col("cb")).alias("ib"))))  # one row each
+    met = cells.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(total))
+    off = F.max(F.abs(F.col("n") - F.col("ra") * F.col("cb") / F.col("n_all")))
+    got = met.agg(F.sum(F.col("n") ** 2 / (F.col("ra") * F.col("cb"))).alias("q"), off.alias("off"), *[F.first(c).alias(c) for c in ("n_all", "ka", "kb", "ia", "ib")])
+    statistic = F.greatest(F.col("n_all") * (F.col("q") - 1), F.lit(0.0))
     if yates:
-        off = F.when((F.col("ka") == 2) & (F.col("kb") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
-    return grid.agg(F.first("n_all").alias("n"), F.sum(off**2 / expected).alias("statistic"), F.first((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double").alias("df")).filter("df > 0")
+        corrected = (F.col("off") - F.least(F.lit(0.5), F.col("off"))) ** 2 * F.col("n_all") * F.col("ia") * F.col("ib")
+        statistic = F.when((F.col("ka") == 2) & (F.col("kb") == 2), corrected).otherwise(statistic)
+    return got.select(F.col("n_all").cast("bigint").alias("n"), statistic.alias("statistic"), ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double").alias("df")).filter("df > 0")
 
 
 def anova_statistic(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row (k, n, statistic, df1, df2) over groups of at least two."""
+    """One row (k, n, statistic, df1, df2) over groups of at least two. Means are taken from the grand mean, so that
+    values far from zero lose nothing."""
     g = group_stats(df, value, group, 2)
-    got = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("n") * F.col("mean") ** 2).alias("q"), F.sum((F.col("n") - 1) * F.col("variance")).alias("within"))
-    between = F.col("q") - F.col("s") ** 2 / F.col("n")
+    whole = g.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))  # one row
+    got = g.crossJoin(F.broadcast(whole)).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"), F.sum((F.col("n") - 1) * F.col("variance")).alias("within"))
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
-    return got.filter("k >= 2").select("k", "n", F.try_divide(between / d1, F.col("within") / d2).alias("statistic"), d1.cast("double").alias("df1"), d2.cast("double").alias("df2"))
+    return got.filter("k >= 2").select("k", "n", F.try_divide(F.col("between") / d1, F.col("within") / d2).alias("statistic"), d1.cast("double").alias("df1"), d2.cast("double").alias("df2"))
 
 
 TEST = "test string, columns array<string>, statistic double, p_value double, significant boolean, confidence double, df1 double, df2 double"

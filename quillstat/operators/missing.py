@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import moments, ols
+from quillstat.functions.ranks import numbered, quantiles
 from quillstat.operators.profile import is_numeric
 
-ITERATIONS, NEIGHBOURS, DONORS = 10, 5, 50_000
+ITERATIONS, NEIGHBOURS, GAPS_AT_ONCE = 10, 5, 5000
 
 
 def mode_of(df: DataFrame, column: str) -> DataFrame:
@@ -56,7 +61,7 @@ def apply_strategies(df: DataFrame, strategies: dict[str, str], order: list | No
                 df = _fill(df, c, mode_of(df, c).first()["mode"])
             else:
                 x = F.col(f"`{c}`").cast("double")
-                df = _fill(df, c, df.agg((F.avg(x) if strategy == "mean" else F.median(x)).alias("v")).first()["v"])
+                df = _fill(df, c, df.agg(F.avg(x).alias("v")).first()["v"] if strategy == "mean" else quantiles(df, {c: x}, [0.5])[c][0])
         elif strategy == "zero":
             df = _fill(df, c, 0 if is_numeric(kind) else "0")
         elif strategy in ("forward_fill", "backward_fill"):
@@ -70,58 +75,90 @@ def apply_strategies(df: DataFrame, strategies: dict[str, str], order: list | No
     return df
 
 
-def knn_impute(df: DataFrame, columns: list[str], k: int = NEIGHBOURS, donors: int = DONORS) -> DataFrame:
-    """Each gap becomes the mean of its k nearest donors by nan-euclidean distance over `columns`.
+def knn_impute(df: DataFrame, columns: list[str], k: int = NEIGHBOURS) -> DataFrame:
+    """Each gap becomes the mean of its k nearest donors by nan-euclidean distance over `columns`; of equally near
+    ones the least go first. A gap without donors gets the column's mean.
 
-    Donors are the distinct combinations of values, at most `donors` of them (a documented bound: beyond it a hash
-    sample), so the broadcast side is bounded; weights keep repeated donors whole. Only distinct incomplete
-    combinations meet them, not rows.
+    Every distinct combination of values is a donor, weighted by its rows. The distinct gaps are numbered and sent to
+    the donors in lots of GAPS_AT_ONCE; a task keeps k donors a gap, and these meet by gap. The result is exact, and the
+    work grows with distinct gaps times distinct donors.
     """
+    spark = df.sparkSession
     x = {c: F.col(f"`{c}`").cast("double").alias(c) for c in columns}
-    combos = df.select(*x.values()).groupBy(*columns).agg(F.count("*").alias("weight"))
-    table = combos.filter(" or ".join(f"`{c}` is not null" for c in columns)).orderBy(F.xxhash64(*columns)).limit(donors)
-    gaps = combos.drop("weight").filter(" or ".join(f"`{c}` is null" for c in columns))
-    given = table.select(*[F.col(c).alias(f"d_{c}") for c in columns], "weight")
-    both = gaps.crossJoin(F.broadcast(given))  # distinct gaps x at most `donors` rows
-    shared = sum((F.when(F.col(c).isNotNull() & F.col(f"d_{c}").isNotNull(), 1).otherwise(0) for c in columns), F.lit(0))
-    square = sum((F.coalesce((F.col(c) - F.col(f"d_{c}")) ** 2, F.lit(0.0)) for c in columns), F.lit(0.0))
-    both = both.withColumn("dist", F.when(shared > 0, F.sqrt(square * len(columns) / shared)))
-    filled = gaps
-    for c in columns:
-        near = both.filter(F.col(c).isNull() & F.col(f"d_{c}").isNotNull() & F.col("dist").isNotNull())
-        w = Window.partitionBy(*columns).orderBy("dist", *[f"d_{x}" for x in columns])
-        taken = near.withColumn("before", F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        use = F.greatest(F.least(F.lit(k) - F.col("before"), F.col("weight")), F.lit(0))
-        means = taken.withColumn("use", use).filter("use > 0").groupBy(*columns).agg((F.sum(F.col("use") * F.col(f"d_{c}")) / F.sum("use")).alias(f"fill_{c}"))
-        filled = filled.join(means.select(*[F.col(x).alias(f"k_{x}") for x in columns], f"fill_{c}"), [F.col(x).eqNullSafe(F.col(f"k_{x}")) for x in columns], "left").drop(*[f"k_{x}" for x in columns])
-    keys = filled.select(*[F.col(x).alias(f"k_{x}") for x in columns], *[f"fill_{c}" for c in columns])
-    out = df.join(keys, [F.col(f"`{x}`").cast("double").eqNullSafe(F.col(f"k_{x}")) for x in columns], "left")
+    combos = df.select(*x.values()).groupBy(*columns).agg(F.count("*").alias("weight")).checkpoint()
+    donors = combos.filter(" or ".join(f"`{c}` is not null" for c in columns))
+    gaps = numbered(combos.drop("weight").filter(" or ".join(f"`{c}` is null" for c in columns)), columns, "_gap").checkpoint()
+    n, p = gaps.count(), len(columns)
+    near = None
+    for low in range(0, n, GAPS_AT_ONCE):
+        lot = gaps.filter((F.col("_gap") >= low) & (F.col("_gap") < low + GAPS_AT_ONCE)).toPandas()  # GAPS_AT_ONCE rows at most
+        asked, numbers = lot[columns].to_numpy(float), lot["_gap"].to_numpy()
+
+        def nearest(batches: Iterator[pd.DataFrame], asked=asked, numbers=numbers) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                given, weight = batch[columns].to_numpy(float), batch["weight"].to_numpy()
+                rows = []
+                step = max(1, 2_000_000 // max(len(given), 1))
+                for first in range(0, len(asked), step):
+                    part = asked[first : first + step]
+                    square, shared = np.zeros((len(part), len(given))), np.zeros((len(part), len(given)))
+                    for c in range(p):
+                        off = part[:, c, None] - given[None, :, c]
+                        both = ~np.isnan(off)
+                        square += np.where(both, off, 0.0) ** 2
+                        shared += both
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        distance = np.sqrt(square * p / shared)
+                    for c in range(p):
+                        can = np.flatnonzero(~np.isnan(given[:, c]))
+                        for g in np.flatnonzero(np.isnan(part[:, c])):
+                            own = can[shared[g, can] > 0]
+                            if len(own) > k:  # ties at the edge stay, to be settled by value
+                                own = own[distance[g, own] <= np.partition(distance[g, own], k - 1)[k - 1]]
+                                own = own[np.lexsort((*given[own].T[::-1], distance[g, own]))][:k]
+                            rows += [(numbers[first + g], c, distance[g, d], given[d, c], weight[d], given[d].tolist()) for d in own]
+                yield pd.DataFrame(rows, columns=["_gap", "c", "distance", "value", "weight", "donor"])
+
+        part = donors.mapInPandas(nearest, "_gap bigint, c int, distance double, value double, weight bigint, donor array<double>").checkpoint()
+        near = part if near is None else near.unionByName(part)
     mean = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first()
-    return out.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"fill_{c}"), F.lit(mean[c])) for c in columns}).select(*df.columns)
+    if near is None:
+        return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(mean[c])) for c in columns})
+    w = Window.partitionBy("_gap", "c").orderBy("distance", "donor")  # k donors from each batch of donors
+    taken = near.withColumn("before", F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    use = F.greatest(F.least(F.lit(k) - F.col("before"), F.col("weight")), F.lit(0))
+    means = taken.withColumn("use", use).filter("use > 0").groupBy("_gap", "c").agg((F.sum(F.col("use") * F.col("value")) / F.sum("use")).alias("fill"))
+    fills = means.groupBy("_gap").agg(*[F.max(F.when(F.col("c") == i, F.col("fill"))).alias(f"fill_{i}") for i in range(p)])
+    keys = gaps.join(fills, "_gap").select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)], *[f"fill_{i}" for i in range(p)])
+    out = df.join(keys, [F.col(f"`{c}`").cast("double").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)], "left")
+    return out.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"fill_{i}"), F.lit(mean[c])) for i, c in enumerate(columns)}).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def iterative_impute(df: DataFrame, columns: list[str], rounds: int = ITERATIONS, tolerance: float = 1e-3) -> DataFrame:
-    """Round-robin regression of each column with gaps on the others, from one pass of moments a round."""
-    mean = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first()
-    original = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    current = {c: F.lit(mean[c]) for c in columns}
-    last = None
-    for _ in range(rounds):
-        frame = df.select(*[F.coalesce(original[c], current[c]).alias(c) for c in columns])
-        m = moments(frame, columns)
-        fits = {}
-        for c in columns:
-            others = [o for o in columns if o != c]
-            if not others:
-                return df.withColumns({c: F.coalesce(original[c], F.lit(mean[c])) for c in columns})
-            fits[c] = ols(m, c, others, ridge=1e-6 * max(m.n, 1))
-        state = [v for c in columns for v in (fits[c].intercept, *fits[c].coefficients)]
-        stand_in = {o: F.coalesce(original[o], F.lit(mean[o])) for o in columns}
-        current = {c: sum((stand_in[o] * F.lit(b) for o, b in zip(fits[c].predictors, fits[c].coefficients, strict=True)), F.lit(fits[c].intercept)) for c in columns}
-        if last is not None and max(abs(a - b) for a, b in zip(state, last, strict=True)) < tolerance:
+    """Round-robin regression: gaps begin at their means; in each round every column with gaps, those with the fewest
+    first, is fitted on the other columns' current values over the rows that have it, and its gaps are predicted anew.
+    Rounds end when no gap moves by `tolerance` of the greatest value."""
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    facts = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(x[c]).alias(f"a{i}"), F.count_if(x[c].isNull()).alias(f"z{i}"), F.max(F.abs(x[c])).alias(f"m{i}"))]).first()
+    order = sorted((i for i in range(len(columns)) if facts[f"z{i}"]), key=lambda i: facts[f"z{i}"])
+    work = df.withColumns({f"_c{i}": F.coalesce(x[c], F.lit(facts[f"a{i}"])) for i, c in enumerate(columns)})
+    names = [f"_c{i}" for i in range(len(columns))]
+    least = tolerance * max((facts[f"m{i}"] or 0.0 for i in range(len(columns))), default=0.0)
+    for _ in range(rounds if len(columns) > 1 and order else 0):
+        before = work.withColumns({f"_o{i}": F.col(f"_c{i}") for i in order})
+        now = before
+        for i in order:
+            others = [c for k, c in enumerate(names) if k != i]
+            m = moments(now.filter(x[columns[i]].isNotNull()).select(*names), names)
+            fit = ols(m, f"_c{i}", others, ridge=1e-6 * max(m.n, 1))
+            now = now.withColumn(f"_c{i}", F.when(x[columns[i]].isNull(), fit.predict()).otherwise(x[columns[i]]))
+        now = now.checkpoint()
+        moved = now.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"_c{i}") - F.col(f"_o{i}")) for i in order])).alias("d")).first()["d"]
+        work = now.drop(*[f"_o{i}" for i in order])
+        if moved is None or moved < least:
             break
-        last = state
-    return df.withColumns({c: F.coalesce(original[c], current[c]) for c in columns})
+    made = {c: F.col(f"_c{i}") for i, c in enumerate(columns)}
+    return work.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
 
 
 def model_fill(df: DataFrame, dependent: str, predictors: list[str], types: dict[str, str] | None = None) -> DataFrame:
@@ -135,11 +172,12 @@ def model_fill(df: DataFrame, dependent: str, predictors: list[str], types: dict
     exprs: list[Column] = []
     for i, c in enumerate(numbers):
         x = F.col(f"`{c}`").cast("double")
-        exprs += [F.avg(x).alias(f"a{i}"), F.median(x).alias(f"m{i}"), F.skewness(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
+        exprs += [F.avg(x).alias(f"a{i}"), F.skewness(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
     got = df.agg(*exprs).first() if exprs else None
+    medians = quantiles(df, {c: F.col(f"`{c}`").cast("double") for c in numbers}, [0.5])
     for i, c in enumerate(numbers):
         skewed = types[c] == "ordinal" if types else got[f"n{i}"] >= 8 and abs(got[f"s{i}"] or 0) > 1
-        df = df.withColumn(c, F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(got[f"m{i}"] if skewed else got[f"a{i}"]), F.lit(0.0)))
+        df = df.withColumn(c, F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c][0] if skewed else got[f"a{i}"]), F.lit(0.0)))
     for c in predictors:
         if c not in numbers:
             df = df.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(mode_of(df, c).first()["mode"] or "Unknown")))

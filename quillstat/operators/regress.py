@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import Fit, complete, moments, ols, vif
+from quillstat.functions.ranks import numbered
 
 MIN_ROWS, TEST_ROWS, TEST_PERCENT, SEED = 10, 30, 20, 42
 FOREST_TREES, FOREST_DEPTH, FOREST_ROWS, SERIES_ROWS, FORECAST_STEPS = 50, 10, 30, 5, 5
@@ -113,7 +114,7 @@ def macro_metrics(rows: DataFrame, actual: str = "actual", predicted: str = "pre
 
 def auc(rows: DataFrame, actual: str = "actual", score: str = "probability") -> DataFrame:
     """One row (auc): the rank-sum statistic with average ranks, on the histogram of scores."""
-    from quillstat.operators.infer import average_ranks
+    from quillstat.functions.ranks import average_ranks
 
     counts = rows.groupBy(F.col(score).cast("double").alias("value")).agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) != 1).alias("neg"))
     ranks = average_ranks(rows, score)
@@ -210,8 +211,9 @@ def logistic(df: DataFrame, dependent: str, predictors: list[str], c: float = 10
 
 def timeseries(df: DataFrame, dependent: str, order: list, steps: int = FORECAST_STEPS) -> tuple[Model, DataFrame]:
     """A line over the row number in time order, and a forecast with 95 % bounds: (model, label, predicted, lower,
-    upper). Numbering is global by meaning: aggregate to one row a period first."""
-    rows = complete(df.withColumn("_t", (F.row_number().over(Window.orderBy(*order)) - 1).cast("double")), ["_t", dependent])
+    upper). Rows without a value go before the rest is numbered, in range partitions."""
+    value = F.nanvl(F.expr(f"try_cast(`{dependent}` as double)"), F.lit(None).cast("double"))
+    rows = complete(numbered(df.filter(value.isNotNull()), order, "_t"), ["_t", dependent])
     m = moments(rows, ["_t", dependent])
     if m.n < SERIES_ROWS:
         raise ValueError(f"{m.n} rows; a series needs {SERIES_ROWS}")

@@ -285,8 +285,7 @@ def dedup_keep_none(spark, sf):
 
 @query("fuzzy_duplicates")
 def fuzzy_duplicates(spark, sf):
-    names = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return clean.fuzzy_duplicates(names, ["p_name"], "p_partkey", 0.9, block=F.xxhash64("p_brand", "p_type")).select("p_partkey", "p_name")
+    return clean.fuzzy_duplicates(table(spark, sf, "part"), ["p_name"], "p_partkey").select("p_partkey", "p_name")
 
 
 @query("one_hot", "SELECT l_orderkey, l_linenumber, (l_returnflag = 'N')::INT AS flag_n, (l_returnflag = 'R')::INT AS flag_r FROM lineitem")
