@@ -94,9 +94,9 @@ def blocks(classes: DataFrame) -> DataFrame:
     nodes = classes.select("rep", F.explode("roots").alias("node"))
     found, rows = None, None
     for level in range(DEPTH + 1):
-        sized = nodes.join(nodes.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"), "node")
+        sized = nodes.join(nodes.groupBy("node").agg(F.count("*").alias("members")), "node", "left")  # a row for each row
         sized = materialise(sized if rows is None else few_parts(sized, rows))
-        small = sized.filter(F.col("members") <= NODE).select(F.col("node").alias("block"), "rep")
+        small = sized.filter(F.col("members").between(2, NODE)).select(F.col("node").alias("block"), "rep")
         large = sized.filter(F.col("members") > NODE)
         found = small if found is None else found.unionByName(small)
         rows = large.count()
