@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """The folder is the shared one that spark.checkpoint.dir names; only where nothing is set, a local one is taken."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def _parts(df: DataFrame) -> int:
+    ensure_checkpoints(df.sparkSession)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions.ranks import quantiles
+from quillstat.functions.ranks import ensure_checkpoints, quantiles
 from quillstat.functions.similarity import close_match, match_ratio, similar_values, title_case
 from quillstat.operators.profile import is_numeric
 
@@ -164,6 +164,7 @@ def fix_typos(df: DataFrame, column: str, corrections: dict[str, str]) -> DataFr
 def auto_fix_typos(df: DataFrame, column: str, cutoff: float = 0.85) -> DataFrame:
     """A value seen once and close to one seen more often takes its place, the closest or of equally close ones the
     greatest; columns of under three values stay. Values meet by the characters they share, at any number of them."""
+    ensure_checkpoints(df.sparkSession)
     counts = df.select(F.col(f"`{column}`").alias("v")).dropna().groupBy("v").agg(F.count("*").alias("n")).checkpoint()
     if counts.limit(3).count() < 3:
         return df
@@ -193,6 +194,7 @@ def exact_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
 
 def _text_classes(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """id, members, t0..: rows of equal texts under the least of their ids."""
+    ensure_checkpoints(df.sparkSession)
     text = [F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).alias(f"t{k}") for k, c in enumerate(columns)]
     rows = df.select(F.col(f"`{row_id}`").alias("id"), *text)
     return rows.groupBy(*[f"t{k}" for k in range(len(columns))]).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("members"))

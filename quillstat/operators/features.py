@@ -53,7 +53,7 @@ def ordinal_encode(df: DataFrame, columns: list[str], orders: dict[str, list[str
         text = F.col(f"`{c}`").cast("string")
         order = (orders or {}).get(c)
         if order:
-            codes = df.sparkSession.createDataFrame([(str(v), k) for k, v in dict.fromkeys(zip(order, range(len(order)), strict=True))], "_level string, _code int")
+            codes = df.sparkSession.createDataFrame(list({str(v): k for k, v in reversed(list(enumerate(order)))}.items()), "_level string, _code int")
         else:
             codes = numbered(df.select(text.alias("_level")).dropna().distinct(), ["_level"], "_code").withColumn("_code", F.col("_code").cast("int"))
         others = [F.col("_code").alias(x) if x == c else F.col(f"`{x}`") for x in df.columns]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import moments, ols
-from quillstat.functions.ranks import numbered, quantiles
+from quillstat.functions.ranks import ensure_checkpoints, numbered, quantiles
 from quillstat.operators.profile import is_numeric
 
 ITERATIONS, NEIGHBOURS, GAPS_AT_ONCE = 10, 5, 5000
@@ -83,7 +83,7 @@ def knn_impute(df: DataFrame, columns: list[str], k: int = NEIGHBOURS) -> DataFr
     the donors in lots of GAPS_AT_ONCE; a task keeps k donors a gap, and these meet by gap. The result is exact, and the
     work grows with distinct gaps times distinct donors.
     """
-    spark = df.sparkSession
+    ensure_checkpoints(df.sparkSession)
     x = {c: F.col(f"`{c}`").cast("double").alias(c) for c in columns}
     combos = df.select(*x.values()).groupBy(*columns).agg(F.count("*").alias("weight")).checkpoint()
     donors = combos.filter(" or ".join(f"`{c}` is not null" for c in columns))
@@ -138,6 +138,7 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = ITERATIONS
     """Round-robin regression: gaps begin at their means; in each round every column with gaps, those with the fewest
     first, is fitted on the other columns' current values over the rows that have it, and its gaps are predicted anew.
     Rounds end when no gap moves by `tolerance` of the greatest value."""
+    ensure_checkpoints(df.sparkSession)
     x = {c: F.col(f"`{c}`").cast("double") for c in columns}
     facts = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(x[c]).alias(f"a{i}"), F.count_if(x[c].isNull()).alias(f"z{i}"), F.max(F.abs(x[c])).alias(f"m{i}"))]).first()
     order = sorted((i for i in range(len(columns)) if facts[f"z{i}"]), key=lambda i: facts[f"z{i}"])
