@@ -119,12 +119,38 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+#: The base patterns' parts, for scans that pass over a text once: a match of `ip` can only begin where a run of digits
+#: does, one of `email` only where the characters before an @ begin or the match before ended.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the email pattern finds, in time in proportion to the text."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+            done = found.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order of start, then kind."""
     out = []
     for k, kind in enumerate(KINDS):
-        if NEEDS[kind] in text:
-            out += [(m.start(), k, m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m)]
+        if NEEDS[kind] not in text:
+            continue
+        if kind == "email":
+            out += [(start, k, end) for start, end in _emails(text)]
+        else:
+            pattern = _IP if kind == "ip" else PATTERNS[kind]
+            out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if _valid(kind, m)]
     return sorted(out)
 
 

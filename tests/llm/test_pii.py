@@ -94,3 +94,20 @@ def test_clean_documents_gain_little(spark, sf_dir):
     for r in rows:
         assert [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in r["spans"] if s["base"]] == brute(r["text"] or "")
     assert sum(any(not s["base"] for s in r["spans"]) for r in rows) < 0.1 * len(rows)
+
+
+def test_scans_are_linear_and_like_the_patterns():
+    import random
+    import time
+
+    draw = random.Random(17)
+    for _ in range(4000):
+        text = "".join(draw.choice("ab1290.@-_ +%é") for _ in range(draw.randint(1, 40)))
+        want = [(m.start(), 0, m.end()) for m in PATTERNS["email"].finditer(text)]
+        want += [(m.start(), 1, m.end()) for m in PATTERNS["ip"].finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s for s in base_spans(text) if s[1] < 2] == sorted(want), text
+    n = 1_000_000
+    begun = time.time()
+    for text in ("a" * n + " @ x@y.z", "1" * n + ".", "1." * (n // 2), "@" * n, "a@" * (n // 2), "+1" + "-" * n, "1 " * (n // 2), "a@b" * (n // 3)):
+        base_spans(text)
+    assert time.time() - begun < 16
