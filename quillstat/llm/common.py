@@ -90,6 +90,13 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(f"`{text_col}`").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
 
 
+def free_name(df: DataFrame, name: str = "_key") -> str:
+    """A column name that df does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

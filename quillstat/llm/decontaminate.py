@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import PLACE, Words, chunks, materialise, mix, read_table, row_key, semi_by_id, session_defaults, utf8_parts, windows
+from quillstat.llm.common import PLACE, Words, chunks, free_name, materialise, mix, read_table, row_key, semi_by_id, session_defaults, utf8_parts, windows
 
 FEATURES, RANK, COMMON, OVERSAMPLE = 8192, 128, 8, 16
 #: A passage is WINDOW words long, one begins every STRIDE words.
@@ -381,6 +381,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak a benchmark item go, with or without a doc_id."""
-    keyed = docs.withColumn("_key", row_key())
-    found = materialise(leaks(keyed.select("_key", "text"), read_table(spark, sf_dir, "benchmark"), "_key").select(F.col("doc_id").alias("_key")).distinct())
-    return semi_by_id(keyed, found, "_key", "left_anti").drop("_key")
+    key = free_name(docs)
+    keyed = docs.withColumn(key, row_key())
+    found = materialise(leaks(keyed.select(key, "text"), read_table(spark, sf_dir, "benchmark"), key).select(F.col("doc_id").alias(key)).distinct())
+    return semi_by_id(keyed, found, key, "left_anti").drop(key)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import BROADCAST_IDS, Words, chunks, few_parts, in_doc, materialise, mix, read_table, row_key, semi_by_id, session_defaults, small_side, stored, utf8_parts, windows
+from quillstat.llm.common import BROADCAST_IDS, Words, chunks, few_parts, free_name, in_doc, materialise, mix, read_table, row_key, semi_by_id, session_defaults, small_side, stored, utf8_parts, windows
 
 SHINGLE = 5
 #: Links need 100 * intersection >= LINK_PERCENT * union.
@@ -396,8 +396,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, that with the least doc_id; of repeated rows, one.
     A row without a doc_id is judged by its text like any other, and comes after those that have one."""
     session_defaults(spark)
-    keyed = docs.withColumn("_key", row_key())
-    kept = materialise(near_duplicates(keyed.select("_key", "text"), "_key").filter("kept").select(F.col("doc_id").alias("_key")))
+    key = free_name(docs)
+    keyed = docs.withColumn(key, row_key())
+    kept = materialise(near_duplicates(keyed.select(key, "text"), key).filter("kept").select(F.col("doc_id").alias(key)))
     ids = kept.distinct()
-    stays = semi_by_id(keyed, ids, "_key").drop("_key")
+    stays = semi_by_id(keyed, ids, key).drop(key)
     return stays if kept.count() == ids.count() else stays.dropDuplicates(["doc_id", "text"])

@@ -46,3 +46,22 @@ def test_empty_tables(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_ids_repeats_and_extra_columns(spark, sf_dir, tmp_path):
+    """Null ids stay null and are judged by their text; copies leave one row; clashing names are carried."""
+    from pyspark.sql import functions as F
+
+    good = registry.QUERIES["op10_quality"](spark, sf_dir).filter("kept").orderBy("doc_id").limit(6).select("doc_id")
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").join(good, "doc_id")
+    rows = some.withColumns({"_key": F.lit("own"), "kept": F.lit(7), "spans": F.lit(1.5)})
+    lone = rows.orderBy("doc_id").limit(1).withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.concat("text", F.lit(" and a great many other words follow here so that this is no copy at all " * 9))})
+    docs = rows.unionByName(rows).unionByName(lone).unionByName(lone).unionByName(rows.limit(1).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == docs.columns and out.filter("_key <> 'own' or kept <> 7 or spans <> 1.5").isEmpty()
+        docs = out
+        if name == "near_dedup":
+            found = ids(out.filter("doc_id is not null"))
+            assert len(found) == len(set(found)) and out.filter("text is null").isEmpty() and out.filter("doc_id is null").count() <= 1
