@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the last returns
 token counts and digests. Stages are written as Parquet in the cluster's shared folder and read again, so that a
 lost executor costs one stage at most.
+
+Rows without a doc_id are judged by their text like any other and keep their null id. Null and empty texts fail the
+quality rules and go; very long texts are taken whole. Of repeated rows and groups of near copies one row stays, that
+with the least doc_id. Extra columns are carried as they are up to the last stage, whatever their names. Empty tables
+give an empty result.
 """
 
 from __future__ import annotations
