@@ -60,7 +60,8 @@ def typical_row(df: DataFrame, columns: list[str]) -> DataFrame:
     """The row whose sum of absolute values is the median one, as an example to predict."""
     size = sum((F.abs(F.col(f"`{c}`").cast("double")) for c in columns), F.lit(0.0))
     sized = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], size.alias("_size")).dropna()
-    middle = sized.agg(F.expr("percentile_disc(0.5) within group (order by _size)").alias("_mid"))
+    at = quantiles(sized, {"_size": F.col("_size")}, [0.5])["_size"][0]
+    middle = sized.filter(F.col("_size") <= F.lit(at)).agg(F.max("_size").alias("_mid"))  # one row: the lower of two middles
     return sized.join(F.broadcast(middle), F.col("_size") == F.col("_mid")).orderBy(*columns).limit(1).select(*columns)
 
 

@@ -111,7 +111,7 @@ def column_profile(spark, sf):
     return profile.profile(table(spark, sf, "part")).select(F.col("column").alias("column_name"), "type", F.col("rows").alias("n_rows"))
 
 
-@query("coded_columns", "SELECT * FROM (VALUES ('quality', 'binary', false, false), ('toxic', 'binary', false, false)) t(column_name, type, coded, uncertain)")
+@query("coded_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' ELSE 'ordinal' END AS type, false AS coded, false AS uncertain FROM labels" for c in ("quality", "toxic")))
 def coded_columns(spark, sf):
     return profile.profile(table(spark, sf, "labels"), ["quality", "toxic"]).select(F.col("column").alias("column_name"), "type", "coded", "uncertain")
 
@@ -235,7 +235,7 @@ def case_report(spark, sf):
     return clean.change_report(before, clean.standardise_text(before, ["c_mktsegment"], "lower"), "c_mktsegment", "c_custkey")
 
 
-@query("title_case")
+@query("title_case", "SELECT n_nationkey, array_to_string(list_transform(string_split(trim(regexp_replace(n_name, '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS n_name FROM nation")
 def title_case(spark, sf):
     return clean.standardise_text(table(spark, sf, "nation"), ["n_name"], "title").select("n_nationkey", "n_name")
 
@@ -368,7 +368,13 @@ def target_correlation_filter(spark, sf):
     return features.select_by_target(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").select(F.col("column").alias("column_name"), r("r"))
 
 
-@query("vif_filter", "SELECT 2::BIGINT AS kept")
+#: The variance inflation of each of three columns is in the inverse of their correlations; without the worst, two are left.
+@query("vif_filter", """
+WITH d AS (SELECT l_quantity AS x, l_tax AS y, l_quantity + l_tax + 0.001 * l_linenumber AS z FROM lineitem), c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM d),
+e AS (SELECT *, 1 + 2 * xy * xz * yz - xy * xy - xz * xz - yz * yz AS det FROM c),
+v AS (SELECT xy, xz, yz, least((1 - yz * yz) / det, 10000) AS vx, least((1 - xz * xz) / det, 10000) AS vy, least((1 - xy * xy) / det, 10000) AS vz FROM e),
+k AS (SELECT greatest(vx, vy, vz) AS worst, CASE WHEN vx >= greatest(vy, vz) THEN yz WHEN vy >= vz THEN xz ELSE xy END AS rest FROM v)
+SELECT (CASE WHEN worst <= 10 THEN 3 WHEN 1 / (1 - rest * rest) <= 10 THEN 2 ELSE 1 END)::BIGINT AS kept FROM k""")
 def vif_filter(spark, sf):
     made = table(spark, sf, "lineitem").withColumn("sum", F.col("l_quantity") + F.col("l_tax") + 0.001 * F.col("l_linenumber"))
     kept, _ = features.select_by_vif(made, ["l_quantity", "l_tax", "sum"])
@@ -416,7 +422,12 @@ def correlation_labels(spark, sf):
     return infer.correlation(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(infer.strength(F.col("r")).alias("label"))
 
 
-@query("correlation_grid")
+def _grid_row(name: str, cells: dict[str, str]) -> str:
+    return f"SELECT '{name}' AS name, " + ", ".join(f"{cells[c]} AS {c}" for c in ("l_quantity", "l_extendedprice", "l_tax")) + " FROM p, s"
+
+
+#: l_tax has few values, so its pair goes by ranks.
+@query("correlation_grid", "WITH k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2.0 AS b FROM lineitem), s AS (SELECT round(corr(a, b), 4) + 0.0 AS s FROM k), p AS (SELECT round(corr(l_quantity, l_extendedprice), 4) + 0.0 AS p FROM lineitem) " + " UNION ALL ".join((_grid_row("l_quantity", {"l_quantity": "1.0::DOUBLE", "l_extendedprice": "p", "l_tax": "s"}), _grid_row("l_extendedprice", {"l_quantity": "p", "l_extendedprice": "1.0::DOUBLE", "l_tax": "0.0::DOUBLE"}), _grid_row("l_tax", {"l_quantity": "s", "l_extendedprice": "0.0::DOUBLE", "l_tax": "1.0::DOUBLE"}))))
 def correlation_grid(spark, sf):
     return charts.correlation_grid(infer.correlations(table(spark, sf, "lineitem"), [("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax")]), ["l_quantity", "l_extendedprice", "l_tax"])
 
@@ -497,11 +508,14 @@ def multiple_regression(spark, sf):
     return fit_row(spark, infer.regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])).filter("term not in ('r2', 'n')").select("term", r("value", 1))
 
 
-@query("polynomial_fit")
+PARABOLA = "(SELECT var_pop(x) AS a, var_pop(x * x) AS b, covar_pop(x, x * x) AS c, covar_pop(x, y) AS p, covar_pop(x * x, y) AS q, avg(x) AS mx, avg(x * x) AS mz, avg(y) AS my, var_pop(y) AS vy FROM {})"
+
+
+@query("polynomial_fit", f"WITH f AS (SELECT (p * b - q * c) / (a * b - c * c) AS w1, (q * a - p * c) / (a * b - c * c) AS w2, * FROM {PARABOLA.format('(SELECT hour(ts)::DOUBLE AS x, value AS y FROM events)')}) SELECT unnest([0, 1, 2, 3]) AS k, round(unnest([my - w1 * mx - w2 * mz, 0.0, w1, w2]), 4) + 0.0 AS value FROM f")
 def polynomial_fit(spark, sf):
     df = features.datetime_features(table(spark, sf, "events"), ["ts"], ("hour",))
     m = regress.polynomial(df, "value", "ts_hour")
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate([m.intercept, *m.coefficients])], "k int, value double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate([m.intercept, *m.coefficients])], "k int, value double").select("k", r("value"))
 
 
 @query("vif", "SELECT unnest(['l_quantity', 'l_extendedprice']) AS term, round(1 / (1 - corr(l_quantity, l_extendedprice) ^ 2), 4) AS vif FROM lineitem")
@@ -510,7 +524,7 @@ def vif_query(spark, sf):
     return spark.createDataFrame([(k, round(v, 4)) for k, v in vif(moments(table(spark, sf, "lineitem"), names), names).items()], "term string, vif double")
 
 
-@query("model_selection", "SELECT * FROM (VALUES ('quality', 'logistic'), ('price', 'linear')) t(case_name, model)")
+@query("model_selection", f"SELECT 'quality' AS case_name, CASE WHEN count(DISTINCT quality) = 2 THEN 'logistic' END AS model FROM labels UNION ALL SELECT 'price', CASE WHEN p * p / (a * vy) < 0.6 AND (p * p * b + q * q * a - 2 * p * q * c) / ((a * b - c * c) * vy) > p * p / (a * vy) + 0.1 THEN 'polynomial' ELSE 'linear' END FROM {PARABOLA.format('(SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem)')}")
 def model_selection(spark, sf):
     labels, lines = table(spark, sf, "labels"), table(spark, sf, "lineitem")
     rows = [("quality", regress.select_model(labels, "quality", ["toxic"], {"quality": "binary"})), ("price", regress.select_model(lines, "l_extendedprice", ["l_quantity"], {"l_extendedprice": "continuous", "l_quantity": "continuous"}))]
@@ -565,7 +579,22 @@ def auc(spark, sf):
     return regress.auc(rows).select(r("auc"))
 
 
-@query("logistic")
+#: Newton's steps on the four counts of a two by two table, with the default penalty of 1 / 100 on the slope.
+LOGISTIC = """
+WITH RECURSIVE c AS (
+    SELECT count(*) FILTER (quality = 0)::DOUBLE AS n0, count(*) FILTER (quality = 1)::DOUBLE AS n1, count(*) FILTER (quality = 0 AND toxic = 1)::DOUBLE AS t0, count(*) FILTER (quality = 1 AND toxic = 1)::DOUBLE AS t1 FROM labels
+), it(i, b0, b1) AS (
+    SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+    UNION ALL
+    SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+        SELECT *, t0 - n0 * p0 + t1 - n1 * p1 AS g0, t1 - n1 * p1 - 0.01 * b1 AS g1, n0 * p0 * (1 - p0) + n1 * p1 * (1 - p1) AS h00, n1 * p1 * (1 - p1) AS h01, n1 * p1 * (1 - p1) + 0.01 AS h11
+        FROM (SELECT *, 1 / (1 + exp(-b0)) AS p0, 1 / (1 + exp(-b0 - b1)) AS p1 FROM it, c)
+    ) WHERE i < 40
+)
+SELECT unnest(['quality', 'intercept', 'accuracy']) AS term, round(unnest([b1, b0, (CASE WHEN b0 > 0 THEN t0 ELSE n0 - t0 END + CASE WHEN b0 + b1 > 0 THEN t1 ELSE n1 - t1 END) / (n0 + n1)]), 4) AS value FROM it, c WHERE i = 40"""
+
+
+@query("logistic", LOGISTIC)
 def logistic(spark, sf):
     m = regress.logistic(table(spark, sf, "labels"), "toxic", ["quality"])
     return spark.createDataFrame([("quality", round(m.coefficients[0], 4)), ("intercept", round(m.intercept, 4)), ("accuracy", round(m.metrics["accuracy"], 4))], "term string, value double")
@@ -577,10 +606,12 @@ def random_forest(spark, sf):
     return spark.createDataFrame([(k, v) for k, v in m.importance.items()], "feature string, importance double")
 
 
-@query("stratified_split", "SELECT count(*)::BIGINT AS n, count(DISTINCT o_orderstatus)::BIGINT AS classes FROM orders")
+#: Each class is cut in 64 slices, each of which is off by less than one row.
+@query("stratified_split", "SELECT o_orderstatus AS status, count(*)::BIGINT AS n, true AS test_even, true AS val_even FROM orders GROUP BY 1")
 def stratified_split(spark, sf):
     made = training.stratified_split(table(spark, sf, "orders"), "o_orderstatus", F.col("o_orderkey"))
-    return made.filter("split in ('train', 'val', 'test')").agg(F.count("*").alias("n"), F.count_distinct("o_orderstatus").alias("classes"))
+    got = made.filter("split in ('train', 'val', 'test')").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in ("test", "val")])
+    return got.select("status", "n", *[(F.abs(F.col(s) - F.col("n") * share) <= 64).alias(f"{s}_even") for s, share in (("test", training.TEST_SIZE), ("val", training.VAL_SIZE))])
 
 
 @query("three_way_split", "SELECT CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.35 THEN 'val' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM (SELECT ((o_orderkey * 2654435761) % 10000) / 10000.0::DOUBLE AS h FROM orders) GROUP BY 1")
@@ -588,7 +619,7 @@ def three_way_split(spark, sf):
     return table(spark, sf, "orders").groupBy(training.split_column(F.col("o_orderkey")).alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("problem_detection", "SELECT * FROM (VALUES ('labels', true), ('orders', false)) t(table_name, classification)")
+@query("problem_detection", "SELECT 'labels' AS table_name, count(DISTINCT quality) <= 10 AND bool_and(quality = floor(quality)) AS classification FROM labels UNION ALL SELECT 'orders', count(DISTINCT o_totalprice) <= 10 AND bool_and(o_totalprice = floor(o_totalprice)) FROM orders")
 def problem_detection(spark, sf):
     return spark.createDataFrame([("labels", training.is_classification(table(spark, sf, "labels"), "quality")), ("orders", training.is_classification(table(spark, sf, "orders"), "o_totalprice"))], "table_name string, classification boolean")
 
@@ -600,10 +631,12 @@ def experiment(spark, sf):
     return spark.createDataFrame([(m, k, float(v)) for m, x in report["models"].items() for k, v in x["test_metrics"].items() if v is not None], "model string, metric string, value double")
 
 
-@query("best_model", "SELECT 'b' AS best")
+@query("best_model", " UNION ALL ".join(f"SELECT '{c}' AS best, regr_r2(l_extendedprice, {c}) AS r2 FROM lineitem" for c in ("l_discount", "l_quantity", "l_tax")).join(("SELECT arg_max(best, r2) AS best, round(max(r2), 4) AS r2 FROM (", ")")))
 def best_model(spark, sf):
-    models = {"a": {"test_metrics": {"f1": 0.5}}, "b": {"test_metrics": {"f1": 0.7}}, "c": {"error": "x"}}
-    return spark.createDataFrame([(training.best_model(models, True),)], "best string")
+    rows = table(spark, sf, "lineitem")
+    models = {c: {"test_metrics": {"r2": infer.regression(rows, "l_extendedprice", [c]).r_squared}} for c in ("l_discount", "l_quantity", "l_tax")}
+    best = training.best_model(models | {"failed": {"error": "x"}}, False)
+    return spark.createDataFrame([(best, round(models[best]["test_metrics"]["r2"], 4))], "best string, r2 double")
 
 
 @query("permutation_importance")
@@ -614,7 +647,10 @@ def permutation_importance(spark, sf):
     return explain.permutation_importance(rows, ["l_quantity", "l_tax"], score, repeats=2).select("feature", "rank")
 
 
-@query("partial_dependence")
+PLANE = "(SELECT var_pop(l_quantity) AS a, var_pop(l_tax) AS b, covar_pop(l_quantity, l_tax) AS c, covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_tax, l_extendedprice) AS q, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)"
+
+
+@query("partial_dependence", f"SELECT 'l_quantity' AS feature, round(lo + k * (hi - lo) / 9, 4) AS x, round(my + (p * b - q * c) / (a * b - c * c) * (lo + k * (hi - lo) / 9 - mx), 2) AS y FROM {PLANE}, range(10) t(k)")
 def partial_dependence(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_quantity", "l_tax", "l_extendedprice")
     m = regress.linear(rows, "l_extendedprice", ["l_quantity", "l_tax"])
@@ -664,9 +700,9 @@ def residual_histogram(spark, sf):
     return charts.histogram(rows, "residual", charts.residual_bins(df.count())).select("bin", r("low", 2), F.col("count").alias("n"))
 
 
-@query("estimated_histogram")
+@query("estimated_histogram", "SELECT i::INT AS bin, round(lo + i * w, 2) AS low, round(lo + (i + 1) * w, 2) AS high, round(exp(-(((lo + (i + 0.5) * w - m) / s) ^ 2) / 2) / (s * sqrt(2 * pi())) * w * n)::BIGINT AS expected FROM (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 10 AS w, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*) AS n FROM orders), range(10) t(i)")
 def estimated_histogram(spark, sf):
-    return charts.estimated_histogram(table(spark, sf, "orders"), "o_totalprice")
+    return charts.estimated_histogram(table(spark, sf, "orders"), "o_totalprice").select("bin", r("low", 2), r("high", 2), "expected")
 
 
 @query("box_plot", "SELECT round(min(value), 4) AS low, round(quantile_cont(value, 0.25), 4) AS q1, round(median(value), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q3, round(max(value), 4) AS high FROM events")
@@ -684,7 +720,7 @@ def scatter_thin(spark, sf):
     return charts.scatter(table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
-@query("typical_row")
+@query("typical_row", "SELECT l_quantity, l_tax FROM lineitem WHERE abs(l_quantity) + abs(l_tax) = (SELECT quantile_disc(abs(l_quantity) + abs(l_tax), 0.5) FROM lineitem) ORDER BY 1, 2 LIMIT 1")
 def typical_row(spark, sf):
     return charts.typical_row(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
 
@@ -724,8 +760,8 @@ def rate_limit(spark, sf):
     return got.select("key", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "allowed", "refused")
 
 
-@query("json_rows", "SELECT count(*)::BIGINT AS n FROM orders")
+@query("json_rows", "SELECT o_orderstatus AS status, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS price, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY 1")
 def json_rows(spark, sf):
     from quillstat.sources.sinks import to_json
 
-    return to_json(with_row_id(table(spark, sf, "orders"))).filter(F.get_json_object("json", "$.o_orderkey").isNotNull()).agg(F.count("*").alias("n"))
+    return to_json(with_row_id(table(spark, sf, "orders"))).select(F.from_json("json", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double").alias("j")).filter("j.o_orderkey is not null").groupBy(F.col("j.o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("j.o_totalprice"), 2).alias("price"), F.sum("j.o_custkey").alias("customers"))
