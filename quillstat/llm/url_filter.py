@@ -1,11 +1,13 @@
 """URL rules behind a blocked Bloom filter.
 
 A rule lists a canonical URL prefix: a host, which stands for itself and its subdomains, and the start of a
-path. Each distinct page URL gives the few keys that could be listed (each suffix of its host with each path
-prefix of a listed length). The keys that pass the blocked Bloom filter meet the list in an exact hash join,
-which removes the filter's false positives; the longest listed key decides.
+path. Each distinct page URL gives the few keys that could be listed: suffixes of its host with as many labels as some
+listed host, with path prefixes of listed lengths. The keys that pass the blocked Bloom filter meet the list in an exact
+hash join, which removes the filter's false positives; the longest listed key decides. Verdicts go back to the pages by
+URL; URLs of over HOT_PAGES pages are found first, and their few verdicts are broadcast.
 
-A null URL, or one without "://", has an empty host and path and fits no rule. Repeated URLs are judged once.
+A null URL, or one without "://", has an empty host and path and fits no rule but one that lists the empty host. Rules
+with a null host or path are left out. Repeated URLs are judged once.
 An empty table gives an empty result, an empty list lets everything pass. Extra columns are carried through,
 unless they bear a result's name.
 """
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import materialise, read_table
+from quillstat.llm.common import free_name, materialise, read_table
 
 #: The rules of the registered query as (host, path, verdict).
 RULES = (
@@ -28,6 +30,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 BITS_PER_KEY, PROBES = 16, 4
+#: URLs of more pages than this get their verdicts by a broadcast, as long as these take at most BROADCAST_BYTES.
+HOT_PAGES, BROADCAST_BYTES = 100_000, 64 << 20
 #: The filter is broadcast up to so many blocks of 256 bits (40 bytes each); a larger one is joined by block.
 BROADCAST_BLOCKS = 500_000
 
@@ -62,37 +66,52 @@ def _bit(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", hot_pages: int = HOT_PAGES) -> DataFrame:
     """Append host, path, rule and verdict. rules: host, path, verdict; of equal rules, block wins."""
     spark = pages.sparkSession
     host, path = canonical(F.col(f"`{url_col}`"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     judged = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
-    listed = rules.select(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
+    listed = rules.select(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").dropna(subset=["rule_host", "rule_path"]).groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
     listed = materialise(listed.withColumn("key", F.xxhash64("rule_host", "rule_path")))
     n = listed.count()
     if not n:
         return judged.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     n_blocks = max(1, math.ceil(n * BITS_PER_KEY / 256))
     lengths = [r[0] for r in listed.select(F.length("rule_path")).distinct().collect()]  # as many as path lengths in use
-    parts = F.split("host", r"\.")
-    suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ".")))
+    labels = [r[0] for r in listed.select(F.size(F.split("rule_host", r"\."))).distinct().collect()]  # as many as label counts in use
+    ends = [F.substring_index("host", ".", -k) for k in sorted(labels)]  # the host itself where it has fewer labels
     prefixes = F.array_distinct(F.array(*[F.substring("path", 1, k) for k in sorted(lengths)]))
-    asked = judged.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"), prefixes.alias("prefixes"))
-    asked = asked.select("host", "path", "rule_host", F.explode("prefixes").alias("rule_path")).withColumn("key", F.xxhash64("rule_host", "rule_path"))
-    block, probes = _blocks_of(F.col("key"), n_blocks)
+    pairs = F.flatten(F.transform(F.array_distinct(F.array(*ends)), lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
     bits = bloom(listed.select("key"), n_blocks)
     if n_blocks <= BROADCAST_BLOCKS:
         bits = F.broadcast(bits)
-    passed = asked.withColumn("block", block).join(bits, "block")
-    for word, bit in probes:
-        chosen = F.when(word == 0, F.col("w0")).when(word == 1, F.col("w1")).when(word == 2, F.col("w2")).otherwise(F.col("w3"))
-        passed = passed.filter(chosen.bitwiseAND(_bit(bit)) != 0)
-    exact = passed.select("host", "path", "rule_host", "rule_path").join(listed.drop("key"), ["rule_host", "rule_path"])
-    size = F.length("rule_host") + F.length("rule_path")
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("wide"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("best"))
-    out = judged.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+    best, flag = free_name(judged, "_best"), free_name(judged, "_hot")
+
+    def verdicts(urls: DataFrame) -> DataFrame:
+        """(host, path, best) of the given distinct host and path pairs that fit a rule."""
+        asked = urls.select("host", "path", F.inline(pairs)).withColumn("key", F.xxhash64("rule_host", "rule_path"))
+        block, probes = _blocks_of(F.col("key"), n_blocks)
+        passed = asked.withColumn("block", block).join(bits, "block")
+        for word, bit in probes:
+            chosen = F.when(word == 0, F.col("w0")).when(word == 1, F.col("w1")).when(word == 2, F.col("w2")).otherwise(F.col("w3"))
+            passed = passed.filter(chosen.bitwiseAND(_bit(bit)) != 0)
+        exact = passed.select("host", "path", "rule_host", "rule_path").join(listed.drop("key"), ["rule_host", "rule_path"])
+        size = F.length("rule_host") + F.length("rule_path")
+        return exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("wide"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias(best))
+
+    hot = materialise(judged.groupBy("host", "path").agg(F.count("*").alias("n")).filter(F.col("n") > hot_pages).drop("n"))
+    size = hot.agg(F.count("*").alias("n"), F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("bytes")).first()
+    rest, parts = judged, []
+    if size["n"] and size["bytes"] <= BROADCAST_BYTES:
+        known = F.broadcast(materialise(hot.join(verdicts(hot), ["host", "path"], "left").withColumn(flag, F.lit(True))))
+        met = judged.join(known, ["host", "path"], "left")
+        parts, rest = [met.filter(F.col(flag)).drop(flag)], met.filter(F.col(flag).isNull()).drop(flag, best)
+    out = rest.join(verdicts(rest.select("host", "path").distinct()), ["host", "path"], "left")
+    for part in parts:
+        out = out.unionByName(part)
+    return out.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

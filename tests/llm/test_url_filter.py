@@ -52,3 +52,15 @@ def test_empty_sides(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/", "t", 1)], SCHEMA)
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert apply_rules(pages, none).first()["verdict"] == "allow"
+
+
+def test_hosts_of_many_labels_and_urls_of_many_pages(spark):
+    far = "http://" + "a." * 100_000 + "example.com/en/7"  # only suffixes as long as listed ones are built
+    urls = [far] + ["http://example.net/de/8"] * 500 + [None] * 500
+    assert judged(spark, urls) == {k: brute(u) for k, u in enumerate(urls)}
+    theirs = spark.createDataFrame([(k, u, f"b{k}", "h") for k, u in enumerate(urls)], "page_id bigint, url string, _best string, _hot string")
+    rules = spark.createDataFrame([*RULES, (None, "/", "block"), ("com", None, "block")], "host string, path string, verdict string")
+    for most in (100, 1):
+        got = apply_rules(theirs, rules, hot_pages=most).collect()
+        assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {k: brute(u) for k, u in enumerate(urls)}
+        assert all(r["_best"] == f"b{r['page_id']}" and r["_hot"] == "h" for r in got) and len(got) == len(urls)
