@@ -66,7 +66,7 @@ def models_for(classify: bool) -> list[str]:
     return ["random_forest", "logistic", "gradient_boosting", "neural_network"] if classify else ["random_forest", "ridge", "gradient_boosting"]
 
 
-def build(name: str, classify: bool, columns: list[str], params: dict, classes: int = 2):
+def build(name: str, classify: bool, columns: list[str], params: dict, classes: int = 2, seed: int = SEED):
     """An unfitted pipeline; the seed is always set."""
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
@@ -79,13 +79,13 @@ def build(name: str, classify: bool, columns: list[str], params: dict, classes:
         if not classify:
             raise ValueError("Spark ML has no neural network for regression")
         layers = [len(columns), *params.pop("layers", [32]), classes]
-        est = C.MultilayerPerceptronClassifier(layers=layers, seed=SEED, **params)
+        est = C.MultilayerPerceptronClassifier(layers=layers, seed=seed, **params)
     elif name == "random_forest":
-        est = (C.RandomForestClassifier if classify else R.RandomForestRegressor)(seed=SEED, **params)
+        est = (C.RandomForestClassifier if classify else R.RandomForestRegressor)(seed=seed, **params)
     elif name == "gradient_boosting":
         if classify and classes > 2:
             raise ValueError("Spark ML boosts two classes only")
-        est = (C.GBTClassifier if classify else R.GBTRegressor)(seed=SEED, **params)
+        est = (C.GBTClassifier if classify else R.GBTRegressor)(seed=seed, **params)
     elif name == "logistic":
         est = C.LogisticRegression(**params)
     elif name in ("ridge", "linear"):
@@ -126,10 +126,10 @@ def candidates(name: str, method: str, iterations: int, seed: int = SEED) -> lis
     return every if method == "grid" or len(every) <= iterations else random.Random(seed).sample(every, iterations)
 
 
-def cross_validate(rows: DataFrame, name: str, classify: bool, columns: list[str], params: dict, folds: int = FOLDS, classes: int = 2) -> dict[str, float]:
+def cross_validate(rows: DataFrame, name: str, classify: bool, columns: list[str], params: dict, folds: int = FOLDS, classes: int = 2, seed: int = SEED) -> dict[str, float]:
     scores = []
     for k in range(folds):
-        fitted = build(name, classify, columns, params, classes).fit(rows.filter(F.col("fold") != k))
+        fitted = build(name, classify, columns, params, classes, seed).fit(rows.filter(F.col("fold") != k))
         scores.append(headline(evaluate(fitted.transform(rows.filter(F.col("fold") == k)), classify, classes), classify))
     mean = sum(scores) / len(scores)
     return {"mean": mean, "std": (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5, "folds": folds}
@@ -147,10 +147,11 @@ def baselines(train: DataFrame, test: DataFrame, classify: bool, columns: list[s
     return out
 
 
-def experiment(df: DataFrame, dependent: str, predictors: list[str], models: list[str] | None = None, tuning: str = "random", iterations: int = ITERATIONS, folds: int = FOLDS, classify: bool | None = None, select_on: str = "test", validate: bool = True) -> dict:
+def experiment(df: DataFrame, dependent: str, predictors: list[str], models: list[str] | None = None, tuning: str = "random", iterations: int = ITERATIONS, folds: int = FOLDS, classify: bool | None = None, select_on: str = "test", validate: bool = True, test_size: float = TEST_SIZE, val_size: float = VAL_SIZE, seed: int = SEED) -> dict:
     """Split, baselines, a tuned and evaluated model of each kind, and the best by F1 or R2 on `select_on`.
 
-    One model's failure is reported beside the others' results.
+    Equal rows fall on the same side of the split, which `seed` changes. One model's failure is reported beside the
+    others' results.
     """
     rows, columns = prepare(df, dependent, predictors)
     classify = is_classification(rows, "label") if classify is None else classify
@@ -160,8 +161,8 @@ def experiment(df: DataFrame, dependent: str, predictors: list[str], models: lis
         classes = max(2, len(found))
         codes = F.create_map(*[F.lit(float(x)) for k, v in enumerate(found) for x in (v, k)])
         rows = rows.withColumn("label", codes[F.col("label")])
-    key = row_key(rows.columns)
-    rows = rows.withColumn("split", split_column(key)).withColumn("fold", fold_column(key, folds)).persist()
+    key = F.pmod(F.xxhash64(row_key(rows.columns), F.lit(seed)), F.lit(1_000_000))
+    rows = rows.withColumn("split", split_column(key, test_size, val_size)).withColumn("fold", fold_column(key, folds)).persist()
     try:
         train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
         report: dict = {"problem": "classification" if classify else "regression", "columns": columns, "split": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}}
@@ -170,14 +171,14 @@ def experiment(df: DataFrame, dependent: str, predictors: list[str], models: lis
         for name in models or models_for(classify):
             try:
                 tried = []
-                for params in candidates(name, tuning, iterations):
-                    model = build(name, classify, columns, params, classes).fit(train)
+                for params in candidates(name, tuning, iterations, seed):
+                    model = build(name, classify, columns, params, classes, seed).fit(train)
                     tried.append((headline(evaluate(model.transform(val), classify, classes), classify), params, model))
                 score, params, model = max(tried, key=lambda t: t[0])
                 result = {"params": params, "best_score": score, "tried": len(tried)}
                 result |= {f"{s}_metrics": evaluate(model.transform(part), classify, classes) for s, part in (("train", train), ("val", val), ("test", test))}
                 if validate:
-                    result["cross_validation"] = cross_validate(rows, name, classify, columns, params, folds, classes)
+                    result["cross_validation"] = cross_validate(rows, name, classify, columns, params, folds, classes, seed)
                 report["models"][name], fitted[name] = result, model
             except Exception as e:  # reported, not hidden
                 report["models"][name] = {"error": f"{type(e).__name__}: {e}"[:300]}

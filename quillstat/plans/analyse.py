@@ -154,7 +154,7 @@ def analyse(df: DataFrame, request: dict | AnalysisRequest | None = None, prepro
         config = TrainingConfig.of(model_training)
         if config.enabled and request.predictive:
             classify = None if config.problemType is None else config.problemType == "classification"
-            out.training = training.experiment(table, request.predictive["dependent"], have(request.predictive["predictors"]), config.models, config.tuningMethod, config.tuningIterations, config.cvFolds, classify)
+            out.training = training.experiment(table, request.predictive["dependent"], have(request.predictive["predictors"]), config.models, config.tuningMethod, config.tuningIterations, config.cvFolds, classify, test_size=config.testSize, val_size=config.valSize, seed=config.randomSeed)
         out.charts = request.charts or charts.suggestions({"mode": request.mode, "descriptive": request.descriptive, "inferential": request.inferential, "predictive": request.predictive}, types)
         collected = lambda frame: [r.asDict() for r in frame.collect()] if frame is not None else []
         model = {"kind": out.model.kind, "dependent": out.model.dependent} if out.model else None

@@ -740,12 +740,14 @@ def planned_analysis(spark, sf):
     return spark.createDataFrame([(made["predictive"]["modelType"], made["predictive"]["dependent"])], "model string, dependent string")
 
 
-@query("full_analysis", "SELECT 'o_totalprice' AS column_name, count(*)::BIGINT AS n, round(avg(o_totalprice), 2) AS mean FROM orders")
+@query("full_analysis", "SELECT 'o_totalprice' AS column_name, count(*)::BIGINT AS n, round(avg(o_totalprice), 2) AS mean, round(corr(o_totalprice, o_custkey), 4) + 0.0 AS r, round(regr_slope(o_totalprice, o_custkey), 4) + 0.0 AS slope, round(regr_intercept(o_totalprice, o_custkey), 2) AS intercept FROM orders")
 def full_analysis(spark, sf):
     from quillstat.plans.analyse import analyse
 
     request = {"mode": "manual", "descriptive": {"columns": ["o_totalprice"]}, "inferential": {"correlationPairs": [["o_totalprice", "o_custkey"]]}, "predictive": {"dependent": "o_totalprice", "predictors": ["o_custkey"], "modelType": "linear"}}
-    return analyse(table(spark, sf, "orders"), request).described.select(F.col("column").alias("column_name"), F.col("count").alias("n"), r("mean", 2))
+    out = analyse(table(spark, sf, "orders"), request)
+    found = out.correlations.first()["r"]
+    return out.described.select(F.col("column").alias("column_name"), F.col("count").alias("n"), r("mean", 2), r(F.lit(found), 4, "r"), r(F.lit(out.model.coefficients[0]), 4, "slope"), r(F.lit(out.model.intercept), 2, "intercept"))
 
 
 @query("windowed_profile", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(value)::BIGINT AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")

@@ -57,8 +57,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def read_frame(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """A table by its extension; an unknown one is read as comma-separated text."""
+def read_frame(spark: SparkSession, path: str, infer: bool = True, multiline: bool = True) -> DataFrame:
+    """A table by its extension; an unknown one is read as comma-separated text. Quoted fields may hold line breaks
+    unless multiline is off; only then can large text files be split among tasks."""
     kind = extension(path)
     if kind == ".parquet":
         return nulls(spark.read.parquet(path))
@@ -67,7 +68,7 @@ def read_frame(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     if kind in EXCEL_EXTENSIONS:
         df = read_xlsx(spark, path)
     else:
-        df = spark.read.csv(path, header=True, sep="\t" if kind == ".tsv" else ",", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", multiLine=True, escape='"')
+        df = spark.read.csv(path, header=True, sep="\t" if kind == ".tsv" else ",", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", multiLine=multiline, escape='"')
     df = nulls(with_row_id(df))
     return infer_types(df) if infer else df
 

@@ -1,11 +1,13 @@
 """The first sheet of an .xlsx workbook, with the standard library only.
 
 A workbook is one compressed document, so one task reads it; it comes through Spark's binary reader and so from
-any file system that Spark has.
+any file system that Spark has. Numbers in a date format become dates as text, "2024-03-01" or "2024-03-01 12:30:00";
+those before 1 March 1900, where the calendar of workbooks has a day too many, and pure times stay numbers.
 """
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -27,13 +29,42 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+#: The built-in number formats that show a date.
+DATE_FORMATS = (14, 15, 16, 17, 22)
+
+
+def date_styles(styles: bytes) -> set[int]:
+    """Cell styles whose number format shows a year, or a day with a month."""
+    root = ElementTree.fromstring(styles)
+    dates = set(DATE_FORMATS)
+    for f in root.iter(f"{_NS}numFmt"):
+        shown = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        if "y" in shown or ("d" in shown and "m" in shown):
+            dates.add(int(f.get("numFmtId")))
+    formats = root.find(f"{_NS}cellXfs")
+    return {k for k, x in enumerate(formats if formats is not None else ()) if int(x.get("numFmtId") or 0) in dates}
+
+
+def as_date(raw: str, since_1904: bool) -> str:
+    days = float(raw)
+    if days < (0 if since_1904 else 61) or days > 2_958_465:
+        return raw
+    start = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 30)
+    at = start + datetime.timedelta(seconds=round(days * 86400))
+    return at.strftime("%Y-%m-%d" if at.time() == datetime.time() else "%Y-%m-%d %H:%M:%S")
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        first = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet"))
+        workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        first = next(workbook.iter(f"{_NS}sheet"))
+        settings = workbook.find(f"{_NS}workbookPr")
+        since_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        dates = date_styles(book.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         target = links[first.get(f"{_REL}id")].lstrip("/")
         with book.open(target if target.startswith("xl/") else f"xl/{target}") as sheet:
@@ -52,6 +83,8 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                         raw = shared[int(raw)]
                     elif kind == "b" and raw is not None:
                         raw = "true" if raw == "1" else "false"
+                    elif kind in (None, "n") and raw and int(cell.get("s") or 0) in dates:
+                        raw = as_date(raw, since_1904)
                     values[at] = raw
                 yield values
                 row.clear()
