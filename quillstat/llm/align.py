@@ -25,7 +25,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import chunks, free_name, read_table, session_defaults, stored, utf8_parts
+from quillstat.llm.common import chunks, free_name, read_table, resident, session_defaults, stored, tidy, utf8_parts
 
 #: The mark of a space in pieces, and how many bits an id takes in a pair.
 MARK, ID_BITS = "▁", 20
@@ -171,10 +170,9 @@ class Pair:
         return {"figures": sums[:, :4], "groups": groups, "pairs": key & ((1 << 2 * ID_BITS) - 1), "times": times, "upto": upto}
 
 
-@lru_cache(1)
 def tokenizers_of(path_a: str, path_b: str) -> Pair:
     """Read once in each worker; the files must be at these paths on every machine."""
-    return Pair(path_a, path_b)
+    return resident("align", (path_a, path_b), lambda: Pair(path_a, path_b))
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", groups: bool = False) -> DataFrame:
@@ -201,7 +199,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", g
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), *columns], names=[*keep, *made])
 
     shape = [*fields, *(f"{c} bigint" for c in COUNTS), "groups_sha256 string", "pairs array<bigint>", "times array<int>", *["groups string"] * groups]
-    return source.mapInArrow(run, ", ".join(shape))
+    return source.mapInArrow(tidy(run), ", ".join(shape))
 
 
 def expand_groups(with_groups: DataFrame) -> DataFrame:
@@ -251,7 +249,7 @@ def with_corpus_counts(with_pairs: DataFrame, counts: DataFrame, most: int = BRO
             rest = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x[~there])) for x in (pairs, times)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sums[0]), pa.array(sums[1]), *rest], names=[*keep, "n_best", "count_sum", "rest", "rest_times"])
 
-    met = with_pairs.select(*[F.col(f"`{c}`") for c in keep], "pairs", "times").mapInArrow(run, ", ".join([*fields, "n_best bigint, count_sum bigint, rest array<bigint>, rest_times array<int>"]))
+    met = with_pairs.select(*[F.col(f"`{c}`") for c in keep], "pairs", "times").mapInArrow(tidy(run), ", ".join([*fields, "n_best bigint, count_sum bigint, rest array<bigint>, rest_times array<int>"]))
     if not low:
         return met.drop("rest", "rest_times")
     key = free_name(met, "_row")

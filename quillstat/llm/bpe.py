@@ -16,7 +16,6 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import chunks, read_table, session_defaults, utf8_parts
+from quillstat.llm.common import chunks, read_table, resident, session_defaults, tidy, utf8_parts
 
 LONG_PIECE = 256
 #: Words that a worker remembers; when full, it forgets all and goes on.
@@ -194,12 +193,15 @@ class ByteBpe:
         return self.token_bytes[take], ends[at]
 
 
-@lru_cache(2)
 def tokenizer(path: str, pattern: str) -> ByteBpe:
     """Read once in each worker; the file must be at this path on every machine."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return ByteBpe(ranks, pattern)
+
+    def read() -> ByteBpe:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return ByteBpe(ranks, pattern)
+
+    return resident("bpe", (path, pattern), read)
 
 
 def _with(df: DataFrame, drop: tuple[str, ...], last: str) -> tuple[DataFrame, list[str]]:
@@ -225,7 +227,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), lists, decoded], names=names)
 
-    return source.mapInArrow(run, ", ".join([*fields, "ids array<int>", "decoded binary"]))
+    return source.mapInArrow(tidy(run), ", ".join([*fields, "ids array<int>", "decoded binary"]))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -248,7 +250,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
             decoded = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], decoded], names=names)
 
-    return source.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+    return source.mapInArrow(tidy(run), ", ".join([*fields, "decoded binary"]))
 
 
 def digests(df: DataFrame) -> DataFrame:

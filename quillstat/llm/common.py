@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text handled at once inside a task; a longer single text is handled alone and whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: One random odd word per byte value; the same in every worker because the seed is fixed.
@@ -42,7 +43,14 @@ def session_defaults(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quillstat-checkpoints"
+    """The folder that spark.checkpoint.dir names. Where it is unset, a session on one machine gets a local one; on a
+    cluster, where executors would not see that, it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/quillstat-checkpoints"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -60,6 +68,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_resident: dict[str, tuple] = {}
+
+
+def resident(name: str, key: tuple, make: Callable):
+    """What an operator keeps in a worker from task to task. Spark's workers outlive a stage, so that only the operator
+    in use keeps anything: another name drops what was kept."""
+    if _resident.get(name, (None,))[0] != key:
+        _resident.clear()
+        _resident[name] = (key, make())
+    return _resident[name][1]
+
+
+def tidy(run: Callable) -> Callable:
+    """The same function over batches; in the end it gives freed memory back to the system, as the worker lives on."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     session_defaults(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import PLACE, Words, chunks, free_name, materialise, mix, read_table, row_key, semi_by_id, session_defaults, utf8_parts, windows
+from quillstat.llm.common import PLACE, Words, chunks, free_name, materialise, mix, read_table, row_key, semi_by_id, session_defaults, tidy, utf8_parts, windows
 
 FEATURES, RANK, COMMON, OVERSAMPLE = 8192, 128, 8, 16
 #: A passage is WINDOW words long, one begins every STRIDE words.
@@ -66,7 +66,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FEATURES)), pa.array(np.append(n, seen))], names=["feature", "docs"])
 
-    made = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "feature bigint, docs bigint")
+    made = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), "feature bigint, docs bigint")
     rows = dict(made.groupBy("feature").agg(F.sum("docs").alias("docs")).collect())
     return np.array([rows.get(f, 0) for f in range(FEATURES)], float), rows.get(-1, 0)
 
@@ -164,7 +164,7 @@ def fit_directions(docs: DataFrame, idf: np.ndarray, text_col: str = "text", see
 
     # sums of sums, so that no task holds more than about the root of all partial sums of a slice
     fan = max(1, round(parts**0.5))
-    made = texts.mapInArrow(run, "start bigint, part binary").withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(fan)).cast("int")).select("start", "lot", "part")
+    made = texts.mapInArrow(tidy(run), "start bigint, part binary").withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(fan)).cast("int")).select("start", "lot", "part")
     lots = made.groupBy("start", "lot").applyInPandas(add, "start bigint, lot int, part binary")
     rows = lots.select("start", "part").groupBy("start").applyInPandas(add, "start bigint, part binary").collect()
     y = np.concatenate([np.frombuffer(r["part"], np.float32).astype(float).reshape(-1, width) for r in sorted(rows, key=lambda r: r["start"])])
@@ -243,7 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
         items = item_table([(r["item_id"], r["text"]) for r in numbered.filter(F.col("block") == block).collect()])  # about ITEM_BLOCK rows
         if items:
-            part = named.mapInArrow(_search(shared, spark.sparkContext.broadcast(items)), LEAKS)
+            part = named.mapInArrow(tidy(_search(shared, spark.sparkContext.broadcast(items))), LEAKS)
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], LEAKS)

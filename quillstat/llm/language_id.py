@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import chunks, materialise, read_table, session_defaults, utf8_parts
+from quillstat.llm.common import chunks, materialise, read_table, session_defaults, tidy, utf8_parts
 
 NGRAMS = (1, 2, 3)
 BUCKETS = 8192
@@ -98,7 +98,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], n))], names=["bucket", "n"])
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     held = np.zeros(BUCKETS, np.int64)
     total = 0
     for r in rows:
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, model: Centroids, text_col: str = "text", reject:
             said = np.where(off, UNKNOWN, names[best]) if reject else names[best]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(said, pa.string()), pa.array(cosine), pa.array(off)], names=[*keep, *results])
 
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
+    return source.mapInArrow(tidy(run), ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
 
 
 def held_out(column: str = "doc_id") -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import BROADCAST_IDS, Words, chunks, few_parts, free_name, in_doc, materialise, mix, read_table, row_key, semi_by_id, session_defaults, small_side, stored, utf8_parts, windows
+from quillstat.llm.common import BROADCAST_IDS, Words, chunks, few_parts, free_name, in_doc, materialise, mix, read_table, row_key, semi_by_id, session_defaults, small_side, stored, tidy, utf8_parts, windows
 
 SHINGLE = 5
 #: Links need 100 * intersection >= LINK_PERCENT * union.
@@ -86,7 +86,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 starts = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * TREES), pa.array(roots.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), rows, starts], names=["doc_id", "n_shingles", "h1", "h2", "sig", "roots"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, FEATURES)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), FEATURES)
 
 
 def blocks(classes: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _by_block(rows: DataFrame, work) -> DataFrame:
             yield done(held)
 
     dealt = rows.repartition("block").sortWithinPartitions("block", "rep")
-    return dealt.mapInArrow(run, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("times")).select("a", "b")
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("times")).select("a", "b")
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def confirmed(docs: DataFrame, where: DataFrame, id_col: str = "doc_id", text_co
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:2]), sets], names=["blocks", "rep", "shingles"])
 
-    sets = picked.mapInArrow(run, "blocks array<bigint>, rep bigint, shingles array<bigint>")
+    sets = picked.mapInArrow(tidy(run), "blocks array<bigint>, rep bigint, shingles array<bigint>")
 
     def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         lists = t.column("shingles").combine_chunks()

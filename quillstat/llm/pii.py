@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import Words, chunks, read_table, session_defaults, utf8_parts
+from quillstat.llm.common import Words, chunks, read_table, session_defaults, tidy, utf8_parts
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -362,7 +362,7 @@ def find_pii(df: DataFrame, text_col: str = "text", redact: bool = False) -> Dat
                     made = pa.array([[{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in spans] for spans in found], kind)
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), made], names=names)
 
-    out = source.mapInArrow(run, ", ".join(fields))
+    out = source.mapInArrow(tidy(run), ", ".join(fields))
     return out.select(*df.columns) if redact else out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table, session_defaults, utf8_parts, windows
+from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table, session_defaults, tidy, utf8_parts, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_marks", "n_ended_lines")
 #: The characters counted as symbols.
@@ -90,7 +90,7 @@ def text_counts(df: DataFrame, text_col: str = "text", keep: list[str] | None =
             made = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *COUNTS])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

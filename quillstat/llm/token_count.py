@@ -17,7 +17,6 @@ table gives an empty result. Extra columns are carried through, unless they bear
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import chunks, read_table, session_defaults, utf8_parts
+from quillstat.llm.common import chunks, read_table, resident, session_defaults, tidy, utf8_parts
 
 #: The mark for a space, and by how much an unknown character is worse than the worst piece.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
@@ -88,15 +87,18 @@ class Unigram:
         return pieces, score
 
 
-@lru_cache(1)
 def model(path: str) -> Unigram:
     """The pieces and scores of a sentencepiece file, read as a unigram vocabulary, once in each worker."""
-    import sentencepiece
 
-    own = sentencepiece.SentencePieceProcessor(model_file=path)
-    skip = [own.is_control(k) or own.is_byte(k) for k in range(own.get_piece_size())]
-    pieces = [(own.id_to_piece(k), own.get_score(k)) for k in range(own.get_piece_size())]
-    return Unigram([("", s) if skip[k] else (p, s) for k, (p, s) in enumerate(pieces)], own.unk_id())
+    def read() -> Unigram:
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_file=path)
+        skip = [own.is_control(k) or own.is_byte(k) for k in range(own.get_piece_size())]
+        pieces = [(own.id_to_piece(k), own.get_score(k)) for k in range(own.get_piece_size())]
+        return Unigram([("", s) if skip[k] else (p, s) for k, (p, s) in enumerate(pieces)], own.unk_id())
+
+    return resident("token_count", (path,), read)
 
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -115,7 +117,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 counts = [own.count(t) for t in column[i:j].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), pa.array(np.array([c for c, _ in counts], np.int64)), pa.array(np.array([s for _, s in counts], float))], names=[*kept, "n_tokens", "score"])
 
-    return source.mapInArrow(run, ", ".join([*fields, "n_tokens bigint", "score double"]))
+    return source.mapInArrow(tidy(run), ", ".join([*fields, "n_tokens bigint", "score double"]))
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import materialise, read_table, session_defaults
+from quillstat.llm.common import materialise, read_table, session_defaults, tidy
 
 #: At most so many labelled documents of each kind are learned from, picked by a hash of their ids.
 LEARN_DOCS = 10_000
@@ -110,7 +110,7 @@ def measure(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: list[str], tex
             counts = [saving_counts(t.as_py(), toxic, ordinary) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.list_(pa.int64()))], names=names)
 
-    return source.mapInArrow(run, ", ".join([*fields, "saved array<bigint>"]))
+    return source.mapInArrow(tidy(run), ", ".join([*fields, "saved array<bigint>"]))
 
 
 def likelihoods(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -232,7 +232,7 @@ def training_windows(learned: DataFrame, telling: set[str]) -> tuple[list[bytes]
             yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], shape)
 
     shape = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("nth", pa.int64()), ("piece", pa.binary())])
-    made = materialise(learned.select("doc_id", "toxic", "text").mapInArrow(run, "kind int, doc_id bigint, nth bigint, piece binary"))
+    made = materialise(learned.select("doc_id", "toxic", "text").mapInArrow(tidy(run), "kind int, doc_id bigint, nth bigint, piece binary"))
 
     def some(kinds: str) -> list[bytes]:
         rows = made.filter(f"kind in ({kinds})").orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth").limit(LEARN_WINDOWS)
@@ -273,7 +273,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     measured = measure(docs.withColumn("held_out", held_out("doc_id")), *pair, keep=["doc_id", "held_out"])
-    return measured.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int, n_windows bigint, most_saved bigint")
+    return measured.mapInArrow(tidy(run), f"doc_id {id_type}, held_out boolean, score double, predicted int, n_windows bigint, most_saved bigint")
 
 
 SCORES = ["doc_id", "held_out", "score", "predicted", "n_windows", "most_saved"]

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import materialise, read_table, session_defaults, shared_folder
+from quillstat.llm.common import materialise, read_table, session_defaults, shared_folder, tidy
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 5000
@@ -125,7 +125,7 @@ def convert_arc(archives: DataFrame, name_col: str = "path", content_col: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return archives.select(F.col(name_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(run, RECORD)
+    return archives.select(F.col(name_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(tidy(run), RECORD)
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
 
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "path string, content binary")
+    return source.mapInArrow(tidy(run), "path string, content binary")
 
 
 def mark_revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -300,7 +300,7 @@ def read_warc(spark: SparkSession, path: str, with_block: bool = True) -> DataFr
                 if rows:
                     yield batch_of(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), READ)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
