@@ -59,15 +59,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Cut lineage with a table in the shared folder. Unlike a checkpoint, it also forgets what the planner knew of
-    the columns, which in a loop of joins grows from round to round until planning takes longer than the work."""
+    the columns, which in a loop of joins grows from round to round until planning takes longer than the work. Its path
+    is added to `made`, for who discards it in the end."""
     session_defaults(df.sparkSession)
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _resident: dict[str, tuple] = {}
 
 

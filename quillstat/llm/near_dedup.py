@@ -20,7 +20,8 @@
 Links, families, components and signatures stay in Spark tables throughout; the driver sees counts only.
 
 A null, empty or wordless text has an empty set and is linked with nothing. A text of one to four words is one
-shingle. Repeated rows fall in one class. Rows that share a doc_id but not a text are each judged by their text.
+shingle. Repeated rows fall in one class. Of rows that share a doc_id but
+not a text, each links by its own text, and their links join one component, as components are of ids.
 An empty table gives an empty result. Other columns are not read.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import BROADCAST_IDS, Words, chunks, few_parts, free_name, in_doc, materialise, mix, read_table, row_key, semi_by_id, session_defaults, small_side, stored, tidy, utf8_parts, windows
+from quillstat.llm.common import BROADCAST_IDS, Words, chunks, discard, few_parts, free_name, in_doc, materialise, mix, read_table, row_key, semi_by_id, session_defaults, small_side, stored, tidy, utf8_parts, windows
 
 SHINGLE = 5
 #: Links need 100 * intersection >= LINK_PERCENT * union.
@@ -341,7 +342,7 @@ def components(links: DataFrame) -> DataFrame:
     """(rep, label): the least rep reachable. Each round hooks every node to its least neighbour, halves the
     paths twice, and contracts the links, so that rounds grow as the logarithm of the longest path. While links are
     few, their tables are broadcast and kept in few partitions; beyond that the same joins shuffle."""
-    edges = materialise(links.select("a", "b"))
+    edges, made = materialise(links.select("a", "b")), []
     n = edges.count()
     labels = None
     while n:
@@ -352,7 +353,7 @@ def components(links: DataFrame) -> DataFrame:
         for _ in range(2):
             over = up.select(F.col("a").alias("up"), F.col("up").alias("over"))
             up = up.join(small_side(over, 2 * n), "up", "left").select("a", F.coalesce("over", "up").alias("up"))
-        up = stored(up)
+        up = stored(up, made)
         if labels is None:
             labels, ends = up.select(F.col("a").alias("rep"), F.col("up").alias("label")), 2 * n
         else:
@@ -360,11 +361,14 @@ def components(links: DataFrame) -> DataFrame:
             labels = labels.join(small_side(to, 2 * n), "label", "left").select("rep", F.coalesce("up", "label").alias("label"))
         x, y = up.select("a", F.col("up").alias("x")), up.select(F.col("a").alias("b"), F.col("up").alias("y"))
         left = edges.join(small_side(x, 2 * n), "a").join(small_side(y, 2 * n), "b").filter("x != y")
-        edges = stored(few_parts(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n))
+        edges = stored(few_parts(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n), made)
         n = edges.count()
     if labels is None:
         return edges.select(F.col("a").alias("rep"), F.col("b").alias("label"))
-    return materialise(few_parts(labels, ends))
+    labels = materialise(few_parts(labels, ends))
+    for path in made:
+        discard(links.sparkSession, path)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

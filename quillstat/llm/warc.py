@@ -7,9 +7,11 @@ from the record's content and place, so a task that runs again makes the same on
 14-digit archive date, digests from the bytes. Of equal payloads of at least REVISIT_BYTES bytes, one stays a
 response and the others become revisits of it.
 
-Files are written by Spark's text writer, one record a row with CRLF CRLF between, gzip-compressed, at most
-RECORDS_PER_FILE records each; they are read with Spark's binary reader and cut by declared lengths, so both work
-on any file system that Spark has.
+Payloads are bytes all the way, whatever they hold; ARC files may be gzip-compressed, as a whole or by records. WARC
+files hold one gzip member a record and about FILE_BYTES each. They are written by Spark's text writer, whose row
+separator is set to the zero byte that ends every member of under 16 MB (the top of its length), and read with Spark's
+binary reader and cut by declared lengths, so both work on any file system that Spark has. A record of 16 MB or more
+takes several members.
 
 A null payload is empty; an empty payload is a record like any other. A null id gives no id header and reads back
 as null. Repeated rows each give a record. An empty table gives no response records. A URL is written with its
@@ -32,10 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import materialise, read_table, session_defaults, shared_folder, tidy
+from quillstat.llm.common import discard, materialise, read_table, session_defaults, shared_folder, tidy
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 5000
+#: Uncompressed bytes of records after which a task begins another file, and the bytes that one gzip member holds at most.
+FILE_BYTES, MEMBER_BYTES = 64 << 20, (16 << 20) - 1
 #: At most so many leaders (about 300 bytes each) are broadcast; more meet the records in a join that shuffles them.
 BROADCAST_LEADERS = 100_000
 #: Header fields by ARC version, and the WARC revisit profile.
@@ -44,7 +47,7 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, target_uri string, record_date string, ip string, content_type string, page_id bigint, http_head string, payload string, payload_bytes bigint, payload_sha1 string"
+RECORD = "record_id string, record_type string, target_uri string, record_date string, ip string, content_type string, page_id bigint, http_head binary, payload binary, payload_bytes bigint, payload_sha1 string"
 
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -66,26 +69,34 @@ def arc_opening(version: int, name: str, date: str) -> bytes:
 
 
 def parse_arc(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, body) of each record, by the field list of the file's own version."""
-    at, fields = 0, None
+    """(offset, header fields, body) of each record, by the field list of the file's own version. The content may be
+    gzip-compressed; offsets are those of the uncompressed file."""
+    stream, fields = _Stream(content), None
     while True:
-        while content[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(content):
+        at = stream.place
+        raw = stream.line(b"\n")
+        if raw is None:
             return
-        end = content.index(b"\n", at)
-        line = content[at:end].rstrip(b"\r").decode("utf-8", "replace")
-        if fields is None:
-            version = int(content[end + 1 :].split(None, 1)[0])
-            fields = ARC_FIELDS[version]
-        values = line.rsplit(" ", len(fields) - 1)
+        line = raw.rstrip(b"\r").decode("utf-8", "replace")
+        if not line:
+            continue
+        if fields is None:  # the version stands in the first record's body; in any version its length ends the line
+            body = stream.take(_length(line, at))
+            fields = ARC_FIELDS[int(body.split(None, 1)[0])]
+            values = line.rsplit(" ", len(fields) - 1)
+        else:
+            values = line.rsplit(" ", len(fields) - 1)
+            body = stream.take(_length(line, at)) if len(values) == len(fields) else b""
         if len(values) != len(fields):
             raise ValueError(f"ARC header line at {at} has {len(values)} of {len(fields)} fields")
-        length = int(values[-1])
-        if end + 1 + length > len(content):
-            raise ValueError(f"ARC record at {at} declares {length} bytes; {len(content) - end - 1} are left")
-        yield at, dict(zip(fields, values, strict=True)), content[end + 1 : end + 1 + length]
-        at = end + 1 + length
+        yield at, dict(zip(fields, values, strict=True)), body
+
+
+def _length(line: str, at: int) -> int:
+    last = line.rpartition(" ")[2]
+    if not last.isdecimal():
+        raise ValueError(f"ARC header line at {at} has fields that end with no length")
+    return int(last)
 
 
 def _converted(name: str, content: bytes) -> Iterator[tuple]:
@@ -103,7 +114,7 @@ def _converted(name: str, content: bytes) -> Iterator[tuple]:
             kind = "response"
             found = re.search(rb"(?im)^X-Page-Id: *(-?\d+)", http)
             page = int(found[1]) if found else None
-        yield f"<urn:uuid:{uuid.UUID(bytes=made, version=5)}>", kind, url, when, head["IP-address"], head["Content-type"], page, http.decode("latin-1"), payload.decode("utf-8", "replace"), len(payload), hashlib.sha1(payload).hexdigest()
+        yield f"<urn:uuid:{uuid.UUID(bytes=made, version=5)}>", kind, url, when, head["IP-address"], head["Content-type"], page, http, payload, len(payload), hashlib.sha1(payload).hexdigest()
 
 
 def convert_arc(archives: DataFrame, name_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -112,7 +123,7 @@ def convert_arc(archives: DataFrame, name_col: str = "path", content_col: str =
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64() if n in ("page_id", "payload_bytes") else pa.string() for n in names]
+        types = [pa.int64() if n in ("page_id", "payload_bytes") else pa.binary() if n in ("http_head", "payload") else pa.string() for n in names]
         for batch in batches:
             rows, held = [], 0
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -178,12 +189,12 @@ def mark_revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC/1.1 record a row; the writer's CRLF CRLF line separator ends each."""
+    """WARC/1.1 records, a gzip member each, in files of about FILE_BYTES."""
 
     def header(name: str, value) -> F.Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
-    block = F.concat("http_head", F.when(F.col("record_type") == "revisit", "").otherwise(F.col("payload")))
+    block = F.concat("http_head", F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload")))
     http = F.col("record_type").isin("response", "revisit")
     made = records.withColumn("block", block)
     digest = F.concat(F.lit("sha1:"), F.col("payload_sha1"))
@@ -195,7 +206,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         header("WARC-Target-URI", F.when(F.col("record_type") != "warcinfo", F.col("target_uri"))),
         header("WARC-IP-Address", F.when(F.col("ip") != "0.0.0.0", F.col("ip"))),
         header("WARC-Payload-Digest", F.when(http, digest)),
-        header("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(F.encode("block", "UTF-8")))),
+        header("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1("block"))),
         header("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(REVISIT_PROFILE))),
         header("WARC-Refers-To", F.col("refers_to_id")),
         header("WARC-Refers-To-Target-URI", F.col("refers_to_uri")),
@@ -205,14 +216,36 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.octet_length("block").cast("string"),
         F.lit("\r\n\r\n"),
     )
-    made.select(F.concat(head, F.col("block")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    whole = made.select(F.concat(F.encode(head, "UTF-8"), F.col("block"), F.lit("\r\n\r\n").cast("binary")).alias("record"))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume, held = 0, 0
+        for batch in batches:
+            rows, volumes = [], []
+            for record in batch.column(0):
+                raw = record.as_buffer()
+                if held and held + len(raw) > FILE_BYTES:
+                    volume, held = volume + 1, 0
+                held += len(raw)
+                rows.append(b"".join(map(member, (raw[k : k + MEMBER_BYTES] for k in range(0, len(raw), MEMBER_BYTES))))[:-1])
+                volumes.append(volume)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(volumes, pa.int32())], names=["value", "volume"])
+
+    files = whole.mapInArrow(tidy(compress), "value binary, volume int").select(F.col("value").cast("string").alias("value"), "volume")
+    files.write.option("lineSep", "\0").option("compression", "none").partitionBy("volume").text(path)
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member; its last byte is 0, as it is the top of a length of under 16 MB."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
 
 
 class _Stream:
-    """Bytes of one file, decompressed as they are asked for."""
+    """Bytes of one file, decompressed as they are asked for; `place` counts the bytes given out."""
 
     def __init__(self, content: bytes):
-        self.content, self.at, self.rest = content, 0, b""
+        self.content, self.at, self.rest, self.place = content, 0, b"", 0
         self.plain = not content.startswith(b"\x1f\x8b")
         self.inflate = None if self.plain else zlib.decompressobj(31)
 
@@ -229,21 +262,27 @@ class _Stream:
         self.rest += self.inflate.decompress(part)
         return True
 
-    def line(self) -> bytes | None:
-        while (k := self.rest.find(b"\r\n")) < 0:
+    def line(self, end: bytes = b"\r\n") -> bytes | None:
+        """Up to the next line end; what stands behind the last one is a line too, and nothing is None."""
+        while (k := self.rest.find(end)) < 0:
             if not self._more():
-                return None
-        out, self.rest = self.rest[:k], self.rest[k + 2 :]
-        return out
+                break
+        if k < 0:
+            k = len(self.rest)
+        out, behind = self.rest[:k], self.rest[k : k + len(end)]
+        self.rest = self.rest[k + len(end) :]
+        self.place += k + len(behind)
+        return out if out or behind else None
 
     def take(self, n: int) -> bytes:
         parts, have = [], 0
         while have < n:
             if not self.rest and not self._more():
-                raise ValueError("a WARC record declares more bytes than the file has")
+                raise ValueError("a record declares more bytes than the file has")
             part, self.rest = self.rest[: n - have], self.rest[n - have :]
             parts.append(part)
             have += len(part)
+        self.place += n
         return b"".join(parts)
 
 
@@ -308,6 +347,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     convert_arc(pages_to_arc(read_table(spark, sf_dir, "pages"))).write.parquet(f"{folder}/records")
     write_warc(mark_revisits(spark.read.parquet(f"{folder}/records")), f"{folder}/archives")
     back = materialise(read_warc(spark, f"{folder}/archives", with_block=False).filter("record_type in ('response', 'revisit')").drop("block"))
+    discard(spark, folder)
     lead = back.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     revisits = back.filter("record_type = 'revisit'").join(lead, "refers_to_id", "left")
     columns = ["page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type"]

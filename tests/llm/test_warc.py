@@ -93,3 +93,54 @@ def test_empty_and_foreign(spark, tmp_path):
 def test_null_ids_read_back(spark, tmp_path):
     got = through(spark, str(tmp_path / "n"), [(None, "http://a/", "t"), (-4, "http://b/", "t"), (-4, "http://b/", "t")])
     assert sorted(str(r["page_id"]) for r in got if r["record_type"] == "response") == ["-4", "-4", "None"]
+
+
+def test_any_bytes_survive(spark, tmp_path):
+    """From an ARC file, plain or compressed as a whole or by records, to a WARC file and back."""
+    body = b"HTTP/1.1 200 OK\r\nX-Own: \xe9\xff\r\n\r\n" + bytes(range(256)) * 8
+    parts = [arc_opening(1, "one.arc", "20200102030405")]
+    parts += [arc_record(1, f"http://x/{k}", "20200102030405", "image/png", body + bytes([k]) * 3) for k in range(3)]
+    parts += [arc_record(1, "http://big/", "20200102030405", "image/png", b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 70_000)]
+    whole = b"".join(parts)
+    forms = {"plain": whole, "one": member_of(whole), "many": b"".join(map(member_of, parts))}
+    for name, content in forms.items():
+        assert [(at, head["URL"], got) for at, head, got in parse_arc(content)] == [(at, head["URL"], got) for at, head, got in parse_arc(whole)], name
+    archives = spark.createDataFrame([("a", bytearray(forms["many"]))], "path string, content binary")
+    folder = str(tmp_path / "bytes")
+    write_warc(mark_revisits(convert_arc(archives)), folder)
+    got = {r["target_uri"]: r for r in read_warc(spark, folder).collect() if r["record_type"] == "response"}
+    for k in range(3):
+        r = got[f"http://x/{k}"]
+        assert bytes(r["block"]) == body + bytes([k]) * 3
+        assert r["payload_sha1"] == r["declared_sha1"] == hashlib.sha1(bytes(range(256)) * 8 + bytes([k]) * 3).hexdigest()
+    assert got["http://big/"]["payload_bytes"] == 256 * 70_000 and got["http://big/"]["payload_sha1"] == got["http://big/"]["declared_sha1"]
+
+
+def member_of(raw):
+    import gzip
+
+    return gzip.compress(raw)
+
+
+def test_a_gzip_member_a_record_and_files_by_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+    import zlib
+    from pathlib import Path
+
+    from quillstat.llm import warc
+
+    pages = spark.createDataFrame([(k, f"http://{k}/", f"{k} " * 400, "x") for k in range(40)], SCHEMA).coalesce(1)
+    folder = tmp_path / "files"
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    write_warc(mark_revisits(convert_arc(pages_to_arc(pages))), str(folder))
+    files, records = list(folder.glob("volume=*/part-*")), 0
+    assert len(files) > 3
+    for f in files:
+        rest = f.read_bytes()
+        assert len(gzip.decompress(rest)) < 12_000
+        while rest:
+            one = zlib.decompressobj(31)
+            raw = one.decompress(rest)
+            assert one.eof and raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and raw.count(b"WARC-Type:") == 1
+            rest, records = one.unused_data, records + 1
+    assert records == 41 and read_warc(spark, str(folder)).count() == 41
