@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions.ranks import ensure_checkpoints, quantiles
+from quillstat.functions.ranks import ensure_checkpoints, lookup_side, quantiles
 from quillstat.functions.similarity import close_match, match_ratio, similar_values, title_case
 from quillstat.operators.profile import is_numeric
 
@@ -25,15 +25,12 @@ DATE_SAMPLE, DATE_SHARE = 20, 0.3
 
 
 def _x(column: str) -> Column:
-    return F.col(f"`{column}`").cast("double")
+    """A column as a double; NaN is a missing value."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
 
 
-def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", factor: float | None = None, approx: bool = False) -> DataFrame:
-    """column, n, lower, upper, outliers: quartile fences (1.5) or mean and deviations (3), both strict.
-
-    Columns of fewer than four values, or without spread for z-scores, have no bounds and no outliers.
-    """
-    found = {}
+def fences(df: DataFrame, columns: list[str], method: str = "iqr", factor: float | None = None, approx: bool = False) -> dict[str, tuple[float | None, float | None]]:
+    """(lower, upper) of each column at full precision; None without values, or without spread for z-scores."""
     if method == "iqr":
         f = IQR_FACTOR if factor is None else factor
         if approx:
@@ -41,17 +38,25 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", facto
             cuts = {c: got[f"q{i}"] or [None, None] for i, c in enumerate(columns)}
         else:
             cuts = quantiles(df, {c: _x(c) for c in columns}, [0.25, 0.75])
-        found = {c: (None, None) if low is None else (low - f * (high - low), high + f * (high - low)) for c, (low, high) in cuts.items()}
-    else:
-        f = Z_THRESHOLD if factor is None else factor
-        got = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(_x(c)).alias(f"m{i}"), F.stddev_samp(_x(c)).alias(f"s{i}"))]).first()
-        found = {c: (got[f"m{i}"] - f * got[f"s{i}"], got[f"m{i}"] + f * got[f"s{i}"]) if got[f"s{i}"] else (None, None) for i, c in enumerate(columns)}
+        return {c: (None, None) if low is None else (low - f * (high - low), high + f * (high - low)) for c, (low, high) in cuts.items()}
+    f = Z_THRESHOLD if factor is None else factor
+    got = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(_x(c)).alias(f"m{i}"), F.stddev_samp(_x(c)).alias(f"s{i}"))]).first()
+    return {c: (got[f"m{i}"] - f * got[f"s{i}"], got[f"m{i}"] + f * got[f"s{i}"]) if got[f"s{i}"] else (None, None) for i, c in enumerate(columns)}
+
+
+def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", factor: float | None = None, approx: bool = False) -> DataFrame:
+    """column, n, lower, upper, outliers: quartile fences (1.5) or mean and deviations (3), both strict.
+
+    Columns of fewer than four values, or without spread for z-scores, have no bounds and no outliers. The bounds of
+    this report keep their full precision.
+    """
+    found = fences(df, columns, method, factor, approx)
     facts, rows = [], []
     for i, c in enumerate(columns):
         low, high = found[c]
         facts += [F.count(_x(c)).alias(f"n{i}"), (F.lit(0).cast("bigint") if low is None else F.count_if((_x(c) < low) | (_x(c) > high))).alias(f"o{i}")]
         ok = (F.col(f"n{i}") >= MIN_ROWS) & F.lit(low is not None)
-        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.when(ok, F.round(F.lit(low).cast("double"), 4)).alias("lower"), F.when(ok, F.round(F.lit(high).cast("double"), 4)).alias("upper"), F.when(ok, F.col(f"o{i}")).otherwise(0).alias("outliers")))
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.when(ok, F.lit(low).cast("double")).alias("lower"), F.when(ok, F.lit(high).cast("double")).alias("upper"), F.when(ok, F.col(f"o{i}")).otherwise(0).alias("outliers")))
     return df.agg(F.count(F.lit(1)).alias("rows"), *facts).select(F.inline(F.array(*rows)))
 
 
@@ -126,7 +131,7 @@ def standardise_states(df: DataFrame, columns: list[str], output: str = "full",
         direct = values.join(F.broadcast(exact), "k", "left")
         fuzzy = direct.filter("state is null and length(k) > 2").select("v", nearest("k").alias("k")).dropna().join(F.broadcast(target), "k").select("v", "state")
         found = direct.filter("state is not null").select("v", "state").unionByName(fuzzy).select(F.col("v").alias("_v"), F.col("state").alias("_state"))
-        df = df.join(found, F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.coalesce("_state", F.trim(F.col(f"`{c}`")))).drop("_v", "_state")
+        df = df.join(lookup_side(found), F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.coalesce("_state", F.trim(F.col(f"`{c}`")))).drop("_v", "_state")
     return df
 
 
@@ -183,11 +188,11 @@ def exact_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
         return df.dropDuplicates(by)
     keys = [F.col(f"`{c}`") for c in by]
     if keep in ("first", "last"):
-        order = order or [F.monotonically_increasing_id()]
-        where = [F.col(o) if isinstance(o, str) else o for o in order]
+        where = [F.col(o) if isinstance(o, str) else o for o in order or [F.monotonically_increasing_id()]]
+        at = "_at" + "_" * sum(c.startswith("_at") for c in df.columns)  # a row's place can't be made inside an aggregate
         row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
         pick = F.min_by if keep == "first" else F.max_by
-        return df.groupBy(*keys).agg(pick(row, F.struct(*where)).alias("row")).select("row.*")
+        return df.withColumn(at, F.struct(*where)).groupBy(*keys).agg(pick(row, F.col(at)).alias("row")).select("row.*")
     only = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
     return only.filter("_n = 1").select("row.*")
 

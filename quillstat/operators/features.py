@@ -7,13 +7,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import complete, moments, vif
-from quillstat.functions.ranks import numbered
+from quillstat.functions.ranks import lookup_side, numbered
 from quillstat.operators.profile import number
 
 ONE_HOT_MOST, SMOOTHING, FOREST_CLASSES = 15, 10.0, 10
 DATE_FEATURES = ("year", "month", "day", "day_of_week", "hour", "is_weekend", "quarter")
 
 
+def plain(column: str) -> Column:
+    """A column as a double; NaN is a missing value."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
+
+
 def levels(df: DataFrame, column: str, most: int = 1000) -> list[str]:
     """Distinct values as text, sorted; refused beyond `most`, where one column a level makes no sense."""
     got = [r[0] for r in df.select(F.col(f"`{column}`").cast("string")).dropna().distinct().limit(most + 1).collect()]
@@ -38,11 +43,11 @@ def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: flo
     """`col_target_encoded`: the group's mean drawn to the global mean by `smoothing` rows; unseen and null get the
     global mean. Groups are aggregated before they meet the rows."""
     train = fit_on if fit_on is not None else df
-    y = F.col(f"`{target}`").cast("double")
+    y = plain(target)
     whole = train.agg(F.avg(y).alias("m")).first()["m"]
     for k, c in enumerate(columns):
         means = train.groupBy(F.col(f"`{c}`").alias(f"_k{k}")).agg(((F.sum(y) + smoothing * F.lit(whole)) / (F.count(y) + smoothing)).alias(f"_t{k}")).filter(F.col(f"_k{k}").isNotNull())
-        df = df.join(means, F.col(f"`{c}`") == F.col(f"_k{k}"), "left").withColumn(f"{c}_target_encoded", F.coalesce(f"_t{k}", F.lit(whole))).drop(f"_k{k}", f"_t{k}")
+        df = df.join(lookup_side(means), F.col(f"`{c}`") == F.col(f"_k{k}"), "left").withColumn(f"{c}_target_encoded", F.coalesce(f"_t{k}", F.lit(whole))).drop(f"_k{k}", f"_t{k}")
     return df
 
 
@@ -57,7 +62,7 @@ def ordinal_encode(df: DataFrame, columns: list[str], orders: dict[str, list[str
         else:
             codes = numbered(df.select(text.alias("_level")).dropna().distinct(), ["_level"], "_code").withColumn("_code", F.col("_code").cast("int"))
         others = [F.col("_code").alias(x) if x == c else F.col(f"`{x}`") for x in df.columns]
-        df = df.join(codes, text == F.col("_level"), "left").select(*others)
+        df = df.join(lookup_side(codes), text == F.col("_level"), "left").select(*others)
     return df
 
 
@@ -84,11 +89,17 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard", exclude:
     columns = [c for c in columns if c not in (exclude or [])]
     exprs = []
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
+        x = plain(c)
         exprs += [F.count(x).alias(f"n{i}"), *((F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")) if method == "standard" else (F.min(x).alias(f"a{i}"), (F.max(x) - F.min(x)).alias(f"b{i}")))]
     got = df.agg(*exprs).first() if exprs else None
     params = {c: (got[f"a{i}"], got[f"b{i}"]) for i, c in enumerate(columns) if got[f"n{i}"] >= 2 and got[f"b{i}"]}
-    return df.withColumns({c: (F.col(f"`{c}`").cast("double") - a) / b for c, (a, b) in params.items()}) if params else df, params
+    return apply_scale(df, params), params
+
+
+def apply_scale(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
+    """Scale by the (shift, width) that `scale` found on other rows; columns that df lacks are passed over."""
+    made = {c: (plain(c) - a) / b for c, (a, b) in params.items() if c in df.columns}
+    return df.withColumns(made) if made else df
 
 
 def unscale(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
@@ -136,8 +147,8 @@ def row_aggregates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def group_mean(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     """`col_group_mean`; means are aggregated first and joined, so a huge group never sits in one window."""
-    means = df.groupBy(F.col(f"`{group}`").alias("_g")).agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"{c}_group_mean") for c in columns]).filter("_g is not null")
-    return df.join(means, F.col(f"`{group}`") == F.col("_g"), "left").drop("_g")
+    means = df.groupBy(F.col(f"`{group}`").alias("_g")).agg(*[F.avg(plain(c)).alias(f"{c}_group_mean") for c in columns]).filter("_g is not null")
+    return df.join(lookup_side(means), F.col(f"`{group}`") == F.col("_g"), "left").drop("_g")
 
 
 def pairwise(df: DataFrame, columns: list[str]) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import Fit, complete, moments, ols, vif
-from quillstat.functions.ranks import average_ranks
+from quillstat.functions.ranks import average_ranks, lookup_side
 from quillstat.functions.special import chi2_upper, f_upper, normal_cdf, t_two_sided
 
 SPEARMAN_UNIQUE, ALPHA, LEVELS = 15, 0.05, 15
@@ -16,14 +16,19 @@ SPEARMAN_UNIQUE, ALPHA, LEVELS = 15, 0.05, 15
 
 def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     """One row (n, r): pairwise complete rows; null for under three or a constant column."""
-    rows = complete(df, [a, b])
+    clean = df.select(*[F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")).alias(k) for c, k in ((a, "x"), (b, "y"))]).dropna()
     if method == "spearman":
-        ra, rb = average_ranks(rows, a), average_ranks(rows, b)
-        rows = rows.join(ra.select(F.col("value").alias(a), F.col("rank").alias("ra")), a).join(rb.select(F.col("value").alias(b), F.col("rank").alias("rb")), b)
-        x, y = F.col("ra"), F.col("rb")
-    else:
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-    got = rows.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+        counts = clean.groupBy("x", "y").agg(F.count("*").alias("n"))
+        for k in ("x", "y"):
+            ranks = average_ranks(clean, k).select(F.col("value").alias(k), F.col("rank").alias(f"r{k}"))
+            counts = counts.join(lookup_side(ranks), k)
+        n = F.sum("n")
+        # ranks are around (n + 1) / 2 on both sides, from where products lose nothing
+        whole = counts.agg(n.alias("all")).first()["all"] or 0
+        u, v = F.col("rx") - (whole + 1) / 2, F.col("ry") - (whole + 1) / 2
+        got = counts.agg(F.coalesce(n, F.lit(0)).alias("n"), F.sum(F.col("n") * u * v).alias("uv"), F.sum(F.col("n") * u * u).alias("uu"), F.sum(F.col("n") * v * v).alias("vv"))
+        return got.select("n", F.when(F.col("n") >= 3, F.try_divide(F.col("uv"), F.sqrt(F.col("uu") * F.col("vv")))).alias("r"))
+    got = clean.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
     return got.select("n", F.when((F.col("n") >= 3) & ~F.isnan("r"), F.col("r")).alias("r"))
 
 

@@ -31,14 +31,29 @@ def _fill(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def directed_fill(df: DataFrame, column: str, order: list, by: list[str] | None = None, forward: bool = True) -> DataFrame:
-    """Carry the last (or next) value over gaps in row order, within groups if given.
+    """Carry the last (or next) value over gaps in row order, within groups if given; a null group is a group.
 
-    Without groups the whole table is one ordered run, as its meaning demands; give `by` on large tables.
+    Rows are filled within range partitions of group and order. What a partition leaves open at its beginning takes the
+    last value of the group in the partitions before, of which one row for each partition and group is kept.
     """
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    c = F.col(f"`{column}`")
-    filled = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, filled)
+    where = [F.col(o) if isinstance(o, str) else o for o in order]
+    groups = [F.col(f"`{g}`") if isinstance(g, str) else g for g in by or []]
+    ensure_checkpoints(df.sparkSession)
+    own, keys = [f"_g{i}" for i in range(len(groups))], [f"_k{i}" for i in range(len(where))]
+    held = df.withColumns(dict(zip(own, groups, strict=True)) | dict(zip(keys, where, strict=True)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = held.repartitionByRange(parts, *own, *keys).withColumn("_part", F.spark_partition_id()).checkpoint()
+    c, first, last = F.col(f"`{column}`"), Window.unboundedPreceding, Window.unboundedFollowing
+    near = Window.partitionBy("_part", *own).orderBy(*keys)
+    filled = F.last(c, ignorenulls=True).over(near.rowsBetween(first, 0)) if forward else F.first(c, ignorenulls=True).over(near.rowsBetween(0, last))
+    edge = (F.max_by if forward else F.min_by)(F.when(c.isNotNull(), F.struct(c.alias("v"))), F.when(c.isNotNull(), F.struct(*keys)))
+    edges = placed.groupBy("_part", *own).agg(edge.alias("_edge"))
+    far = Window.partitionBy(*own).orderBy("_part")
+    carry = F.last("_edge", ignorenulls=True).over(far.rowsBetween(first, -1)) if forward else F.first("_edge", ignorenulls=True).over(far.rowsBetween(1, last))
+    carried = edges.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"{g}_") for g in own], carry.alias("_carry"))
+    same = [F.col("_part") == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"{g}_")) for g in own]]
+    out = placed.withColumn("_filled", filled).join(carried if own else F.broadcast(carried), same)  # without groups one row a partition
+    return out.withColumn(column, F.coalesce("_filled", "_carry.v")).select(*[F.col(f"`{x}`") for x in df.columns])
 
 
 def apply_strategies(df: DataFrame, strategies: dict[str, str], order: list | None = None, numeric_only: bool = False) -> DataFrame:
@@ -46,6 +61,7 @@ def apply_strategies(df: DataFrame, strategies: dict[str, str], order: list | No
     backward_fill, knn, iterative. Unknown columns and strategies are passed over. Text has no mean or median, so
     its mode is taken, unless numeric_only, which leaves text alone."""
     later: dict[str, list[str]] = {"knn": [], "iterative": []}
+    df = df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(k)) for c, k in df.dtypes if c in strategies and k in ("float", "double")})  # NaN is missing
     for c, strategy in strategies.items():
         if c not in df.columns:
             continue

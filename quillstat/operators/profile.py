@@ -8,9 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a column name that tell its type, text that means a boolean, and limits.
-BINARY_NAMES = frozenset("sex gender sexe gen married marital alive survival survived pregnant smoker smoking obese diabetic hypertensive infected positive dead deceased pass fail".split())
-CATEGORICAL_NAMES = frozenset("category categor cat class clas group grp grpcd type typ kind status education school occupation job profession region state country province sector sect company species breed race ethnic religion ward location department diagnosis symptom disease condition treatment drug outcome reason mode color colour tier".split())
-ORDINAL_NAMES = frozenset("level stage rank band grade order quartile decile percentile agecat agegrp agegroup grp group class clas".split())
+BINARY_NAMES = (
+    "sex", "gender", "sexe", "gen", "married", "marital", "alive", "survival", "survived", "pregnant", "smoker", "smoking",
+    "obese", "diabetic", "hypertensive", "infected", "positive", "dead", "deceased", "pass", "fail",
+)
+CATEGORICAL_NAMES = (
+    "category", "categor", "cat", "class", "clas", "group", "grp", "grpcd", "type", "typ", "kind", "status", "education", "school",
+    "occupation", "job", "profession", "region", "state", "country", "province", "sector", "sect", "company", "species", "breed",
+    "race", "ethnic", "religion", "ward", "location", "department", "diagnosis", "symptom", "disease", "condition", "treatment",
+    "drug", "outcome", "reason", "mode", "color", "colour", "tier",
+)
+ORDINAL_NAMES = (
+    "level", "stage", "rank", "band", "grade", "order", "quartile", "decile", "percentile", "agecat", "agegrp", "agegroup", "grp", "group", "class", "clas",
+)
 BOOLEAN_WORDS = ("true", "yes", "1", "false", "no", "0")
 CODE_MAX, UNIQUE_SHOWN, ORDINAL_UNIQUE, UNCERTAIN_MAX = 30, 50, 15, 20
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
@@ -42,7 +52,8 @@ def number(name: str, kind: str) -> Column:
 
 
 def column_facts(df: DataFrame, columns: list[str] | None = None, exact_up_to: int = 10_000) -> list[Facts]:
-    """One pass over the table for all columns, and one more that counts exactly where a sketch says few values."""
+    """One pass over the table for all columns, and one more that counts distinct values exactly: in a set where a sketch
+    says few values, else by an expanded hash aggregation, which shuffles values after a partial one."""
     kinds = {c: k for c, k in df.dtypes if columns is None or c in columns}
     first, second = [F.count(F.lit(1)).alias("rows")], []
     for i, (c, k) in enumerate(kinds.items()):
@@ -63,6 +74,8 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, exact_up_to: i
             second.append(F.size(F.collect_set(F.when(value != "", value))).alias(f"t{i}"))
     if second:
         exact = df.agg(*second).first().asDict()
+    if many := [(i, c) for i, c in enumerate(kinds) if got[f"u{i}"] > exact_up_to]:
+        exact |= df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in many]).first().asDict()
     out = []
     for i, (c, k) in enumerate(kinds.items()):
         nulls = got["rows"] - got[f"n{i}"]
@@ -78,7 +91,7 @@ def name_words(name: str) -> set[str]:
 def name_hints(name: str) -> tuple[bool, bool, bool]:
     """(binary, ordinal, categorical) as the name suggests."""
     words = name_words(name)
-    return bool(words & BINARY_NAMES), bool(words & ORDINAL_NAMES), bool(words & CATEGORICAL_NAMES)
+    return not words.isdisjoint(BINARY_NAMES), not words.isdisjoint(ORDINAL_NAMES), not words.isdisjoint(CATEGORICAL_NAMES)
 
 
 def analysis_type(f: Facts) -> str:

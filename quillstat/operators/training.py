@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.functions.ranks import lookup_side, numbered
 from quillstat.operators.features import one_hot
 from quillstat.operators.profile import is_numeric
-from quillstat.operators.regress import auc, classification_metrics, macro_metrics, model_rows, regression_metrics, row_key
+from quillstat.operators.regress import auc, classification_metrics, macro_metrics, model_rows, regression_metrics
 
 TEST_SIZE, VAL_SIZE, FOLDS, ITERATIONS, SEED, CLASSES = 0.2, 0.15, 5, 15, 42, 10
+#: Fits that run at the same time while a model is tuned.
+PARALLEL = 4
 #: Search spaces, under Spark ML's parameter names.
 GRIDS = {
     "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 5], "featureSubsetStrategy": ["sqrt", "log2"]},
     "logistic": {"regParam": [0.01, 0.1, 1.0, 10.0], "maxIter": [100, 200]},
     "ridge": {"regParam": [0.01, 0.1, 1.0, 10.0]},
-    "neural_network": {"layers": [[32], [64], [32, 16]], "stepSize": [0.03, 0.1]},
+    "neural_network": {"layers": [[32], [64], [32, 16]]},
     "gradient_boosting": {"maxIter": [50, 100], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1]},
 }
 #: Boosted trees under other names are Spark's own here.
@@ -38,16 +43,29 @@ def split_column(key: Column, test: float = TEST_SIZE, val: float = VAL_SIZE) ->
     return F.when(at < test, "test").when(at < test + val, "val").otherwise("train")
 
 
-def stratified_split(df: DataFrame, label: str, key: Column, test: float = TEST_SIZE, val: float = VAL_SIZE, strata: int = 64) -> DataFrame:
-    """`split` with the same shares in every class. Ranks are taken in `strata` slices of each class, so that no
-    class, however large, is sorted in one task."""
-    slice_ = F.pmod(F.xxhash64(key), F.lit(strata))
-    at = F.percent_rank().over(Window.partitionBy(label, slice_).orderBy(F.xxhash64(key, F.lit(SEED)), key))
-    return df.withColumn("split", F.when(at < test, "test").when(at < test + val, "val").otherwise("train"))
+def shuffled_places(df: DataFrame, label: str | None, key: Column, seed: int = SEED) -> DataFrame:
+    """df with `_nth`, the place of each row in a seeded order within its class (in the whole table without a label), and
+    `_size`, the class's rows. A null label is a class. Places are counted over range partitions of class and hash, so that
+    a class of any size is exact and none passes through one task."""
+    by = [F.col(f"`{label}`")] if label else []
+    placed = numbered(df, [F.xxhash64(key, F.lit(seed)), key], "_nth", by)
+    if not label:
+        return placed.withColumn("_size", F.lit(placed.count()))
+    sizes = placed.groupBy(by[0].alias("_class")).agg(F.count("*").alias("_size"))  # a row a class
+    return placed.join(lookup_side(sizes), by[0].eqNullSafe(F.col("_class"))).drop("_class")
 
 
-def fold_column(key: Column, folds: int = FOLDS) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(folds)).cast("int")
+def stratified_split(df: DataFrame, label: str | None, key: Column, test: float = TEST_SIZE, val: float = VAL_SIZE, seed: int = SEED) -> DataFrame:
+    """`split` with the same shares in every class, exact to a row: of n rows, n * test and n * val rounded (halves up)
+    are test and val, as far as there are rows."""
+    n_test, n_val = (F.floor(F.col("_size") * share + 0.5) for share in (test, val))
+    split = F.when(F.col("_nth") < n_test, "test").when(F.col("_nth") < n_test + n_val, "val").otherwise("train")
+    return shuffled_places(df, label, key, seed).withColumn("split", split).drop("_nth", "_size")
+
+
+def stratified_folds(df: DataFrame, label: str | None, key: Column, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """`fold` from 0: every fold has the same number of rows of each class, to one row."""
+    return shuffled_places(df, label, key, seed + 1).withColumn("fold", F.pmod("_nth", F.lit(folds)).cast("int")).drop("_nth", "_size")
 
 
 def prepare(df: DataFrame, dependent: str, predictors: list[str]) -> tuple[DataFrame, list[str]]:
@@ -63,7 +81,7 @@ def prepare(df: DataFrame, dependent: str, predictors: list[str]) -> tuple[DataF
 
 
 def models_for(classify: bool) -> list[str]:
-    return ["random_forest", "logistic", "gradient_boosting", "neural_network"] if classify else ["random_forest", "ridge", "gradient_boosting"]
+    return ["random_forest", "logistic", "gradient_boosting", "neural_network"] if classify else ["random_forest", "ridge", "gradient_boosting", "neural_network"]
 
 
 def build(name: str, classify: bool, columns: list[str], params: dict, classes: int = 2, seed: int = SEED):
@@ -73,19 +91,23 @@ def build(name: str, classify: bool, columns: list[str], params: dict, classes:
     from pyspark.ml import regression as R
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
+    from quillstat.operators.models import NeuralRegressor, SoftmaxBoosting
+
     name, params = ALIASES.get(name, name), dict(params)
     steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     if name == "neural_network":
-        if not classify:
-            raise ValueError("Spark ML has no neural network for regression")
-        layers = [len(columns), *params.pop("layers", [32]), classes]
-        est = C.MultilayerPerceptronClassifier(layers=layers, seed=seed, **params)
+        if classify:
+            layers = [len(columns), *params.pop("layers", [32]), classes]
+            est = C.MultilayerPerceptronClassifier(layers=layers, seed=seed, **params)
+        else:
+            est = NeuralRegressor(seed=seed, **params)
     elif name == "random_forest":
         est = (C.RandomForestClassifier if classify else R.RandomForestRegressor)(seed=seed, **params)
     elif name == "gradient_boosting":
-        if classify and classes > 2:
-            raise ValueError("Spark ML boosts two classes only")
-        est = (C.GBTClassifier if classify else R.GBTRegressor)(seed=seed, **params)
+        if classify and classes > 2:  # Spark's own boosts two classes only
+            est = SoftmaxBoosting(classes, **params)
+        else:
+            est = (C.GBTClassifier if classify else R.GBTRegressor)(seed=seed, **params)
     elif name == "logistic":
         est = C.LogisticRegression(**params)
     elif name in ("ridge", "linear"):
@@ -126,15 +148,38 @@ def candidates(name: str, method: str, iterations: int, seed: int = SEED) -> lis
     return every if method == "grid" or len(every) <= iterations else random.Random(seed).sample(every, iterations)
 
 
+def fold_scores(rows: DataFrame, name: str, classify: bool, columns: list[str], settings: list[dict], folds: int = FOLDS, classes: int = 2, seed: int = SEED, parallel: int = PARALLEL) -> list[list[float]]:
+    """The score of each setting on each fold of `rows` (which have a `fold` column and should be cached). Every fit is a
+    job of its own, `parallel` of them at the same time, as Spark's scheduler shares out their tasks."""
+
+    def one(task: tuple[int, int]) -> float:
+        at, k = task
+        fitted = build(name, classify, columns, settings[at], classes, seed).fit(rows.filter(F.col("fold") != k))
+        return headline(evaluate(fitted.transform(rows.filter(F.col("fold") == k)), classify, classes), classify)
+
+    tasks = list(itertools.product(range(len(settings)), range(folds)))
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        got = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), tasks))
+    return [got[k * folds : (k + 1) * folds] for k in range(len(settings))]
+
+
 def cross_validate(rows: DataFrame, name: str, classify: bool, columns: list[str], params: dict, folds: int = FOLDS, classes: int = 2, seed: int = SEED) -> dict[str, float]:
-    scores = []
-    for k in range(folds):
-        fitted = build(name, classify, columns, params, classes, seed).fit(rows.filter(F.col("fold") != k))
-        scores.append(headline(evaluate(fitted.transform(rows.filter(F.col("fold") == k)), classify, classes), classify))
+    scores = fold_scores(rows, name, classify, columns, [params], folds, classes, seed)[0]
     mean = sum(scores) / len(scores)
     return {"mean": mean, "std": (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5, "folds": folds}
 
 
+def tune(rows: DataFrame, name: str, classify: bool, columns: list[str], method: str = "random", iterations: int = ITERATIONS, folds: int = FOLDS, classes: int = 2, seed: int = SEED, parallel: int = PARALLEL) -> dict:
+    """{params, best_score, tried}: the setting with the best mean score over the folds of `rows`, the first of equals. A
+    single setting is not tried, and has no score."""
+    settings = candidates(name, method, iterations, seed)
+    if len(settings) < 2:
+        return {"params": settings[0], "best_score": None, "tried": 0}
+    means = [sum(s) / len(s) for s in fold_scores(rows, name, classify, columns, settings, folds, classes, seed, parallel)]
+    best = max(range(len(means)), key=means.__getitem__)
+    return {"params": settings[best], "best_score": means[best], "tried": len(settings)}
+
+
 def baselines(train: DataFrame, test: DataFrame, classify: bool, columns: list[str], classes: int = 2) -> dict[str, dict]:
     """The commonest class or the mean, and a linear model."""
     if classify:
@@ -150,19 +195,20 @@ def baselines(train: DataFrame, test: DataFrame, classify: bool, columns: list[s
 def experiment(df: DataFrame, dependent: str, predictors: list[str], models: list[str] | None = None, tuning: str = "random", iterations: int = ITERATIONS, folds: int = FOLDS, classify: bool | None = None, select_on: str = "test", validate: bool = True, test_size: float = TEST_SIZE, val_size: float = VAL_SIZE, seed: int = SEED) -> dict:
     """Split, baselines, a tuned and evaluated model of each kind, and the best by F1 or R2 on `select_on`.
 
-    Equal rows fall on the same side of the split, which `seed` changes. One model's failure is reported beside the
-    others' results.
+    Splits and folds are stratified by class in a classification of any number of classes, and exact to a row; `seed`
+    changes them. Models are tuned and cross-validated on the folds of the training rows only. One model's failure is
+    reported beside the others' results.
     """
     rows, columns = prepare(df, dependent, predictors)
     classify = is_classification(rows, "label") if classify is None else classify
     classes = 2
     if classify:
-        found = sorted(r["label"] for r in rows.select("label").distinct().limit(CLASSES + 2).collect())
-        classes = max(2, len(found))
-        codes = F.create_map(*[F.lit(float(x)) for k, v in enumerate(found) for x in (v, k)])
-        rows = rows.withColumn("label", codes[F.col("label")])
-    key = F.pmod(F.xxhash64(row_key(rows.columns), F.lit(seed)), F.lit(1_000_000))
-    rows = rows.withColumn("split", split_column(key, test_size, val_size)).withColumn("fold", fold_column(key, folds)).persist()
+        codes = numbered(rows.select(F.col("label").alias("_value")).distinct(), ["_value"], "_code")  # classes in their order, however many
+        classes = max(2, codes.count())
+        rows = rows.join(lookup_side(codes), F.col("label") == F.col("_value")).withColumn("label", F.col("_code").cast("double")).drop("_value", "_code")
+    key, label = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), "label" if classify else None
+    rows = stratified_split(rows, label, key, test_size, val_size, seed).persist()
+    folded = stratified_folds(rows.filter("split = 'train'"), label, key, folds, seed).persist()
     try:
         train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
         report: dict = {"problem": "classification" if classify else "regression", "columns": columns, "split": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}}
@@ -170,15 +216,12 @@ def experiment(df: DataFrame, dependent: str, predictors: list[str], models: lis
         report["models"], fitted = {}, {}
         for name in models or models_for(classify):
             try:
-                tried = []
-                for params in candidates(name, tuning, iterations, seed):
-                    model = build(name, classify, columns, params, classes, seed).fit(train)
-                    tried.append((headline(evaluate(model.transform(val), classify, classes), classify), params, model))
-                score, params, model = max(tried, key=lambda t: t[0])
-                result = {"params": params, "best_score": score, "tried": len(tried)}
+                result = tune(folded, name, classify, columns, tuning, iterations, folds, classes, seed)
+                params = result["params"]
+                model = build(name, classify, columns, params, classes, seed).fit(train)
                 result |= {f"{s}_metrics": evaluate(model.transform(part), classify, classes) for s, part in (("train", train), ("val", val), ("test", test))}
                 if validate:
-                    result["cross_validation"] = cross_validate(rows, name, classify, columns, params, folds, classes, seed)
+                    result["cross_validation"] = cross_validate(folded, name, classify, columns, params, folds, classes, seed)
                 report["models"][name], fitted[name] = result, model
             except Exception as e:  # reported, not hidden
                 report["models"][name] = {"error": f"{type(e).__name__}: {e}"[:300]}
@@ -186,6 +229,7 @@ def experiment(df: DataFrame, dependent: str, predictors: list[str], models: lis
         report["fitted"] = fitted.get(report["best"])
         return report
     finally:
+        folded.unpersist()
         rows.unpersist()
 
 

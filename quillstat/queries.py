@@ -188,17 +188,17 @@ def iterative_impute(spark, sf):
 
 
 BOUNDS = "(SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)"
-LOW, HIGH = "round(a - 1.5 * (b - a), 4)", "round(b + 1.5 * (b - a), 4)"
+LOW, HIGH = "(a - 1.5 * (b - a))", "(b + 1.5 * (b - a))"
 
 
-@query("outliers_iqr", f"SELECT 'value' AS column_name, count(*)::BIGINT AS n, first({LOW}) AS lower, first({HIGH}) AS upper, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))::BIGINT AS outliers FROM events, {BOUNDS}")
+@query("outliers_iqr", f"SELECT 'value' AS column_name, count(*)::BIGINT AS n, round(first({LOW}), 4) AS lower, round(first({HIGH}), 4) AS upper, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))::BIGINT AS outliers FROM events, {BOUNDS}")
 def outliers_iqr(spark, sf):
-    return clean.outlier_bounds(table(spark, sf, "events"), ["value"]).withColumnRenamed("column", "column_name")
+    return clean.outlier_bounds(table(spark, sf, "events"), ["value"]).select(F.col("column").alias("column_name"), "n", r("lower"), r("upper"), "outliers")
 
 
 @query("outliers_zscore", "SELECT 'value' AS column_name, count(*)::BIGINT AS n, round(first(m - 3 * s), 4) AS lower, round(first(m + 3 * s), 4) AS upper, count(*) FILTER (abs((value - m) / s) > 3)::BIGINT AS outliers FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)")
 def outliers_zscore(spark, sf):
-    return clean.outlier_bounds(table(spark, sf, "events"), ["value"], "zscore").withColumnRenamed("column", "column_name")
+    return clean.outlier_bounds(table(spark, sf, "events"), ["value"], "zscore").select(F.col("column").alias("column_name"), "n", r("lower"), r("upper"), "outliers")
 
 
 @query("outlier_rows", f"SELECT event_id FROM events, {BOUNDS} WHERE value < {LOW} OR value > {HIGH} ORDER BY event_id LIMIT 100")
@@ -219,7 +219,7 @@ query("outliers_log", "SELECT event_id, round(ln(1 + greatest(value, (SELECT min
 query("outliers_sqrt", "SELECT event_id, round(sqrt(greatest(value, 0)), 4) AS v FROM events")(_handled("sqrt"))
 
 
-@query("outliers_remove_zscore", "SELECT event_id, round(value, 4) AS v FROM events, (SELECT round(avg(value) - 3 * stddev_samp(value), 4) AS a, round(avg(value) + 3 * stddev_samp(value), 4) AS b FROM events) WHERE NOT (value < a OR value > b)")
+@query("outliers_remove_zscore", "SELECT event_id, round(value, 4) AS v FROM events, (SELECT avg(value) - 3 * stddev_samp(value) AS a, avg(value) + 3 * stddev_samp(value) AS b FROM events) WHERE NOT (value < a OR value > b)")
 def outliers_remove_zscore(spark, sf):
     return clean.handle_outliers(table(spark, sf, "events"), ["value"], "zscore", "remove").select("event_id", r("value", 4, "v"))
 
@@ -606,12 +606,16 @@ def random_forest(spark, sf):
     return spark.createDataFrame([(k, v) for k, v in m.importance.items()], "feature string, importance double")
 
 
-#: Each class is cut in 64 slices, each of which is off by less than one row.
-@query("stratified_split", "SELECT o_orderstatus AS status, count(*)::BIGINT AS n, true AS test_even, true AS val_even FROM orders GROUP BY 1")
+@query("stratified_split", "SELECT o_orderstatus AS status, split, (CASE split WHEN 'test' THEN floor(n * 0.2::DOUBLE + 0.5) WHEN 'val' THEN floor(n * 0.15::DOUBLE + 0.5) ELSE n - floor(n * 0.2::DOUBLE + 0.5) - floor(n * 0.15::DOUBLE + 0.5) END)::BIGINT AS n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), (VALUES ('test'), ('val'), ('train')) t(split)")
 def stratified_split(spark, sf):
     made = training.stratified_split(table(spark, sf, "orders"), "o_orderstatus", F.col("o_orderkey"))
-    got = made.filter("split in ('train', 'val', 'test')").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in ("test", "val")])
-    return got.select("status", "n", *[(F.abs(F.col(s) - F.col("n") * share) <= 64).alias(f"{s}_even") for s, share in (("test", training.TEST_SIZE), ("val", training.VAL_SIZE))])
+    return made.groupBy(F.col("o_orderstatus").alias("status"), "split").agg(F.count("*").alias("n"))
+
+
+@query("stratified_folds", "SELECT o_orderstatus AS status, fold::INT AS fold, (n // 5 + (fold < n % 5)::INT)::BIGINT AS n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), range(5) t(fold)")
+def stratified_folds(spark, sf):
+    made = training.stratified_folds(table(spark, sf, "orders"), "o_orderstatus", F.col("o_orderkey"))
+    return made.groupBy(F.col("o_orderstatus").alias("status"), "fold").agg(F.count("*").alias("n"))
 
 
 @query("three_way_split", "SELECT CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.35 THEN 'val' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM (SELECT ((o_orderkey * 2654435761) % 10000) / 10000.0::DOUBLE AS h FROM orders) GROUP BY 1")
