@@ -1,8 +1,9 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document's counts. Expectation-maximisation over
-the vote patterns estimates how each rule votes on good and on bad documents, and a document's posterior
-probability of being good decides.
+Each rule votes good (1), bad (-1) or abstains (0) on a document's counts. No rule is trusted: expectation-maximisation
+over the vote patterns estimates how each votes on good and on bad documents, of which there is one class each, and a
+document's posterior probability of being good decides. It begins by calling bad what two rules call bad, good what
+none does, and leaves the rest open, so a rule whose bad votes stand alone turns out weak and is outvoted.
 
 Nulls and empty texts have no words: they fail the base rule. Repeated rows get equal results. An empty
 table gives an empty result. Extra columns are carried through untouched unless they bear a result's name,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstat.llm.common import Words, chunks, in_doc, materialise, read_table, session_defaults, tidy, utf8_parts, windows
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_marks", "n_ended_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_marks", "n_ended_lines", "n_symbol_words")
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -61,10 +62,11 @@ def _chunk_counts(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> dict[
     last_word = np.searchsorted(w.end, end, side="right") - 1
     out["n_ended_lines"] = np.bincount(owner[_closing[b[w.end[last_word] - 1]]], minlength=n) if len(start) else np.zeros(n, np.int64)
     if len(w.start):
-        up, low = (np.add.reduceat(t[b].astype(np.int32), w.start) for t in (_upper, _lower))
+        up, low, odd = (np.add.reduceat(t[b].astype(np.int32), w.start) for t in (_upper, _lower, _symbol))
         out["n_upper_words"] = np.bincount(w.doc[(up > 0) & (low == 0)], minlength=n)
+        out["n_symbol_words"] = np.bincount(w.doc[odd > 0], minlength=n)
     else:
-        out["n_upper_words"] = np.zeros(n, np.int64)
+        out["n_upper_words"] = out["n_symbol_words"] = np.zeros(n, np.int64)
     key, doc, at = windows(w)
     covered = np.zeros(len(w.start) + 1, np.int64)
     if len(key):
@@ -102,16 +104,17 @@ def _vote(value: Column, bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules. A ratio without a denominator abstains."""
+    """The rules, with limits that are usual for web text. A ratio without a denominator abstains."""
     words = F.when(F.col("n_words") > 0, F.col("n_words").cast("double"))
     lines = F.when(F.col("n_lines") > 0, F.col("n_lines").cast("double"))
     mean = F.col("word_chars") / words
-    symbols, marks, upper, again = (F.col(c) / words for c in ("n_symbols", "n_marks", "n_upper_words", "n_repeat_words"))
+    symbols, odd, marks, upper, again = (F.col(c) / words for c in ("n_symbols", "n_symbol_words", "n_marks", "n_upper_words", "n_repeat_words"))
     twice, ended = F.col("n_dup_lines") / lines, F.col("n_ended_lines") / lines
     return {
-        "length": _vote(words, words < MIN_WORDS, words >= 40),
+        "length": _vote(words, (words < 50) | (words > 100_000), words >= 100),
         "word_size": _vote(mean, (mean < 3) | (mean > 12), (mean >= 3.5) & (mean <= 10)),
         "symbols": _vote(symbols, symbols > 0.1, symbols < 0.02),
+        "plain_words": _vote(odd, odd > 0.2, odd < 0.05),
         "marks": _vote(marks, marks > 0.2, marks < 0.05),
         "capitals": _vote(upper, upper > 0.4, upper < 0.1),
         "repeats": _vote(again, again > 0.2, again <= 0.15),
@@ -120,20 +123,18 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over counted vote patterns: (class weights, log-probabilities [class, rule, vote + 1]).
 
-    Class 0 is a good document. Junk comes in kinds that have little in common, so there is one bad class for
-    each rule; it starts with the documents that this rule calls bad (shared out equally if several do). The
-    tables are smoothed by one pseudo-count split by the rule's overall votes, so that no vote decides by a zero.
+    Class 0 is a good document, class 1 a bad one; rules vote independently within a class. The tables are smoothed by
+    one pseudo-count split by the rule's overall votes, so that no vote decides by a zero.
     """
     v = np.array([p for p, _ in patterns]) + 1
     n = np.array([c for _, c in patterns], float)
     hot = np.stack([v == k for k in range(3)], 2).astype(float)  # pattern, rule, vote
     overall = ((n[:, None, None] * hot).sum(0) + 1) / (n.sum() + 3)
-    bad = (v == 0).astype(float)
-    share = np.where(bad.any(1, keepdims=True), 0.95 * bad / np.maximum(bad.sum(1, keepdims=True), 1), 0.05 / bad.shape[1])
-    belongs = np.column_stack((1 - share.sum(1), share))  # pattern, class
+    bad = np.choose(np.minimum((v == 0).sum(1), 2), (0.02, 0.5, 0.98))
+    belongs = np.column_stack((1 - bad, bad))  # pattern, class
     for _ in range(rounds):
         held = (n[:, None] * belongs).sum(0) + 1e-3
         table = np.einsum("p,pc,prv->crv", n, belongs, hot) + overall
@@ -147,10 +148,17 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, to
     return np.log(held / held.sum()), table
 
 
+def accuracies(weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How often each rule is right, by the estimate, where it votes."""
+    share = np.exp(weights[:, None, None] + table)  # class, rule, vote
+    right = share[0, :, 2] + share[1, :, 0]
+    return right / (share[:, :, 0] + share[:, :, 2]).sum(0)
+
+
 def fit(counted: DataFrame) -> Column:
     """The posterior probability of being good, as an expression over COUNTS, fitted on all rows of `counted`.
 
-    The driver gets vote patterns with their counts only: 3 ** 8 rows at most, however large the table.
+    The driver gets vote patterns with their counts only: 3 ** 9 rows at most, however large the table.
     """
     rules = list(votes().values())
     voted = counted.select(*[c.cast("int").alias(f"v{k}") for k, c in enumerate(rules)])
@@ -158,9 +166,11 @@ def fit(counted: DataFrame) -> Column:
     if not patterns:
         return F.lit(0.5)
     weights, table = fit_votes(sorted(patterns))
-    logs = [sum((F.element_at(F.array(*[F.lit(round(float(x), 9)) for x in row]), rule.cast("int") + 2) for row, rule in zip(rows, rules, strict=True)), F.lit(round(float(w), 9))) for w, rows in zip(weights, table, strict=True)]
-    bad = F.aggregate(F.array(*[F.exp(x - logs[0]) for x in logs[1:]]), F.lit(0.0), lambda a, x: a + x)
-    return 1 / (1 + bad)
+    ratios = table[0] - table[1]
+    odds = F.lit(round(float(weights[0] - weights[1]), 9))
+    for rule, row in zip(rules, ratios, strict=True):
+        odds = odds + F.element_at(F.array(*[F.lit(round(float(x), 9)) for x in row]), rule.cast("int") + 2)
+    return 1 / (1 + F.exp(-odds))
 
 
 def with_verdict(counted: DataFrame, quality: Column, keep_at: float = KEEP_AT) -> DataFrame:
