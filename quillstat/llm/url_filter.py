@@ -1,13 +1,14 @@
 """URL rules behind a blocked Bloom filter.
 
 A rule lists a canonical URL prefix: a host, which stands for itself and its subdomains, and the start of a
-path. Each distinct page URL gives the few keys that could be listed: suffixes of its host with as many labels as some
-listed host, with path prefixes of listed lengths. The keys that pass the blocked Bloom filter meet the list in an exact
-hash join, which removes the filter's false positives; the longest listed key decides. Verdicts go back to the pages by
-URL; URLs of over HOT_PAGES pages are found first, and their few verdicts are broadcast.
+path. Each page URL gives the few keys that could be listed: suffixes of its host with as many labels as some listed
+host, with path prefixes of listed lengths. They are tested against the blocked Bloom filter on the page's own row. A page
+without a possible hit is done there; of the others the possible hits meet the list in an exact hash join, which removes
+the filter's false positives, and come together again by row; the longest listed key decides. A URL with very many pages
+is as many rows, and no key.
 
 A null URL, or one without "://", has an empty host and path and fits no rule but one that lists the empty host. Rules
-with a null host or path are left out. Repeated URLs are judged once.
+with a null host or path are left out. Repeated URLs and rows are each judged.
 An empty table gives an empty result, an empty list lets everything pass. Extra columns are carried through,
 unless they bear a result's name.
 """
@@ -30,10 +31,9 @@ RULES = (
     ("org", "/es/", "block"),
 )
 BITS_PER_KEY, PROBES = 16, 4
-#: URLs of more pages than this get their verdicts by a broadcast, as long as these take at most BROADCAST_BYTES.
-HOT_PAGES, BROADCAST_BYTES = 100_000, 64 << 20
-#: The filter is broadcast up to so many blocks of 256 bits (40 bytes each); a larger one is joined by block.
-BROADCAST_BLOCKS = 500_000
+#: The filter is broadcast up to so many blocks of 256 bits; a larger one is joined by block. A list of so many rules is
+#: broadcast too.
+BROADCAST_BLOCKS, BROADCAST_RULES = 500_000, 100_000
 
 
 def canonical(url: Column) -> tuple[Column, Column]:
@@ -66,7 +66,23 @@ def _bit(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", hot_pages: int = HOT_PAGES) -> DataFrame:
+def _flat_bits(spark: SparkSession, bits: DataFrame, n_blocks: int) -> DataFrame:
+    """One row: the filter's words in order, four a block; n_blocks is at most BROADCAST_BLOCKS."""
+    own = spark.range(n_blocks).withColumnRenamed("id", "block").join(bits, "block", "left")
+    words = F.struct("block", F.array(*[F.coalesce(f"w{k}", F.lit(0).cast("bigint")) for k in range(4)]).alias("words"))
+    return own.agg(F.flatten(F.transform(F.sort_array(F.collect_list(words)), lambda x: x["words"])).alias("_bits"))
+
+
+def _passes(key: Column, word_at, n_blocks: int) -> Column:
+    """Whether all probes of a key are set; word_at(block, word) gives a word of the filter."""
+    block, probes = _blocks_of(key, n_blocks)
+    out = F.lit(True)
+    for word, bit in probes:
+        out = out & (word_at(block, word).bitwiseAND(_bit(bit)) != 0)
+    return out
+
+
+def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", most_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """Append host, path, rule and verdict. rules: host, path, verdict; of equal rules, block wins."""
     spark = pages.sparkSession
     host, path = canonical(F.col(f"`{url_col}`"))
@@ -83,35 +99,31 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     ends = [F.substring_index("host", ".", -k) for k in sorted(labels)]  # the host itself where it has fewer labels
     prefixes = F.array_distinct(F.array(*[F.substring("path", 1, k) for k in sorted(lengths)]))
     pairs = F.flatten(F.transform(F.array_distinct(F.array(*ends)), lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
-    bits = bloom(listed.select("key"), n_blocks)
-    if n_blocks <= BROADCAST_BLOCKS:
-        bits = F.broadcast(bits)
-
-    best, flag = free_name(judged, "_best"), free_name(judged, "_hot")
-
-    def verdicts(urls: DataFrame) -> DataFrame:
-        """(host, path, best) of the given distinct host and path pairs that fit a rule."""
-        asked = urls.select("host", "path", F.inline(pairs)).withColumn("key", F.xxhash64("rule_host", "rule_path"))
-        block, probes = _blocks_of(F.col("key"), n_blocks)
-        passed = asked.withColumn("block", block).join(bits, "block")
-        for word, bit in probes:
-            chosen = F.when(word == 0, F.col("w0")).when(word == 1, F.col("w1")).when(word == 2, F.col("w2")).otherwise(F.col("w3"))
-            passed = passed.filter(chosen.bitwiseAND(_bit(bit)) != 0)
-        exact = passed.select("host", "path", "rule_host", "rule_path").join(listed.drop("key"), ["rule_host", "rule_path"])
-        size = F.length("rule_host") + F.length("rule_path")
-        return exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("wide"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias(best))
-
-    hot = materialise(judged.groupBy("host", "path").agg(F.count("*").alias("n")).filter(F.col("n") > hot_pages).drop("n"))
-    size = hot.agg(F.count("*").alias("n"), F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("bytes")).first()
-    rest, parts = judged, []
-    if size["n"] and size["bytes"] <= BROADCAST_BYTES:
-        known = F.broadcast(materialise(hot.join(verdicts(hot), ["host", "path"], "left").withColumn(flag, F.lit(True))))
-        met = judged.join(known, ["host", "path"], "left")
-        parts, rest = [met.filter(F.col(flag)).drop(flag)], met.filter(F.col(flag).isNull()).drop(flag, best)
-    out = rest.join(verdicts(rest.select("host", "path").distinct()), ["host", "path"], "left")
-    for part in parts:
-        out = out.unionByName(part)
-    return out.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
+    bits = materialise(bloom(listed.select("key"), n_blocks))
+    key, hits, best = (free_name(judged, name) for name in ("_row", "_hits", "_best"))
+    if n_blocks <= most_blocks:
+        met = judged.crossJoin(F.broadcast(_flat_bits(spark, bits, n_blocks)))  # one row of bits
+        word_at = lambda block, word: F.get("_bits", (block * 4 + word).cast("int"))
+        met = met.withColumn(hits, F.filter(pairs, lambda p: _passes(F.xxhash64(p["rule_host"], p["rule_path"]), word_at, n_blocks))).drop("_bits")
+    else:  # a filter too large to send around: what pages ask for meets it by block, and only that is shuffled
+        keyed = materialise(judged.withColumn(key, F.monotonically_increasing_id()))
+        asked = keyed.select(key, F.inline(pairs)).withColumn("_key", F.xxhash64("rule_host", "rule_path"))
+        block, _ = _blocks_of(F.col("_key"), n_blocks)
+        word_of = lambda _, word: F.when(word == 0, F.col("w0")).when(word == 1, F.col("w1")).when(word == 2, F.col("w2")).otherwise(F.col("w3"))
+        passed = asked.withColumn("block", block).join(bits, "block").filter(_passes(F.col("_key"), word_of, n_blocks))
+        found = passed.groupBy(key).agg(F.collect_list(F.struct("rule_host", "rule_path")).alias(hits))  # as many as lengths times labels at most
+        met = keyed.join(found, key, "left").drop(key)
+    # pages without a possible hit are done where they are; the few others meet the list itself
+    quiet = met.filter(F.coalesce(F.size(hits), F.lit(0)) <= 0).drop(hits).select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    few = F.broadcast if n <= BROADCAST_RULES else lambda df: df
+    loud = met.filter(F.size(hits) > 0).withColumn(key, F.monotonically_increasing_id())
+    size = F.length("rule_host") + F.length("rule_path")
+    choice = F.struct(size.alias("size"), F.length("rule_host").alias("wide"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")
+    exact = loud.select(*judged.columns, key, F.inline(hits)).join(few(listed.drop("key")), ["rule_host", "rule_path"], "left")
+    page = F.first(F.struct(*[F.col(f"`{c}`") for c in judged.columns])).alias("page")
+    chosen = exact.groupBy(key).agg(page, F.max(F.when(F.col("verdict").isNotNull(), choice)).alias(best))  # a row's own hits
+    judged_loud = chosen.select("page.*", F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
+    return quiet.unionByName(judged_loud).select(*[F.col(f"`{c}`") for c in own], "host", "path", "rule", "verdict")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

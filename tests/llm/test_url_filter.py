@@ -47,6 +47,15 @@ def test_many_rules_have_no_false_hits(spark):
     assert all((got[k][3] == "block") == (k < 3000) for k in got)
 
 
+def test_pages_without_a_hit_stay_where_they_are(spark):
+    """Only possible hits are exploded and shuffled: the branch of the others has no exchange."""
+    pages = spark.createDataFrame([(k, f"http://h{k}.com/x", "t", 1) for k in range(100)], SCHEMA)
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    plan = apply_rules(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    quiet, loud = plan.split("Union")[1].split("Aggregate", 1)[0], plan.split("Union")[1]
+    assert "Generate" not in quiet and "Generate" in loud
+
+
 def test_empty_sides(spark):
     assert judged(spark, []) == {}
     pages = spark.createDataFrame([(1, "http://a.com/en/", "t", 1)], SCHEMA)
@@ -58,9 +67,9 @@ def test_hosts_of_many_labels_and_urls_of_many_pages(spark):
     far = "http://" + "a." * 100_000 + "example.com/en/7"  # only suffixes as long as listed ones are built
     urls = [far] + ["http://example.net/de/8"] * 500 + [None] * 500
     assert judged(spark, urls) == {k: brute(u) for k, u in enumerate(urls)}
-    theirs = spark.createDataFrame([(k, u, f"b{k}", "h") for k, u in enumerate(urls)], "page_id bigint, url string, _best string, _hot string")
+    theirs = spark.createDataFrame([(k, u, f"b{k}", "h") for k, u in enumerate(urls)], "page_id bigint, url string, _best string, _row string")
     rules = spark.createDataFrame([*RULES, (None, "/", "block"), ("com", None, "block")], "host string, path string, verdict string")
-    for most in (100, 1):
-        got = apply_rules(theirs, rules, hot_pages=most).collect()
+    for most in (500_000, 0):  # the filter on the rows, or joined by block
+        got = apply_rules(theirs, rules, most_blocks=most).collect()
         assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {k: brute(u) for k, u in enumerate(urls)}
-        assert all(r["_best"] == f"b{r['page_id']}" and r["_hot"] == "h" for r in got) and len(got) == len(urls)
+        assert all(r["_best"] == f"b{r['page_id']}" and r["_row"] == "h" for r in got) and len(got) == len(urls)
