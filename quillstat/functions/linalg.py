@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: From so many columns on, cross-products are summed in matrices rather than as one expression a pair.
+WIDE = 32
+#: Numbers of one block that is sent to be summed, and rows that a task multiplies at once.
+BLOCK, ROWS_AT_ONCE = 1 << 16, 1000
+
+
 @dataclass
 class Moments:
     """Count, means and centred cross-products of complete rows."""
@@ -33,7 +42,67 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")).alias(c) for c in columns]).dropna()
 
 
+def _points(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(F.array(*[F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")) for c in columns]).alias("x"))
+
+
+def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sums [4, i, j], shift): for every pair, over the rows that have both, how many there are, the sums of i and of its
+    squares, and of i times j, all of values less `shift`, which is near the data, so that little is lost.
+
+    One job: each task multiplies its rows as matrices with gaps as zeros, and sends blocks of one fixed size, which are
+    summed in two steps, so that no task holds more than about the root of all tasks' blocks at once.
+    """
+    p = len(columns)
+    points = _points(df, columns)
+    one = points.first()
+    shift = np.array([v or 0.0 for v in one["x"]]) if one else np.zeros(p)
+    lots = max(1, round(max(points.rdd.getNumPartitions(), 1) ** 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p)
+            for k in range(0, len(x), ROWS_AT_ONCE):
+                part = x[k : k + ROWS_AT_ONCE]
+                there = ~np.isnan(part)
+                z, m = np.where(there, part - shift, 0.0), there.astype(float)
+                for q, (a, b) in enumerate(((m, m), (z, m), (z * z, m), (z, z))):
+                    total[q] += a.T @ b
+        flat = total.ravel()
+        starts = list(range(0, len(flat), BLOCK))
+        yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array([flat[s : s + BLOCK].tobytes() for s in starts], pa.binary())], names=["start", "part"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b, float) for b in group["part"])
+        return pd.DataFrame({c: [group[c].iloc[0]] for c in group.columns if c != "part"} | {"part": [total.tobytes()]})
+
+    made = points.mapInArrow(run, "start bigint, part binary").select("start", F.pmod(F.spark_partition_id(), F.lit(lots)).alias("lot"), "part")
+    made = made.groupBy("start", "lot").applyInPandas(add, "start bigint, lot int, part binary")
+    rows = made.select("start", "part").groupBy("start").applyInPandas(add, "start bigint, part binary").collect()  # 4 p^2 numbers
+    flat = np.concatenate([np.frombuffer(r["part"], float) for r in sorted(rows, key=lambda r: r["start"])]) if rows else np.zeros(4 * p * p)
+    return flat.reshape(4, p, p), shift
+
+
+def pairwise_correlations(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(r, n) of all pairs over the rows that have both; NaN where a side is constant or there are no rows."""
+    (n, s, q, c), _ = gram(df, columns)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = c - s * s.T / n
+        spread = np.maximum(q - s * s / n, 0)
+        floor = 1e-12 * np.maximum(q, 1e-300)
+        r = np.where((spread > floor) & (spread.T > floor.T), cross / np.sqrt(spread * spread.T), np.nan)
+    np.fill_diagonal(r, 1.0)
+    return np.clip(r, -1, 1), n.astype(np.int64)
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
+    if len(columns) > WIDE:
+        whole = _points(df, columns).filter(~F.exists("x", lambda v: v.isNull()))
+        names = [f"c{k}" for k in range(len(columns))]
+        (n, s, _, c), shift = gram(whole.select(*[F.col("x")[k].alias(m) for k, m in enumerate(names)]), names)
+        rows, sums = int(n[0, 0]), np.diag(s)
+        return Moments(list(columns), rows, shift + sums / max(rows, 1), c - np.outer(sums, sums) / max(rows, 1))
     rows = complete(df, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     got = rows.agg(F.count("*").alias("n"), *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(f"`{columns[i]}`", f"`{columns[j]}`").alias(f"c{i}_{j}") for i, j in pairs]).first()

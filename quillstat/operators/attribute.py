@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.ranks import shared_folder
@@ -144,13 +144,15 @@ def batch_attributions(x: np.ndarray, trees: list[Tree], cover: list[np.ndarray]
     return out
 
 
-def tree_attributions(rows: DataFrame, names: list[str], fitted, classify: bool = False) -> tuple[DataFrame, float]:
+def tree_attributions(rows: DataFrame, names: list[str], fitted, classify: bool = False, x: Column | None = None) -> tuple[DataFrame, float]:
     """(rows with `attributions`, an array in the order of `names`, and `explained`, the prediction that they add up to; the mean prediction).
 
-    Rows with a missing value get null. An empty table gives an empty one.
+    x is an array of what the model reads, the named columns by default. Rows with a missing value get null. An empty
+    table gives an empty one.
     """
     trees = node_tables(fitted, classify)
-    x = F.array(*[F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None).cast("double")) for n in names])
+    if x is None:
+        x = F.array(*[F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None).cast("double")) for n in names])
     points = rows.withColumn("x", x)
     known = ~F.exists("x", lambda v: v.isNull())
     cover = covers(points.filter(known), trees)

@@ -80,6 +80,21 @@ def correlation_grid(pairs: DataFrame, names: list[str]) -> DataFrame:
     return frame.select("name", *[F.when(F.col("name") == n, 1.0).otherwise(F.col(f"`{n}`")).alias(n) for n in names])
 
 
+def predicted_vs_actual(rows: DataFrame, points: int = POINTS) -> dict:
+    """Points (actual, predicted), every k-th by a hash where there are more than `points`, and the diagonal over the
+    range of both."""
+    clean = rows.select(F.col("actual").cast("double").alias("actual"), F.col("prediction").cast("double").alias("predicted")).dropna()
+    got = clean.agg(F.count("*").alias("n"), F.least(F.min("actual"), F.min("predicted")).alias("low"), F.greatest(F.max("actual"), F.max("predicted")).alias("high")).first()
+    step = max(1, got["n"] // points)
+    data = clean.filter(F.pmod(F.xxhash64("actual", "predicted"), F.lit(step)) == 0)
+    return {"chart": "scatter", "title": "Predicted and actual values", "diagonal": None if got["low"] is None else {"x1": got["low"], "y1": got["low"], "x2": got["high"], "y2": got["high"]}, "data": data}
+
+
+def attribution_chart(attributed: DataFrame, top: int = 15) -> DataFrame:
+    """feature, mean_abs, percentage, rank of the features with the greatest mean attributions."""
+    return attributed.filter(F.col("rank") <= top).orderBy("rank")
+
+
 def model_comparison(report: dict) -> list[dict]:
     """One row a model, with its tuning score and test metrics."""
     return [{"model": n, "tuning_score": m.get("best_score"), **{k: v for k, v in m.get("test_metrics", {}).items()}} for n, m in report["models"].items() if "error" not in m]

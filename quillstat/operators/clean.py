@@ -197,6 +197,14 @@ def exact_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
     return only.filter("_n = 1").select("row.*")
 
 
+def duplicate_rows(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
+    """The ids of repeats: all rows of equal `columns` (all but the id by default; nulls equal) but that with the least
+    id. Rows meet the least ids by the id itself, so that a value with very many copies is no hot key."""
+    by = columns or [c for c in df.columns if c != row_id]
+    firsts = df.groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.min(F.col(f"`{row_id}`")).alias("_first")).select("_first")
+    return df.select(F.col(f"`{row_id}`")).join(firsts, F.col(f"`{row_id}`") == F.col("_first"), "left_anti")
+
+
 def _text_classes(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """id, members, t0..: rows of equal texts under the least of their ids."""
     ensure_checkpoints(df.sparkSession)

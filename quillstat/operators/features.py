@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions.linalg import complete, moments, vif
-from quillstat.functions.ranks import lookup_side, numbered
+from quillstat.functions.linalg import WIDE, complete, moments, pairwise_correlations, vif
+from quillstat.functions.ranks import ensure_checkpoints, lookup_side, numbered
 from quillstat.operators.profile import number
 
 ONE_HOT_MOST, SMOOTHING, FOREST_CLASSES = 15, 10.0, 10
@@ -51,6 +51,55 @@ def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: flo
     return df
 
 
+class TargetCodes:
+    """Target codes that are fitted on some rows and applied to others, or to the same rows without their own fold.
+
+    One aggregation sums the target by column, level and fold. A level's code for new rows is its mean, drawn to the
+    whole mean by `smoothing` rows; for a row that was fitted on, the level's sums and the whole are less those of the row's
+    own fold, so that no row's code knows its target. Unseen and null levels get the whole mean. Extra rows change no code.
+    """
+
+    def __init__(self, train: DataFrame, columns: list[str], target: str, fold: Column | None = None, smoothing: float = SMOOTHING):
+        ensure_checkpoints(train.sparkSession)
+        self.columns, self.smoothing = list(columns), smoothing
+        self.fold = fold if fold is not None else F.lit(0)
+        cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("level")) for k, c in enumerate(columns)]
+        cells.append(F.struct(F.lit(-1).alias("k"), F.lit("").alias("level")))  # all rows
+        rows = train.select(self.fold.cast("int").alias("fold"), plain(target).alias("y"), F.inline(F.array(*cells))).filter("y is not null and level is not null")
+        self.sums = rows.groupBy("k", "level", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n")).checkpoint()
+        whole = self.sums.filter("k = -1").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+        self.sum, self.count = whole["s"] or 0.0, whole["n"] or 0
+
+    @property
+    def mean(self) -> float | None:
+        return self.sum / self.count if self.count else None
+
+    def _joined(self, df: DataFrame, k: int, column: str, codes: DataFrame, by_fold: bool, otherwise: Column) -> DataFrame:
+        match = F.col(f"`{column}`").cast("string") == F.col("_level")
+        match = match & (self.fold.cast("int") == F.col("_fold")) if by_fold else match
+        return df.join(lookup_side(codes), match, "left").withColumn(f"{column}_target_encoded", F.coalesce("_code", otherwise)).drop("_level", "_fold", "_code")
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """`col_target_encoded` of rows that were not fitted on."""
+        for k, c in enumerate(self.columns):
+            totals = self.sums.filter(F.col("k") == k).groupBy(F.col("level").alias("_level")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            code = (F.col("s") + self.smoothing * F.lit(self.mean)) / (F.col("n") + self.smoothing)
+            df = self._joined(df, k, c, totals.select("_level", code.alias("_code")), False, F.lit(self.mean))
+        return df
+
+    def apply_out_of_fold(self, train: DataFrame) -> DataFrame:
+        """`col_target_encoded` of the rows that were fitted on, each by the other folds."""
+        own = self.sums.filter("k = -1").select(F.col("fold").alias("_fold"), F.try_divide(F.lit(self.sum) - F.col("s"), (F.lit(self.count) - F.col("n")).cast("double")).alias("_rest"))  # a row a fold
+        for k, c in enumerate(self.columns):
+            cells = self.sums.filter(F.col("k") == k)
+            totals = cells.groupBy("level").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+            met = cells.join(totals, "level").join(F.broadcast(own), F.col("fold") == F.col("_fold"))
+            code = (F.col("all_s") - F.col("s") + self.smoothing * F.col("_rest")) / (F.col("all_n") - F.col("n") + self.smoothing)
+            train = train.join(F.broadcast(own.withColumnRenamed("_fold", "_of")), self.fold.cast("int") == F.col("_of"), "left")
+            train = self._joined(train, k, c, met.select(F.col("level").alias("_level"), "_fold", code.alias("_code")), True, F.coalesce("_rest", F.lit(self.mean))).drop("_of", "_rest")
+        return train
+
+
 def ordinal_encode(df: DataFrame, columns: list[str], orders: dict[str, list[str]] | None = None) -> DataFrame:
     """Levels become 0..k-1 in the given order, or sorted as text; anything else is null. Sorted levels are numbered
     in range partitions and joined back, at any number of them."""
@@ -152,7 +201,9 @@ def group_mean(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 
 def pairwise(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pairwise-complete correlations of all columns, from one aggregation."""
+    """Pairwise-complete correlations of all columns, from one aggregation; of very many columns, from blocked sums."""
+    if len(columns) > WIDE:
+        return pairwise_correlations(df, columns)[0]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     got = df.select(*[number(c, k).alias(c) for c, k in df.dtypes if c in columns]).agg(*[F.corr(f"`{columns[i]}`", f"`{columns[j]}`").alias(f"r{i}_{j}") for i, j in pairs]).first() if pairs else None
     out = np.eye(len(columns))

@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.functions.linalg import Fit, complete, moments, ols, vif
-from quillstat.functions.ranks import average_ranks, lookup_side
+from quillstat.functions.linalg import WIDE, Fit, complete, moments, ols, pairwise_correlations, vif
+from quillstat.functions.ranks import average_ranks, lookup_side, numbered
 from quillstat.functions.special import chi2_upper, f_upper, normal_cdf, t_two_sided
 
+#: Words that stand for 1 and 0 in a binary column.
+TRUE_WORDS, FALSE_WORDS = ("true", "yes", "1"), ("false", "no", "0")
 SPEARMAN_UNIQUE, ALPHA, LEVELS = 15, 0.05, 15
 
 
+def binary_number(column: str, kind: str) -> Column:
+    """A column as a number, boolean words as 1 and 0."""
+    c = F.col(f"`{column}`")
+    if kind != "string":
+        return c.cast("int").cast("double") if kind == "boolean" else c.cast("double")
+    word = F.lower(F.trim(c))
+    return F.when(word.isin(*TRUE_WORDS), 1.0).when(word.isin(*FALSE_WORDS), 0.0).otherwise(F.expr(f"try_cast(`{column}` as double)"))
+
+
 def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     """One row (n, r): pairwise complete rows; null for under three or a constant column."""
     clean = df.select(*[F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")).alias(k) for c, k in ((a, "x"), (b, "y"))]).dropna()
@@ -83,8 +96,53 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]], types: dict[str, s
     return made.select("column_a", "column_b", "method", "n", F.round("r", 4).alias("r"), F.round("p_value", 4).alias("p_value"), F.round(low, 4).alias("lower"), F.round(high, 4).alias("upper"), strength(F.col("r")).alias("interpretation"))
 
 
+def untied_spearman(df: DataFrame, a: str, b: str, order: list) -> tuple[int, float | None]:
+    """(n, r) of rank numbers, of which no two are equal: equal values are numbered in row order."""
+    number_ = lambda c: F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double"))
+    rows = df.select(number_(a).alias("x"), number_(b).alias("y"), *[(F.col(o) if isinstance(o, str) else o).alias(f"o{k}") for k, o in enumerate(order)]).filter("x is not null and y is not null")
+    where = [f"o{k}" for k in range(len(order))]
+    ranked = numbered(numbered(rows, ["x", *where], "rx"), ["y", *where], "ry")
+    got = ranked.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r")).first()
+    return got["n"], got["r"]
+
+
+def variant_correlations(df: DataFrame, types: dict[str, str], pairs: list[tuple[str, str]] | None = None, order: list | None = None) -> DataFrame:
+    """column_a, column_b, method, r, interpretation by the client's rules: continuous pairs are Pearson's, a binary and a
+    continuous column point-biserial (words for 1 and 0 count as such), pairs with an ordinal column Spearman's on untied
+    ranks; anything else, or under three rows, is 0. Without pairs all of continuous, ordinal and binary columns are
+    taken, in their order. Columns missing in over 80 % of the rows are left out."""
+    names = [c for c in df.columns if types.get(c) in ("continuous", "ordinal", "binary")]
+    wanted = [(a, b) for a, b in pairs if a in types and b in types] if pairs else [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    kinds = dict(df.dtypes)
+    used = list(dict.fromkeys(c for p in wanted for c in p))
+    missing_ = lambda c: F.col(f"`{c}`").isNull() | (F.trim(F.col(f"`{c}`").cast("string")).isin("", "NA", "NaN", "null"))
+    shares = df.agg(F.count("*").alias("rows"), *[F.count_if(missing_(c)).alias(f"m{k}") for k, c in enumerate(used)]).first() if used else None
+    kept = {c for k, c in enumerate(used) if shares["rows"] and shares[f"m{k}"] / shares["rows"] <= 0.8}
+    rows = []
+    for a, b in wanted:
+        if a not in kept or b not in kept:
+            continue
+        sides, method, n, r = {types[a], types[b]}, "pearson", 0, None
+        if "ordinal" in sides:
+            method = "spearman"
+            n, r = untied_spearman(df, a, b, order or [F.monotonically_increasing_id()])
+        elif sides <= {"continuous", "binary"} and "continuous" in sides:
+            x, y = ((F.when((v := binary_number(c, kinds[c])).isin(0.0, 1.0), v) if types[c] == "binary" else F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double"))) for c in (a, b))
+            got = df.select(x.alias("x"), y.alias("y")).dropna().agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).first()
+            n, r = got["n"], got["r"]
+        rows.append((a, b, method, float(r) if n >= 3 and r is not None and r == r else 0.0))
+    made = df.sparkSession.createDataFrame(rows, "column_a string, column_b string, method string, r double")
+    return made.withColumn("interpretation", strength(F.col("r")))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_a, column_b, r for all pairs both ways, 1 on the diagonal, 0 where there are under three rows."""
+    if len(columns) > WIDE:
+        r, n = pairwise_correlations(df, columns)
+        r = np.where((n < 3) | np.isnan(r), 0.0, r)
+        np.fill_diagonal(r, 1.0)
+        names = np.array(columns, object)
+        return df.sparkSession.createDataFrame(pd.DataFrame({"column_a": np.repeat(names, len(names)), "column_b": np.tile(names, len(names)), "r": r.ravel()}))
     clean = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     exprs = [e for k, (a, b) in enumerate(pairs) for e in (F.corr(f"`{a}`", f"`{b}`").alias(f"r{k}"), F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias(f"n{k}"))]

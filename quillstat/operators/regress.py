@@ -10,20 +10,10 @@ from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import Fit, complete, moments, ols, vif
 from quillstat.functions.ranks import numbered
+from quillstat.operators.infer import binary_number
 
 MIN_ROWS, TEST_ROWS, TEST_PERCENT, SEED = 10, 30, 20, 42
 FOREST_TREES, FOREST_DEPTH, FOREST_ROWS, SERIES_ROWS, FORECAST_STEPS = 50, 10, 30, 5, 5
-#: Words that stand for 1 and 0 in a binary column.
-TRUE_WORDS, FALSE_WORDS = ("true", "yes", "1"), ("false", "no", "0")
-
-
-def binary_number(column: str, kind: str) -> Column:
-    """A column as a number, boolean words as 1 and 0."""
-    c = F.col(f"`{column}`")
-    if kind != "string":
-        return c.cast("int").cast("double") if kind == "boolean" else c.cast("double")
-    word = F.lower(F.trim(c))
-    return F.when(word.isin(*TRUE_WORDS), 1.0).when(word.isin(*FALSE_WORDS), 0.0).otherwise(F.expr(f"try_cast(`{column}` as double)"))
 
 
 def model_rows(df: DataFrame, dependent: str, predictors: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Results in plain words. Bands are the same as the reference application's; the wording is this engine's own."""
+"""Results in plain words: quality bands of metrics, and sentences made from them."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import moments, ols, vif
-from quillstat.operators import charts, clean, describe, explain, features, infer, missing, profile, regress, training
+from quillstat.operators import attribute, charts, clean, describe, explain, features, infer, missing, profile, regress, training
 from quillstat.plans import planner, translate
 from quillstat.sources.ingest import with_row_id
 from quillstat.streaming import live_profile
@@ -106,14 +106,28 @@ def missing_report(spark, sf):
     return profile.missing_report(gaps(table(spark, sf, "lineitem")).select("l_quantity", "l_tax")).select(F.col("column").alias("column_name"), F.col("count").alias("n"), "percentage", F.col("suggested_strategy").alias("strategy"))
 
 
-@query("column_profile", "SELECT * FROM (VALUES ('p_partkey', 'continuous'), ('p_name', 'categorical'), ('p_brand', 'categorical'), ('p_type', 'categorical'), ('p_size', 'continuous'), ('p_retailprice', 'continuous')) t(column_name, type), (SELECT count(*)::BIGINT AS n_rows FROM part)")
+#: The type rules on counts: for numbers by distinct values and whether all are 0 or 1, for text by words for booleans.
+NUMBER_TYPE = "CASE WHEN count(DISTINCT {c}) + (count(*) > count({c}))::INT = 2 AND bool_and({c} IN (0, 1)) THEN 'binary' WHEN count(DISTINCT {c}) + (count(*) > count({c}))::INT <= 15 THEN 'ordinal' ELSE 'continuous' END"
+TEXT_TYPE = "CASE WHEN bool_and(lower(trim({c})) IN ('true', 'yes', '1', 'false', 'no', '0', '')) AND count(DISTINCT nullif(lower(trim({c})), '')) BETWEEN 1 AND 2 THEN 'binary' ELSE 'categorical' END"
+PART = {"p_partkey": NUMBER_TYPE, "p_name": TEXT_TYPE, "p_brand": TEXT_TYPE, "p_type": TEXT_TYPE, "p_size": NUMBER_TYPE, "p_retailprice": NUMBER_TYPE}
+PART_TYPES = " UNION ALL ".join(f"SELECT {k} AS position, '{c}' AS column_name, {t.format(c=c)} AS type, count(*)::BIGINT AS n_rows, (count(DISTINCT {c}) + (count(*) > count({c}))::INT)::BIGINT AS n_distinct, (count(*) - count({c}))::BIGINT AS n_missing FROM part" for k, (c, t) in enumerate(PART.items()))
+
+
+@query("column_profile", f"SELECT column_name, type, n_rows, n_distinct, n_missing FROM ({PART_TYPES})")
 def column_profile(spark, sf):
-    return profile.profile(table(spark, sf, "part")).select(F.col("column").alias("column_name"), "type", F.col("rows").alias("n_rows"))
+    return profile.profile(table(spark, sf, "part")).select(F.col("column").alias("column_name"), "type", F.col("rows").alias("n_rows"), F.col("distinct").alias("n_distinct"), F.col("nulls").alias("n_missing"))
 
 
-@query("coded_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' ELSE 'ordinal' END AS type, false AS coded, false AS uncertain FROM labels" for c in ("quality", "toxic")))
+#: A column named like an order is coded while its numbers are small; one without a telling name is open; a wide one is neither.
+@query("coded_columns", f"SELECT 'level' AS column_name, 'ordinal' AS type, max(l_linenumber) <= 30 AS coded, false AS uncertain FROM lineitem UNION ALL SELECT 'line', {NUMBER_TYPE.format(c='l_linenumber')}, false, bool_and(l_linenumber = floor(l_linenumber)) AND min(l_linenumber) >= 0 AND max(l_linenumber) <= 20 AND count(DISTINCT l_linenumber) BETWEEN 2 AND 15 FROM lineitem UNION ALL SELECT 'size', {NUMBER_TYPE.format(c='l_quantity')}, false, bool_and(l_quantity = floor(l_quantity)) AND min(l_quantity) >= 0 AND max(l_quantity) <= 20 AND count(DISTINCT l_quantity) BETWEEN 2 AND 15 FROM lineitem UNION ALL SELECT 'sex', CASE WHEN count(DISTINCT l_linenumber % 2) = 2 THEN 'binary' ELSE 'ordinal' END, count(DISTINCT l_linenumber % 2) = 2, false FROM lineitem UNION ALL SELECT 'same', 'ordinal', true, false FROM lineitem GROUP BY 1")
 def coded_columns(spark, sf):
-    return profile.profile(table(spark, sf, "labels"), ["quality", "toxic"]).select(F.col("column").alias("column_name"), "type", "coded", "uncertain")
+    line = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("level"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("size"), (F.col("l_linenumber") % 2).alias("sex"), (F.col("l_linenumber") * 0 + 3).alias("same"))
+    return profile.profile(line).select(F.col("column").alias("column_name"), "type", "coded", "uncertain")
+
+
+@query("duplicate_rows", "SELECT event_id FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events) WHERE event_id <> first")
+def duplicate_rows(spark, sf):
+    return clean.duplicate_rows(table(spark, sf, "events"), "event_id", ["user_id", "event_type"])
 
 
 @query("duplicate_count", "SELECT count(*)::BIGINT AS n_rows, count(DISTINCT (user_id, event_type))::BIGINT AS distinct_rows, (count(*) - count(DISTINCT (user_id, event_type)))::BIGINT AS duplicates FROM events")
@@ -675,17 +689,98 @@ def coefficients(spark, sf):
     return spark.createDataFrame([(x["feature"], x["coefficient"], x["direction"]) for x in rows], "feature string, coefficient double, direction string")
 
 
-RANKS = [("a", "x", 1), ("a", "y", 2), ("a", "z", 3), ("b", "x", 2), ("b", "y", 1), ("b", "z", 3), ("c", "x", 1)]
+#: Three ways to rank columns: by correlation with the price, by relative spread, by how many values they have.
+RANKED = ("l_quantity", "l_discount", "l_tax")
+RANKINGS = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS near, stddev_pop({c}) / avg({c}) AS spread, count(DISTINCT {c})::DOUBLE AS many FROM lineitem" for c in RANKED)
+CONSENSUS = f"WITH v AS ({RANKINGS}), k AS (SELECT feature, unnest([rank() OVER (ORDER BY near DESC), rank() OVER (ORDER BY spread DESC), rank() OVER (ORDER BY many DESC)]) AS rank FROM v), m AS (SELECT feature, avg(rank)::DOUBLE AS mean_rank, count(*)::BIGINT AS methods FROM k GROUP BY 1)"
 
 
-@query("consensus_rank", "SELECT feature, avg(rank)::DOUBLE AS mean_rank, count(*)::BIGINT AS methods, row_number() OVER (ORDER BY avg(rank), feature)::INT AS position FROM (VALUES ('a', 'x', 1), ('a', 'y', 2), ('a', 'z', 3), ('b', 'x', 2), ('b', 'y', 1), ('b', 'z', 3), ('c', 'x', 1)) t(method, feature, rank) GROUP BY feature")
+@query("consensus_rank", f"{CONSENSUS} SELECT feature, round(mean_rank, 4) AS mean_rank, methods, row_number() OVER (ORDER BY mean_rank, feature)::INT AS position FROM m")
 def consensus_rank(spark, sf):
-    return explain.consensus(spark.createDataFrame(RANKS, "method string, feature string, rank int"))
+    return _consensus(spark, sf).select("feature", r("mean_rank"), "methods", "position")
+
+
+def _consensus(spark, sf):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "lineitem")
+    facts = rows.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.corr(c, "l_extendedprice")).alias("near"), (F.stddev_pop(c) / F.avg(c)).alias("spread"), F.count_distinct(F.col(c)).cast("double").alias("many")) for c in RANKED]).alias("f")).select(F.inline("f"))
+    ranked = facts.select("feature", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("value")) for m in ("near", "spread", "many")])))
+    return explain.consensus(ranked.select("method", "feature", F.rank().over(Window.partitionBy("method").orderBy(F.desc("value"))).alias("rank")))  # a row a feature
 
 
-@query("importance_chart", "WITH k AS (SELECT feature, avg(rank) AS m FROM (VALUES ('a', 'x', 1), ('a', 'y', 2), ('a', 'z', 3), ('b', 'x', 2), ('b', 'y', 1), ('b', 'z', 3), ('c', 'x', 1)) t(method, feature, rank) GROUP BY feature) SELECT feature, round((SELECT min(m) FROM k) / m, 4) AS share FROM k")
+@query("importance_chart", f"{CONSENSUS} SELECT feature, round((SELECT min(mean_rank) FROM m) / mean_rank, 4) AS share FROM m")
 def importance_chart(spark, sf):
-    return charts.importance_chart(consensus_rank(spark, sf)).select("feature", r("share"))
+    return charts.importance_chart(_consensus(spark, sf)).select("feature", r("share"))
+
+
+@query("tree_attributions")
+def tree_attributions(spark, sf):
+    """Mean attributions of a forest of default size over all parts, with how far they are from adding up."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    names = ["p_size", "p_partkey"]
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(table(spark, sf, "part").select(*names, F.col("p_retailprice").alias("label")))
+    fitted = RandomForestRegressor(numTrees=regress.FOREST_TREES, maxDepth=5, seed=regress.SEED).fit(rows)
+    made, _ = attribute.tree_attributions(rows, names, fitted)
+    off = fitted.transform(made).agg(F.max(F.abs(F.col("prediction") - F.col("explained"))).alias("off"))  # one row
+    return attribute.mean_attributions(made, names).crossJoin(F.broadcast(off)).select("feature", r("mean_abs", 2), r("percentage", 2), "rank", (F.col("off") < 1e-6).alias("adds_up"))
+
+
+@query("neural_network")
+def neural_network(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_quantity", "l_tax", F.col("l_extendedprice").alias("label"))
+    model = training.build("neural_network", False, ["l_quantity", "l_tax"], {"layers": [8], "maxIter": 30}).fit(rows)
+    return regress.regression_metrics(model.transform(rows).withColumnRenamed("label", "actual")).select("n", r("r2", 3))
+
+
+@query("boosting_of_classes")
+def boosting_of_classes(spark, sf):
+    """Order states from prices and dates: three classes."""
+    state = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")) - 1
+    rows = table(spark, sf, "orders").select(F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double").alias("day"), "o_totalprice", state.cast("double").alias("label")).filter("label >= 0")
+    model = training.build("gradient_boosting", True, ["day", "o_totalprice"], {"maxIter": 10, "maxDepth": 3}, classes=3).fit(rows)
+    return regress.macro_metrics(model.transform(rows).withColumnRenamed("label", "actual")).select(r("accuracy", 3), r("f1", 3))
+
+
+FOLDED = "d AS (SELECT p_partkey, p_brand AS g, p_retailprice AS y, p_partkey % 5 AS f FROM part)"
+
+
+@query("target_encode_out_of_fold", f"WITH {FOLDED}, b AS (SELECT g, sum(y) AS s, count(*) AS n FROM d GROUP BY 1), o AS (SELECT g, f, sum(y) AS s, count(*) AS n FROM d GROUP BY 1, 2), w AS (SELECT sum(y) AS s, count(*) AS n FROM d), v AS (SELECT f, sum(y) AS s, count(*) AS n FROM d GROUP BY 1) SELECT p_partkey, round((b.s - o.s + 10 * (w.s - v.s) / (w.n - v.n)) / (b.n - o.n + 10), 4) AS encoded FROM d JOIN b USING (g) JOIN o ON o.g = d.g AND o.f = d.f JOIN v ON v.f = d.f, w")
+def target_encode_out_of_fold(spark, sf):
+    rows = table(spark, sf, "part")
+    codes = features.TargetCodes(rows, ["p_brand"], "p_retailprice", F.col("p_partkey") % 5)
+    return codes.apply_out_of_fold(rows).select("p_partkey", r("p_brand_target_encoded", 4, "encoded"))
+
+
+@query("target_encode_new_rows", f"WITH {FOLDED}, b AS (SELECT g, sum(y) AS s, count(*) AS n FROM d WHERE f <> 0 GROUP BY 1), w AS (SELECT avg(y) AS m FROM d WHERE f <> 0) SELECT p_partkey, round(coalesce((b.s + 10 * m) / (b.n + 10), m), 4) AS encoded FROM d LEFT JOIN b USING (g), w WHERE f = 0")
+def target_encode_new_rows(spark, sf):
+    rows = table(spark, sf, "part")
+    codes = features.TargetCodes(rows.filter("p_partkey % 5 <> 0"), ["p_brand"], "p_retailprice")
+    return codes.apply(rows.filter("p_partkey % 5 = 0")).select("p_partkey", r("p_brand_target_encoded", 4, "encoded"))
+
+
+@query("scale_new_rows", "SELECT o_orderkey, round((o_totalprice - m) / s, 4) + 0.0 AS z FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders WHERE o_orderkey % 5 <> 0) WHERE o_orderkey % 5 = 0")
+def scale_new_rows(spark, sf):
+    rows = table(spark, sf, "orders")
+    _, params = features.scale(rows.filter("o_orderkey % 5 <> 0"), ["o_totalprice"])
+    return features.apply_scale(rows.filter("o_orderkey % 5 = 0"), params).select("o_orderkey", r("o_totalprice", 4, "z"))
+
+
+@query("variant_correlations", "WITH k AS (SELECT row_number() OVER (ORDER BY l_linenumber, l_orderkey) AS a, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS b FROM lineitem) SELECT 'l_linenumber' AS column_a, 'l_extendedprice' AS column_b, 'spearman' AS method, round(corr(a, b), 4) + 0.0 AS r FROM k UNION ALL SELECT 'open', 'l_extendedprice', 'pearson', round(corr((l_linestatus = 'O')::INT, l_extendedprice), 4) + 0.0 FROM lineitem UNION ALL SELECT 'l_quantity', 'l_extendedprice', 'pearson', round(corr(l_quantity, l_extendedprice), 4) + 0.0 FROM lineitem")
+def variant_correlations(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("open", F.when(F.col("l_linestatus") == "O", "Yes").otherwise("no"))
+    types = {"l_linenumber": "ordinal", "open": "binary", "l_quantity": "continuous", "l_extendedprice": "continuous"}
+    return infer.variant_correlations(rows, types, [(c, "l_extendedprice") for c in ("l_linenumber", "open", "l_quantity")], ["l_orderkey", "l_linenumber"]).select("column_a", "column_b", "method", r("r"))
+
+
+@query("blocked_correlations", " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(*)::BIGINT AS n, round(corr({a}, {b}), 4) + 0.0 AS r FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for k, a in enumerate(NUMBERS) for b in NUMBERS[k + 1 :]))
+def blocked_correlations(spark, sf):
+    from quillstat.functions.linalg import pairwise_correlations
+
+    got, n = pairwise_correlations(table(spark, sf, "lineitem"), NUMBERS)
+    return spark.createDataFrame([(a, NUMBERS[j], int(n[i, j]), round(float(got[i, j]), 4) + 0.0) for i, a in enumerate(NUMBERS) for j in range(i + 1, len(NUMBERS))], "column_a string, column_b string, n bigint, r double")
 
 
 def _histogram_sql(source: str, x: str, bins: str) -> str:
@@ -733,11 +828,12 @@ def typical_row(spark, sf):
 def business_words(spark, sf):
     df = table(spark, sf, "lineitem")
     fit = infer.regression(df, "l_extendedprice", ["l_quantity"])
-    words = translate.regression_words({"r2": fit.r_squared, "rmse": fit.rmse}, "l_extendedprice", 1.0, 1.0)
+    got = df.agg(F.avg("l_extendedprice").alias("m"), F.stddev_samp("l_extendedprice").alias("s")).first()
+    words = translate.regression_words({"r2": fit.r_squared, "rmse": fit.rmse}, "l_extendedprice", got["m"], got["s"])
     return spark.createDataFrame([(words["quality"], words["confidence"], words["insights"][0])], "quality string, confidence string, text string")
 
 
-@query("planned_analysis", "SELECT 'multiple' AS model, 'p_retailprice' AS dependent")
+@query("planned_analysis", f"WITH t AS ({PART_TYPES}), d AS (SELECT column_name AS dependent, type, n_rows FROM t WHERE type IN ('continuous', 'binary', 'ordinal') AND contains(column_name, 'price') ORDER BY position LIMIT 1), p AS (SELECT least(count(*), 5) AS n FROM t, d WHERE column_name <> dependent AND t.type IN ('continuous', 'ordinal', 'binary')) SELECT CASE WHEN type = 'binary' THEN 'logistic' WHEN n_rows > 500 AND n >= 8 THEN 'randomforest' WHEN n > 1 THEN 'multiple' ELSE 'linear' END AS model, dependent FROM d, p")
 def planned_analysis(spark, sf):
     facts = profile.column_facts(table(spark, sf, "part"))
     made = planner.plan({f.name: profile.analysis_type(f) for f in facts}, {f.name: f.distinct for f in facts}, facts[0].rows)

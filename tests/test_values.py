@@ -221,3 +221,214 @@ def test_ordinal_codes_are_ranks(spark):
     df = spark.createDataFrame([("b", "low"), ("a", "high"), (None, "odd"), ("c", None), ("b", "low")], "k string, o string")
     got = features.ordinal_encode(df, ["k", "o"], {"o": ["low", "high"]})
     assert got.columns == ["k", "o"] and sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0), (0, 1), (None, None), (2, None), (1, 0)], key=str)
+
+
+# ---------------------------------------------------------------- what once went wrong, with the numbers of that time
+
+
+def test_distinct_counts_are_exact_at_any_number(spark):
+    from quillstat.operators.profile import column_facts
+
+    df = spark.range(50_000).selectExpr("cast(id as string) as t", "id % 20011 as k", "if(id % 7 = 0, null, id / 3) as d")
+    assert {f.name: f.distinct for f in column_facts(df)} == {"t": 50_000, "k": 20_011, "d": 42_857 + 1}
+
+
+def test_fences_of_small_numbers_are_not_rounded(spark):
+    small = [k * 1e-6 for k in range(1, 21)]
+    df = spark.createDataFrame([(v,) for v in [*small, 1e-3]], "v double")
+    kept = sorted(r["v"] for r in clean.handle_outliers(df, ["v"], action="remove").collect())
+    assert kept == pytest.approx(small)
+    low, high = np.quantile([*small, 1e-3], [0.25, 0.75])
+    assert max(r["v"] for r in clean.handle_outliers(df, ["v"], action="clip").collect()) == pytest.approx(high + 1.5 * (high - low))
+    clipped = [r["v"] for r in clean.handle_outliers(df, ["v"], "zscore", "clip").collect()]
+    assert max(clipped) == pytest.approx(np.mean([*small, 1e-3]) + 3 * np.std([*small, 1e-3], ddof=1))
+
+
+def test_last_of_duplicates_without_an_order(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, _at string").coalesce(1)
+    assert sorted((r["k"], r["_at"]) for r in clean.exact_duplicates(df, ["k"], "last").collect()) == [(1, "b"), (2, "c")]
+    rows = spark.createDataFrame([(5, "x"), (3, "x"), (9, None), (7, None), (1, "y")], "id int, t string")
+    assert sorted(r["id"] for r in clean.duplicate_rows(rows, "id").collect()) == [5, 9]
+
+
+@pytest.mark.parametrize("names", [("ra", "rb"), ("value", "rank"), ("x", "y"), ("n", "a b")])
+def test_spearman_of_any_column_names(spark, names):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, 300)
+    y = x + rng.integers(0, 6, 300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], ", ".join(f"`{n}` double" for n in names))
+    rank = lambda v: np.array([(v < k).sum() + ((v == k).sum() + 1) / 2 for k in v])
+    assert infer.correlation(df, *names, "spearman").first()["r"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+
+
+def test_nan_is_a_missing_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", nan), ("b", 5.0), ("b", None)], "g string, v double")
+    assert {r["g"]: r["v_target_encoded"] for r in features.target_encode(df.withColumnRenamed("v", "v"), ["g"], "v").withColumnRenamed("g_target_encoded", "v_target_encoded").collect()} == {"a": pytest.approx((4 + 10 * 3) / 12), "b": pytest.approx((5 + 10 * 3) / 11)}
+    scaled, params = features.scale(df, ["v"])
+    assert params["v"] == pytest.approx((3.0, np.std([1, 3, 5]))) and [r["v"] for r in scaled.filter("g = 'b'").collect()].count(None) == 2
+    bounds = clean.outlier_bounds(spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, nan)], "v double"), ["v"], "zscore").first()
+    assert bounds["upper"] == pytest.approx(2.5 + 3 * np.std([1, 2, 3, 4], ddof=1)) and bounds["n"] == 4
+    assert sorted(r["v"] for r in missing.apply_strategies(df, {"v": "mean"}).collect()) == [1, 3, 3, 3, 5]
+
+
+@pytest.mark.parametrize("by", [None, ["g"]])
+@pytest.mark.parametrize("forward", [True, False])
+def test_fills_are_carried_across_partitions(spark, by, forward):
+    draw = random.Random(6)
+    rows = [(k, draw.choice(["p", "q", None]), float(k) if draw.random() < 0.05 else None) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k int, g string, v double").repartition(5)
+    plan = missing.directed_fill(df, "v", ["k"], by, forward)
+    got = {r["k"]: r["v"] for r in plan.collect()}
+    last = {}
+    for k, g, v in rows if forward else rows[::-1]:
+        group = g if by else 0
+        last[group] = v if v is not None else last.get(group)
+        assert got[k] == last[group]
+    if not by:
+        assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_quantiles_of_odd_columns(spark):
+    """Scales of all sizes, infinities, heavy values and tiny spreads, more values than are picked at once."""
+    from quillstat.functions import ranks
+
+    rng = np.random.default_rng(11)
+    columns = {
+        "wide": 10.0 ** rng.uniform(-300, 300, 30_000),
+        "heavy": np.where(rng.random(30_000) < 0.6, 5.0, rng.normal(size=30_000)),
+        "close": 1e9 + rng.random(30_000) * 1e-6,
+        "ends": np.where(rng.random(30_000) < 0.01, np.inf, rng.normal(size=30_000)),
+    }
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns)).persist()
+    shares = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for picked in (20_000, 50):
+        ranks.VALUES_PICKED = picked
+        try:
+            got = quantiles(df, {c: F.col(c) for c in columns}, shares)
+        finally:
+            ranks.VALUES_PICKED = 20_000
+        for c, x in columns.items():
+            x = np.sort(x)
+            want = [x[int(math.floor(s * 29_999))] + (0.0 if x[int(math.floor(s * 29_999))] == x[int(math.ceil(s * 29_999))] else (x[int(math.ceil(s * 29_999))] - x[int(math.floor(s * 29_999))]) * (s * 29_999 - math.floor(s * 29_999))) for s in shares]
+            assert got[c] == pytest.approx(want, rel=1e-12), c
+    df.unpersist()
+
+
+def test_codes_do_not_know_their_own_target(spark):
+    draw = random.Random(3)
+    rows = [(k, draw.choice("abc") if draw.random() < 0.9 else None, draw.random(), k % 4) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, g string, y double, f int")
+    codes = features.TargetCodes(df, ["g"], "y", F.col("f"))
+    got = {r["k"]: r["g_target_encoded"] for r in codes.apply_out_of_fold(df).collect()}
+    for k, g, _, f in rows:
+        rest = [y for _, _, y, o in rows if o != f]
+        own = [y for _, h, y, o in rows if o != f and h == g]
+        mean = sum(rest) / len(rest)
+        assert got[k] == pytest.approx(mean if g is None else (sum(own) + 10 * mean) / (len(own) + 10))
+    fresh = spark.createDataFrame([("a", 1e9), ("new", 1e9), (None, 1e9)], "g string, y double")
+    made = {r["g"]: r["g_target_encoded"] for r in codes.apply(fresh).collect()}
+    whole = sum(r[2] for r in rows) / 400
+    a = [y for _, g, y, _ in rows if g == "a"]
+    assert made == {"a": pytest.approx((sum(a) + 10 * whole) / (len(a) + 10)), "new": pytest.approx(whole), None: pytest.approx(whole)}
+
+
+def test_wide_matrices_in_one_job(spark):
+    from quillstat.functions.linalg import moments
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 300)) + 1e6
+    x[rng.random(x.shape) < 0.05] = np.nan
+    names = [f"c{k}" for k in range(300)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = features.pairwise(df, names)
+    for i, j in ((0, 1), (5, 200), (299, 17)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[i, j] == got[j, i] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    whole = np.where(np.isnan(x), 1e6, x)[:, :40]
+    m = moments(spark.createDataFrame([tuple(map(float, r)) for r in whole], ", ".join(f"{n} double" for n in names[:40])), names[:40])
+    assert m.n == 150 and m.mean == pytest.approx(whole.mean(0)) and m.cross == pytest.approx(np.cov(whole.T) * 149, abs=1e-5)
+
+
+def test_p_values_of_all_tests_against_known_tails(spark):
+    """Statistics chosen so that tables of the distributions give the tails."""
+    from quillstat.functions.special import chi2_upper, f_upper, t_two_sided
+
+    for t, df, p in ((2.228, 10, 0.05), (3.169, 10, 0.01), (12.706, 1, 0.05), (1.96, 1e7, 0.05), (2.042, 30, 0.05)):
+        assert t_two_sided(t, df) == pytest.approx(p, abs=2e-4)
+    for x, df, p in ((3.841, 1, 0.05), (9.210, 2, 0.01), (18.307, 10, 0.05), (124.342, 100, 0.05)):
+        assert chi2_upper(x, df) == pytest.approx(p, abs=2e-5)
+    for f, a, b, p in ((4.965, 1, 10, 0.05), (3.885, 2, 12, 0.05), (4.431, 4, 20, 0.01), (2.012, 8, 60, 0.06)):
+        assert f_upper(f, a, b) == pytest.approx(p, abs=1.5e-3)
+    two = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 5)] + [("b", float(v)) for v in (3, 4, 5, 6, 7)], "g string, v double")
+    got = {r["test"]: r for r in infer.hypothesis_tests(two, [{"type": "t-test", "columns": ["v", "g"]}, {"type": "anova", "columns": ["v", "g"]}]).collect()}
+    # equal variances 2.5 of 5 each: t = -2 with 8 degrees of freedom, of which the tails are 0.0805; F is its square
+    assert got["t-test"]["statistic"] == -2.0 and got["t-test"]["p_value"] == pytest.approx(0.0805, abs=1e-4)
+    assert got["anova"]["statistic"] == 4.0 and got["anova"]["p_value"] == pytest.approx(0.0805, abs=1e-4)
+    cells = [("x", "u")] * 10 + [("x", "v")] * 20 + [("y", "u")] * 20 + [("y", "v")] * 10
+    chi = infer.hypothesis_tests(spark.createDataFrame(cells, "a string, b string"), [{"type": "chi-square", "columns": ["a", "b"]}]).first()
+    assert chi["statistic"] == 5.4 and chi["p_value"] == pytest.approx(0.0201, abs=1e-4)  # 4 * (5 - 0.5)^2 / 15
+    line = spark.createDataFrame([(float(k), float(k * k % 7)) for k in range(12)], "x double, y double")
+    r = np.corrcoef(range(12), [k * k % 7 for k in range(12)])[0, 1]
+    found = infer.correlations(line, [("x", "y")], {"x": "continuous", "y": "continuous"}).first()
+    if found["method"] == "pearson":
+        assert found["p_value"] == pytest.approx(t_two_sided(r * math.sqrt(10 / (1 - r * r)), 10), abs=1e-4)
+
+
+def test_variant_correlations_by_the_clients_rules(spark):
+    rows = [(k % 4, "Yes" if k % 3 else "no", float(k), None if k else 1.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "o int, b string, c double, gone double")
+    types = {"o": "ordinal", "b": "binary", "c": "continuous", "gone": "continuous"}
+    got = {(r["column_a"], r["column_b"]): r for r in infer.variant_correlations(df, types, order=["c"]).collect()}
+    assert set(got) == {("o", "b"), ("o", "c"), ("b", "c")}  # a column missing in over 80 % is left out
+    rank = np.argsort(np.argsort([r[0] for r in rows], kind="stable"), kind="stable")
+    assert got["o", "c"]["method"] == "spearman" and got["o", "c"]["r"] == pytest.approx(np.corrcoef(rank, range(60))[0, 1])
+    assert got["b", "c"]["method"] == "pearson" and got["b", "c"]["r"] == pytest.approx(np.corrcoef([r[1] == "Yes" for r in rows], range(60))[0, 1])
+    assert got["o", "b"]["r"] == 0.0  # words have no ranks
+
+
+def test_selection_values(spark):
+    """Lasso against its optimality conditions, components against numpy, forests on a planted feature."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3)) * [1, 5, 0.1]
+    x[:, 1] += 2 * x[:, 0]
+    y = 3 * x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=400) * 0.1
+    df = spark.createDataFrame([tuple(map(float, (*r, t))) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    w = features.lasso(df, ["a", "b", "c"], "y", alpha=0.05)
+    z = (x - x.mean(0)) / x.std(0)
+    slope = z.T @ (y - y.mean() - z @ np.array([w[k] for k in "abc"])) / 400
+    for k, c in enumerate("abc"):
+        assert (slope[k] == pytest.approx(0.05 * np.sign(w[c]), abs=1e-6)) if w[c] else abs(slope[k]) <= 0.05 + 1e-9
+    made, explained = features.pca(df.select("a", "b", "c"), ["a", "b", "c"], components=3)
+    values = np.linalg.eigvalsh(np.corrcoef(x.T))[::-1]
+    assert explained == pytest.approx((values / 3).tolist())
+    got = np.array([[r["PC1"], r["PC2"], r["PC3"]] for r in made.collect()])
+    assert np.cov(got.T, ddof=0) == pytest.approx(np.diag(values), abs=1e-8)
+    importance = features.forest_importance(df, ["a", "b", "c"], "y", trees=20, depth=5)
+    assert importance["c"] < 0.05 and sum(importance.values()) == pytest.approx(1)
+    assert features.select_by_importance(df, ["a", "b", "c"], "y", top=2, trees=20, depth=5) != ["c"]
+
+
+def test_a_report_of_all_explanations_and_charts(spark):
+    from quillstat.plans.insight import all_charts, explanation_report, words
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(*map(float, r), float(4 * r[0] + r[1] ** 2)) for r in x], "a double, b double, c double, y double")
+    report = training.experiment(df, "y", ["a", "b", "c"], ["ridge", "random_forest"], "none", folds=2, validate=False)
+    rows = df.withColumnRenamed("y", "label")
+    for name in ("ridge", "random_forest"):
+        fitted = training.build(name, False, ["a", "b", "c"], {}).fit(rows)
+        out = explanation_report(fitted, rows, rows.limit(100), ["a", "b", "c"], False, name=name, repeats=2, grid=5)
+        assert out["top"][0] == "a" and {"permutation", "attributions", "partial_dependence", "local"} <= set(out["methods"])
+        assert ("builtin" in out["methods"]) == (name == "random_forest") and ("coefficients" in out["methods"]) == (name == "ridge")
+        assert "a" in out["summary"]
+    scored = fitted.transform(rows).withColumnRenamed("label", "actual")
+    made = all_charts(out, report, scored)
+    assert set(made) == {"featureImportance", "shapSummary", "partialDependence", "modelComparison", "businessDashboard", "residuals", "predictedVsActual"}
+    assert [r["feature"] for r in made["shapSummary"]["data"].collect()][0] == "a"
+    line = made["predictedVsActual"]["diagonal"]
+    assert line["x1"] == line["y1"] < line["x2"] == line["y2"] and made["predictedVsActual"]["data"].count() == 400
+    assert sum(r["count"] for r in made["residuals"]["data"].collect()) == 400
+    assert {r["model"] for r in made["modelComparison"]["data"]} == {"ridge", "random_forest"}
+    assert "explains" in words(report, "y", 1.0, 4.0)["summary"]
