@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,8 @@ def close_match(names: list[str], cutoff: float):
     return closest
 
 
-def similar_values(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(v, w, ratio): values v of `left` and w of `right` whose match ratio reaches the threshold, none left out.
+def _by_characters(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(v, w): candidates by the characters they share.
 
     The ratio is 2 M / (|v| + |w|) for M matched characters. So w holds at least threshold / (2 - threshold) of the
     characters of v, counted with repeats, and the other way round; of two such values each has one of the other's
@@ -54,7 +57,68 @@ def similar_values(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     a = keyed(one).select("v", "tokens", F.explode("rare").alias("token"), "length")
     b = keyed(two).select(F.col("v").alias("w"), F.col("tokens").alias("others"), F.explode("rare").alias("token"), F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)).alias("length"))
     most = 2 * F.size(F.array_intersect("tokens", "others")) / (F.size("tokens") + F.size("others"))
-    met = a.join(b, ["token", "length"]).filter(most >= threshold - 1e-9).select("v", "w").distinct()
+    return a.join(b, ["token", "length"]).filter(most >= threshold - 1e-9).select("v", "w").distinct()
+
+
+#: A value is met by what is left after deletions while these leave at most so many different rests.
+MOST_RESTS = 400
+#: Longer values are never met so.
+SHORT = 40
+
+
+def _needed(a: int, b: int, threshold: float) -> int:
+    """How many characters two values of these lengths must share in order to reach the ratio."""
+    return math.ceil(threshold * (a + b) / 2 - 1e-9)
+
+
+def _rests(values: DataFrame, sizes: dict[int, list[int]], column: str) -> DataFrame:
+    """(column, key): hashes of every subsequence of the sizes that are asked for values of this length."""
+
+    @F.pandas_udf("array<string>")
+    def rests(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({f"{n}:{''.join(c)}" for n in sizes.get(len(t), ()) for c in itertools.combinations(t, n)}) for t in texts])
+
+    asked = values.select(F.col("v").alias(column)).filter(F.char_length(column).isin(*sizes) if sizes else F.lit(False))
+    return asked.select(column, F.explode(rests(column)).alias("rest")).select(column, F.xxhash64("rest").alias("key"))
+
+
+def similar_values(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(v, w, ratio): values v of `left` and w of `right` whose match ratio reaches the threshold, none left out.
+
+    The ratio is 2 M / (|v| + |w|) for M characters matched in the same order, so two values of given lengths reach it
+    only if they have a common subsequence of a certain size. Where deleting down to that size leaves few rests (short
+    values), values meet by a rest that both have: only values that are nearly the same do. Pairs of longer ones meet by
+    the characters they share. The ratio of every pair that meets is taken.
+    """
+    one, two = (df.select(F.col(df.columns[0]).alias("v")).filter("v != ''").distinct() for df in (left, right))
+    lengths = [sorted(r[0] for r in df.select(F.char_length("v")).distinct().collect()) for df in (one, two)]  # as many as lengths in use
+    ways: tuple[dict[int, set[int]], dict[int, set[int]]] = ({}, {})
+    far: tuple[set[int], set[int]] = (set(), set())
+    near = [[n for n in own if n <= SHORT] for own in lengths]
+    for a, b in itertools.product(*near):
+        n = _needed(a, b, threshold)
+        if n > min(a, b):
+            continue
+        if n and math.comb(max(a, b), n) <= MOST_RESTS:
+            ways[0].setdefault(a, set()).add(n)
+            ways[1].setdefault(b, set()).add(n)
+        else:
+            far[0].add(a)
+            far[1].add(b)
+    for own, others, out in ((lengths[0], lengths[1], far[0]), (lengths[1], lengths[0], far[1])):
+        for a in own:  # lengths of which some pair is beyond SHORT
+            low, high = math.floor(a * threshold / (2 - threshold)), math.ceil(a * (2 - threshold) / max(threshold, 1e-9))
+            k = bisect.bisect_left(others, low if a > SHORT else max(low, SHORT + 1))
+            if k < len(others) and others[k] <= high:
+                out.add(a)
+    short = [{k: sorted(v) for k, v in w.items()} for w in ways]
+    met = _rests(one, short[0], "v").join(_rests(two, short[1], "w"), "key").select("v", "w").distinct()
+    size = F.char_length("v") + F.char_length("w")
+    least = F.ceil(threshold * size / 2 - 1e-9)
+    met = met.filter(least <= F.least(F.char_length("v"), F.char_length("w")))
+    if far[0] and far[1]:
+        long = [df.filter(F.char_length("v").isin(*sorted(f))) for df, f in zip((one, two), far, strict=True)]
+        met = met.unionByName(_by_characters(*long, threshold)).distinct()
     return met.withColumn("ratio", match_ratio("v", "w")).filter(F.col("ratio") >= threshold)
 
 

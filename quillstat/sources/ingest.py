@@ -7,12 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstat.sources import xls
 from quillstat.sources.split_csv import read_split_csv
 from quillstat.sources.xlsx import read_xlsx
 
 #: What counts as missing in text files.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "na")
-TEXT_EXTENSIONS, EXCEL_EXTENSIONS = (".csv", ".tsv", ".txt"), (".xlsx",)
+TEXT_EXTENSIONS, EXCEL_EXTENSIONS = (".csv", ".tsv", ".txt"), (".xlsx", ".xls")
 ROW_ID = "_rid"
 
 
@@ -64,13 +65,11 @@ def read_frame(spark: SparkSession, path: str, infer: bool = True, multiline: bo
     kind = extension(path)
     if kind == ".parquet":
         return nulls(spark.read.parquet(path))
-    if kind == ".xls":
-        raise ValueError(".xls is not supported; save it as .xlsx")
     if kind in EXCEL_EXTENSIONS:
-        df = read_xlsx(spark, path)
+        df = read_xlsx(spark, path, xls.sheet_rows) if kind == ".xls" else read_xlsx(spark, path)
     else:
         sep = "\t" if kind == ".tsv" else ","
-        df = read_split_csv(spark, path, sep) if multiline else spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", escape='"')
+        df = read_split_csv(spark, path, sep, ROW_ID) if multiline else spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", escape='"')
     df = nulls(with_row_id(df))
     return infer_types(df) if infer else df
 

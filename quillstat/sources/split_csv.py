@@ -131,9 +131,11 @@ def column_names(header: str, sep: str) -> list[str]:
     return [f"_c{k}" if not n.strip() else f"{n.lstrip()}{k}" if lower.count(n.strip().lower()) > 1 else n.lstrip() for k, n in enumerate(found)]
 
 
-def read_split_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_split_csv(spark: SparkSession, path: str, sep: str = ",", row_id: str | None = None) -> DataFrame:
     """All columns as text, by the names in the first file's header line; each file's first line is a header. Where
-    that ends with a carriage return, line breaks within quotes lose theirs too."""
+    that ends with a carriage return, line breaks within quotes lose theirs too.
+    With row_id, a column of that name numbers rows in the order of files and of places in them, with gaps: a range's
+    first byte and the place within it, as no range has more records than bytes."""
     made = records(spark, path, sep)
     top = made.filter("first").orderBy("file").select("record").first()
     if top is None:
@@ -144,6 +146,11 @@ def read_split_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         line = F.replace(line, F.lit("\r\n"), F.lit("\n"))
     schema = ", ".join(f"`_f{k}` string" for k in range(len(names)))
     options = {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
-    body = made.filter(~F.col("first")).select(line.alias("record")).filter(F.trim("record") != "")
-    parsed = body.select(F.from_csv("record", schema, options).alias("r"))
-    return parsed.select(*[F.col(f"r._f{k}").alias(n) for k, n in enumerate(names)])
+    body = made.filter(~F.col("first"))
+    if row_id:
+        files = made.select("file").distinct().select(F.col("file").alias("_file"), F.row_number().over(Window.orderBy("file")).alias("_nth"))  # a row a file
+        body = body.join(lookup_side(files), F.col("file") == F.col("_file")).withColumn("_place", F.shiftleft((F.col("_nth") - 1).cast("bigint"), 44) + F.col("start") + F.col("nth"))
+    body = body.select(line.alias("record"), *["_place"] * bool(row_id)).filter(F.trim("record") != "")
+    parsed = body.select(F.from_csv("record", schema, options).alias("r"), *["_place"] * bool(row_id))
+    own = [F.col(f"r._f{k}").alias(n) for k, n in enumerate(names)]
+    return parsed.select(*own, F.col("_place").alias(row_id)) if row_id else parsed.select(*own)

@@ -90,7 +90,9 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 row.clear()
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str, sheet_rows=sheet_rows) -> DataFrame:
+    """The first row holds the names. sheet_rows parses a workbook's bytes to rows of texts."""
+
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:

@@ -432,3 +432,25 @@ def test_a_report_of_all_explanations_and_charts(spark):
     assert sum(r["count"] for r in made["residuals"]["data"].collect()) == 400
     assert {r["model"] for r in made["modelComparison"]["data"]} == {"ridge", "random_forest"}
     assert "explains" in words(report, "y", 1.0, 4.0)["summary"]
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.8, 0.6])
+def test_similar_digits_lose_no_pair(spark, threshold):
+    """Strings of few different characters and mixed lengths, met by deletions or by characters."""
+    draw = random.Random(12)
+    words = sorted({"".join(draw.choice("0123456789"[: draw.choice([2, 10])]) for _ in range(draw.choice([3, 5, 8, 10, 10, 11, 14, 30]))) for _ in range(140)} | {"0000000001", "0000000010", "000", "00"})
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+    got = {(r["v"], r["w"]) for r in similar_values(df, df, threshold).collect()}
+    assert got == {(a, b) for a in words for b in words if similar(a, b, threshold)}
+
+
+def test_a_hundred_thousand_numbers_in_a_minute(spark):
+    import time
+
+    draw = random.Random(1)
+    words = {"".join(draw.choice("0123456789") for _ in range(10)) for _ in range(100_000)}
+    df = spark.createDataFrame([(w,) for w in words], "v string").repartition(8)
+    begun = time.time()
+    got = similar_values(df, df, 0.85).filter("v < w").collect()
+    assert time.time() - begun < 60 and len(got) > 100
+    assert all(difflib.SequenceMatcher(None, r["v"], r["w"]).ratio() >= 0.85 for r in got)
