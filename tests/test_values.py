@@ -454,3 +454,54 @@ def test_a_hundred_thousand_numbers_in_a_minute(spark):
     got = similar_values(df, df, 0.85).filter("v < w").collect()
     assert time.time() - begun < 60 and len(got) > 100
     assert all(difflib.SequenceMatcher(None, r["v"], r["w"]).ratio() >= 0.85 for r in got)
+
+
+def knn_by_all_pairs(rows, k):
+    """Every gap against every distinct donor, in plain loops; donors count as often as they have rows."""
+    from collections import Counter
+
+    donors, p = Counter(rows), len(rows[0])
+    means = [np.mean([r[c] for r in rows if r[c] is not None]) for c in range(p)]
+    key = lambda r: tuple((v is None, v or 0.0) for v in r)  # a missing value comes last
+    out = []
+    for row in rows:
+        made = list(row)
+        for c in (c for c in range(p) if row[c] is None):
+            near = []
+            for d, n in donors.items():
+                both = [j for j in range(p) if row[j] is not None and d[j] is not None]
+                if d[c] is not None and both:
+                    near.append((math.sqrt(sum((row[j] - d[j]) ** 2 for j in both) * p / len(both)), key(d), d[c], n))
+            left, total = k, 0.0
+            for _, _, v, n in sorted(near):
+                total += min(left, n) * v
+                left -= min(left, n)
+            made[c] = total / (k - left) if left < k else means[c]
+        out.append(tuple(made))
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [5, 40, 2000])
+def test_nearest_neighbours_in_blocks_are_those_of_all_pairs(spark, block_rows):
+    draw = random.Random(block_rows)
+    rows = [tuple(None if draw.random() < 0.25 else float(draw.randrange(40)) if c else round(draw.gauss(0, 30), 1) for c in range(3)) for _ in range(260)]
+    rows += [(None, None, None), (5.0, None, None), (5.0, None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, a double, b double, c double")
+    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in missing.knn_impute(df, ["a", "b", "c"], block_rows=block_rows).collect()}
+    want = knn_by_all_pairs(rows, 5)
+    for k, w in enumerate(want):
+        assert got[k] == pytest.approx(w), rows[k]
+
+
+def test_few_pairs_are_computed_on_a_large_table(spark, monkeypatch):
+    df = spark.range(100_000).select("id", F.when(F.col("id") % 5 != 0, F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).alias("a"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10_000_000)) / 100).alias("b"))
+    pairs, own = [], missing._compared
+
+    def counted(asked, donors, columns, k):
+        both = asked.groupBy("_block").agg(F.count("*").alias("x")).join(donors.groupBy("_block").agg(F.count("*").alias("y")), "_block")
+        pairs.append(both.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0)
+        return own(asked, donors, columns, k)
+
+    monkeypatch.setattr(missing, "_compared", counted)
+    assert missing.knn_impute(df, ["a", "b"]).filter("a is null").isEmpty()
+    assert sum(pairs) < 0.1 * 20_000 * 100_000
