@@ -14,13 +14,12 @@ in training still save what their beginning shares with the dictionary.
 
 Of rows that share a doc_id the least text and the greatest label are learned from; null labels and ids aren't. A null
 or empty text has no windows and gets the score of a document without savings. Repeated rows get equal scores. Without
-labels of both kinds every score is 0. An empty table gives an empty result. Extra columns are not read.
+labels of both kinds, or where no beginning of a word tells toxic texts from ordinary ones, every score is 0. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import materialise, read_table, session_defaults, tidy
+from quillstat.llm.common import materialise, read_table, resident, session_defaults, tidy
 
 #: At most so many labelled documents of each kind are learned from, picked by a hash of their ids.
 LEARN_DOCS = 10_000
@@ -76,14 +75,18 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], everyday: list[bytes
     return tuple(b"\0" * (size - len(x)) + x + shared + OPENING for x in own)
 
 
-@lru_cache(1)  # of the last query only: each trains its own dictionaries
 def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor]:
-    made = []
-    for content in (toxic, ordinary):
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
-    return made
+    """Of the last query only: each trains its own dictionaries."""
+
+    def make() -> list[zstandard.ZstdCompressor]:
+        made = []
+        for content in (toxic, ordinary):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
+        return made
+
+    return resident("toxicity", (toxic, ordinary), make)
 
 
 def window_savings(windows: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -37,9 +39,31 @@ def test_run_twice_gives_the_same(spark, sf_dir):
     assert one and one == two
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
-def test_queries_run(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).count() >= 0
+ONE_ROW_EACH = {"op1_toxicity": "documents", "op3_token_count": "documents", "op4_sharding": "documents", "op5_warc": "pages", "op6_url_filter": "pages", "op7_near_dedup": "documents", "op8_pii": "documents", "op9_bpe": "documents", "op10_quality": "documents", "op11_language_id": "documents", "op12_align": "documents"}
+
+
+@pytest.mark.parametrize("name", list(ONE_ROW_EACH))
+def test_queries_give_each_row_once(spark, sf_dir, name):
+    table = spark.read.parquet(f"{sf_dir}/{ONE_ROW_EACH[name]}.parquet")
+    key = table.columns[0]
+    got = registry.QUERIES[name](spark, sf_dir).select(key).collect()
+    assert sorted(r[key] for r in got) == sorted(r[key] for r in table.select(key).collect())
+
+
+def test_other_queries(spark, sf_dir):
+    assert set(registry.QUERIES) - set(ONE_ROW_EACH) == {"op2_decontaminate", "op13_filter_audit"}
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang").distinct().count()
+    assert registry.QUERIES["op13_filter_audit"](spark, sf_dir).count() == langs * 600
+    found = registry.QUERIES["op2_decontaminate"](spark, sf_dir)
+    assert found.count() == found.select("doc_id", "item_id").distinct().count()
+
+
+def test_stage_tables_are_deleted(spark, sf_dir):
+    folder = Path(corpus_pipeline.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("pipeline-*"))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    (made,) = set(folder.glob("pipeline-*")) - before
+    assert [p.name for p in made.iterdir()] == [corpus_pipeline.STAGES[-1][0]]
 
 
 def test_empty_tables(spark, tmp_path):
