@@ -47,6 +47,9 @@ LEAST_SAVED, MOST_SAVED = -4, 8
 ALARM_COST = 2.0
 PREDICT_AT = 0.7
 
+#: Windows compressed in one call, and windows whose savings a worker remembers; when full, it forgets all and goes on.
+WINDOWS_AT_ONCE, CACHE_WINDOWS = 4000, 300_000
+
 MARK = b"\n"
 #: What stands around every window: the opening ends both dictionaries, so that a window begins with a match; the
 #: closing is long enough for matches in a window's last word.
@@ -75,30 +78,59 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], everyday: list[bytes
     return tuple(b"\0" * (size - len(x)) + x + shared + OPENING for x in own)
 
 
-def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor]:
-    """Of the last query only: each trains its own dictionaries."""
+def _compressors(toxic: bytes, ordinary: bytes) -> tuple[list[zstandard.ZstdCompressor], dict[bytes, int]]:
+    """Compressors, and the savings of windows met before; of the last query only, as each trains its own dictionaries."""
 
-    def make() -> list[zstandard.ZstdCompressor]:
+    def make() -> tuple[list[zstandard.ZstdCompressor], dict[bytes, int]]:
         made = []
         for content in (toxic, ordinary):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
-        return made
+        return made, {}
 
     return resident("toxicity", (toxic, ordinary), make)
 
 
 def window_savings(windows: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
     """Bytes that the toxic dictionary saves on each window, against the ordinary one."""
-    by_toxic, by_ordinary = (c.compress for c in _compressors(toxic, ordinary))
-    return np.fromiter((len(by_ordinary(x)) - len(by_toxic(x)) for x in (OPENING + w + CLOSING for w in windows)), np.int64, len(windows))
+    compressors, known = _compressors(toxic, ordinary)
+    if len(known) > CACHE_WINDOWS:
+        known.clear()
+    new = list(set(windows).difference(known))
+    for k in range(0, len(new), WINDOWS_AT_ONCE):
+        part = new[k : k + WINDOWS_AT_ONCE]
+        whole = [OPENING + w + CLOSING for w in part]
+        by_toxic, by_ordinary = (map(len, c.multi_compress_to_buffer(whole, threads=1)) for c in compressors)
+        known.update((w, b - a) for w, a, b in zip(part, by_toxic, by_ordinary, strict=True))
+    return np.fromiter((known[w] for w in windows), np.int64, len(windows))
 
 
 def saving_counts(text: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
     """How many windows of a text save each number of bytes from LEAST_SAVED to MOST_SAVED."""
-    saved = np.clip(window_savings(text_windows(text), toxic, ordinary), LEAST_SAVED, MOST_SAVED)
-    return np.bincount(saved - LEAST_SAVED, minlength=MOST_SAVED - LEAST_SAVED + 1)
+    return batch_counts([text], toxic, ordinary)[0]
+
+
+def batch_counts(texts: list[bytes], toxic: bytes, ordinary: bytes) -> list[np.ndarray]:
+    """saving_counts of each text; short texts are compressed together."""
+    out: list[np.ndarray] = []
+    held: list[list[bytes]] = []
+
+    def flush() -> None:
+        sizes = np.cumsum([0, *map(len, held)])
+        saved = np.clip(window_savings([w for ws in held for w in ws], toxic, ordinary), LEAST_SAVED, MOST_SAVED) - LEAST_SAVED
+        out.extend(np.bincount(saved[i:j], minlength=MOST_SAVED - LEAST_SAVED + 1) for i, j in zip(sizes[:-1], sizes[1:], strict=True))
+        held.clear()
+
+    waiting = 0
+    for text in texts:
+        held.append(text_windows(text))
+        waiting += len(held[-1])
+        if waiting >= WINDOWS_AT_ONCE:
+            flush()
+            waiting = 0
+    flush()
+    return out
 
 
 def measure(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -110,7 +142,7 @@ def measure(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: list[str], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [saving_counts(t.as_py(), toxic, ordinary) for t in batch.column(batch.num_columns - 1)]
+            counts = batch_counts(batch.column(batch.num_columns - 1).to_pylist(), toxic, ordinary)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.list_(pa.int64()))], names=names)
 
     return source.mapInArrow(tidy(run), ", ".join([*fields, "saved array<bigint>"]))
