@@ -747,18 +747,18 @@ def boosting_of_classes(spark, sf):
 FOLDED = "d AS (SELECT p_partkey, p_brand AS g, p_retailprice AS y, p_partkey % 5 AS f FROM part)"
 
 
-@query("target_encode_out_of_fold", f"WITH {FOLDED}, b AS (SELECT g, sum(y) AS s, count(*) AS n FROM d GROUP BY 1), o AS (SELECT g, f, sum(y) AS s, count(*) AS n FROM d GROUP BY 1, 2), w AS (SELECT sum(y) AS s, count(*) AS n FROM d), v AS (SELECT f, sum(y) AS s, count(*) AS n FROM d GROUP BY 1) SELECT p_partkey, round((b.s - o.s + 10 * (w.s - v.s) / (w.n - v.n)) / (b.n - o.n + 10), 4) AS encoded FROM d JOIN b USING (g) JOIN o ON o.g = d.g AND o.f = d.f JOIN v ON v.f = d.f, w")
+@query("target_encode_out_of_fold", f"WITH {FOLDED}, b AS (SELECT g, sum(y) AS s, count(*) AS n FROM d GROUP BY 1), o AS (SELECT g, f, sum(y) AS s, count(*) AS n FROM d GROUP BY 1, 2), w AS (SELECT sum(y) AS s, count(*) AS n FROM d), v AS (SELECT f, sum(y) AS s, count(*) AS n FROM d GROUP BY 1) SELECT p_partkey, round((b.s - o.s + 10 * (w.s - v.s) / (w.n - v.n)) / (b.n - o.n + 10), 6) AS encoded FROM d JOIN b USING (g) JOIN o ON o.g = d.g AND o.f = d.f JOIN v ON v.f = d.f, w")
 def target_encode_out_of_fold(spark, sf):
     rows = table(spark, sf, "part")
     codes = features.TargetCodes(rows, ["p_brand"], "p_retailprice", F.col("p_partkey") % 5)
-    return codes.apply_out_of_fold(rows).select("p_partkey", r("p_brand_target_encoded", 4, "encoded"))
+    return codes.apply_out_of_fold(rows).select("p_partkey", r("p_brand_target_encoded", 6, "encoded"))
 
 
-@query("target_encode_new_rows", f"WITH {FOLDED}, b AS (SELECT g, sum(y) AS s, count(*) AS n FROM d WHERE f <> 0 GROUP BY 1), w AS (SELECT avg(y) AS m FROM d WHERE f <> 0) SELECT p_partkey, round(coalesce((b.s + 10 * m) / (b.n + 10), m), 4) AS encoded FROM d LEFT JOIN b USING (g), w WHERE f = 0")
+@query("target_encode_new_rows", f"WITH {FOLDED}, b AS (SELECT g, sum(y) AS s, count(*) AS n FROM d WHERE f <> 0 GROUP BY 1), w AS (SELECT avg(y) AS m FROM d WHERE f <> 0) SELECT p_partkey, round(coalesce((b.s + 10 * m) / (b.n + 10), m), 6) AS encoded FROM d LEFT JOIN b USING (g), w WHERE f = 0")
 def target_encode_new_rows(spark, sf):
     rows = table(spark, sf, "part")
     codes = features.TargetCodes(rows.filter("p_partkey % 5 <> 0"), ["p_brand"], "p_retailprice")
-    return codes.apply(rows.filter("p_partkey % 5 = 0")).select("p_partkey", r("p_brand_target_encoded", 4, "encoded"))
+    return codes.apply(rows.filter("p_partkey % 5 = 0")).select("p_partkey", r("p_brand_target_encoded", 6, "encoded"))
 
 
 @query("scale_new_rows", "SELECT o_orderkey, round((o_totalprice - m) / s, 4) + 0.0 AS z FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders WHERE o_orderkey % 5 <> 0) WHERE o_orderkey % 5 = 0")
