@@ -122,7 +122,7 @@ def similar_values(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     return met.withColumn("ratio", match_ratio("v", "w")).filter(F.col("ratio") >= threshold)
 
 
-@F.pandas_udf(StringType())
-def title_case(values: pd.Series) -> pd.Series:
-    """Title case that also capitalises after anything that is not a letter."""
-    return values.str.title()
+def title_case(text: Column) -> Column:
+    """Title case that also capitalises after anything that is not a letter with a case."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(run.substr(F.lit(2), F.char_length(run))))), "")

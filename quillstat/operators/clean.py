@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,49 +207,63 @@ def duplicate_rows(df: DataFrame, row_id: str, columns: list[str] | None = None)
     return df.select(F.col(f"`{row_id}`")).join(firsts, F.col(f"`{row_id}`") == F.col("_first"), "left_anti")
 
 
+def _text(columns: list[str]) -> list[Column]:
+    return [F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))) for c in columns]
+
+
 def _text_classes(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """id, members, t0..: rows of equal texts under the least of their ids."""
+    """id, last, members, t0.., mask: rows of equal texts under the least of their ids; the mask has a bit for each column
+    that isn't empty."""
     ensure_checkpoints(df.sparkSession)
-    text = [F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).alias(f"t{k}") for k, c in enumerate(columns)]
-    rows = df.select(F.col(f"`{row_id}`").alias("id"), *text)
-    return rows.groupBy(*[f"t{k}" for k in range(len(columns))]).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("members"))
+    names = [f"t{k}" for k in range(len(columns))]
+    rows = df.select(F.col(f"`{row_id}`").alias("id"), *[t.alias(n) for t, n in zip(_text(columns), names, strict=True)])
+    mask = sum((F.when(F.col(t) != "", F.lit(1 << k)).otherwise(0) for k, t in enumerate(names)), F.lit(0).cast("bigint"))
+    return rows.groupBy(*names).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("members")).withColumn("mask", mask)
 
 
 def _class_pairs(classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b), a < b: classes whose every column is equal, empty on either side, or similar to the threshold.
-
-    Pairs are found by the first column that neither leaves empty; what shares no such column is similar by meaning.
-    """
+    """(a, b), a < b: classes that both fill some column, and whose every column is equal, empty on either side, or similar
+    to the threshold. Pairs are found by the column of most different values that neither leaves empty."""
     names = [f"t{k}" for k in range(n)]
     a = classes.select(F.col("id").alias("a"), *[F.col(t).alias(f"a{t}") for t in names])
     b = classes.select(F.col("id").alias("b"), *[F.col(t).alias(f"b{t}") for t in names])
+    sketch = classes.agg(*[F.approx_count_distinct(t).alias(t) for t in names]).first()
+    order = sorted(range(n), key=lambda k: -sketch[f"t{k}"])
 
     def apart(k: int) -> Column:
         return (F.col(f"at{k}") == "") | (F.col(f"bt{k}") == "")
 
     out = None
-    for k in range(n):
+    for place, k in enumerate(order):
         values = classes.select(F.col(f"t{k}").alias("v")).filter("v != ''").distinct()
         equal = values.select("v", F.col("v").alias("w"))
         near = similar_values(values, values, threshold).filter("v != w").select("v", "w").unionByName(equal)
         met = a.join(near, F.col(f"at{k}") == F.col("v")).join(b, F.col(f"bt{k}") == F.col("w")).filter("a < b")
-        for j in range(k):
+        for j in order[:place]:
             met = met.filter(apart(j))
-        for j in range(k + 1, n):
+        for j in order[place + 1 :]:
             x, y = F.col(f"at{j}"), F.col(f"bt{j}")
             met = met.filter((x == y) | apart(j)).unionByName(met.filter((x != y) & ~apart(j)).filter(match_ratio(x, y) >= threshold))
         out = met.select("a", "b") if out is None else out.unionByName(met.select("a", "b"))
-    mask = sum((F.when(F.col(t) != "", 1 << k).otherwise(0) for k, t in enumerate(names)), F.lit(0))
-    filled = classes.select("id", mask.alias("mask"))
-    masks = filled.select("mask").distinct()  # 2 ** n at most
-    apart_masks = masks.select(F.col("mask").alias("ma")).join(F.broadcast(masks.select(F.col("mask").alias("mb"))), F.col("ma").bitwiseAND(F.col("mb")) == 0)
-    rest = filled.select(F.col("id").alias("a"), F.col("mask").alias("ma")).join(F.broadcast(apart_masks), "ma").join(filled.select(F.col("id").alias("b"), F.col("mask").alias("mb")), "mb").filter("a < b")
-    return out.unionByName(rest.select("a", "b")).distinct()
+    return out
+
+
+def _masks_apart(classes: DataFrame) -> DataFrame:
+    """(mask, other): masks that share no column, both ways round; there are 2 ** columns masks at most."""
+    masks = classes.select("mask").distinct()
+    return masks.join(F.broadcast(masks.select(F.col("mask").alias("other"))), F.col("mask").bitwiseAND(F.col("other")) == 0)
+
+
+def _first_apart(rows: DataFrame, apart: DataFrame, name: str) -> DataFrame:
+    """mask, `name`: the least id among rows whose mask shares no column with it, to be looked up."""
+    first = rows.groupBy(F.col("mask").alias("other")).agg(F.min("id").alias(name))
+    return lookup_side(apart.join(first, "other").groupBy("mask").agg(F.min(name).alias(name)))
 
 
 def fuzzy_pairs(df: DataFrame, columns: list[str], row_id: str, threshold: float = 0.9) -> DataFrame:
     """(a, b), a < b: texts whose every column is equal, empty on either side, or similar to the threshold, each under
-    the least id of its rows; rows of equal texts are one, and aren't listed in pairs."""
+    the least id of its rows; rows of equal texts are one, and aren't listed in pairs. Nor are texts that fill no column
+    in common: these are similar by meaning, whatever they hold, and would be all pairs of two groups."""
     return _class_pairs(_text_classes(df, columns, row_id).checkpoint(), len(columns), threshold)
 
 
@@ -255,22 +271,35 @@ def fuzzy_duplicates(df: DataFrame, columns: list[str], row_id: str, threshold:
     """Greedy leader groups, then the first, the last or every member goes but none of other rows.
 
     A row leads if no earlier leader is similar to it; a follower belongs to its earliest leader, and so do the copies
-    of its text. Leaders settle in rounds over the pairs: a text whose earlier neighbours are all followers leads, one
-    with an earlier leader follows.
+    of its text. Leaders settle in rounds over the rows that are still open: one without an open earlier neighbour
+    leads, and its neighbours follow. Neighbours that fill no column in common are never listed: of such a group only
+    the least id matters, which is known for each mask of filled columns.
     """
     classes = _text_classes(df, columns, row_id).checkpoint()
     pairs = _class_pairs(classes, len(columns), threshold).checkpoint()
-    state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")).checkpoint()
-    while not state.filter("leads is null").isEmpty():
-        known = pairs.join(state.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.coalesce(F.bool_or("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
-        state = state.join(known.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("leads", F.when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)).alias("leads")).checkpoint()
-    leader = pairs.join(state.filter("leads").select(F.col("id").alias("a")), "a").join(state.filter("not leads").select(F.col("id").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader"))
-    groups = classes.join(leader.withColumnRenamed("b", "id"), "id", "left").withColumn("leader", F.coalesce("leader", "id"))
+    apart = _masks_apart(classes).checkpoint()
+    open_, listed, settled = classes.select("id", "mask"), pairs, []
+    while not open_.isEmpty():
+        later = listed.select(F.col("b").alias("id")).distinct().withColumn("_later", F.lit(True))
+        marked = open_.join(later, "id", "left").join(_first_apart(open_, apart, "_open"), "mask", "left")
+        marked = marked.select("id", "mask", (F.col("_later").isNull() & (F.col("_open").isNull() | (F.col("_open") >= F.col("id")))).alias("leads")).checkpoint()
+        found = marked.filter("leads").select("id", "mask")
+        settled.append(found)
+        led = listed.join(found.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        rest = marked.filter("not leads").select("id", "mask").join(led, "id", "left_anti")
+        open_ = rest.join(_first_apart(found, apart, "_led"), "mask", "left").filter(F.col("_led").isNull() | (F.col("_led") > F.col("id"))).select("id", "mask").checkpoint()
+        ids = open_.select("id")
+        listed = listed.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b").checkpoint()
+    leads = functools.reduce(DataFrame.unionByName, settled) if settled else classes.select("id", "mask").limit(0)
+    near = pairs.join(leads.select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("_near"))
+    known = classes.join(leads.select("id", F.lit(True).alias("_leads")), "id", "left").join(near, "id", "left").join(_first_apart(leads, apart, "_far"), "mask", "left")
+    groups = known.withColumn("leader", F.when(F.col("_leads"), F.col("id")).otherwise(F.least("_near", F.when(F.col("_far") < F.col("id"), F.col("_far")))))
     sizes = groups.groupBy("leader").agg(F.sum("members").alias("size"), F.min("id").alias("first"), F.max("last").alias("last")).filter("size > 1")
     stays = {"first": F.col("first"), "last": F.col("last")}.get(keep, F.lit(None))
-    gone = groups.join(sizes.select("leader", stays.alias("_stays")), "leader").select("_stays", F.lit(True).alias("_grouped"), *[F.col(f"t{k}").alias(f"_t{k}") for k in range(len(columns))])
-    same = [F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))) == F.col(f"_t{k}") for k, c in enumerate(columns)]
-    out = df.join(gone, same, "left").filter(F.col("_grouped").isNull() | F.coalesce(F.col(f"`{row_id}`") == F.col("_stays"), F.lit(False)))
+    names = [f"t{k}" for k in range(len(columns))]
+    gone = groups.join(lookup_side(sizes.select("leader", stays.alias("_stays"))), "leader").select("_stays", F.lit(True).alias("_grouped"), *[F.col(t).alias(f"_{t}") for t in names])
+    same = [t == F.col(f"_{n}") for t, n in zip(_text(columns), names, strict=True)]
+    out = df.join(lookup_side(gone), same, "left").filter(F.col("_grouped").isNull() | F.coalesce(F.col(f"`{row_id}`") == F.col("_stays"), F.lit(False)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstat.functions.ranks import numbered, quantiles
-from quillstat.functions.similarity import similar_values
+from quillstat.functions.similarity import similar_values, title_case
 from quillstat.operators import clean, describe, explain, features, infer, missing, regress, training
 
 
@@ -142,6 +142,30 @@ def test_fuzzy_duplicates_with_empty_columns(spark, keep):
     assert got == leaders(rows, 0.9, keep)
 
 
+@pytest.mark.parametrize("keep", ["first", "none"])
+def test_fuzzy_duplicates_that_share_no_column(spark, keep):
+    draw = random.Random(11)
+    names, places, notes = ["john smith", "john smyth", "mary jones", "", None], ["12 long street", "12 long streets", "", "9 elm road"], ["", None, "seen twice", "seen  twice"]
+    rows = [(i, (draw.choice(names), draw.choice(places), draw.choice(notes))) for i in draw.sample(range(1000), 70)]
+    df = spark.createDataFrame([(i, *t) for i, t in rows], "id int, name string, place string, note string")
+    got = sorted(r["id"] for r in clean.fuzzy_duplicates(df, ["name", "place", "note"], "id", 0.9, keep).collect())
+    assert got == leaders(rows, 0.9, keep)
+    assert clean.fuzzy_duplicates(df.limit(0), ["name"], "id").count() == 0
+
+
+def test_groups_that_share_no_column_are_not_listed_as_pairs(spark):
+    df = spark.range(8000).selectExpr("id", "if(id % 2 = 0, lpad(id, 6, 0), null) as a", "if(id % 2 = 1, lpad(id, 6, 0), null) as b")
+    assert clean.fuzzy_pairs(df, ["a", "b"], "id").count() == 0
+    # row 0 leads all of the other group; its own group has nobody before it that is alike
+    assert clean.fuzzy_duplicates(df, ["a", "b"], "id").count() == 4000
+
+
+def test_title_case_is_that_of_the_language(spark):
+    texts = ["o'neil mc-donald", "ÉCOLE normale", "x1y 2nd_street", "", "tab\tand  two", "ünïcode straße", None]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, v string").select("k", title_case(F.col("v")).alias("v")).orderBy("k").select("v").collect()]
+    assert got == [None if t is None else t.title() for t in texts]
+
+
 def test_typos_beyond_five_thousand_values(spark):
     draw = random.Random(4)
     common = [f"{a}{b}" for a in ("north", "south", "east", "west") for b in ("bridge", "haven", "field")]
