@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.functions.ranks import quantiles
+from quillstat.functions.ranks import numbered, quantiles
 
 BINS, PIE_SLICES, POINTS = 10, 6, 500
 
@@ -34,8 +36,9 @@ def estimated_histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFra
     return rows.select("bin", "low", "high", F.round(density * w * F.col("n")).cast("bigint").alias("expected"))
 
 
-def residual_bins(n: int) -> int:
-    return min(max(int(n**0.5), 5), 20)
+def residual_bins(n: int, variant: str = "default") -> int:
+    """Bins for n residuals: the square root, from 5 to 20; the variant "ui" rounds it up and has no least number."""
+    return min(math.ceil(n**0.5), 20) if variant == "ui" else min(max(int(n**0.5), 5), 20)
 
 
 def box_plot(df: DataFrame, column: str) -> DataFrame:
@@ -50,21 +53,47 @@ def slices(df: DataFrame, column: str, n: int = PIE_SLICES) -> DataFrame:
 
 
 def scatter(df: DataFrame, x: str, y: str, row_id: str, points: int = POINTS) -> DataFrame:
-    """x, y of every k-th row, k making about `points` of them: rows whose id divides by the step."""
-    n = df.count()
-    step = max(1, n // points)
-    return df.filter(F.pmod(F.col(row_id), F.lit(step)) == 0).select(F.expr(f"try_cast(`{x}` as double)").alias("x"), F.expr(f"try_cast(`{y}` as double)").alias("y")).dropna()
+    """x, y of every k-th row, k making about `points` of them: rows whose id divides by the step. Where no row has a
+    number in both columns, x is the row's place in the order of ids and only y must be a number."""
+    number = {c: F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")) for c in (x, y)}
+    got = df.agg(F.count("*").alias("n"), F.count_if(number[x].isNotNull() & number[y].isNotNull()).alias("both")).first()
+    step = max(1, got["n"] // points)
+    if got["both"]:
+        return df.filter(F.pmod(F.col(row_id), F.lit(step)) == 0).select(number[x].alias("x"), number[y].alias("y")).dropna()
+    placed = numbered(df.select(number[y].alias("y"), F.col(row_id).alias("_id")), ["_id"], "x")
+    return placed.filter(F.pmod("x", F.lit(step)) == 0).select(F.col("x").cast("double").alias("x"), "y").dropna()
 
 
 def typical_row(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The row whose sum of absolute values is the median one, as an example to predict."""
+    """The complete row whose sum of absolute values is the median one (of two middles the greater), as an example to
+    predict; of equal ones the least."""
     size = sum((F.abs(F.col(f"`{c}`").cast("double")) for c in columns), F.lit(0.0))
-    sized = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], size.alias("_size")).dropna()
+    sized = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns], size.alias("_size")).dropna()
     at = quantiles(sized, {"_size": F.col("_size")}, [0.5])["_size"][0]
-    middle = sized.filter(F.col("_size") <= F.lit(at)).agg(F.max("_size").alias("_mid"))  # one row: the lower of two middles
+    middle = sized.filter(F.col("_size") >= F.lit(at)).agg(F.min("_size").alias("_mid"))  # one row
     return sized.join(F.broadcast(middle), F.col("_size") == F.col("_mid")).orderBy(*columns).limit(1).select(*columns)
 
 
+def example_prediction(df: DataFrame, predictors: list[str], coefficients: list[float], intercept: float, kind: str = "linear") -> dict | None:
+    """{conditions: [{predictor, value, coef}], prediction, probability}: what a model of these coefficients says of the
+    typical row. Without a complete row each predictor stands at its own median, or 0 without any value; a logistic
+    model gives a probability."""
+    if not coefficients or not predictors:
+        return None
+    found = typical_row(df, predictors).first()
+    if found is None:
+        medians = quantiles(df, {p: F.expr(f"try_cast(`{p}` as double)") for p in predictors}, [0.5])
+        values = [medians[p][0] or 0.0 for p in predictors]
+    else:
+        values = [found[p] for p in predictors]
+    slopes = [*coefficients, *[0.0] * len(predictors)][: len(predictors)]
+    score = intercept + sum(c * v for c, v in zip(slopes, values, strict=True))
+    if kind == "logistic":
+        score = 1 / (1 + math.exp(-score)) if score >= 0 else math.exp(score) / (1 + math.exp(score))
+    conditions = [{"predictor": p, "value": v, "coef": c} for p, v, c in zip(predictors, values, slopes, strict=True)]
+    return {"conditions": conditions, "prediction": score, "probability": kind == "logistic"}
+
+
 def importance_chart(ranking: DataFrame, top: int = 10) -> DataFrame:
     """feature, share: the inverse mean rank relative to the best, for the top features."""
     inverse = ranking.withColumn("inverse", 1 / F.col("mean_rank"))

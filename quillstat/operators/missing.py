@@ -274,7 +274,8 @@ def model_fill(df: DataFrame, dependent: str, predictors: list[str], types: dict
     """Fill predictors for a model and drop rows without the dependent.
 
     Numbers: the median where at least 8 values are skewed by more than 1, else the mean; with `types`, the mean of
-    continuous and the median of ordinal columns. Text: its mode, or "Unknown".
+    continuous, the median of ordinal and the mode of other columns. Numbers of no value become 0. Text: its mode, or
+    "Unknown".
     """
     kinds = dict(df.dtypes)
     numbers = [p for p in predictors if is_numeric(kinds[p])]
@@ -285,6 +286,9 @@ def model_fill(df: DataFrame, dependent: str, predictors: list[str], types: dict
     got = df.agg(*exprs).first() if exprs else None
     medians = quantiles(df, {c: F.col(f"`{c}`").cast("double") for c in numbers}, [0.5])
     for i, c in enumerate(numbers):
+        if types and types.get(c) not in ("continuous", "ordinal"):
+            df = df.withColumn(c, F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(mode_of(df, c).first()["mode"]).cast("double"), F.lit(0.0)))
+            continue
         skewed = types[c] == "ordinal" if types else got[f"n{i}"] >= 8 and abs(got[f"s{i}"] or 0) > 1
         df = df.withColumn(c, F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c][0] if skewed else got[f"a{i}"]), F.lit(0.0)))
     for c in predictors:

@@ -164,6 +164,12 @@ def requires_attention(report: DataFrame, variant: str = "default") -> bool:
     return not (report.filter("percentage > 5") if variant == "ts" else report).isEmpty()
 
 
+def missing_summary(df: DataFrame, attention: float = 5.0) -> DataFrame:
+    """One row: columns with missing values, the missing cells, and whether a column misses over `attention` percent."""
+    found = missing_report(df, "ts").agg(F.count("*").alias("columns"), F.coalesce(F.sum("count"), F.lit(0)).alias("cells"), F.max("percentage").alias("most"))
+    return found.select("columns", "cells", F.coalesce(F.col("most") > attention, F.lit(False)).alias("requires_attention"))
+
+
 def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """rows, distinct_rows, duplicates; equal rows meet after a partial count."""
     by = columns or df.columns
@@ -201,3 +207,56 @@ def resolve_codes(facts: list[Facts], resolver=None) -> dict[str, dict[str, str]
     """A codebook for uncertain columns from a callback over their names; none by default."""
     open_columns = [f.name for f in facts if coding(f)[1]]
     return dict(resolver(open_columns)) if resolver and open_columns else {}
+
+
+@dataclass(frozen=True)
+class ColumnCodes:
+    """What is known of a column's codes: its labels, and whether the rules left it open."""
+
+    name: str
+    coded: bool
+    uncertain: bool
+    labels: dict[str, str] | None = None
+    note: str | None = None
+
+
+def column_codes(facts: list[Facts], codebook: dict[str, dict[str, str]] | None = None) -> list[ColumnCodes]:
+    """The codes of all columns by the rules; a codebook's labels settle a column."""
+    out = []
+    for f in facts:
+        coded, uncertain = coding(f)
+        labels = (codebook or {}).get(f.name) or None
+        out.append(ColumnCodes(f.name, coded or labels is not None, uncertain and labels is None, labels))
+    return out
+
+
+def apply_code_detection(columns: list[ColumnCodes], detection: dict[str, dict]) -> list[ColumnCodes]:
+    """Columns with what was detected, {name: {coded, labels}}, written in: a detected column is open no more, new labels
+    replace old ones, and a column with old labels stays coded."""
+    out = []
+    for c in columns:
+        found = detection.get(c.name)
+        if found is None:
+            out.append(c)
+            continue
+        labels = found.get("labels") or None
+        note = "labels come from detection" if found.get("coded") and found.get("labels") is not None else c.note
+        out.append(ColumnCodes(c.name, True if c.labels is not None else bool(found.get("coded")), False, labels or c.labels, note))
+    return out
+
+
+def uncertain_columns(columns: list[ColumnCodes]) -> list[str]:
+    return [c.name for c in columns if c.uncertain]
+
+
+def labelled_columns(columns: list[ColumnCodes]) -> list[str]:
+    return [c.name for c in columns if c.labels]
+
+
+def labelled_value(codes: ColumnCodes | None, column: Column) -> Column:
+    """A column's values as text, those with a label by their label."""
+    key = column.cast("string")
+    if codes is None or not codes.labels:
+        return key
+    pairs = [F.lit(str(x)) for kv in codes.labels.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), key)

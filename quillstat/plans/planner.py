@@ -74,3 +74,24 @@ def fallback(types: dict[str, str], only_continuous: bool = False) -> dict:
     """The least plan: describe all columns, with histograms."""
     drawn = [c for c, k in types.items() if not only_continuous or k == "continuous"]
     return {"mode": "smart", "descriptive": {"columns": list(types)}, "charts": [{"chart": "histogram", "column": c} for c in drawn]}
+
+
+def request_of(found: dict, charts: list[dict] | None = None, relations: list[dict] | None = None) -> dict:
+    """A request from an analysis map {descriptiveColumns, correlationPairs, hypothesisTests, dependentVariable, predictors,
+    modelType}: what is described are the map's columns and then those that a chart shows; the first suggested relation
+    is modelled, or else the map's own."""
+    dependent = found.get("dependentVariable")
+    own = [{"dependent": dependent, "predictors": found.get("predictors") or [], "modelType": found.get("modelType")}] if dependent else []
+    first = next(iter(relations or own), None)
+    drawn = [c[k] for c in charts or [] for k in ("column", "x", "y") if c.get(k)]
+    return {
+        "mode": "smart",
+        "descriptive": {"columns": list(dict.fromkeys([*found.get("descriptiveColumns", []), *drawn]))},
+        "inferential": {
+            "correlationPairs": found.get("correlationPairs") or [],
+            "hypothesisTests": found.get("hypothesisTests") or [],
+            "regression": first and {"dependent": first["dependent"], "predictors": first["predictors"]},
+        },
+        "predictive": first and {"dependent": first["dependent"], "predictors": first["predictors"], "modelType": first.get("modelType")},
+        "charts": charts or [],
+    }

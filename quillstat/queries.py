@@ -819,7 +819,7 @@ def scatter_thin(spark, sf):
     return charts.scatter(table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
-@query("typical_row", "SELECT l_quantity, l_tax FROM lineitem WHERE abs(l_quantity) + abs(l_tax) = (SELECT quantile_disc(abs(l_quantity) + abs(l_tax), 0.5) FROM lineitem) ORDER BY 1, 2 LIMIT 1")
+@query("typical_row", "SELECT l_quantity, l_tax FROM (SELECT l_quantity, l_tax, abs(l_quantity) + abs(l_tax) AS size FROM lineitem) WHERE size = (SELECT size FROM (SELECT abs(l_quantity) + abs(l_tax) AS size, row_number() OVER (ORDER BY abs(l_quantity) + abs(l_tax)) AS k, count(*) OVER () AS n FROM lineitem) WHERE k = n // 2 + 1) ORDER BY 1, 2 LIMIT 1")
 def typical_row(spark, sf):
     return charts.typical_row(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
 
@@ -867,3 +867,96 @@ def json_rows(spark, sf):
     from quillstat.sources.sinks import to_json
 
     return to_json(with_row_id(table(spark, sf, "orders"))).select(F.from_json("json", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double").alias("j")).filter("j.o_orderkey is not null").groupBy(F.col("j.o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("j.o_totalprice"), 2).alias("price"), F.sum("j.o_custkey").alias("customers"))
+
+
+# ---------------------------------------------------------------- files, codes, variants, examples
+
+
+@query("csv_scan", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority || chr(10) || 'and, \"so\" on' AS note FROM orders")
+def csv_scan(spark, sf):
+    """orders as text, with a word for nulls, quotes, separators and line breaks in fields, and read again."""
+    import uuid
+
+    from quillstat.functions.ranks import shared_folder
+    from quillstat.sources.ingest import ROW_ID, read_frame
+
+    path = f"{shared_folder(spark).rstrip('/')}/orders-{uuid.uuid4().hex}.csv"
+    note = F.concat("o_orderpriority", F.lit("\nand, \"so\" on")).alias("note")
+    status = F.when(F.col("o_orderstatus") == "F", "N/A").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")
+    table(spark, sf, "orders").select("o_orderkey", "o_custkey", status, "o_totalprice", note).write.csv(path, header=True, escape='"', quoteAll=True)
+    return read_frame(spark, path).drop(ROW_ID)
+
+
+_SHOWN = {"p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "p_size"}
+
+
+@query("intake", " UNION ALL ".join(f"SELECT '{c}' AS column_name, value FROM (SELECT {c}::VARCHAR AS value, row_number() OVER (ORDER BY {c}) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT {c} FROM part)) WHERE k <= 20 OR n <= 50" for c in _SHOWN))
+def intake(spark, sf):
+    from quillstat.plans.intake import parse_table
+
+    found = parse_table(table(spark, sf, "part").select(*_SHOWN), "part")
+    return spark.createDataFrame([(c["name"], str(v)) for c in found.columns for v in c["uniqueValues"]], "column_name string, value string")
+
+
+@query("detected_codes", "SELECT o_orderkey, l_linenumber AS line, coalesce(CASE l_linenumber WHEN 1 THEN 'first' WHEN 2 THEN 'second' END, l_linenumber::VARCHAR) AS label FROM (SELECT l_orderkey AS o_orderkey, l_linenumber FROM lineitem)")
+def detected_codes(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"))
+    codes = profile.column_codes(profile.column_facts(rows, ["line"]))
+    found = profile.apply_code_detection(codes, {c: {"coded": True, "labels": {"1": "first", "2": "second"}} for c in profile.uncertain_columns(codes)})
+    return rows.withColumn("label", profile.labelled_value(found[0], F.col("line")))
+
+
+@query("missing_summary", f"SELECT count_if(n > 0)::BIGINT AS columns, sum(n)::BIGINT AS cells, max(100.0 * n / rows) > 5 AS requires_attention FROM (SELECT count(*) FILTER (q IS NULL) AS n, count(*) AS rows FROM {GAPS})")
+def missing_summary(spark, sf):
+    return profile.missing_summary(gaps(table(spark, sf, "lineitem")).select("l_quantity", "l_tax"))
+
+
+@query("missing_variant", "SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 3 > 0 THEN o_totalprice END, (SELECT avg(o_totalprice) FROM orders WHERE o_custkey % 3 > 0))::DECIMAL(18, 4)::DOUBLE AS price, CASE WHEN o_custkey % 4 > 0 THEN o_orderstatus END AS status FROM orders")
+def missing_variant(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_orderstatus")).alias("status"))
+    return missing.apply_strategies(rows, {"price": "mean", "status": "mode"}, numeric_only=True).select("o_orderkey", r("price"), "status")
+
+
+_VARIANT = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS q, CASE WHEN l_linenumber <> 2 THEN l_tax END AS t, CASE WHEN l_linenumber <> 1 THEN (l_linestatus = 'O')::INT END AS o FROM lineitem)"
+
+
+@query("model_fill_variant", f"WITH g AS {_VARIANT} SELECT l_orderkey, l_linenumber, round(coalesce(q, (SELECT median(q) FROM g)), 4) AS q, round(coalesce(t, (SELECT avg(t) FROM g)), 4) AS t, coalesce(o, (SELECT o FROM g WHERE o IS NOT NULL GROUP BY o ORDER BY count(*) DESC, o LIMIT 1))::DOUBLE AS o FROM g")
+def model_fill_variant(spark, sf):
+    line = F.col("l_linenumber")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.when(line != 3, F.col("l_quantity")).alias("q"), F.when(line != 2, F.col("l_tax")).alias("t"), F.when(line != 1, (F.col("l_linestatus") == "O").cast("int")).alias("o"))
+    filled = missing.model_fill(rows, "l_extendedprice", ["q", "t", "o"], {"q": "ordinal", "t": "continuous", "o": "binary"})
+    return filled.select("l_orderkey", "l_linenumber", r("q"), r("t"), r("o"))
+
+
+@query("variant_tests", f"SELECT 't-test' AS test, statistic, df AS df1, NULL::DOUBLE AS df2 FROM ({ORACLE_SQL['pooled_ttest']}) UNION ALL SELECT 'anova', round((sum(g.n * (m - gm) ^ 2) / first(k - 1)) / (sum((g.n - 1) * v) / first(t.n - k)), 4), first(k - 1)::DOUBLE, first(t.n - k)::DOUBLE FROM (SELECT count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY l_returnflag) g, (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm FROM (SELECT count(*) AS n, avg(l_extendedprice) AS m FROM lineitem GROUP BY l_returnflag)) t UNION ALL SELECT 'chi-square', statistic, df, NULL FROM ({_chi('lineitem', 'l_returnflag', 'l_linestatus', '0')})")
+def variant_tests(spark, sf):
+    """The statistics of all tests by the dispatcher's variant; its tails are tested against known ones."""
+    wanted = [{"type": "t-test", "columns": ["l_extendedprice", "l_linestatus"]}, {"type": "anova", "columns": ["l_extendedprice", "l_returnflag"]}, {"type": "chi-square", "columns": ["l_returnflag", "l_linestatus"]}]
+    return infer.hypothesis_tests(table(spark, sf, "lineitem"), wanted, "ts").select("test", r("statistic"), "df1", "df2")
+
+
+@query("all_correlations", " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 4) + 0.0 AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_tax"))))
+def all_correlations(spark, sf):
+    """Without pairs every two numeric columns are taken, but those that are missing in most rows."""
+    rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", F.when(F.col("l_linenumber") > 90, 1.0).alias("empty"), "l_tax", "l_returnflag")
+    return infer.variant_correlations(rows, {"l_quantity": "continuous", "l_extendedprice": "continuous", "empty": "continuous", "l_tax": "continuous", "l_returnflag": "categorical"}).select("column_a", "column_b", r("r"))
+
+
+@query("baselines", "WITH t AS (SELECT avg(l_extendedprice) AS m, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem WHERE l_orderkey % 5 > 0), e AS (SELECT l_extendedprice AS y, l_quantity AS x FROM lineitem WHERE l_orderkey % 5 = 0) SELECT 'dummy' AS model, round(1 - avg((y - m) ^ 2) / var_pop(y), 4) + 0.0 AS r2, round(sqrt(avg((y - m) ^ 2)), 2) AS rmse FROM e, t UNION ALL SELECT 'linear', round(1 - avg((y - a - b * x) ^ 2) / var_pop(y), 4) + 0.0, round(sqrt(avg((y - a - b * x) ^ 2)), 2) FROM e, t")
+def baselines(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity"), F.col("l_extendedprice").alias("label"), (F.col("l_orderkey") % 5 == 0).alias("held"))
+    found = training.baselines(rows.filter("not held"), rows.filter("held"), False, ["l_quantity"])
+    return spark.createDataFrame([(k, v["r2"] + 0.0, round(v["rmse"], 2)) for k, v in found.items()], "model string, r2 double, rmse double")
+
+
+@query("scatter_by_row", "SELECT (k - 1)::DOUBLE AS x, o_totalprice AS y FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS k, greatest(count(*) OVER () // 500, 1) AS step FROM orders) WHERE (k - 1) % step = 0")
+def scatter_by_row(spark, sf):
+    return charts.scatter(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey")
+
+
+@query("example_prediction", "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), t AS (SELECT x FROM (SELECT l_quantity AS x, row_number() OVER (ORDER BY abs(l_quantity)) AS k, count(*) OVER () AS n FROM lineitem) WHERE k = n // 2 + 1) SELECT 'l_quantity' AS predictor, x AS value, round(b, 4) AS coef, round(a + b * x, 2) AS prediction FROM m, t")
+def example_prediction(spark, sf):
+    df = table(spark, sf, "lineitem")
+    fit = infer.regression(df, "l_extendedprice", ["l_quantity"])
+    got = charts.example_prediction(df, ["l_quantity"], fit.coefficients, fit.intercept)
+    return spark.createDataFrame([(c["predictor"], c["value"], round(c["coef"], 4), round(got["prediction"], 2)) for c in got["conditions"]], "predictor string, value double, coef double, prediction double")
