@@ -6,36 +6,56 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.ranks import numbered
 
 PDP_FEATURES, PDP_GRID, REPEATS = 4, 50, 10
+#: Rows among which a feature's values are exchanged.
+BLOCK_ROWS = 100_000
+
+
+def _blocks(rows: DataFrame, seed: int) -> tuple[DataFrame, int, int]:
+    """(rows in random order with _block and _place, all rows, rows of a block): rows are numbered by a hash of what they
+    hold and then, so that equal rows are spread too, by a hash of that number. No block but the only one is a single
+    row."""
+    held = numbered(rows, [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns])], "_at")
+    placed = numbered(held, [F.xxhash64(F.lit(seed), F.col("_at")), "_at"], "_place").drop("_at")
+    n = placed.count()
+    size = -(-n // max(1, -(-n // BLOCK_ROWS)))
+    while n > 1 and n % size == 1:
+        size += 1
+    return placed.withColumn("_block", F.expr(f"_place div {max(size, 1)}")).repartition("_block").sortWithinPartitions("_block", "_place"), n, size
 
 
 def permutation_importance(rows: DataFrame, features: list[str], score, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """feature, mean, std, rank: by how much score(rows) falls when a feature's values are exchanged among all rows.
+    """feature, mean, std, rank: by how much score(rows) falls when a feature's values are exchanged between rows.
 
-    Rows are numbered once, in the order of a hash; a repeat gives row i the values of the row that a linear map
-    modulo the number of rows sends to i, so that each repeat is one join and no row is left out.
+    Rows are put in random order once, in blocks of about BLOCK_ROWS, and kept so. A repeat moves the values of every
+    block round by a number of places drawn for it, a window over rows that lie together already: nothing is joined or
+    shuffled, no row is left out, and a block that outgrows memory spills.
     """
-    order = [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns])]
-    base = numbered(rows, order, "_at").persist()
+    base, n, size = _blocks(rows, seed)
+    base = base.persist()
+    last = n % size if size else 0
+    own = Window.partitionBy("_block").orderBy("_place")
+    values = F.struct(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(features)])
+
+    def moved(by: int, of: int) -> Column:
+        return F.coalesce(F.lead(values, by).over(own), F.lag(values, of - by).over(own))
+
     try:
-        n = base.count()
-        full = score(base.drop("_at"))
+        full = score(base.select(*rows.columns))
         draw = random.Random(seed)
         falls: dict[str, list[float]] = {f: [] for f in features}
         for _ in range(repeats if n > 1 else 0):
-            step = draw.randrange(1 << 16, 1 << 20)
-            while math.gcd(step, n) != 1:
-                step += 1
-            at = F.pmod(F.col("_at") * step + draw.randrange(n), F.lit(n))
-            other = base.select(at.alias("_at"), *[F.col(f"`{f}`").alias(f"_other{k}") for k, f in enumerate(features)])
-            both = base.join(other, "_at").drop("_at").persist()
+            other = moved(draw.randrange(1, size), size)
+            if last:
+                other = F.when(F.col("_block") == n // size, moved(draw.randrange(1, last), last)).otherwise(other)
+            both = base.withColumn("_other", other).persist()
             for k, f in enumerate(features):
-                falls[f].append(full - score(both.withColumn(f, F.col(f"_other{k}")).select(*rows.columns)))
+                falls[f].append(full - score(both.withColumn(f, F.col(f"_other.f{k}")).select(*rows.columns)))
             both.unpersist()
     finally:
         base.unpersist()
@@ -102,8 +122,6 @@ def local_surrogate(rows: DataFrame, instance: dict[str, float], names: list[str
 
 def consensus(rankings: DataFrame) -> DataFrame:
     """feature, mean_rank, methods, position from rows (method, feature, rank)."""
-    from pyspark.sql import Window
-
     got = rankings.groupBy("feature").agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("methods"))
     return got.withColumn("position", F.row_number().over(Window.orderBy("mean_rank", "feature")))  # one row a feature
 

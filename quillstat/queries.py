@@ -616,7 +616,7 @@ def logistic(spark, sf):
 
 @query("random_forest")
 def random_forest(spark, sf):
-    m = regress.random_forest(table(spark, sf, "part"), "p_retailprice", ["p_size", "p_partkey"], trees=10, depth=5)
+    m = regress.random_forest(table(spark, sf, "part"), "p_retailprice", ["p_size", "p_partkey"])
     return spark.createDataFrame([(k, v) for k, v in m.importance.items()], "feature string, importance double")
 
 
@@ -657,15 +657,15 @@ def best_model(spark, sf):
     return spark.createDataFrame([(best, round(models[best]["test_metrics"]["r2"], 4))], "best string, r2 double")
 
 
-@query("permutation_importance")
+PLANE = "(SELECT var_pop(l_quantity) AS a, var_pop(l_tax) AS b, covar_pop(l_quantity, l_tax) AS c, covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_tax, l_extendedprice) AS q, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)"
+
+
+@query("permutation_importance", f"SELECT feature, row_number() OVER (ORDER BY fall DESC)::INT AS rank FROM (SELECT 'l_quantity' AS feature, ((p * b - q * c) / (a * b - c * c)) ^ 2 * a AS fall FROM {PLANE} UNION ALL SELECT 'l_tax', ((q * a - p * c) / (a * b - c * c)) ^ 2 * b FROM {PLANE})")
 def permutation_importance(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_quantity"), F.col("l_tax"), F.col("l_extendedprice"))
     m = regress.linear(rows, "l_extendedprice", ["l_quantity", "l_tax"])
     score = lambda d: regress.regression_metrics(m.predicted(d).select(F.col("l_extendedprice").alias("actual"), "prediction")).first()["r2"]
-    return explain.permutation_importance(rows, ["l_quantity", "l_tax"], score, repeats=2).select("feature", "rank")
-
-
-PLANE = "(SELECT var_pop(l_quantity) AS a, var_pop(l_tax) AS b, covar_pop(l_quantity, l_tax) AS c, covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_tax, l_extendedprice) AS q, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)"
+    return explain.permutation_importance(rows, ["l_quantity", "l_tax"], score).select("feature", "rank")
 
 
 @query("partial_dependence", f"SELECT 'l_quantity' AS feature, round(lo + k * (hi - lo) / 9, 4) AS x, round(my + (p * b - q * c) / (a * b - c * c) * (lo + k * (hi - lo) / 9 - mx), 2) AS y FROM {PLANE}, range(10) t(k)")

@@ -241,6 +241,24 @@ def test_importance_and_dependence_see_every_row(spark):
     assert [(r["x"], round(r["y"], 6)) for r in curve] == [(x, round(3 * x + mean, 6)) for x in (0.0, 33.0, 66.0, 99.0)]
 
 
+@pytest.mark.parametrize("n,block", [(2, 100), (7, 3), (1001, 100), (5000, 700)])
+def test_values_are_exchanged_within_blocks(spark, monkeypatch, n, block):
+    monkeypatch.setattr(explain, "BLOCK_ROWS", block)
+    df = spark.range(n).selectExpr("if(id % 3 = 0, 0, id) as x", "if(id % 3 = 0, 0, id) as y", "if(id % 5 = 0, null, id) as z")
+    kept = []
+
+    def score(rows):
+        got = rows.agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("z").alias("sz"), F.count("z").alias("nz"), F.count_if(F.col("x") == F.col("y")).alias("same")).first()
+        kept.append(got["same"])
+        assert (got["n"], got["sx"]) == (n, sum(i for i in range(n) if i % 3)) and (got["nz"], got["sz"] or 0) == (n - -(-n // 5), sum(i for i in range(n) if i % 5))
+        return float(got["same"])
+
+    rows = explain.permutation_importance(df, ["x", "z"], score, repeats=4).collect()
+    assert kept[0] == n and {r["feature"] for r in rows} == {"x", "z"} and {r["feature"]: r["mean"] for r in rows}["z"] == 0
+    if n > 1000:  # a third of the rows are alike: by chance a ninth meet their own value
+        assert np.mean([k for k in kept[1:] if k < n]) == pytest.approx(n / 9, rel=0.25)
+
+
 def test_ordinal_codes_are_ranks(spark):
     df = spark.createDataFrame([("b", "low"), ("a", "high"), (None, "odd"), ("c", None), ("b", "low")], "k string, o string")
     got = features.ordinal_encode(df, ["k", "o"], {"o": ["low", "high"]})
