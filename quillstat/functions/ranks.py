@@ -48,6 +48,21 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one task where much is done for each row.
+TASK_ROWS = 100_000
+
+
+def spread(df: DataFrame, rows: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """df dealt to one task for every TASK_ROWS of its rows (counted if not given), however the file is cut: tables of
+    few narrow columns are megabytes only, and come as one task. What one task may hold stays as it is. With `order`, each
+    task's rows are sorted by these columns, so that what depends on their order is the same in every run."""
+    parts = -(-(df.count() if rows is None else rows) // TASK_ROWS)
+    if parts <= 1:
+        return df
+    dealt = df.repartition(parts)
+    return dealt.sortWithinPartitions(*[F.col(f"`{c}`") for c in order]) if order else dealt
+
+
 def numbered(df: DataFrame, order: list, name: str = "_at", by: list | None = None) -> DataFrame:
     """df with `name`, the position of each row from 0 in the given order, within groups of equal `by` where given (a
     null is a group like any other): rows are numbered within range partitions of group and order, and shifted by what

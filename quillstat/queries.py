@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import moments, ols, vif
+from quillstat.functions.ranks import spread
 from quillstat.operators import attribute, charts, clean, describe, explain, features, infer, missing, profile, regress, training
 from quillstat.plans import planner, translate
 from quillstat.sources.ingest import with_row_id
@@ -721,7 +722,8 @@ def tree_attributions(spark, sf):
     from pyspark.ml.regression import RandomForestRegressor
 
     names = ["p_size", "p_partkey"]
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(table(spark, sf, "part").select(*names, F.col("p_retailprice").alias("label")))
+    rows = spread(table(spark, sf, "part").select(*names, F.col("p_retailprice").alias("label")), order=[*names, "label"])
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     fitted = RandomForestRegressor(numTrees=regress.FOREST_TREES, maxDepth=5, seed=regress.SEED).fit(rows)
     made, _ = attribute.tree_attributions(rows, names, fitted)
     off = fitted.transform(made).agg(F.max(F.abs(F.col("prediction") - F.col("explained"))).alias("off"))  # one row

@@ -10,7 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from quillstat.operators import training
+from quillstat.functions import ranks
+from quillstat.operators import attribute, training
 from quillstat.operators.attribute import Tree, batch_attributions, covers, mean_attributions, node_tables, tree_attributions
 from quillstat.operators.models import Network, lbfgs
 
@@ -90,6 +91,40 @@ def test_attribution_edges(spark):
     assert [r["feature"] for r in ranked] == names and sum(r["percentage"] for r in ranked) == pytest.approx(100)
 
 
+@pytest.mark.parametrize("few", [4096, 0])
+def test_a_tree_is_worked_out_for_cells_not_rows(spark, monkeypatch, few):
+    df, names, x = table(spark, 400, 2, lambda r: r[0] * r[1] + 2 * (r[0] > 0.3))
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    fitted = RandomForestRegressor(numTrees=4, maxDepth=3, seed=2).fit(ready)
+    trees = node_tables(fitted)
+    plain = [np.zeros(len(t.feature), int) for t in trees]
+    for t, n in zip(trees, plain, strict=True):
+        for node, rows in t.visited(x):
+            n[node] += len(rows)
+    monkeypatch.setattr(attribute, "CELLS", few)
+    cover = covers(df.withColumn("x", F.array(*names)), trees)
+    assert all((a == b).all() for a, b in zip(cover, plain, strict=True))
+    asked = []
+    of_rows = attribute.tree_values
+    monkeypatch.setattr(attribute, "tree_values", lambda x, *a: asked.append(len(x)) or of_rows(x, *a))
+    many = np.tile(x, (50, 1))
+    got = batch_attributions(many, trees, cover)
+    assert sum(asked) <= 4 * 20 < len(many)  # seven thresholds cut two features in 5 * 4 cells at most
+    assert got == pytest.approx(sum(of_rows(many, t, c) for t, c in zip(trees, cover, strict=True)), abs=1e-12)
+
+
+def test_attributions_of_one_task_are_dealt_out(spark, monkeypatch):
+    df, names, _ = table(spark, 300, 2, lambda r: r[0] + r[1])
+    one = df.coalesce(1)
+    fitted = DecisionTreeRegressor(maxDepth=3).fit(VectorAssembler(inputCols=names, outputCol="features").transform(one))
+    want = sorted(tuple(r["attributions"]) for r in tree_attributions(one, names, fitted)[0].collect())
+    monkeypatch.setattr(ranks, "TASK_ROWS", 50)
+    made = tree_attributions(one, names, fitted)[0]
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 6 and max(r["count"] for r in sizes) <= 51
+    assert sorted(tuple(r["attributions"]) for r in made.collect()) == want
+
+
 def test_network_gradient_against_finite_differences():
     rng = np.random.default_rng(0)
     net = Network([3, 4, 2, 1])
