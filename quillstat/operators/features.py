@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import WIDE, complete, moments, pairwise_correlations, vif
-from quillstat.functions.ranks import ensure_checkpoints, lookup_side, numbered
+from quillstat.functions.ranks import ensure_checkpoints, lookup_side, numbered, spread
 from quillstat.operators.profile import number
 
 ONE_HOT_MOST, SMOOTHING, FOREST_CLASSES = 15, 10.0, 10
@@ -300,14 +300,14 @@ def forest_importance(df: DataFrame, columns: list[str], target: str, trees: int
     from pyspark.ml.regression import RandomForestRegressor
 
     rows = complete(df, [*columns, target]).withColumnRenamed(target, "label")
-    got = rows.agg(F.approx_count_distinct("label", 0.02).alias("u"), F.bool_and(F.col("label") == F.floor("label")).alias("w")).first()
+    got = rows.agg(F.count("*").alias("n"), F.approx_count_distinct("label", 0.02).alias("u"), F.bool_and(F.col("label") == F.floor("label")).alias("w")).first()
     maker = RandomForestRegressor
     if got["w"] and got["u"] <= 2 * FOREST_CLASSES:
         found = sorted(r[0] for r in rows.select("label").distinct().collect())  # few, as the sketch says
         if len(found) <= FOREST_CLASSES:
             maker = RandomForestClassifier
             rows = rows.withColumn("label", F.array_position(F.array(*[F.lit(x) for x in found]), F.col("label")).cast("double") - 1)
-    made = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    made = VectorAssembler(inputCols=columns, outputCol="features").transform(spread(rows, got["n"], [*columns, "label"]))
     return dict(zip(columns, maker(numTrees=trees, maxDepth=depth, seed=seed).fit(made).featureImportances.toArray().tolist(), strict=True))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.linalg import Fit, complete, moments, ols, vif
-from quillstat.functions.ranks import numbered
+from quillstat.functions.ranks import numbered, spread
 from quillstat.operators.infer import binary_number
 
 MIN_ROWS, TEST_ROWS, TEST_PERCENT, SEED = 10, 30, 20, 42
@@ -215,7 +215,8 @@ def timeseries(df: DataFrame, dependent: str, order: list, steps: int = FORECAST
 
 
 def random_forest(df: DataFrame, dependent: str, predictors: list[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED) -> Model:
-    """A classifier for up to two classes, else a regressor; needs at least 30 rows."""
+    """A classifier for up to two classes, else a regressor; needs at least 30 rows. Rows are dealt out before the trees
+    grow, as each task holds its rows with their counts in every tree."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -227,7 +228,8 @@ def random_forest(df: DataFrame, dependent: str, predictors: list[str], trees: i
         raise ValueError(f"{facts['n']} complete rows; a forest needs {FOREST_ROWS}")
     classify = facts["u"] <= 2
     target = (F.col(f"`{dependent}`") != facts["low"]).cast("double") if classify else F.col(f"`{dependent}`")
-    made = VectorAssembler(inputCols=predictors, outputCol="_features").transform(rows.withColumn("label", target))
+    rows = spread(rows.withColumn("label", target), facts["n"], [*predictors, dependent])
+    made = VectorAssembler(inputCols=predictors, outputCol="_features").transform(rows)
     maker = RandomForestClassifier if classify else RandomForestRegressor
     fitted = maker(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(made.filter("not _test"))
     out = Model("randomforest", dependent, predictors, [], 0.0, {"n": facts["n"]})

@@ -11,7 +11,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import functions as F
 
 from quillstat.functions import ranks
-from quillstat.operators import attribute, training
+from quillstat.operators import attribute, features, regress, training
 from quillstat.operators.attribute import Tree, batch_attributions, covers, mean_attributions, node_tables, tree_attributions
 from quillstat.operators.models import Network, lbfgs
 
@@ -125,6 +125,19 @@ def test_attributions_of_one_task_are_dealt_out(spark, monkeypatch):
     assert sorted(tuple(r["attributions"]) for r in made.collect()) == want
 
 
+@pytest.mark.parametrize("fit", [lambda df, names: regress.random_forest(df, "label", names, 3, 3), lambda df, names: features.forest_importance(df, names, "label", 3, 3)])
+def test_a_forest_grows_on_many_tasks(spark, monkeypatch, fit):
+    df, names, _ = table(spark, 300, 2, lambda r: r[0] + r[1])
+    seen = []
+    grown = RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or grown(self, rows))
+    monkeypatch.setattr(ranks, "TASK_ROWS", 60)
+    fit(df.coalesce(1), names)
+    assert seen == [5]
+    dealt = ranks.spread(df.coalesce(1), order=names).collect()
+    assert sorted(map(tuple, dealt)) == sorted(map(tuple, df.collect()))
+
+
 def test_network_gradient_against_finite_differences():
     rng = np.random.default_rng(0)
     net = Network([3, 4, 2, 1])
