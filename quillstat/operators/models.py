@@ -1,7 +1,9 @@
 """Models that Spark ML lacks, as pipeline stages: a neural regressor and boosted trees for several classes.
 
-Both are trained on the driver's small state only, by sums that tasks make over their rows in Arrow batches: gradients of
-a network, or gradient histograms of a tree's level. Neither gathers rows.
+Both are trained on the driver's small state only, by sums that tasks make over their rows: gradients of a network, or
+gradient histograms of a tree's level. Neither gathers rows. Rows are read by Python once, into blocks of numbers in
+which rows with equal inputs are put together, as both sums depend on these rows by their number and the sums of their
+labels only.
 """
 
 from __future__ import annotations
@@ -19,8 +21,61 @@ from pyspark.sql import functions as F
 from quillstat.functions.ranks import ensure_checkpoints, quantiles
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def _rows(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
-    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return _matrix(batch.column(column))
+
+
+#: Numbers of a block.
+BLOCK_NUMBERS = 1 << 19
+
+
+def merged(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct rows of keys, the sums over their equals)."""
+    order = np.lexsort(keys.T)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+    return keys[starts], np.add.reduceat(sums[order], starts)
+
+
+def packed(points: DataFrame, make) -> DataFrame:
+    """Blocks (k binary, s binary) of the rows: `make` returns for a batch a row of keys and a row of sums for each of its
+    rows, and equal keys of a block are one row. A task holds about two blocks."""
+    numbers = BLOCK_NUMBERS
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return merged(*(np.concatenate(part) for part in zip(*held, strict=True)))
+
+    def block(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (keys, sums)], names=["k", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                keys, sums = make(batch)
+                held.append((keys, sums))
+                n += len(keys)
+                most = numbers // (keys.shape[1] + sums.shape[1])
+                if n >= most:
+                    held = [joined(held)]
+                    n = len(held[0][0])
+                    if 2 * n >= most:  # few were equal
+                        yield block(*held[0])
+                        held, n = [], 0
+        if held:
+            yield block(*joined(held))
+
+    return points.mapInArrow(run, "k binary, s binary")
+
+
+def _blocks(batch: pa.RecordBatch, *kinds: tuple[type, int]) -> Iterator[list[np.ndarray]]:
+    """The matrices of each row, by their types and widths."""
+    for row in range(batch.num_rows):
+        yield [np.frombuffer(batch.column(c)[row].as_buffer(), kind).reshape(-1, width) for c, (kind, width) in enumerate(kinds)]
 
 
 def summed(points: DataFrame, make) -> np.ndarray:
@@ -73,17 +128,17 @@ class Network:
             out.append(z if k == len(layers) - 1 else np.tanh(z))
         return out
 
-    def loss_and_gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """(sum of half squared errors, its gradient) as one vector, by back-propagation."""
+    def loss_and_gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> np.ndarray:
+        """(sum of half squared errors, its gradient) as one vector, by back-propagation; each row counts n times."""
         out = self.forward(w, x)
         error = out[-1][:, 0] - y
-        parts, delta = [], error[:, None]
+        parts, delta = [], (n * error)[:, None]
         layers = self.layers(w)
         for k in range(len(layers) - 1, -1, -1):
             parts.append(np.concatenate(((out[k].T @ delta).ravel(), delta.sum(0))))
             if k:
                 delta = (delta @ layers[k][0].T) * (1 - out[k] ** 2)
-        return np.concatenate(([0.5 * (error @ error)], *parts[::-1]))
+        return np.concatenate(([0.5 * (error @ (n * error))], *parts[::-1]))
 
 
 def lbfgs(value, w: np.ndarray, rounds: int, tolerance: float, memory: int = 10) -> np.ndarray:
@@ -128,8 +183,9 @@ def lbfgs(value, w: np.ndarray, rounds: int, tolerance: float, memory: int = 10)
 class NeuralRegressor(Estimator):
     """A network for a number: `layers` hidden sizes, weights penalised by `regParam`, fitted on `features` and `label`.
 
-    Every evaluation is one job over the cached rows: each task back-propagates its rows and sends the sum of its
-    gradients. The label is standardised; features should be.
+    Every evaluation is one job over the cached blocks of rows: each task back-propagates its rows, equal ones at once
+    against their mean label, and sends the sum of its gradients; what their labels differ by is added to the loss. The
+    label is standardised; features should be.
     """
 
     def __init__(self, layers: list[int] | None = None, maxIter: int = 200, regParam: float = 1e-4, tol: float = 1e-6, seed: int = 42):
@@ -143,16 +199,29 @@ class NeuralRegressor(Estimator):
             raise ValueError("no rows to fit a network to")
         shift, width, n = facts["m"], facts["s"] or 1.0, facts["n"]
         net = Network([facts["p"], *self.layers, 1])
-        points = points.persist()
+
+        def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            y = (batch.column(1).to_numpy() - shift) / width
+            return _rows(batch), np.column_stack((np.ones(len(y)), y, y * y))
+
+        blocks = packed(points, entries).persist()
         try:
 
             def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-                got = summed(points, lambda b: net.loss_and_gradient(w, _rows(b), (b.column(1).to_numpy() - shift) / width)) / n
+                def part(batch: pa.RecordBatch) -> np.ndarray:
+                    total = np.zeros(net.length + 1)
+                    for x, sums in _blocks(batch, (float, net.sizes[0]), (float, 3)):
+                        times, mean = sums[:, 0], sums[:, 1] / sums[:, 0]
+                        total += net.loss_and_gradient(w, x, mean, times)
+                        total[0] += 0.5 * np.maximum(sums[:, 2] - times * mean**2, 0).sum()
+                    return total
+
+                got = summed(blocks, part) / n
                 return got[0] + 0.5 * self.penalty * (w @ w), got[1:] + self.penalty * w
 
             w = lbfgs(value, net.start(self.seed), self.rounds, self.tolerance)
         finally:
-            points.unpersist()
+            blocks.unpersist()
         return NeuralModel(net, w, shift, width)
 
 
@@ -164,9 +233,9 @@ class NeuralModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         net, w, shift, width = self.net, self.weights, self.shift, self.width
 
-        @F.pandas_udf("double")
-        def predict(x: pd.Series) -> pd.Series:
-            return pd.Series(net.forward(w, np.stack(x.to_list()))[-1][:, 0] * width + shift if len(x) else [])
+        @F.arrow_udf("double")
+        def predict(x: pa.Array) -> pa.Array:
+            return pa.array(net.forward(w, _matrix(x))[-1][:, 0] * width + shift if len(x) else [], pa.float64())
 
         return dataset.withColumn("prediction", predict(vector_to_array("features")))
 

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -11,7 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import functions as F
 
 from quillstat.functions import ranks
-from quillstat.operators import attribute, features, regress, training
+from quillstat.operators import attribute, features, models, regress, training
 from quillstat.operators.attribute import Tree, batch_attributions, covers, mean_attributions, node_tables, tree_attributions
 from quillstat.operators.models import Network, lbfgs
 
@@ -150,6 +151,46 @@ def test_network_gradient_against_finite_differences():
         assert grad[k] == pytest.approx(slope, abs=1e-6)
 
 
+def test_equal_rows_are_one_in_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(b), float(y)) for a, b, y in zip(rng.integers(0, 4, 3000), rng.integers(0, 3, 3000), rng.normal(size=3000), strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1).select(F.array("a", "b").alias("x"), "y")
+    entries = lambda b: (models._rows(b), np.column_stack((np.ones(b.num_rows), b.column(1).to_numpy())))
+    (made,) = models.packed(df, entries).collect()
+    (x, sums), = models._blocks(pa.table({c: [bytes(made[c])] for c in "ks"}).to_batches()[0], (float, 2), (float, 2))
+    want = {}
+    for a, b, y in rows:
+        n, s = want.get((a, b), (0, 0.0))
+        want[a, b] = n + 1, s + y
+    assert {tuple(k): tuple(v) for k, v in zip(x, sums, strict=True)} == {k: (n, pytest.approx(s)) for k, (n, s) in want.items()}
+    monkeypatch.setattr(models, "BLOCK_NUMBERS", 200)  # rows that all differ go on in many blocks
+    many = models.packed(df.select(F.array(F.monotonically_increasing_id().cast("double"), F.lit(1.0)).alias("x"), "y"), entries).collect()
+    assert len(many) > 1 and sum(len(r["k"]) for r in many) == 3000 * 16
+
+
+def test_network_reads_its_rows_once(spark, monkeypatch):
+    """Evaluations meet the few distinct inputs, and the loss is that of all rows."""
+    rng = np.random.default_rng(0)
+    x, noise = rng.integers(0, 6, 2000), rng.normal(size=2000)
+    df = spark.createDataFrame([(float(a), float(a * a + e)) for a, e in zip(x, noise, strict=True)], "x double, label double")
+    asked, losses = [], []
+    summed, own = models.summed, models.lbfgs
+    monkeypatch.setattr(models, "summed", lambda points, make: asked.append(points) or summed(points, make))
+
+    def one(value, w, *a):
+        losses.append((w, *value(w)))
+        assert sum(len(r["k"]) for r in asked[0].collect()) <= 6 * 8 * 8  # of eight tasks, in bytes
+        return own(value, w, *a)
+
+    monkeypatch.setattr(models, "lbfgs", one)
+    training.build("neural_network", False, ["x"], {"layers": [3], "maxIter": 2, "regParam": 0.0}).fit(df)
+    net, (w, loss, grad) = Network([1, 3, 1]), losses[0]
+    y = np.array([r["label"] for r in df.select("label").collect()])
+    a = x.astype(float)
+    want = net.loss_and_gradient(w, ((a - a.mean()) / a.std(ddof=1))[:, None], (y - y.mean()) / y.std()) / 2000
+    assert np.concatenate(([loss], grad)) == pytest.approx(want, abs=1e-9)
+
+
 def test_quasi_newton_finds_a_valley():
     rosen = lambda w: (100 * (w[1] - w[0] ** 2) ** 2 + (1 - w[0]) ** 2, np.array([-400 * w[0] * (w[1] - w[0] ** 2) - 2 * (1 - w[0]), 200 * (w[1] - w[0] ** 2)]))
     assert lbfgs(rosen, np.array([-1.2, 1.0]), 500, 1e-12) == pytest.approx([1, 1], abs=1e-4)
