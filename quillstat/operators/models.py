@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -279,9 +278,9 @@ class SoftmaxBoosting(Estimator):
     """Boosted trees for `classes` classes, labels 0 to classes - 1: every round grows one tree a class on the gradients
     of the softmax loss.
 
-    Features are cut in at most `bins` bins at exact quantiles. A level of all classes' trees is one job: each task sums
-    gradients and curvatures by class, node, feature and bin, the sums meet in the shuffle, and the driver picks the
-    splits. Scores so far are written every `keep` rounds, so that a task repeats few trees and lineage stays short.
+    Features are cut in at most `bins` bins at exact quantiles, and rows of equal bins, which have equal scores, are one
+    row of a block with its number of each class. A level of all classes' trees is one job: each task sums gradients and
+    curvatures by class, node, feature and bin, the sums meet in the shuffle, and the driver picks the splits. Scores so far are written every `keep` rounds, so that a task repeats few trees and lineage stays short.
     """
 
     def __init__(self, classes: int, maxIter: int = 50, maxDepth: int = 5, stepSize: float = 0.1, bins: int = 32, regLambda: float = 1.0, minGain: float = 1e-6, keep: int = 10):
@@ -305,14 +304,12 @@ class SoftmaxBoosting(Estimator):
         counts = {r["y"]: r["n"] for r in source.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a class
         prior = np.log(np.maximum([counts.get(k, 0) for k in range(classes)], 0.5) / sum(counts.values()))
 
-        def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    binned = binned_rows(_rows(batch), edges)
-                    start = np.tile(prior, (batch.num_rows, 1))
-                    yield pa.RecordBatch.from_arrays([_lists(binned.astype(np.int16)), _lists(start), batch.column(1)], names=["b", "f", "y"])
+        def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            return binned_rows(_rows(batch), edges).astype(np.int16), np.column_stack((np.ones(len(y)), y[:, None] == np.arange(classes))).astype(float)
 
-        state = source.mapInArrow(bin_rows, "b array<smallint>, f array<double>, y int").checkpoint()
+        # bins, (rows, rows of each class), scores so far
+        state = packed(source, entries).withColumn("f", F.lit(None).cast("binary")).checkpoint()
         source.unpersist()
         trees: list[list[BinnedTree]] = []
         fresh: list[list[BinnedTree]] = []
@@ -324,17 +321,18 @@ class SoftmaxBoosting(Estimator):
                 leaf = level == self.depth
 
                 def sums(batch: pa.RecordBatch, group=group, level=level, nodes=nodes, leaf=leaf, fresh=tuple(fresh)) -> np.ndarray:
-                    b = _rows(batch).astype(np.int64)
-                    share = softmax(_rows(batch, 1) + tree_scores(b, list(fresh), classes))
-                    y = batch.column(2).to_numpy()
-                    out = []
-                    for k, tree in enumerate(group):
-                        g, h = share[:, k] - (y == k), np.maximum(share[:, k] * (1 - share[:, k]), 1e-16)
-                        at = tree.node_of(b, level)
-                        for j in range(1 if leaf else p):
-                            cell = at if leaf else at * width + b[:, j]
-                            out += [np.bincount(cell, v, nodes * (1 if leaf else width)) for v in (g, h)]
-                    return np.concatenate(out)
+                    total = 0.0
+                    for b, n, f in _scored(batch, p, prior):
+                        share = softmax(f + tree_scores(b, list(fresh), classes))
+                        out = []
+                        for k, tree in enumerate(group):
+                            g, h = n[:, 0] * share[:, k] - n[:, k + 1], n[:, 0] * np.maximum(share[:, k] * (1 - share[:, k]), 1e-16)
+                            at = tree.node_of(b, level)
+                            for j in range(1 if leaf else p):
+                                cell = at if leaf else at * width + b[:, j]
+                                out += [np.bincount(cell, v, nodes * (1 if leaf else width)) for v in (g, h)]
+                        total = total + np.concatenate(out)
+                    return total
 
                 got = summed(state, sums)
                 if leaf:
@@ -346,7 +344,7 @@ class SoftmaxBoosting(Estimator):
             trees.append(group)
             fresh.append(group)
             if len(fresh) == self.keep:
-                state, fresh = _advanced(state, fresh, classes), []
+                state, fresh = _advanced(state, fresh, p, prior), []
         return SoftmaxModel(edges, prior, trees, classes)
 
     def _split(self, group: list[BinnedTree], sums: np.ndarray, level: int) -> None:
@@ -368,20 +366,23 @@ def binned_rows(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)])
 
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+def _scored(batch: pa.RecordBatch, p: int, prior: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bins, counts and scores of each block; before any are written, all scores are the prior."""
+    for row, (b, n) in enumerate(_blocks(batch, (np.int16, p), (float, len(prior) + 1))):
+        f = batch.column(2)[row]
+        yield b.astype(np.int64), n, np.frombuffer(f.as_buffer(), float).reshape(-1, len(prior)) if f.is_valid else np.tile(prior, (len(b), 1))
 
 
-def _advanced(state: DataFrame, fresh: list[list[BinnedTree]], classes: int) -> DataFrame:
-    """The rows with the scores of further trees."""
+def _advanced(state: DataFrame, fresh: list[list[BinnedTree]], p: int, prior: np.ndarray) -> DataFrame:
+    """The blocks with the scores of further trees."""
     trees = list(fresh)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_rows(batch, 1) + tree_scores(_rows(batch).astype(np.int64), trees, classes)), batch.column(2)], names=["b", "f", "y"])
+            scores = [(f + tree_scores(b, trees, len(prior))).tobytes() for b, _, f in _scored(batch, p, prior)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.binary())], names=["k", "s", "f"])
 
-    return state.mapInArrow(run, "b array<smallint>, f array<double>, y int").checkpoint()
+    return state.mapInArrow(run, "k binary, s binary, f binary").checkpoint()
 
 
 class SoftmaxModel(Model):
@@ -394,11 +395,12 @@ class SoftmaxModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         edges, prior, trees, classes = self.edges, self.prior, self.trees, self.classes
 
-        @F.pandas_udf("array<double>")
-        def shares(x: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def shares(x: pa.Array) -> pa.Array:
             if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(softmax(prior + tree_scores(binned_rows(np.stack(x.to_list()), edges), trees, classes))))
+                return pa.array([], pa.list_(pa.float64()))
+            made = softmax(prior + tree_scores(binned_rows(_matrix(x), edges), trees, classes))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * classes), pa.array(made.ravel()))
 
         made = dataset.withColumn("probability", shares(vector_to_array("features")))
         return made.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))

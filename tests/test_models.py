@@ -164,8 +164,10 @@ def test_equal_rows_are_one_in_a_block(spark, monkeypatch):
         want[a, b] = n + 1, s + y
     assert {tuple(k): tuple(v) for k, v in zip(x, sums, strict=True)} == {k: (n, pytest.approx(s)) for k, (n, s) in want.items()}
     monkeypatch.setattr(models, "BLOCK_NUMBERS", 200)  # rows that all differ go on in many blocks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
     many = models.packed(df.select(F.array(F.monotonically_increasing_id().cast("double"), F.lit(1.0)).alias("x"), "y"), entries).collect()
-    assert len(many) > 1 and sum(len(r["k"]) for r in many) == 3000 * 16
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(many) == 30 and sum(len(r["k"]) for r in many) == 3000 * 16
 
 
 def test_network_reads_its_rows_once(spark, monkeypatch):
@@ -224,6 +226,21 @@ def test_boosting_of_three_classes_against_one_against_rest(spark):
             assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and s.value == pytest.approx(t.value)
 
 
+def test_boosting_keeps_equal_bins_as_one(spark, monkeypatch):
+    df, names, _ = table(spark, 3000, 2, lambda r: 0 if r[0] > 0.5 else 1 if r[1] > 0 else 2)
+    seen = []
+    summed = models.summed
+    monkeypatch.setattr(models, "summed", lambda points, make: seen.append(points) or summed(points, make))
+    fit = lambda d: training.build("gradient_boosting", True, names, {"maxIter": 3, "maxDepth": 2, "bins": 4, "keep": 2}, classes=3).fit(d)
+    one, many = fit(df.coalesce(1)), fit(df.repartition(5))
+    for points, tasks in ((seen[0], 1), (seen[-1], 5)):
+        held = points.collect()
+        assert len(held) == tasks and all(len(r["k"]) <= 2 * 2 * 16 for r in held)  # four bins of each feature
+        assert sum(np.frombuffer(r["s"]).reshape(-1, 4)[:, 0].sum() for r in held) == 3000
+    for s, t in zip(one.stages[-1].trees, many.stages[-1].trees, strict=True):
+        assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() for a, b in zip(s, t, strict=True))
+
+
 @pytest.mark.parametrize(("n", "want"), [(20, (4, 3, 13)), (130, (26, 20, 84)), (1, (0, 0, 1)), (3, (1, 0, 2))])
 def test_exact_split_of_a_class(spark, n, want):
     df = spark.range(n).select("id", F.lit("small").alias("y")).unionByName(spark.range(1000, 1500).select("id", F.lit("large").alias("y")))
