@@ -4,8 +4,8 @@ A file is read as physical lines by Spark's text reader, which cuts it in byte r
 quoted field depends on all that stands before it, but what a line does to either state is known from the line alone: it
 maps inside or outside at its beginning to inside or outside at its end. Each range gives the composition of its lines'
 maps, one row; composed in order of the ranges (a row a range) they tell how every range begins. A second pass puts
-lines together to records within each range, and only the pieces of a record that crosses ranges are joined, before Spark
-parses the records.
+lines together to records within each range and writes them to the checkpoint folder, as header, types and rows are all
+read from them. Only the pieces of a record that crosses ranges are joined, before Spark parses the records.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import csv
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions.ranks import lookup_side
+from quillstat.functions.ranks import ensure_checkpoints, lookup_side
 
 
 def line_maps(sep: str) -> tuple[re.Pattern, re.Pattern]:
@@ -37,18 +39,22 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str]]]:
-    """Lines of each range in a batch, in order."""
-    values, files, starts = (c.to_pylist() for c in batch.columns[:3])
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[str]]]:
+    """Lines of each range in a batch, in order, by its file and start (and whether it begins inside, where given)."""
+    if not batch.num_rows:
+        return
+    ends = np.zeros(batch.num_rows - 1, bool)
+    for c in batch.columns[1:3]:
+        ends |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
     at = 0
-    for k in range(1, len(values) + 1):
-        if k == len(values) or (files[k], starts[k]) != (files[at], starts[at]):
-            yield (files[at], starts[at]), values[at:k]
-            at = k
+    for k in (*(np.flatnonzero(ends) + 1).tolist(), batch.num_rows):
+        yield tuple(c[at].as_py() for c in batch.columns[1:]), batch.column(0)[at:k].to_pylist()
+        at = k
 
 
 def range_states(lines: DataFrame, sep: str) -> DataFrame:
     """(file, start, inside): whether each range begins inside a quoted field."""
+    ensure_checkpoints(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         outside, inside = line_maps(sep)
@@ -57,11 +63,12 @@ def range_states(lines: DataFrame, sep: str) -> DataFrame:
             for key, values in _runs(batch):
                 state = ends.setdefault(key, [False, True])
                 for v in values:
-                    state[:] = [(inside if s else outside).fullmatch(v) is not None for s in state]
+                    if '"' in v:  # any other line leaves both as they are
+                        state[:] = [(inside if s else outside).fullmatch(v) is not None for s in state]
         rows = [(*k, *v) for k, v in ends.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.bool_(), pa.bool_())], names=["file", "start", "from_outside", "from_inside"])
 
-    maps = lines.mapInArrow(run, "file string, start bigint, from_outside boolean, from_inside boolean")
+    maps = lines.mapInArrow(run, "file string, start bigint, from_outside boolean, from_inside boolean").checkpoint()  # a row a range
     # a map that doesn't look at the state forgets all before it; from there on only the others need to be composed
     steps = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fixed = F.when(F.col("from_outside") == F.col("from_inside"), F.struct(F.col("start").alias("at"), F.col("from_outside").alias("state")))
@@ -83,33 +90,34 @@ def records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         outside, inside = line_maps(sep)
         key, held, state, nth, tail = None, [], False, 0, False
 
-        def close(rows: list[tuple], kind: str) -> None:
-            rows.append((*key, nth, kind, "\n".join(held)))
+        def closed(kinds: list[str], found: list[str], first: int) -> pa.RecordBatch:
+            n = len(found)
+            columns = [pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n), pa.array(np.arange(first, first + n)), pa.array(kinds, pa.string()), pa.array(found, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "start", "nth", "kind", "record"])
 
         for batch in batches:
-            rows: list[tuple] = []
-            flags = batch.column(3).to_pylist()
-            at = 0
-            for here, values in _runs(batch):
-                if here != key:
+            for (file, start, begins), values in _runs(batch):
+                if (file, start) != key:
                     if key is not None and held:
-                        close(rows, "middle" if tail else "open")
-                    key, held, state, nth, tail = here, [], flags[at], 0, flags[at]
-                at += len(values)
+                        yield closed(["middle" if tail else "open"], ["\n".join(held)], nth)
+                    key, held, state, nth, tail = (file, start), [], begins, 0, begins
+                kinds, found = [], []
                 for v in values:
                     held.append(v)
-                    state = (inside if state else outside).fullmatch(v) is not None
+                    if '"' in v:
+                        state = (inside if state else outside).fullmatch(v) is not None
                     if not state:
-                        close(rows, "end" if tail else "whole")
-                        held, nth, tail = [], nth + 1, False
-            if rows:
-                yield _batch(rows)
+                        kinds.append("end" if tail else "whole")
+                        found.append("\n".join(held) if len(held) > 1 else v)
+                        held, tail = [], False
+                if found:
+                    yield closed(kinds, found, nth)
+                    nth += len(found)
         if key is not None and held:
-            rows = []
-            close(rows, "middle" if tail else "open")
-            yield _batch(rows)
+            yield closed(["middle" if tail else "open"], ["\n".join(held)], nth)
 
-    pieces = placed.mapInArrow(run, "file string, start bigint, nth bigint, kind string, record string")
+    ensure_checkpoints(spark)
+    pieces = placed.mapInArrow(run, "file string, start bigint, nth bigint, kind string, record string").checkpoint()
     crossing = pieces.filter("kind <> 'whole'")
     order = Window.partitionBy("file").orderBy("start", "nth")  # at most two rows a range
     numbered = crossing.withColumn("of", F.sum(F.when(F.col("kind") == "open", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -119,11 +127,6 @@ def records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return both.select("file", "start", "nth", ((F.col("start") == 0) & (F.col("nth") == 0)).alias("first"), "record")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "start", "nth", "kind", "record"])
-
-
 def column_names(header: str, sep: str) -> list[str]:
     """Names of a header line; empty ones are _c and their place, and of names that differ in case only all get theirs."""
     found = next(csv.reader([header.removeprefix("﻿")], delimiter=sep, skipinitialspace=True), [])

@@ -63,6 +63,15 @@ def test_records_longer_than_ranges_and_short_files(spark, tmp_path, small_range
     assert read_split_csv(spark, str(tmp_path / "head.csv")).columns == ["a\nb", "c", "_c2"] and read_split_csv(spark, str(tmp_path / "head.csv")).count() == 0
 
 
+def test_lines_are_put_together_once(spark, tmp_path):
+    """Header, numbers of files, types and rows are all read from records made once, so no plan runs Python again."""
+    for k in range(2):
+        (tmp_path / f"p{k}.csv").write_text("n,t\n" + "".join(f'{10 * k + j},"a\n{j}"\n' for j in range(5)))
+    got = read_frame(spark, str(tmp_path / "p*.csv"))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["n"], r["t"]) for r in got.collect()) == [(10 * k + j, f"a\n{j}") for k in range(2) for j in range(5)]
+
+
 def test_several_files_and_types(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"p{k}.csv").write_text("n,t\n" + "".join(f'{10 * k + j},"a\n{j}"\n' for j in range(5)))
