@@ -3,60 +3,69 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from quillstat.functions.ranks import numbered
+from pyspark.sql.types import AtomicType
 
 PDP_FEATURES, PDP_GRID, REPEATS = 4, 50, 10
-#: Rows among which a feature's values are exchanged.
-BLOCK_ROWS = 100_000
+#: Rows among which a feature's values are exchanged, and about how many bytes these may have: blocks of wide rows are of fewer.
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 32 << 20
+
 
+def _blocks(rows: DataFrame, features: list[str], seed: int) -> tuple[DataFrame, int]:
+    """(a row a block, all rows): _block, _rows, which are its rows in random order, and for each feature _v0, _v1 and so
+    on, its values there in their own order.
 
-def _blocks(rows: DataFrame, seed: int) -> tuple[DataFrame, int, int]:
-    """(rows in random order with _block and _place, all rows, rows of a block): rows are numbered by a hash of what they
-    hold and then, so that equal rows are spread too, by a hash of that number. No block but the only one is a single
-    row."""
-    held = numbered(rows, [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns])], "_at")
-    placed = numbered(held, [F.xxhash64(F.lit(seed), F.col("_at")), "_at"], "_place").drop("_at")
-    n = placed.count()
-    size = -(-n // max(1, -(-n // BLOCK_ROWS)))
-    while n > 1 and n % size == 1:
-        size += 1
-    return placed.withColumn("_block", F.expr(f"_place div {max(size, 1)}")).repartition("_block").sortWithinPartitions("_block", "_place"), n, size
+    Equal rows are counted, and go to blocks one after the other from one that a hash of what they hold names, so that no
+    block has more of them than its share, and blocks are the same however the table is cut.
+    """
+    kinds = {c: k for c, k in rows.dtypes}
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, k in kinds.items() if k in ("string", "binary")]
+    seen = rows.agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(16 * len(kinds))).cast("bigint")).alias("bytes")).first()
+    n, of_bytes = seen["n"], seen["bytes"] or 0
+    blocks = max(1, -(-n // BLOCK_ROWS), -(-of_bytes // BLOCK_BYTES))
+    names = [f"c{k}" for k in range(len(kinds))]
+    alike = rows.toDF(*names).groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_hash", F.xxhash64(F.lit(seed), *names))
+    nth, least = F.col("_nth"), F.expr(f"_n div {blocks}")
+    dealt = alike.withColumn("_nth", F.explode(F.sequence(F.lit(0), F.least("_n", F.lit(blocks)).cast("int") - 1)))
+    dealt = dealt.withColumn("_block", F.pmod(F.pmod("_hash", F.lit(blocks)) + nth, F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("_n", least + F.when(nth < F.col("_n") - least * blocks, 1).otherwise(0))
+    placed = dealt.repartitionById(blocks, "_block").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    placed = placed.withColumn("_hash", F.xxhash64("_hash", "_nth")).sortWithinPartitions("_hash")
+    whole = placed.groupBy("_block").agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    at = {c: k for k, c in enumerate(kinds)}
+    values = {f"_v{k}": F.col("_rows")[f"c{at[f]}"] for k, f in enumerate(features)}
+    ordered = [isinstance(rows.schema[f].dataType, AtomicType) for f in features]
+    return whole.withColumns({v: F.sort_array(c) if o else c for (v, c), o in zip(values.items(), ordered, strict=True)}), n
 
 
 def permutation_importance(rows: DataFrame, features: list[str], score, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
     """feature, mean, std, rank: by how much score(rows) falls when a feature's values are exchanged between rows.
 
-    Rows are put in random order once, in blocks of about BLOCK_ROWS, and kept so. A repeat moves the values of every
-    block round by a number of places drawn for it, a window over rows that lie together already: nothing is joined or
-    shuffled, no row is left out, and a block that outgrows memory spills.
+    Rows are put in random order once, in blocks of about BLOCK_ROWS, each of which is kept as one row of arrays. A repeat
+    reads them once for each feature and lays the block's values beside the rows, moved round by so many places: no repeat
+    sorts, joins, shuffles or keeps anything, and no row is left out. The values lie in their own order; repeats
+    go by twos, of which the second takes them backwards, and each two moves them by an even step more. So each repeat is a
+    random exchange, while all together give every row values from all parts of the feature's range, which leaves the
+    mean less to chance than as many exchanges drawn apart.
     """
-    base, n, size = _blocks(rows, seed)
+    base, n = _blocks(rows, features, seed)
     base = base.persist()
-    last = n % size if size else 0
-    own = Window.partitionBy("_block").orderBy("_place")
-    values = F.struct(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(features)])
+    own = [F.col(f"_row.c{k}").alias(c) for k, c in enumerate(rows.columns)]
+    size = F.size("_rows")
 
-    def moved(by: int, of: int) -> Column:
-        return F.coalesce(F.lead(values, by).over(own), F.lag(values, of - by).over(own))
+    def exchanged(k: int, nth: int) -> DataFrame:
+        by = F.pmod(F.pmod(F.xxhash64(F.lit(seed), "_block"), size) + F.floor(size * F.lit(nth // 2 / -(-repeats // 2))), size).cast("int")
+        values = F.reverse(f"_v{k}") if nth % 2 else F.col(f"_v{k}")
+        other = F.concat(F.slice(values, by + 1, size), F.slice(values, F.lit(1), by))
+        both = base.select(F.inline(F.arrays_zip(F.col("_rows").alias("_row"), other.alias("_other"))))
+        return both.toDF("_row", "_other").select(*[F.col("_other").alias(c) if c == features[k] else o for c, o in zip(rows.columns, own, strict=True)])
 
     try:
-        full = score(base.select(*rows.columns))
-        draw = random.Random(seed)
-        falls: dict[str, list[float]] = {f: [] for f in features}
-        for _ in range(repeats if n > 1 else 0):
-            other = moved(draw.randrange(1, size), size)
-            if last:
-                other = F.when(F.col("_block") == n // size, moved(draw.randrange(1, last), last)).otherwise(other)
-            both = base.withColumn("_other", other).persist()
-            for k, f in enumerate(features):
-                falls[f].append(full - score(both.withColumn(f, F.col(f"_other.f{k}")).select(*rows.columns)))
-            both.unpersist()
+        full = score(base.select(F.explode("_rows").alias("_row")).select(*own))
+        falls = {f: [full - score(exchanged(k, nth)) for nth in range(repeats if n > 1 else 0)] for k, f in enumerate(features)}
     finally:
         base.unpersist()
     out = [(f, float(np.mean(v or [0.0])), float(np.std(v or [0.0]))) for f, v in falls.items()]

@@ -259,6 +259,43 @@ def test_values_are_exchanged_within_blocks(spark, monkeypatch, n, block):
         assert np.mean([k for k in kept[1:] if k < n]) == pytest.approx(n / 9, rel=0.25)
 
 
+def test_repeats_keep_and_sort_nothing_and_come_near_the_mean_of_all_exchanges(spark):
+    df = spark.range(3000).selectExpr("id % 50 as x", "id * 7919 % 9 as z", "3.0 * (id % 50) + id * 104729 % 3000 as y")
+    kept, plans = [], []
+
+    def score(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0])
+        fall = -rows.agg(F.avg((F.col("y") - 3 * F.col("x") - 20 * F.col("z")) ** 2)).first()[0]
+        kept.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return fall
+
+    got = {r["feature"]: r["mean"] for r in explain.permutation_importance(df, ["x", "z"], score).collect()}
+    assert len(kept) == 21 and len(set(kept)) == 1 and not any("Window" in p or "Sort" in p or "Repartition" in p for p in plans)
+    k = np.arange(3000)
+    x, z = k % 50, k * 7919 % 9
+    y = 3.0 * x + k * 104729 % 3000
+    for feature, v, b, rest in (("x", x, 3, y - 20 * z), ("z", z, 20, y - 3 * x)):
+        mean = np.var(rest) + b**2 * np.var(v) + (np.mean(rest) - b * np.mean(v)) ** 2 - np.mean((y - 3 * x - 20 * z) ** 2)
+        assert got[feature] == pytest.approx(mean, abs=0.1 * 2 * b * np.std(v) * np.std(y) / 3000**0.5)  # a third of what ten exchanges drawn apart are off by
+
+
+@pytest.mark.parametrize("rows,size", [(700, 1 << 30), (1 << 30, 700 * 48)])
+def test_blocks_share_equal_rows_and_do_not_depend_on_partitions(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(explain, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(explain, "BLOCK_BYTES", size)
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) as x", "if(id % 3 = 0, 0, id) as `y.y`", "if(id % 3 > 0, -id, id % 2) as z")
+    made = []
+    for parts in (1, 7):
+        blocks, n = explain._blocks(df.repartition(parts), ["x", "z"], 42)
+        assert n == 6000
+        made.append(sorted(blocks.collect()))
+    assert made[0] == made[1] and len(made[0]) == 9
+    held = [[tuple(r) for r in b["_rows"]] for b in made[0]]
+    assert sorted((r for h in held for r in h), key=str) == sorted(((None, 0, i // 3 % 2) if i % 3 == 0 else (i, i, -i) for i in range(6000)), key=str)
+    assert all(h.count((None, 0, k)) in (111, 112) for h in held for k in (0, 1)) and all(h != sorted(h, key=str) for h in held)
+    assert all(b["_v0"] == sorted((r[0] for r in h), key=lambda v: (v is not None, v)) for b, h in zip(made[0], held, strict=True))
+
+
 def test_ordinal_codes_are_ranks(spark):
     df = spark.createDataFrame([("b", "low"), ("a", "high"), (None, "odd"), ("c", None), ("b", "low")], "k string, o string")
     got = features.ordinal_encode(df, ["k", "o"], {"o": ["low", "high"]})
